@@ -2,7 +2,75 @@
 
 f fractional, i integer, b boolean, d date, t timestamp, s string, a<k> array."""
 
-KINDS = {'transaction_velocity': {'account_id': 'i',
+KINDS = {'cash_flow': {'customer_id': 'i',
+               'INFLOW_avg_monthly_flow': 'f',
+               'INFLOW_flow_volatility': 'f',
+               'OUTFLOW_avg_monthly_flow': 'f',
+               'OUTFLOW_flow_volatility': 'f',
+               'OTHER_avg_monthly_flow': 'f',
+               'OTHER_flow_volatility': 'f'},
+ 'cash_flow_net': {'customer_id': 'i',
+                   'flow_type': 's',
+                   'avg_monthly_flow': 'f',
+                   'flow_volatility': 'f',
+                   'total_flow': 'f',
+                   'months_analyzed': 'i',
+                   'net_flow_ratio': 'f'},
+ 'digital_engagement': {'customer_id': 'i',
+                        'total_transactions': 'i',
+                        'off_hours_transactions': 'i',
+                        'weekend_transactions': 'i',
+                        'avg_transaction_size': 'f',
+                        'digital_transactions': 'i',
+                        'branch_transactions': 'i',
+                        'digital_engagement_ratio': 'f',
+                        'digital_adoption_level': 's',
+                        'migration_opportunity': 's'},
+ 'fee_income': {'customer_type': 's',
+                'account_type': 's',
+                'fee_category': 's',
+                'transaction_count': 'i',
+                'total_fee_income': 'f',
+                'avg_fee_per_transaction': 'f',
+                'total_transaction_volume': 'f',
+                'fee_to_volume_ratio': 'f',
+                'optimization_opportunity': 's'},
+ 'seasonal_patterns': {'transaction_year': 'i',
+                       'transaction_quarter': 'i',
+                       'transaction_month': 'i',
+                       'account_type': 's',
+                       'transaction_count': 'i',
+                       'transaction_volume': 'f',
+                       'avg_transaction_size': 'f',
+                       'seasonal_index': 'f',
+                       'seasonal_pattern': 's',
+                       'year_over_year_growth': 'f'},
+ 'service_levels': {'account_type': 's',
+                    'transaction_type': 's',
+                    'avg_processing_time': 'f',
+                    'p95_processing_time': 'f',
+                    'transaction_count': 'i',
+                    'service_level_agreement': 's',
+                    'performance_rating': 's'},
+ 'transaction_anomalies': {'transaction_id': 'i',
+                           'account_id': 'i',
+                           'amount': 'f',
+                           'transaction_type': 's',
+                           'z_score': 'f',
+                           'balance': 'f',
+                           'account_avg_amount': 'f'},
+ 'transaction_segmentation': {'customer_id': 'i',
+                              'total_transactions': 'i',
+                              'avg_transaction_amount': 'f',
+                              'std_transaction_amount': 'f',
+                              'total_transaction_volume': 'f',
+                              'unique_transaction_types': 'i',
+                              'total_accounts': 'i',
+                              'total_balance': 'f',
+                              'avg_balance': 'f',
+                              'transaction_frequency_segment': 's',
+                              'balance_segment': 's'},
+ 'transaction_velocity': {'account_id': 'i',
                           'transaction_date_only': 'd',
                           'daily_transaction_count': 'i',
                           'daily_transaction_amount': 'f',

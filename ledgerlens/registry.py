@@ -43,6 +43,16 @@ def _load():
         lambda t: tx.transaction_velocity(t.transactions, t.accounts))
     _reg("transaction_velocity_dense", "transactions")(
         lambda t: tx.transaction_velocity(t.transactions_dense, t.accounts))
+    _reg("cash_flow", "transactions")(lambda t: tx.cash_flow(t.transactions, t.accounts, t.customers))
+    _reg("cash_flow_net", "transactions")(lambda t: tx.cash_flow_net(t.transactions, t.accounts, t.customers))
+    _reg("transaction_segmentation", "transactions")(
+        lambda t: tx.transaction_segmentation(t.transactions, t.accounts, t.customers))
+    _reg("service_levels", "transactions")(lambda t: tx.service_levels(t.transactions, t.accounts, t.loans))
+    _reg("digital_engagement", "transactions")(
+        lambda t: tx.digital_engagement(t.transactions, t.accounts, t.customers))
+    _reg("fee_income", "transactions")(lambda t: tx.fee_income(t.transactions, t.accounts, t.customers))
+    _reg("seasonal_patterns", "transactions")(lambda t: tx.seasonal_patterns(t.transactions, t.accounts, t.loans))
+    _reg("transaction_anomalies", "transactions")(lambda t: tx.transaction_anomalies(t.transactions, t.accounts))
     return REGISTRY
 
 
