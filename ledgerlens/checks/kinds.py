@@ -2,7 +2,60 @@
 
 f fractional, i integer, b boolean, d date, t timestamp, s string, a<k> array."""
 
-KINDS = {'cash_flow': {'customer_id': 'i',
+KINDS = {'account_aging': {'aging_category': 's',
+                   'account_age_category': 's',
+                   'account_count': 'i',
+                   'total_balance': 'f',
+                   'avg_balance': 'f',
+                   'balance_percentage': 'f'},
+ 'account_opening_patterns': {'opening_year': 'i',
+                              'opening_quarter': 'i',
+                              'age_group': 's',
+                              'customer_type': 's',
+                              'account_type': 's',
+                              'accounts_opened': 'i',
+                              'avg_initial_balance': 'f',
+                              'total_initial_deposits': 'f',
+                              'growth_rate': 'f'},
+ 'branch_network': {'branch_id': 'i',
+                    'branch_name': 's',
+                    'branch_code': 's',
+                    'address': 's',
+                    'city': 's',
+                    'state': 's',
+                    'phone': 's',
+                    'manager_id': 'i',
+                    'total_accounts': 'i',
+                    'total_deposits': 'f',
+                    'total_transactions': 'i',
+                    'transaction_volume': 'f',
+                    'unique_customers': 'i',
+                    'deposits_per_customer': 'f',
+                    'transactions_per_customer': 'f',
+                    'efficiency_score': 'f',
+                    'optimization_recommendation': 's'},
+ 'branch_performance': {'branch_id': 'i',
+                        'branch_name': 's',
+                        'branch_code': 's',
+                        'address': 's',
+                        'city': 's',
+                        'state': 's',
+                        'phone': 's',
+                        'manager_id': 'i',
+                        'total_accounts': 'i',
+                        'total_deposits': 'f',
+                        'avg_account_balance': 'f',
+                        'unique_customers': 'i',
+                        'total_employees': 'i',
+                        'avg_salary': 'f',
+                        'diverse_positions': 'i',
+                        'total_transactions': 'i',
+                        'total_transaction_volume': 'f',
+                        'avg_transaction_size': 'f',
+                        'efficiency_ratio': 'f',
+                        'deposit_growth_score': 'f',
+                        'overall_performance_score': 'f'},
+ 'cash_flow': {'customer_id': 'i',
                'INFLOW_avg_monthly_flow': 'f',
                'INFLOW_flow_volatility': 'f',
                'OUTFLOW_avg_monthly_flow': 'f',
@@ -16,6 +69,16 @@ KINDS = {'cash_flow': {'customer_id': 'i',
                    'total_flow': 'f',
                    'months_analyzed': 'i',
                    'net_flow_ratio': 'f'},
+ 'churn_features': {'customer_id': 'i',
+                    'total_accounts': 'i',
+                    'active_accounts': 'i',
+                    'inactive_accounts': 'i',
+                    'avg_balance': 'f',
+                    'total_balance': 'f',
+                    'min_days_inactive': 'i',
+                    'max_days_inactive': 'i',
+                    'inactive_ratio': 'f',
+                    'churn_risk_score': 's'},
  'digital_engagement': {'customer_id': 'i',
                         'total_transactions': 'i',
                         'off_hours_transactions': 'i',
@@ -26,6 +89,50 @@ KINDS = {'cash_flow': {'customer_id': 'i',
                         'digital_engagement_ratio': 'f',
                         'digital_adoption_level': 's',
                         'migration_opportunity': 's'},
+ 'employee_performance': {'branch_id': 'i',
+                          'employee_id': 'i',
+                          'first_name': 's',
+                          'last_name': 's',
+                          'position': 's',
+                          'email': 's',
+                          'phone': 's',
+                          'hire_date': 'd',
+                          'salary': 'f',
+                          'manager_id': 'i',
+                          'approved_by': 'i',
+                          'loans_approved': 'i',
+                          'total_loan_volume': 'f',
+                          'avg_loan_size': 'f',
+                          'accounts_in_branch': 'i',
+                          'branch_name': 's',
+                          'branch_code': 's',
+                          'address': 's',
+                          'city': 's',
+                          'state': 's',
+                          'branch_phone': 's',
+                          'branch_manager_id': 'i',
+                          'performance_score': 'f',
+                          'efficiency_ratio': 'f',
+                          'performance_tier': 's'},
+ 'employee_productivity': {'branch_id': 'i',
+                           'employee_id': 'i',
+                           'first_name': 's',
+                           'last_name': 's',
+                           'position': 's',
+                           'email': 's',
+                           'phone': 's',
+                           'hire_date': 'd',
+                           'salary': 'f',
+                           'manager_id': 'i',
+                           'approved_by': 'i',
+                           'loans_approved': 'i',
+                           'total_loan_volume': 'f',
+                           'branch_accounts': 'i',
+                           'tenure_months': 'f',
+                           'productivity_score': 'f',
+                           'position_percentile': 'f',
+                           'performance_category': 's',
+                           'salary_to_productivity_ratio': 'f'},
  'fee_income': {'customer_type': 's',
                 'account_type': 's',
                 'fee_category': 's',
@@ -35,6 +142,75 @@ KINDS = {'cash_flow': {'customer_id': 'i',
                 'total_transaction_volume': 'f',
                 'fee_to_volume_ratio': 'f',
                 'optimization_opportunity': 's'},
+ 'geographic_expansion': {'state': 's',
+                          'city': 's',
+                          'current_customers': 'i',
+                          'total_deposits': 'f',
+                          'avg_balance_per_customer': 'f',
+                          'branch_count': 'i',
+                          'customers_per_branch': 'f',
+                          'deposits_per_branch': 'f',
+                          'market_saturation': 's',
+                          'expansion_priority': 's',
+                          'potential_new_customers': 'i'},
+ 'operational_efficiency': {'branch_id': 'i',
+                            'branch_name': 's',
+                            'branch_code': 's',
+                            'address': 's',
+                            'city': 's',
+                            'state': 's',
+                            'phone': 's',
+                            'manager_id': 'i',
+                            'accounts_managed': 'i',
+                            'deposits_managed': 'f',
+                            'transactions_processed': 'i',
+                            'staff_count': 'i',
+                            'avg_salary': 'f',
+                            'accounts_per_staff': 'f',
+                            'transactions_per_staff': 'f',
+                            'deposits_per_staff': 'f',
+                            'cost_per_transaction': 'f',
+                            'efficiency_score': 'f',
+                            'efficiency_quartile': 'i',
+                            'improvement_recommendation': 's'},
+ 'operational_risk': {'branch_id': 'i',
+                      'total_transactions': 'i',
+                      'high_value_transactions': 'i',
+                      'weekend_transactions': 'i',
+                      'avg_transaction_size': 'f',
+                      'operational_risk_score': 'f',
+                      'risk_category': 's'},
+ 'product_benchmark': {'account_type': 's',
+                       'current_accounts': 'i',
+                       'current_balance': 'f',
+                       'current_avg_balance': 'f',
+                       'target_accounts': 'i',
+                       'target_balance': 'i',
+                       'accounts_target_achievement': 'f',
+                       'balance_target_achievement': 'f',
+                       'overall_performance_score': 'f',
+                       'performance_status': 's'},
+ 'product_cards': {'card_type': 's',
+                   'total_cards': 'i',
+                   'total_credit_limit': 'f',
+                   'avg_balance': 'f',
+                   'avg_credit_limit': 'f'},
+ 'product_loans': {'loan_type': 's',
+                   'total_loans': 'i',
+                   'total_loan_amount': 'f',
+                   'avg_loan_amount': 'f',
+                   'avg_interest_rate': 'f'},
+ 'product_portfolio': {'account_type': 's',
+                       'total_accounts': 'i',
+                       'total_balance': 'f',
+                       'avg_balance': 'f',
+                       'unique_customers': 'i',
+                       'avg_account_age_days': 'f',
+                       'total_transactions': 'i',
+                       'total_transaction_volume': 'f',
+                       'avg_transaction_amount': 'f',
+                       'profitability_score': 'f',
+                       'product_performance_tier': 's'},
  'seasonal_patterns': {'transaction_year': 'i',
                        'transaction_quarter': 'i',
                        'transaction_month': 'i',

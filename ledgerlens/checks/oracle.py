@@ -223,3 +223,331 @@ j AS (
   JOIN st ON t.account_id = st.account_id)
 SELECT transaction_id, account_id, amount, transaction_type, z_score, balance, account_avg_amount
 FROM j WHERE abs(z_score) > 3 OR amount > balance * 0.5"""
+
+
+# ------------------------------------------------------------------ helpers
+def havg(x: str, s: int = 2) -> str:
+    """Spark's AVG over DECIMAL(p, s): exact quotient rounded HALF_UP at scale
+    s+4, as an exact DECIMAL (DuckDB's AVG is an unrounded DOUBLE)."""
+    k = s + 4
+    num = f"(CAST(SUM({x}) * {10 ** s} AS HUGEINT) * {10 ** (k - s)})"
+    n = f"NULLIF(COUNT({x}), 0)"
+    return (f"(CAST(sign({num}) * ((abs({num}) * 2 + {n}) // (2 * {n})) AS DECIMAL(38,0))"
+            f" * 0.{'0' * (k - 1)}1)")
+
+
+def dbl(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def div(a: str, b: str) -> str:
+    """Spark's try_divide on DOUBLE operands."""
+    return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
+
+
+def wsum(*terms) -> str:
+    """Weighted score: left-to-right sum of DOUBLE(col) * DOUBLE weight."""
+    return "(" + " + ".join(f"CAST({c} AS DOUBLE) * {w}::DOUBLE" for c, w in terms) + ")"
+
+
+def case_gt(x: str, cuts, default) -> str:
+    arms = " ".join(f"WHEN {x} > {t} THEN {_lit(v)}" for t, v in cuts)
+    return f"CASE {arms} ELSE {_lit(default)} END"
+
+
+def _lit(v):
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def age_band(age: str) -> str:
+    arms = " ".join(f"WHEN {age} < {hi} THEN '{lab}'" for hi, lab in
+                    ((25, "18-24"), (35, "25-34"), (45, "35-44"), (55, "45-54"), (65, "55-64")))
+    return f"CASE {arms} ELSE '65+' END"
+
+
+def age_years(later: str, dob: str) -> str:
+    return f"FLOOR(({later} - {dob}) / 365.25::DOUBLE)"
+
+
+def months_between(a: str, b: str) -> str:
+    """Spark's months_between(a, b) for DATE operands (rounded to 8 places)."""
+    md = f"((year({a}) * 12 + month({a})) - (year({b}) * 12 + month({b})))"
+    frac = f"((day({a}) - 1) * 86400 - (day({b}) - 1) * 86400) / 2678400::DOUBLE"
+    return (f"(CASE WHEN day({a}) = day({b}) OR ({a} = last_day({a}) AND {b} = last_day({b})) "
+            f"THEN CAST({md} AS DOUBLE) "
+            f"ELSE floor(({md} + {frac}) * 1e8 + 0.5) / 1e8 END)")
+
+
+# ------------------------------------------------------------------ accounts
+_LAST_TX = "last AS (SELECT account_id, MAX(transaction_date) AS last_transaction_date FROM transactions GROUP BY account_id)"
+
+SQL["account_aging"] = f"""
+WITH {_LAST_TX},
+g AS (
+  SELECT a.balance, ({D} - CAST(l.last_transaction_date AS DATE)) AS dslt, ({D} - a.open_date) AS dsao
+  FROM accounts a LEFT JOIN last l ON a.account_id = l.account_id),
+c AS (
+  SELECT balance,
+    CASE WHEN dslt IS NULL THEN 'NO_TRANSACTIONS' WHEN dslt > 365 THEN 'DORMANT' WHEN dslt > 180 THEN 'INACTIVE'
+         WHEN dslt > 90 THEN 'LOW_ACTIVITY' ELSE 'ACTIVE' END AS aging_category,
+    {case_gt("dsao", [(3650, "VETERAN"), (1825, "ESTABLISHED"), (365, "MATURE")], "NEW")} AS account_age_category
+  FROM g),
+s AS (
+  SELECT aging_category, account_age_category, COUNT(*) AS account_count, SUM(balance) AS total_balance,
+         {havg("balance")} AS avg_balance
+  FROM c GROUP BY 1, 2)
+SELECT *, {div("total_balance", "SUM(total_balance) OVER ()")} AS balance_percentage FROM s"""
+
+SQL["account_opening_patterns"] = f"""
+WITH j AS (
+  SELECT year(a.open_date) AS opening_year, quarter(a.open_date) AS opening_quarter,
+         {age_band(age_years("a.open_date", "c.date_of_birth"))} AS age_group,
+         c.customer_type, a.account_type, a.balance
+  FROM accounts a JOIN customers c ON a.customer_id = c.customer_id
+  JOIN branches b ON a.branch_id = b.branch_id),
+g AS (
+  SELECT opening_year, opening_quarter, age_group, customer_type, account_type,
+         COUNT(*) AS accounts_opened, {havg("balance")} AS avg_initial_balance,
+         SUM(balance) AS total_initial_deposits
+  FROM j GROUP BY 1, 2, 3, 4, 5)
+SELECT *, {div("accounts_opened - LAG(accounts_opened) OVER w", "LAG(accounts_opened) OVER w")} AS growth_rate
+FROM g
+WINDOW w AS (PARTITION BY age_group, account_type, customer_type
+             ORDER BY opening_year NULLS FIRST, opening_quarter NULLS FIRST)"""
+
+SQL["churn_features"] = f"""
+WITH {_LAST_TX},
+a AS (
+  SELECT a.customer_id, a.status, a.balance, ({D} - CAST(l.last_transaction_date AS DATE)) AS d
+  FROM accounts a LEFT JOIN last l ON a.account_id = l.account_id),
+g AS (
+  SELECT customer_id, COUNT(*) AS total_accounts,
+         SUM(CASE WHEN status = 'ACTIVE' THEN 1 ELSE 0 END) AS active_accounts,
+         SUM(CASE WHEN d > 90 THEN 1 ELSE 0 END) AS inactive_accounts,
+         {havg("balance")} AS avg_balance, SUM(balance) AS total_balance,
+         MIN(d) AS min_days_inactive, MAX(d) AS max_days_inactive
+  FROM a GROUP BY customer_id),
+r AS (SELECT *, {div("inactive_accounts", "total_accounts")} AS inactive_ratio FROM g)
+SELECT *, CASE WHEN inactive_ratio > 0.7 THEN 'HIGH' WHEN inactive_ratio > 0.4 THEN 'MEDIUM'
+               WHEN max_days_inactive > 180 THEN 'HIGH' ELSE 'LOW' END AS churn_risk_score
+FROM r"""
+
+SQL["product_benchmark"] = f"""
+WITH g AS (
+  SELECT account_type, COUNT(*) AS current_accounts, SUM(balance) AS current_balance,
+         {havg("balance")} AS current_avg_balance
+  FROM accounts GROUP BY account_type),
+t AS (
+  SELECT *,
+    CASE WHEN account_type = 'SAVINGS' THEN 10000 WHEN account_type = 'CHECKING' THEN 15000
+         WHEN account_type = 'BUSINESS' THEN 5000 ELSE 2000 END AS target_accounts,
+    CASE WHEN account_type = 'SAVINGS' THEN 50000000 WHEN account_type = 'CHECKING' THEN 75000000
+         WHEN account_type = 'BUSINESS' THEN 100000000 ELSE 10000000 END AS target_balance
+  FROM g),
+r AS (
+  SELECT *, {div("current_accounts", "target_accounts")} AS accounts_target_achievement,
+            {div("current_balance", "target_balance")} AS balance_target_achievement
+  FROM t),
+s AS (SELECT *, {wsum(("accounts_target_achievement", 0.4), ("balance_target_achievement", 0.6))}
+                AS overall_performance_score FROM r)
+SELECT *, {case_gt("overall_performance_score", [(1.1, "EXCEEDS_TARGET"), (0.9, "MEETS_TARGET"),
+                                                  (0.7, "APPROACHING_TARGET")], "BELOW_TARGET")}
+          AS performance_status
+FROM s"""
+
+SQL["product_loans"] = f"""
+SELECT loan_type, COUNT(*) AS total_loans, SUM(loan_amount) AS total_loan_amount,
+       {havg("loan_amount")} AS avg_loan_amount, {havg("interest_rate", 3)} AS avg_interest_rate
+FROM loans GROUP BY loan_type"""
+
+SQL["product_cards"] = f"""
+SELECT card_type, COUNT(*) AS total_cards, SUM(credit_limit) AS total_credit_limit,
+       {havg("current_balance")} AS avg_balance, {havg("credit_limit")} AS avg_credit_limit
+FROM credit_cards GROUP BY card_type"""
+
+SQL["product_portfolio"] = f"""
+WITH ap AS (
+  SELECT account_type, COUNT(*) AS total_accounts, SUM(balance) AS total_balance,
+         {havg("balance")} AS avg_balance, COUNT(DISTINCT customer_id) AS unique_customers,
+         AVG({D} - open_date) AS avg_account_age_days
+  FROM accounts GROUP BY account_type),
+tp AS (
+  SELECT a.account_type, COUNT(*) AS total_transactions, SUM(t.amount) AS total_transaction_volume,
+         {havg("t.amount")} AS avg_transaction_amount
+  FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.account_type),
+p AS (
+  SELECT ap.*, tp.total_transactions, tp.total_transaction_volume, tp.avg_transaction_amount,
+         {wsum(("ap.total_balance", 0.4), ("tp.total_transaction_volume", 0.3), ("ap.unique_customers", 0.3))}
+           AS profitability_score
+  FROM ap LEFT JOIN tp ON ap.account_type = tp.account_type),
+q AS (SELECT quantile_disc(profitability_score, 0.8) AS p80, quantile_disc(profitability_score, 0.5) AS p50,
+             quantile_disc(profitability_score, 0.2) AS p20 FROM p)
+SELECT p.*, CASE WHEN profitability_score > p80 THEN 'STAR' WHEN profitability_score > p50 THEN 'CORE'
+                 WHEN profitability_score > p20 THEN 'SUPPORTING' ELSE 'NICHE' END AS product_performance_tier
+FROM p CROSS JOIN q"""
+
+# ------------------------------------------------------------------ branches
+_BRANCH_COLS = "b.branch_id, b.branch_name, b.branch_code, b.address, b.city, b.state, b.phone, COALESCE(b.manager_id, 0) AS manager_id"
+
+
+def _z(x, name=None):
+    return f"COALESCE({x}, 0) AS {name or x.split('.')[-1]}"
+
+
+SQL["branch_network"] = f"""
+WITH acc AS (SELECT branch_id, COUNT(*) AS total_accounts, SUM(balance) AS total_deposits FROM accounts GROUP BY branch_id),
+tx AS (SELECT a.branch_id, COUNT(*) AS total_transactions, SUM(t.amount) AS transaction_volume
+       FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.branch_id),
+cu AS (SELECT a.branch_id, COUNT(DISTINCT c.customer_id) AS unique_customers
+       FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY a.branch_id),
+bp AS (
+  SELECT {_BRANCH_COLS}, {_z("acc.total_accounts")}, {_z("acc.total_deposits")},
+         {_z("tx.total_transactions")}, {_z("tx.transaction_volume")}, {_z("cu.unique_customers")}
+  FROM branches b LEFT JOIN acc ON b.branch_id = acc.branch_id LEFT JOIN tx ON b.branch_id = tx.branch_id
+  LEFT JOIN cu ON b.branch_id = cu.branch_id),
+s AS (
+  SELECT *, {div("total_deposits", "unique_customers")} AS deposits_per_customer,
+            {div("total_transactions", "unique_customers")} AS transactions_per_customer,
+            {wsum(("total_deposits", 0.4), ("transaction_volume", 0.3), ("unique_customers", 0.3))} AS efficiency_score
+  FROM bp),
+q AS (SELECT quantile_disc(efficiency_score, 0.25) AS p25, quantile_disc(efficiency_score, 0.75) AS p75 FROM s)
+SELECT s.*, CASE WHEN efficiency_score < p25 THEN 'CONSOLIDATE' WHEN efficiency_score > p75 THEN 'EXPAND'
+                 ELSE 'MAINTAIN' END AS optimization_recommendation
+FROM s CROSS JOIN q"""
+
+SQL["branch_performance"] = f"""
+WITH acc AS (SELECT branch_id, COUNT(*) AS total_accounts, SUM(balance) AS total_deposits,
+                    {havg("balance")} AS avg_account_balance, COUNT(DISTINCT customer_id) AS unique_customers
+             FROM accounts GROUP BY branch_id),
+emp AS (SELECT branch_id, COUNT(*) AS total_employees, {havg("salary")} AS avg_salary,
+               COUNT(DISTINCT position) AS diverse_positions FROM employees GROUP BY branch_id),
+tx AS (SELECT a.branch_id, COUNT(*) AS total_transactions, SUM(t.amount) AS total_transaction_volume,
+              {havg("t.amount")} AS avg_transaction_size
+       FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.branch_id),
+bp AS (
+  SELECT {_BRANCH_COLS}, {_z("acc.total_accounts")}, {_z("acc.total_deposits")}, {_z("acc.avg_account_balance")},
+         {_z("acc.unique_customers")}, {_z("emp.total_employees")}, {_z("emp.avg_salary")},
+         {_z("emp.diverse_positions")}, {_z("tx.total_transactions")}, {_z("tx.total_transaction_volume")},
+         {_z("tx.avg_transaction_size")}
+  FROM branches b LEFT JOIN acc ON b.branch_id = acc.branch_id LEFT JOIN emp ON b.branch_id = emp.branch_id
+  LEFT JOIN tx ON b.branch_id = tx.branch_id),
+r AS (
+  SELECT *, {div("total_transaction_volume", "total_employees")} AS efficiency_ratio,
+            {div("total_deposits", "unique_customers")} AS deposit_growth_score
+  FROM bp)
+SELECT *, {wsum(("efficiency_ratio", 0.4), ("deposit_growth_score", 0.3), ("avg_account_balance", 0.3))}
+          AS overall_performance_score
+FROM r"""
+
+_LA = f"""la AS (SELECT approved_by, COUNT(*) AS loans_approved, SUM(loan_amount) AS total_loan_volume,
+                 {havg("loan_amount")} AS avg_loan_size FROM loans GROUP BY approved_by)"""
+
+SQL["employee_performance"] = f"""
+WITH {_LA},
+am AS (SELECT branch_id, COUNT(*) AS accounts_in_branch FROM accounts GROUP BY branch_id),
+ep AS (
+  SELECT e.employee_id, e.branch_id, e.first_name, e.last_name, e.position, e.email, e.phone, e.hire_date,
+         {_z("e.salary")}, {_z("e.manager_id")}, {_z("la.approved_by")}, {_z("la.loans_approved")},
+         {_z("la.total_loan_volume")}, {_z("la.avg_loan_size")}, am.accounts_in_branch,
+         b.branch_name, b.branch_code, b.address, b.city, b.state, b.phone AS branch_phone,
+         {_z("b.manager_id", "branch_manager_id")}
+  FROM employees e LEFT JOIN la ON e.employee_id = la.approved_by
+  JOIN am ON e.branch_id = am.branch_id JOIN branches b ON e.branch_id = b.branch_id),
+s AS (
+  SELECT *, {wsum(("loans_approved", 0.4), ("total_loan_volume", 0.3), ("salary", 0.3))} AS performance_score,
+            {div("total_loan_volume", "accounts_in_branch")} AS efficiency_ratio
+  FROM ep)
+SELECT *, CASE WHEN performance_score > AVG(performance_score) OVER () THEN 'TOP'
+               WHEN performance_score < AVG(performance_score) OVER () THEN 'LOW'
+               ELSE 'AVERAGE' END AS performance_tier
+FROM s"""
+
+SQL["employee_productivity"] = f"""
+WITH la AS (SELECT approved_by, COUNT(*) AS loans_approved, SUM(loan_amount) AS total_loan_volume
+            FROM loans GROUP BY approved_by),
+ba AS (SELECT branch_id, COUNT(*) AS branch_accounts FROM accounts GROUP BY branch_id),
+em AS (
+  SELECT e.*, la.approved_by, la.loans_approved, la.total_loan_volume, ba.branch_accounts,
+         {months_between(D, "e.hire_date")} AS tenure_months
+  FROM employees e LEFT JOIN la ON e.employee_id = la.approved_by JOIN ba ON e.branch_id = ba.branch_id),
+s AS (
+  SELECT *, {wsum(("COALESCE(loans_approved, 0)", 0.5), ("COALESCE(total_loan_volume, 0)", 0.3),
+                  ("tenure_months", 0.2))} AS productivity_score
+  FROM em),
+r AS (SELECT *, PERCENT_RANK() OVER (PARTITION BY position ORDER BY productivity_score NULLS FIRST)
+                AS position_percentile FROM s)
+SELECT *, {case_gt("position_percentile", [(0.8, "TOP_PERFORMER"), (0.6, "HIGH_PERFORMER"), (0.4, "AVERAGE"),
+                                            (0.2, "LOW_PERFORMER")], "UNDER_PERFORMER")} AS performance_category,
+          {div("salary", "productivity_score")} AS salary_to_productivity_ratio
+FROM r"""
+
+SQL["geographic_expansion"] = f"""
+WITH cov AS (
+  SELECT c.state, c.city, COUNT(DISTINCT c.customer_id) AS current_customers, SUM(a.balance) AS total_deposits,
+         {havg("a.balance")} AS avg_balance_per_customer
+  FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY 1, 2),
+bc AS (SELECT state, city, COUNT(*) AS branch_count FROM branches GROUP BY 1, 2),
+j AS (
+  SELECT cov.state, cov.city, {_z("cov.current_customers")}, {_z("cov.total_deposits")},
+         {_z("cov.avg_balance_per_customer")}, {_z("bc.branch_count")}
+  FROM cov LEFT JOIN bc ON cov.state = bc.state AND cov.city = bc.city),
+m AS (
+  SELECT *,
+    CASE WHEN branch_count > 0 THEN {div("current_customers", "branch_count")} ELSE {dbl("current_customers")} END
+      AS customers_per_branch,
+    CASE WHEN branch_count > 0 THEN {div("total_deposits", "branch_count")} ELSE {dbl("total_deposits")} END
+      AS deposits_per_branch
+  FROM j),
+s AS (
+  SELECT *, {case_gt("customers_per_branch", [(5000, "OVERSATURATED"), (3000, "MATURE"), (1500, "GROWING"),
+                                               (500, "EMERGING")], "UNDERSERVED")} AS market_saturation
+  FROM m)
+SELECT *,
+  CASE WHEN market_saturation = 'UNDERSERVED' THEN 'HIGH_PRIORITY' WHEN market_saturation = 'EMERGING' THEN 'MEDIUM_PRIORITY'
+       WHEN market_saturation = 'GROWING' THEN 'LOW_PRIORITY' ELSE 'NO_EXPANSION' END AS expansion_priority,
+  CASE WHEN market_saturation = 'UNDERSERVED' THEN 5000 WHEN market_saturation = 'EMERGING' THEN 3000
+       WHEN market_saturation = 'GROWING' THEN 1000 ELSE 0 END AS potential_new_customers
+FROM s"""
+
+SQL["operational_efficiency"] = f"""
+WITH acc AS (SELECT branch_id, COUNT(*) AS accounts_managed, SUM(balance) AS deposits_managed FROM accounts GROUP BY branch_id),
+tx AS (SELECT a.branch_id, COUNT(*) AS transactions_processed
+       FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.branch_id),
+emp AS (SELECT branch_id, COUNT(*) AS staff_count, {havg("salary")} AS avg_salary FROM employees GROUP BY branch_id),
+be AS (
+  SELECT {_BRANCH_COLS}, {_z("acc.accounts_managed")}, {_z("acc.deposits_managed")},
+         {_z("tx.transactions_processed")}, {_z("emp.staff_count")}, {_z("emp.avg_salary")}
+  FROM branches b LEFT JOIN acc ON b.branch_id = acc.branch_id LEFT JOIN tx ON b.branch_id = tx.branch_id
+  LEFT JOIN emp ON b.branch_id = emp.branch_id),
+r AS (
+  SELECT *, {div("accounts_managed", "staff_count")} AS accounts_per_staff,
+            {div("transactions_processed", "staff_count")} AS transactions_per_staff,
+            {div("deposits_managed", "staff_count")} AS deposits_per_staff
+  FROM be),
+r2 AS (
+  SELECT *, {div("avg_salary", "transactions_per_staff")} AS cost_per_transaction,
+            {wsum(("accounts_per_staff", 0.3), ("transactions_per_staff", 0.4), ("deposits_per_staff", 0.3))}
+              AS efficiency_score
+  FROM r),
+q AS (SELECT *, NTILE(4) OVER (ORDER BY efficiency_score NULLS FIRST, branch_id) AS efficiency_quartile FROM r2)
+SELECT *, CASE WHEN efficiency_quartile = 1 THEN 'MAJOR_IMPROVEMENT_NEEDED'
+               WHEN efficiency_quartile = 2 THEN 'MODERATE_IMPROVEMENT_NEEDED'
+               WHEN efficiency_quartile = 3 THEN 'MINOR_IMPROVEMENT_NEEDED'
+               ELSE 'MAINTAIN_PERFORMANCE' END AS improvement_recommendation
+FROM q"""
+
+SQL["operational_risk"] = f"""
+WITH j AS (
+  SELECT a.branch_id, t.amount, CASE WHEN t.amount > 5000 THEN 1 ELSE 0 END AS hv,
+         CASE WHEN dayofweek(t.transaction_date) IN (0, 6) THEN 1 ELSE 0 END AS wk
+  FROM transactions t JOIN accounts a ON t.account_id = a.account_id JOIN branches b ON a.branch_id = b.branch_id),
+g AS (
+  SELECT branch_id, COUNT(*) AS total_transactions, SUM(hv) AS high_value_transactions,
+         SUM(wk) AS weekend_transactions, {havg("amount")} AS avg_transaction_size
+  FROM j GROUP BY branch_id),
+s AS (SELECT *, {wsum(("high_value_transactions", 0.4), ("weekend_transactions", 0.3), ("avg_transaction_size", 0.3))}
+                AS operational_risk_score FROM g),
+q AS (SELECT quantile_disc(operational_risk_score, 0.8) AS p80, quantile_disc(operational_risk_score, 0.5) AS p50 FROM s)
+SELECT s.*, CASE WHEN operational_risk_score > p80 THEN 'HIGH' WHEN operational_risk_score > p50 THEN 'MEDIUM'
+                 ELSE 'LOW' END AS risk_category
+FROM s CROSS JOIN q"""

@@ -53,6 +53,33 @@ def _load():
     _reg("fee_income", "transactions")(lambda t: tx.fee_income(t.transactions, t.accounts, t.customers))
     _reg("seasonal_patterns", "transactions")(lambda t: tx.seasonal_patterns(t.transactions, t.accounts, t.loans))
     _reg("transaction_anomalies", "transactions")(lambda t: tx.transaction_anomalies(t.transactions, t.accounts))
+    from ledgerlens.operators import accounts as ac
+    from ledgerlens.operators import branches as br
+    _reg("account_aging", "accounts")(lambda t: ac.account_aging(t.accounts, t.transactions, as_of=AS_OF))
+    _reg("account_opening_patterns", "accounts")(
+        lambda t: ac.account_opening_patterns(t.accounts, t.customers, t.branches))
+    _reg("churn_features", "accounts")(
+        lambda t: ac.churn_features(t.customers, t.accounts, t.transactions, as_of=AS_OF))
+    _reg("product_benchmark", "accounts")(
+        lambda t: ac.product_benchmark(t.accounts, t.loans, t.credit_cards, t.transactions))
+    _reg("product_portfolio", "accounts")(
+        lambda t: ac.product_portfolio(t.accounts, t.loans, t.credit_cards, t.transactions, as_of=AS_OF))
+    _reg("product_loans", "accounts")(lambda t: ac.product_loans(t.loans))
+    _reg("product_cards", "accounts")(lambda t: ac.product_cards(t.credit_cards))
+    _reg("branch_network", "branches")(
+        lambda t: br.branch_network(t.branches, t.accounts, t.transactions, t.customers))
+    _reg("branch_performance", "branches")(
+        lambda t: br.branch_performance(t.branches, t.accounts, t.employees, t.transactions))
+    _reg("employee_performance", "branches")(
+        lambda t: br.employee_performance(t.employees, t.loans, t.accounts, t.branches))
+    _reg("employee_productivity", "branches")(
+        lambda t: br.employee_productivity(t.employees, t.loans, t.accounts, t.branches, as_of=AS_OF))
+    _reg("geographic_expansion", "branches")(
+        lambda t: br.geographic_expansion(t.branches, t.customers, t.accounts, t.transactions))
+    _reg("operational_efficiency", "branches")(
+        lambda t: br.operational_efficiency(t.employees, t.branches, t.transactions, t.accounts))
+    _reg("operational_risk", "branches")(
+        lambda t: br.operational_risk(t.transactions, t.accounts, t.employees, t.branches))
     return REGISTRY
 
 
