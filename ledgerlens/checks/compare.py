@@ -1,7 +1,9 @@
 """One canonical form for results, so Spark and DuckDB answers compare equal.
 
 Both engines are asked for the same canonical column types:
-  fractional numbers (DECIMAL, DOUBLE)  -> DOUBLE rounded to 6 places
+  fractional numbers (DECIMAL, DOUBLE)  -> DOUBLE rounded to 6 places as
+                                           floor(x * 1e6 + 0.5) / 1e6, the same
+                                           IEEE operations in both engines
   integers                              -> BIGINT
   booleans                              -> 'true' / 'false'
   dates                                 -> 'YYYY-MM-DD'
@@ -45,7 +47,8 @@ def kinds(df: DataFrame) -> dict[str, str]:
 
 def _spark_canon(c: Column, kind: str) -> Column:
     if kind == "f":
-        return F.round(c.cast("double"), 6)
+        d = c.cast("double")
+        return F.when(F.abs(d) < 1e12, F.floor(d * 1e6 + 0.5) / 1e6).otherwise(d)
     if kind == "i":
         return c.cast("bigint")
     if kind == "b":
@@ -67,7 +70,8 @@ def compare_form(df: DataFrame) -> DataFrame:
 
 def _sql_canon(expr: str, kind: str) -> str:
     if kind == "f":
-        return f"ROUND(CAST({expr} AS DOUBLE), 6)"
+        d = f"CAST({expr} AS DOUBLE)"
+        return f"CASE WHEN abs({d}) < 1e12 THEN floor({d} * 1e6 + 0.5) / 1e6 ELSE {d} END"
     if kind == "i":
         return f"CAST({expr} AS BIGINT)"
     if kind == "b":

@@ -17,6 +17,38 @@ KINDS = {'account_aging': {'aging_category': 's',
                               'avg_initial_balance': 'f',
                               'total_initial_deposits': 'f',
                               'growth_rate': 'f'},
+ 'behavior_segmentation': {'customer_id': 'i',
+                           'first_name': 's',
+                           'last_name': 's',
+                           'email': 's',
+                           'phone': 's',
+                           'date_of_birth': 'd',
+                           'address': 's',
+                           'city': 's',
+                           'state': 's',
+                           'zip_code': 's',
+                           'customer_since': 'd',
+                           'customer_type': 's',
+                           'transaction_frequency': 'i',
+                           'avg_transaction_size': 'f',
+                           'transaction_size_volatility': 'f',
+                           'total_transaction_volume': 'f',
+                           'product_usage_variety': 'i',
+                           'total_balance': 'f',
+                           'avg_balance': 'f',
+                           'balance_volatility': 'f',
+                           'number_of_accounts': 'i',
+                           'total_credit_limit': 'f',
+                           'total_credit_usage': 'f',
+                           'avg_utilization_rate': 'f',
+                           'segment_category': 's',
+                           'segment_characteristics': 's'},
+ 'branch_migration': {'branch_id': 'i',
+                      'next_branch': 'i',
+                      'migration_count': 'i',
+                      'avg_balance_at_migration': 'f',
+                      'unique_customers': 'i',
+                      'net_migration': 'i'},
  'branch_network': {'branch_id': 'i',
                     'branch_name': 's',
                     'branch_code': 's',
@@ -79,6 +111,115 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'max_days_inactive': 'i',
                     'inactive_ratio': 'f',
                     'churn_risk_score': 's'},
+ 'cross_sell': {'customer_id': 'i',
+                'first_name': 's',
+                'last_name': 's',
+                'email': 's',
+                'phone': 's',
+                'date_of_birth': 'd',
+                'address': 's',
+                'city': 's',
+                'state': 's',
+                'zip_code': 's',
+                'customer_since': 'd',
+                'customer_type': 's',
+                'account_count': 'i',
+                'active_loan_count': 'i',
+                'active_card_count': 'i',
+                'missing_products': 's',
+                'opportunity_score': 'f',
+                'priority_level': 's'},
+ 'customer_360': {'customer_id': 'i',
+                  'first_name': 's',
+                  'last_name': 's',
+                  'email': 's',
+                  'phone': 's',
+                  'date_of_birth': 'd',
+                  'address': 's',
+                  'city': 's',
+                  'state': 's',
+                  'zip_code': 's',
+                  'customer_since': 'd',
+                  'customer_type': 's',
+                  'active_accounts': 'i',
+                  'total_deposits': 'f',
+                  'avg_account_balance': 'f',
+                  'account_types': 'i',
+                  'lifetime_transactions': 'i',
+                  'avg_transaction_amount': 'f',
+                  'lifetime_transaction_volume': 'f',
+                  'last_transaction_date': 't',
+                  'days_since_last_transaction': 'i',
+                  'active_credit_products': 'i',
+                  'total_credit_exposure': 'f',
+                  'credit_product_types': 'i',
+                  'beneficiary_relationships': 'i',
+                  'relationship_types': 'i',
+                  'customer_value_tier': 's',
+                  'relationship_strength': 'f',
+                  'next_best_action': 's'},
+ 'customer_lifetime_value': {'customer_id': 'i',
+                             'first_name': 's',
+                             'last_name': 's',
+                             'email': 's',
+                             'phone': 's',
+                             'date_of_birth': 'd',
+                             'address': 's',
+                             'city': 's',
+                             'state': 's',
+                             'zip_code': 's',
+                             'customer_since': 'd',
+                             'customer_type': 's',
+                             'total_loan_revenue': 'f',
+                             'total_card_revenue': 'f',
+                             'transaction_fees': 'f',
+                             'total_lifetime_value': 'f',
+                             'customer_value_tier': 's'},
+ 'customer_migration': {'branch_id': 'i',
+                        'next_branch': 'i',
+                        'migration_count': 'i',
+                        'avg_balance_at_migration': 'f',
+                        'unique_customers': 'i',
+                        'net_migration': 'i',
+                        'account_type': 's',
+                        'next_product': 's',
+                        'product_switch_count': 'i',
+                        'avg_time_to_switch': 'f'},
+ 'customer_portfolio': {'customer_id': 'i',
+                        'first_name': 's',
+                        'last_name': 's',
+                        'email': 's',
+                        'phone': 's',
+                        'date_of_birth': 'd',
+                        'address': 's',
+                        'city': 's',
+                        'state': 's',
+                        'zip_code': 's',
+                        'customer_since': 'd',
+                        'customer_type': 's',
+                        'CHECKING': 'f',
+                        'SAVINGS': 'f',
+                        'BUSINESS': 'f',
+                        'LOAN': 'f',
+                        'active_loans': 'i',
+                        'total_loan_amount': 'f',
+                        'avg_interest_rate': 'f',
+                        'active_cards': 'i',
+                        'total_credit_limit': 'f',
+                        'total_card_balance': 'f',
+                        'total_assets': 'f',
+                        'total_liabilities': 'f',
+                        'net_worth': 'f',
+                        'leverage_ratio': 'f'},
+ 'demographic_targeting': {'age_group': 's',
+                           'customer_type': 's',
+                           'customer_count': 'i',
+                           'avg_balance': 'f',
+                           'total_balance': 'f',
+                           'median_balance': 'f',
+                           'loan_count': 'i',
+                           'loan_penetration_rate': 'f',
+                           'targeting_opportunity': 's'},
  'digital_engagement': {'customer_id': 'i',
                         'total_transactions': 'i',
                         'off_hours_transactions': 'i',
@@ -153,6 +294,11 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'market_saturation': 's',
                           'expansion_priority': 's',
                           'potential_new_customers': 'i'},
+ 'market_position': {'state': 's',
+                     'customer_base': 'i',
+                     'total_deposits': 'f',
+                     'avg_balance': 'f',
+                     'market_share_ranking': 'f'},
  'operational_efficiency': {'branch_id': 'i',
                             'branch_name': 's',
                             'branch_code': 's',
@@ -195,11 +341,20 @@ KINDS = {'account_aging': {'aging_category': 's',
                    'total_credit_limit': 'f',
                    'avg_balance': 'f',
                    'avg_credit_limit': 'f'},
+ 'product_concentration': {'account_type': 's',
+                           'account_count': 'i',
+                           'total_balance': 'f',
+                           'avg_account_age': 'f',
+                           'portfolio_concentration': 'f'},
  'product_loans': {'loan_type': 's',
                    'total_loans': 'i',
                    'total_loan_amount': 'f',
                    'avg_loan_amount': 'f',
                    'avg_interest_rate': 'f'},
+ 'product_migration': {'account_type': 's',
+                       'next_product': 's',
+                       'product_switch_count': 'i',
+                       'avg_time_to_switch': 'f'},
  'product_portfolio': {'account_type': 's',
                        'total_accounts': 'i',
                        'total_balance': 'f',
@@ -211,6 +366,50 @@ KINDS = {'account_aging': {'aging_category': 's',
                        'avg_transaction_amount': 'f',
                        'profitability_score': 'f',
                        'product_performance_tier': 's'},
+ 'relationship_network': {'customer_id': 'i',
+                          'first_name': 's',
+                          'last_name': 's',
+                          'email': 's',
+                          'phone': 's',
+                          'date_of_birth': 'd',
+                          'address': 's',
+                          'city': 's',
+                          'state': 's',
+                          'zip_code': 's',
+                          'customer_since': 'd',
+                          'customer_type': 's',
+                          'SPOUSE': 'i',
+                          'CHILD': 'i',
+                          'PARENT': 'i',
+                          'BUSINESS_PARTNER': 'i',
+                          'connected_accounts': 'i',
+                          'total_network_balance': 'f',
+                          'unique_connections': 'i',
+                          'network_influence': 'f',
+                          'relationship_diversity': 's'},
+ 'satisfaction': {'customer_id': 'i',
+                  'first_name': 's',
+                  'last_name': 's',
+                  'email': 's',
+                  'phone': 's',
+                  'date_of_birth': 'd',
+                  'address': 's',
+                  'city': 's',
+                  'state': 's',
+                  'zip_code': 's',
+                  'customer_since': 'd',
+                  'customer_type': 's',
+                  'total_transactions': 'i',
+                  'avg_transaction_size': 'f',
+                  'product_usage_variety': 'i',
+                  'business_hours_usage_ratio': 'f',
+                  'active_days': 'i',
+                  'total_products': 'i',
+                  'total_relationship_balance': 'f',
+                  'avg_relationship_length': 'f',
+                  'satisfaction_score': 'f',
+                  'satisfaction_level': 's',
+                  'retention_risk': 's'},
  'seasonal_patterns': {'transaction_year': 'i',
                        'transaction_quarter': 'i',
                        'transaction_month': 'i',
@@ -228,6 +427,20 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'transaction_count': 'i',
                     'service_level_agreement': 's',
                     'performance_rating': 's'},
+ 'single_product_customers': {'state': 's', 'customer_type': 's', 'cross_sell_opportunities': 'i'},
+ 'strategic_planning': {'state': 's',
+                        'customer_base': 'i',
+                        'total_deposits': 'f',
+                        'avg_balance': 'f',
+                        'market_share_ranking': 'f',
+                        'customer_type': 's',
+                        'cross_sell_opportunities': 'i',
+                        'account_type': 's',
+                        'account_count': 'i',
+                        'total_balance': 'f',
+                        'avg_account_age': 'f',
+                        'portfolio_concentration': 'f',
+                        'strategic_recommendation': 's'},
  'transaction_anomalies': {'transaction_id': 'i',
                            'account_id': 'i',
                            'amount': 'f',

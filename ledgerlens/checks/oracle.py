@@ -17,11 +17,9 @@ from __future__ import annotations
 import re
 
 from ledgerlens.checks.compare import wrap_sql
+from ledgerlens.checks.sqlkit import *  # noqa: F401,F403
 from ledgerlens.sources.testdata import MAPPINGS, cte_sql
 
-D = "DATE '2002-01-01'"          # as_of of the test tables
-D_LIQ = "DATE '2001-07-01'"      # as_of of the liquidity analysis
-D_DENSE = "DATE '2024-02-15'"    # as_of of transactions_dense
 
 SQL: dict[str, str] = {}
 
@@ -54,15 +52,7 @@ SQL["transaction_velocity"] = _velocity("transactions")
 SQL["transaction_velocity_dense"] = _velocity("transactions_dense")
 
 
-def tables_used(sql: str) -> list[str]:
-    return [n for n in MAPPINGS if re.search(rf"\b{n}\b", sql)]
-
-
-def oracle_sql(name: str, kinds: dict[str, str]) -> str:
-    body = SQL[name]
-    return cte_sql(tables_used(body)) + wrap_sql(body, kinds)
-
-_FLOWS = """
+_FLOWS = f"""
 WITH m AS (
   SELECT a.customer_id, date_trunc('month', t.transaction_date) AS transaction_month,
          CASE WHEN t.transaction_type IN ('DEPOSIT','TRANSFER') THEN 'INFLOW'
@@ -73,12 +63,12 @@ WITH m AS (
   GROUP BY 1, 2, 3),
 f AS (
   SELECT customer_id, flow_type,
-         AVG(total_amount) AS avg_monthly_flow,
+         {havg("total_amount")} AS avg_monthly_flow,
          STDDEV_SAMP(total_amount) AS flow_volatility,
          SUM(total_amount) AS total_flow,
          COUNT(*) AS months_analyzed,
          (CASE WHEN flow_type = 'INFLOW' THEN 1 WHEN flow_type = 'OUTFLOW' THEN -1 ELSE 0 END)
-           * AVG(total_amount) AS net_flow_ratio
+           * {havg("total_amount")} AS net_flow_ratio
   FROM m GROUP BY 1, 2)"""
 
 SQL["cash_flow_net"] = _FLOWS + "\nSELECT * FROM f"
@@ -225,59 +215,6 @@ SELECT transaction_id, account_id, amount, transaction_type, z_score, balance, a
 FROM j WHERE abs(z_score) > 3 OR amount > balance * 0.5"""
 
 
-# ------------------------------------------------------------------ helpers
-def havg(x: str, s: int = 2) -> str:
-    """Spark's AVG over DECIMAL(p, s): exact quotient rounded HALF_UP at scale
-    s+4, as an exact DECIMAL (DuckDB's AVG is an unrounded DOUBLE)."""
-    k = s + 4
-    num = f"(CAST(SUM({x}) * {10 ** s} AS HUGEINT) * {10 ** (k - s)})"
-    n = f"NULLIF(COUNT({x}), 0)"
-    return (f"(CAST(sign({num}) * ((abs({num}) * 2 + {n}) // (2 * {n})) AS DECIMAL(38,0))"
-            f" * 0.{'0' * (k - 1)}1)")
-
-
-def dbl(x: str) -> str:
-    return f"CAST({x} AS DOUBLE)"
-
-
-def div(a: str, b: str) -> str:
-    """Spark's try_divide on DOUBLE operands."""
-    return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
-
-
-def wsum(*terms) -> str:
-    """Weighted score: left-to-right sum of DOUBLE(col) * DOUBLE weight."""
-    return "(" + " + ".join(f"CAST({c} AS DOUBLE) * {w}::DOUBLE" for c, w in terms) + ")"
-
-
-def case_gt(x: str, cuts, default) -> str:
-    arms = " ".join(f"WHEN {x} > {t} THEN {_lit(v)}" for t, v in cuts)
-    return f"CASE {arms} ELSE {_lit(default)} END"
-
-
-def _lit(v):
-    return f"'{v}'" if isinstance(v, str) else str(v)
-
-
-def age_band(age: str) -> str:
-    arms = " ".join(f"WHEN {age} < {hi} THEN '{lab}'" for hi, lab in
-                    ((25, "18-24"), (35, "25-34"), (45, "35-44"), (55, "45-54"), (65, "55-64")))
-    return f"CASE {arms} ELSE '65+' END"
-
-
-def age_years(later: str, dob: str) -> str:
-    return f"FLOOR(({later} - {dob}) / 365.25::DOUBLE)"
-
-
-def months_between(a: str, b: str) -> str:
-    """Spark's months_between(a, b) for DATE operands (rounded to 8 places)."""
-    md = f"((year({a}) * 12 + month({a})) - (year({b}) * 12 + month({b})))"
-    frac = f"((day({a}) - 1) * 86400 - (day({b}) - 1) * 86400) / 2678400::DOUBLE"
-    return (f"(CASE WHEN day({a}) = day({b}) OR ({a} = last_day({a}) AND {b} = last_day({b})) "
-            f"THEN CAST({md} AS DOUBLE) "
-            f"ELSE floor(({md} + {frac}) * 1e8 + 0.5) / 1e8 END)")
-
-
 # ------------------------------------------------------------------ accounts
 _LAST_TX = "last AS (SELECT account_id, MAX(transaction_date) AS last_transaction_date FROM transactions GROUP BY account_id)"
 
@@ -551,3 +488,263 @@ q AS (SELECT quantile_disc(operational_risk_score, 0.8) AS p80, quantile_disc(op
 SELECT s.*, CASE WHEN operational_risk_score > p80 THEN 'HIGH' WHEN operational_risk_score > p50 THEN 'MEDIUM'
                  ELSE 'LOW' END AS risk_category
 FROM s CROSS JOIN q"""
+
+
+# ------------------------------------------------------------------ customers
+_TXA = "transactions t JOIN accounts a ON t.account_id = a.account_id"
+
+SQL["cross_sell"] = f"""
+WITH ac AS (SELECT customer_id, COUNT(*) AS account_count FROM accounts GROUP BY customer_id),
+ln AS (SELECT customer_id, COUNT(*) AS active_loan_count FROM loans WHERE status = 'ACTIVE' GROUP BY customer_id),
+cd AS (SELECT customer_id, COUNT(*) AS active_card_count FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
+h AS (
+  SELECT c.*, {zfill([("ac", ["account_count"]), ("ln", ["active_loan_count"]), ("cd", ["active_card_count"])])}
+  FROM customers c {joins("c", "customer_id", ["ac", "ln", "cd"])}),
+s AS (
+  SELECT *,
+    CASE WHEN account_count = 0 THEN 'CHECKING_ACCOUNT'
+         WHEN active_loan_count = 0 AND account_count > 0 THEN 'PERSONAL_LOAN'
+         WHEN active_card_count = 0 AND account_count > 1 THEN 'CREDIT_CARD'
+         WHEN active_loan_count > 0 AND active_card_count = 0 THEN 'CREDIT_CARD'
+         ELSE 'PREMIUM_SERVICES' END AS missing_products,
+    CASE WHEN account_count = 0 THEN 0.9 WHEN active_loan_count = 0 THEN 0.7
+         WHEN active_card_count = 0 THEN 0.6 ELSE 0.4 END AS opportunity_score
+  FROM h)
+SELECT *, {case_gt("opportunity_score", [(0.8, "HIGH"), (0.6, "MEDIUM")], "LOW")} AS priority_level FROM s"""
+
+_SEG_TEXT = [("WEALTHY_ACTIVE", "High balance, frequent transactions"),
+             ("SAVERS", "Good savings, low credit usage"),
+             ("CREDIT_HEAVY", "High credit utilization, active spending"),
+             ("DORMANT", "Low activity, minimal balances"),
+             ("DIVERSIFIED", "Uses multiple products actively")]
+
+SQL["behavior_segmentation"] = f"""
+WITH fb AS (
+  SELECT a.customer_id, COUNT(*) AS transaction_frequency, {havg("t.amount")} AS avg_transaction_size,
+         STDDEV_SAMP(t.amount) AS transaction_size_volatility, SUM(t.amount) AS total_transaction_volume,
+         COUNT(DISTINCT t.transaction_type) AS product_usage_variety
+  FROM {_TXA} GROUP BY a.customer_id),
+bp AS (
+  SELECT customer_id, SUM(balance) AS total_balance, {havg("balance")} AS avg_balance,
+         STDDEV_SAMP(balance) AS balance_volatility, COUNT(*) AS number_of_accounts
+  FROM accounts GROUP BY customer_id),
+cu AS (
+  SELECT customer_id, SUM(credit_limit) AS total_credit_limit, SUM(current_balance) AS total_credit_usage,
+         AVG({div("current_balance", "credit_limit")}) AS avg_utilization_rate
+  FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
+p AS (
+  SELECT c.*, {zfill([("fb", ["transaction_frequency", "avg_transaction_size", "transaction_size_volatility",
+                               "total_transaction_volume", "product_usage_variety"]),
+                      ("bp", ["total_balance", "avg_balance", "balance_volatility", "number_of_accounts"]),
+                      ("cu", ["total_credit_limit", "total_credit_usage", "avg_utilization_rate"])])}
+  FROM customers c {joins("c", "customer_id", ["fb", "bp", "cu"])}),
+s AS (
+  SELECT *,
+    CASE WHEN total_balance > 100000 AND transaction_frequency > 100 THEN 'WEALTHY_ACTIVE'
+         WHEN total_balance > 50000 AND avg_utilization_rate < 0.3 THEN 'SAVERS'
+         WHEN avg_utilization_rate > 0.7 AND transaction_frequency > 50 THEN 'CREDIT_HEAVY'
+         WHEN transaction_frequency < 10 AND total_balance < 1000 THEN 'DORMANT'
+         WHEN product_usage_variety > 3 THEN 'DIVERSIFIED' ELSE 'MAINSTREAM' END AS segment_category
+  FROM p)
+SELECT *, CASE {" ".join(f"WHEN segment_category = '{k}' THEN '{v}'" for k, v in _SEG_TEXT)}
+               ELSE 'Standard banking behavior' END AS segment_characteristics
+FROM s"""
+
+SQL["customer_lifetime_value"] = f"""
+WITH lr AS (
+  SELECT customer_id, SUM({hdiv("loan_amount * interest_rate * term_months", 5, 12, 8)}) AS total_loan_revenue
+  FROM loans WHERE status = 'ACTIVE' GROUP BY customer_id),
+cr AS (SELECT customer_id, SUM(current_balance * 0.18) AS total_card_revenue
+       FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
+tf AS (SELECT a.customer_id, COUNT(*) * 0.10 AS transaction_fees FROM {_TXA} GROUP BY a.customer_id),
+p AS (
+  SELECT c.*, {zfill([("lr", ["total_loan_revenue"]), ("cr", ["total_card_revenue"]), ("tf", ["transaction_fees"])])}
+  FROM customers c {joins("c", "customer_id", ["lr", "cr", "tf"])}),
+v AS (SELECT *, total_loan_revenue + total_card_revenue + transaction_fees AS total_lifetime_value FROM p)
+SELECT *, {case_gt("total_lifetime_value", [(10000, "PREMIUM"), (5000, "GOLD"), (1000, "SILVER")], "STANDARD")}
+          AS customer_value_tier
+FROM v"""
+
+_SEQ = """ac AS (SELECT a.* FROM accounts a JOIN customers c ON a.customer_id = c.customer_id)"""
+_SEQ_W = "PARTITION BY customer_id ORDER BY open_date NULLS FIRST, account_id"
+
+_BRANCH_MIG = f"""
+WITH {_SEQ},
+s AS (SELECT *, LEAD(branch_id) OVER ({_SEQ_W}) AS next_branch FROM ac),
+g AS (
+  SELECT branch_id, next_branch, COUNT(*) AS migration_count, {havg("balance")} AS avg_balance_at_migration,
+         COUNT(DISTINCT customer_id) AS unique_customers
+  FROM s WHERE next_branch IS NOT NULL AND branch_id <> next_branch GROUP BY 1, 2)
+SELECT *, migration_count - COALESCE(LAG(migration_count) OVER (PARTITION BY branch_id ORDER BY next_branch), 0)
+          AS net_migration"""
+
+SQL["branch_migration"] = _BRANCH_MIG + "\nFROM g"
+SQL["customer_migration"] = (_BRANCH_MIG + ",\n  CAST(NULL AS VARCHAR) AS account_type, CAST(NULL AS VARCHAR) AS next_product,"
+                             " CAST(NULL AS BIGINT) AS product_switch_count, CAST(NULL AS DOUBLE) AS avg_time_to_switch\nFROM g")
+SQL["product_migration"] = f"""
+WITH {_SEQ},
+s AS (SELECT *, LEAD(account_type) OVER w AS next_product, LEAD(open_date) OVER w AS nxt_open
+      FROM ac WINDOW w AS ({_SEQ_W}))
+SELECT account_type, next_product, COUNT(*) AS product_switch_count, AVG(nxt_open - open_date) AS avg_time_to_switch
+FROM s WHERE next_product IS NOT NULL AND account_type <> next_product GROUP BY 1, 2"""
+
+_TYPES = ("CHECKING", "SAVINGS", "BUSINESS", "LOAN")
+SQL["customer_portfolio"] = f"""
+WITH ap AS (
+  SELECT customer_id, {", ".join(f"COALESCE(SUM(CASE WHEN account_type = '{k}' THEN balance END), 0) AS {k}" for k in _TYPES)}
+  FROM accounts WHERE status = 'ACTIVE' GROUP BY customer_id),
+lp AS (SELECT customer_id, COUNT(*) AS active_loans, SUM(loan_amount) AS total_loan_amount,
+              {havg("interest_rate", 3)} AS avg_interest_rate
+       FROM loans WHERE status = 'ACTIVE' GROUP BY customer_id),
+cp AS (SELECT customer_id, COUNT(*) AS active_cards, SUM(credit_limit) AS total_credit_limit,
+              SUM(current_balance) AS total_card_balance
+       FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
+p AS (
+  SELECT c.*, {zfill([("ap", list(_TYPES)), ("lp", ["active_loans", "total_loan_amount", "avg_interest_rate"]),
+                      ("cp", ["active_cards", "total_credit_limit", "total_card_balance"])])}
+  FROM customers c {joins("c", "customer_id", ["ap", "lp", "cp"])}),
+q AS (SELECT *, COALESCE(SAVINGS, 0) + COALESCE(CHECKING, 0) AS total_assets,
+                total_loan_amount + total_card_balance AS total_liabilities FROM p)
+SELECT *, total_assets - total_liabilities AS net_worth,
+          CASE WHEN total_assets > 0 THEN {div("total_liabilities", "total_assets")} ELSE 0 END AS leverage_ratio
+FROM q"""
+
+_RELS = ("SPOUSE", "CHILD", "PARENT", "BUSINESS_PARTNER")
+SQL["relationship_network"] = f"""
+WITH ba AS (
+  SELECT b.beneficiary_id, b.account_id, b.relationship, a.customer_id, a.balance
+  FROM account_beneficiaries b JOIN accounts a ON b.account_id = a.account_id),
+br AS (SELECT customer_id, {", ".join(f"COUNT(CASE WHEN relationship = '{r}' THEN 1 END) AS {r}" for r in _RELS)}
+       FROM ba GROUP BY customer_id),
+ns AS (SELECT customer_id, COUNT(DISTINCT account_id) AS connected_accounts, SUM(balance) AS total_network_balance,
+              COUNT(DISTINCT beneficiary_id) AS unique_connections,
+              SUM(balance) * COUNT(DISTINCT beneficiary_id) AS network_influence
+       FROM ba GROUP BY customer_id),
+p AS (
+  SELECT c.*, {zfill([("br", list(_RELS)), ("ns", ["connected_accounts", "total_network_balance",
+                                                    "unique_connections", "network_influence"])])}
+  FROM customers c {joins("c", "customer_id", ["br", "ns"])})
+SELECT *, CASE WHEN SPOUSE > 0 THEN 'FAMILY' WHEN BUSINESS_PARTNER > 0 THEN 'BUSINESS'
+               WHEN unique_connections > 5 THEN 'EXTENSIVE' ELSE 'LIMITED' END AS relationship_diversity
+FROM p"""
+
+SQL["satisfaction"] = f"""
+WITH ai AS (
+  SELECT a.customer_id, COUNT(*) AS total_transactions, {havg("t.amount")} AS avg_transaction_size,
+         COUNT(DISTINCT t.transaction_type) AS product_usage_variety,
+         AVG(CASE WHEN hour(t.transaction_date) >= 9 AND hour(t.transaction_date) <= 17 THEN 1 ELSE 0 END)
+           AS business_hours_usage_ratio,
+         COUNT(DISTINCT t.transaction_date) AS active_days
+  FROM {_TXA} GROUP BY a.customer_id),
+rd AS (SELECT customer_id, COUNT(*) AS total_products, SUM(balance) AS total_relationship_balance,
+              AVG({D} - open_date) AS avg_relationship_length
+       FROM accounts GROUP BY customer_id),
+p AS (
+  SELECT c.*, {zfill([("ai", ["total_transactions", "avg_transaction_size", "product_usage_variety",
+                               "business_hours_usage_ratio", "active_days"]),
+                      ("rd", ["total_products", "total_relationship_balance", "avg_relationship_length"])])}
+  FROM customers c {joins("c", "customer_id", ["ai", "rd"])}),
+s AS (SELECT *, {wsum(("total_products", 0.2), ("total_transactions", 0.15), ("product_usage_variety", 0.15),
+                      ("total_relationship_balance", 0.2), ("business_hours_usage_ratio", 0.1), ("active_days", 0.2))}
+                AS satisfaction_score FROM p),
+l AS (SELECT *, {case_gt("satisfaction_score", [(80, "VERY_SATISFIED"), (60, "SATISFIED"), (40, "NEUTRAL"),
+                                                (20, "DISSATISFIED")], "VERY_DISSATISFIED")} AS satisfaction_level FROM s)
+SELECT *, CASE WHEN satisfaction_level IN ('VERY_DISSATISFIED', 'DISSATISFIED') THEN 'HIGH'
+               WHEN satisfaction_level = 'NEUTRAL' THEN 'MEDIUM' ELSE 'LOW' END AS retention_risk
+FROM l"""
+
+SQL["demographic_targeting"] = f"""
+WITH cu AS (SELECT customer_id, customer_type, {age_band(age_years(D, "date_of_birth"))} AS age_group FROM customers),
+da AS (
+  SELECT cu.age_group, cu.customer_type, COUNT(DISTINCT cu.customer_id) AS customer_count,
+         {havg("a.balance")} AS avg_balance, SUM(a.balance) AS total_balance,
+         quantile_disc(a.balance, 0.5) AS median_balance
+  FROM cu JOIN accounts a ON cu.customer_id = a.customer_id GROUP BY 1, 2),
+lc AS (SELECT cu.age_group, cu.customer_type, COUNT(*) AS loan_count
+       FROM loans l JOIN cu ON l.customer_id = cu.customer_id GROUP BY 1, 2),
+j AS (
+  SELECT da.age_group, da.customer_type, {zfill([("da", ["customer_count", "avg_balance", "total_balance",
+                                                          "median_balance"]), ("lc", ["loan_count"])])}
+  FROM da LEFT JOIN lc ON da.age_group = lc.age_group AND da.customer_type = lc.customer_type),
+r AS (SELECT *, {div("loan_count", "customer_count")} AS loan_penetration_rate FROM j)
+SELECT *,
+  CASE WHEN avg_balance > 50000 AND loan_penetration_rate < 0.3 THEN 'WEALTH_MANAGEMENT'
+       WHEN age_group IN ('25-34', '35-44') AND loan_penetration_rate < 0.4 THEN 'HOME_LOAN_TARGET'
+       WHEN age_group = '18-24' AND customer_count > 1000 THEN 'STUDENT_BANKING'
+       WHEN age_group = '65+' AND avg_balance > 75000 THEN 'RETIREMENT_PLANNING'
+       ELSE 'GENERAL_BANKING' END AS targeting_opportunity
+FROM r"""
+
+SQL["customer_360"] = f"""
+WITH fs AS (
+  SELECT customer_id, COUNT(*) AS active_accounts, SUM(balance) AS total_deposits,
+         {havg("balance")} AS avg_account_balance, COUNT(DISTINCT account_type) AS account_types
+  FROM accounts WHERE status = 'ACTIVE' GROUP BY customer_id),
+tb AS (
+  SELECT a.customer_id, COUNT(*) AS lifetime_transactions, {havg("t.amount")} AS avg_transaction_amount,
+         SUM(t.amount) AS lifetime_transaction_volume, MAX(t.transaction_date) AS last_transaction_date,
+         {D} - CAST(MAX(t.transaction_date) AS DATE) AS days_since_last_transaction
+  FROM {_TXA} GROUP BY a.customer_id),
+cr AS (
+  SELECT customer_id, COUNT(*) AS active_credit_products, SUM(loan_amount) AS total_credit_exposure,
+         COUNT(DISTINCT loan_type) AS credit_product_types
+  FROM (SELECT customer_id, loan_amount, loan_type FROM loans WHERE status = 'ACTIVE'
+        UNION ALL
+        SELECT customer_id, current_balance, 'CREDIT_CARD' FROM credit_cards WHERE status = 'ACTIVE') u
+  GROUP BY customer_id),
+rn AS (SELECT customer_id, COUNT(*) AS beneficiary_relationships, COUNT(DISTINCT relationship) AS relationship_types
+       FROM account_beneficiaries GROUP BY customer_id),
+p AS (
+  SELECT c.*, tb.last_transaction_date,
+         {zfill([("fs", ["active_accounts", "total_deposits", "avg_account_balance", "account_types"]),
+                 ("tb", ["lifetime_transactions", "avg_transaction_amount", "lifetime_transaction_volume",
+                         "days_since_last_transaction"]),
+                 ("cr", ["active_credit_products", "total_credit_exposure", "credit_product_types"]),
+                 ("rn", ["beneficiary_relationships", "relationship_types"])])}
+  FROM customers c {joins("c", "customer_id", ["fs", "tb", "cr", "rn"])})
+SELECT *,
+  {case_gt("total_deposits", [(100000, "PREMIUM"), (50000, "GOLD"), (10000, "SILVER")], "STANDARD")} AS customer_value_tier,
+  {wsum(("active_accounts", 0.2), ("lifetime_transactions", 0.15), ("active_credit_products", 0.15),
+        ("beneficiary_relationships", 0.1))}
+    + CASE WHEN days_since_last_transaction < 30 THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END AS relationship_strength,
+  CASE WHEN active_credit_products = 0 AND total_deposits > 10000 THEN 'CREDIT_CARD_OFFER'
+       WHEN account_types = 1 AND lifetime_transactions > 50 THEN 'ADDITIONAL_ACCOUNT'
+       WHEN beneficiary_relationships = 0 AND total_deposits > 50000 THEN 'ESTATE_PLANNING'
+       ELSE 'RELATIONSHIP_REVIEW' END AS next_best_action
+FROM p"""
+
+_MP = f"""mp AS (
+  SELECT c.state, COUNT(DISTINCT c.customer_id) AS customer_base, SUM(a.balance) AS total_deposits,
+         {havg("a.balance")} AS avg_balance
+  FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY c.state),
+mpr AS (SELECT *, PERCENT_RANK() OVER (ORDER BY total_deposits DESC NULLS LAST) AS market_share_ranking FROM mp)"""
+_GO = """single AS (SELECT customer_id FROM accounts GROUP BY customer_id HAVING COUNT(*) = 1),
+go AS (SELECT c.state, c.customer_type, COUNT(*) AS cross_sell_opportunities
+       FROM customers c JOIN single s ON c.customer_id = s.customer_id GROUP BY 1, 2)"""
+
+SQL["market_position"] = f"WITH {_MP}\nSELECT * FROM mpr"
+SQL["single_product_customers"] = f"WITH {_GO}\nSELECT * FROM go"
+SQL["product_concentration"] = f"""
+WITH pc AS (SELECT account_type, COUNT(*) AS account_count, SUM(balance) AS total_balance,
+                   AVG({D} - open_date) AS avg_account_age FROM accounts GROUP BY account_type)
+SELECT *, {div("total_balance", "SUM(total_balance) OVER ()")} AS portfolio_concentration FROM pc"""
+SQL["strategic_planning"] = f"""
+WITH {_MP}, {_GO}
+SELECT mpr.*, go.customer_type, go.cross_sell_opportunities,
+       CAST(NULL AS VARCHAR) AS account_type, CAST(NULL AS BIGINT) AS account_count,
+       CAST(NULL AS DECIMAL(25,2)) AS total_balance, CAST(NULL AS DOUBLE) AS avg_account_age,
+       CAST(NULL AS DOUBLE) AS portfolio_concentration,
+       CASE WHEN market_share_ranking < 0.3 AND cross_sell_opportunities > 1000 THEN 'AGGRESSIVE_EXPANSION'
+            WHEN market_share_ranking < 0.6 AND CAST(NULL AS DOUBLE) > 0.3 THEN 'DIVERSIFICATION_FOCUS'
+            WHEN cross_sell_opportunities > 5000 THEN 'CROSS_SELL_INTENSIVE'
+            ELSE 'MAINTAIN_STRATEGY' END AS strategic_recommendation
+FROM mpr LEFT JOIN go ON mpr.state = go.state"""
+
+
+def tables_used(sql: str) -> list[str]:
+    return [n for n in MAPPINGS if re.search(rf"\b{n}\b", sql)]
+
+
+def oracle_sql(name: str, kinds: dict[str, str]) -> str:
+    body = SQL[name]
+    return cte_sql(tables_used(body)) + wrap_sql(body, kinds)

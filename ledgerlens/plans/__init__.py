@@ -5,12 +5,13 @@
   one task).  The figure is a one-row aggregate (partial aggregation on every
   task, one tiny final merge), attached by a broadcast cross join of a frame
   that is one row by construction.
-* ``percent_rank``: the global (or per-key) ``percent_rank`` over inputs of
-  any size, by range partitioning a value histogram.
+* ``percent_rank`` / ``percentile_disc``: the global (or per-key)
+  ``percent_rank`` and exact percentiles over inputs of any size, by range
+  partitioning a value histogram (``with_percentiles`` attaches them).
 * ``profile``: an entity left-joined to per-key measure frames, NULLs filled
   with 0 the way the analyses fill them.
 """
 
 from ledgerlens.plans.globals import with_quantiles, with_totals  # noqa: F401
-from ledgerlens.plans.ranking import percent_rank  # noqa: F401
+from ledgerlens.plans.ranking import percent_rank, percentile_disc, with_percentiles  # noqa: F401
 from ledgerlens.plans.joins import profile  # noqa: F401

@@ -1,7 +1,8 @@
-"""``percent_rank`` for inputs of any size.
+"""Ranks and exact percentiles for inputs of any size.
 
 ``percent_rank() OVER (ORDER BY v)`` without a partition moves every row into
-one task.  Here the same number is computed with every stage distributed:
+one task, and an exact percentile per group keeps a group's values in one
+task.  Both are computed here with every stage distributed:
 
 1. histogram: one row per distinct (keys, v) with its row count (map-side
    combined, so a value held by a third of all rows is one row here);
@@ -9,32 +10,35 @@ one task.  Here the same number is computed with every stage distributed:
 3. per range, the number of rows (bounded by #ranges + #keys rows) gives each
    range's offset inside its key, and the key's row count;
 4. inside each range, a running sum of counts gives the rows strictly before
-   each value; adding the offset gives the rank;
-5. join the rank back to the rows on (keys, v).
+   each value; adding the offset gives its rank.
 
 The range-partitioned histogram is checkpointed (reliably, in the session's
 checkpoint folder) so that the range ids read by steps 3 and 4 come from one
-materialisation.  Ties get equal ranks, nulls sort first when ascending and
-last when descending, as Spark's window function does.
+materialisation.  Ties get equal ranks; nulls sort first when ascending and
+last when descending, as Spark's window functions do.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import ensure_checkpoint_dir
 
 
-def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
-                 descending: bool = False, num_ranges: int | None = None) -> DataFrame:
+def ranked_histogram(df: DataFrame, value: str, keys=(), descending: bool = False,
+                     num_ranges: int | None = None) -> DataFrame:
+    """Rows (keys..., value, __c, __lt, __n): the count of ``value`` in its key
+    group, the rows strictly before it in the order, and the group size."""
     spark = df.sparkSession
-    keys = list(partition_by)
+    keys = list(keys)
     n_ranges = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(order_col)
+    v = F.col(value)
     order = v.desc_nulls_last() if descending else v.asc_nulls_first()
 
-    hist = df.groupBy(*keys, order_col).agg(F.count(F.lit(1)).alias("__c"))
+    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     ranged = (hist.repartitionByRange(n_ranges, *[F.col(k) for k in keys], order)
               .withColumn("__rid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
@@ -52,12 +56,55 @@ def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
         per_range = F.broadcast(per_range)
 
     inside = Window.partitionBy("__rid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (ranged.join(per_range, keys + ["__rid"])
-             .withColumn("__lt", F.col("__off") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
-             .select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                     v.alias("__v"),
-                     F.when(F.col("__n") > 1, F.col("__lt") / (F.col("__n") - 1))
-                      .otherwise(F.lit(0.0)).alias(out)))
+    return (ranged.join(per_range, keys + ["__rid"])
+            .withColumn("__lt", F.col("__off") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+            .select(*keys, value, "__c", "__lt", "__n"))
+
 
+def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
+                 descending: bool = False, num_ranges: int | None = None) -> DataFrame:
+    """``df`` plus ``out`` = percent_rank() over (partition by keys order by
+    ``order_col``), identical to the window function's result."""
+    keys = list(partition_by)
+    h = ranked_histogram(df, order_col, keys, descending, num_ranges)
+    ranks = h.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
+                     F.col(order_col).alias("__v"),
+                     F.when(F.col("__n") > 1, F.col("__lt") / (F.col("__n") - 1))
+                      .otherwise(F.lit(0.0)).alias(out))
     cond = [df[k].eqNullSafe(ranks[f"__k_{k}"]) for k in keys] + [df[order_col].eqNullSafe(ranks["__v"])]
     return df.join(ranks, cond).drop(*[f"__k_{k}" for k in keys], "__v")
+
+
+def percentile_disc(df: DataFrame, value: str, probs: dict[str, float], keys=(),
+                    num_ranges: int | None = None) -> DataFrame:
+    """Exact nearest-rank percentiles per key group: for each ``name: p`` the
+    smallest value whose cumulative count reaches ceil(p * n) (NULLs ignored).
+
+    The same numbers ``percentile_approx`` estimates, but exact and
+    independent of the partitioning; no group is held in one task.
+    """
+    keys = list(keys)
+    h = ranked_histogram(df.filter(F.col(value).isNotNull()), value, keys, num_ranges=num_ranges)
+    picks = []
+    for name, p in probs.items():
+        target = F.ceil(F.lit(Decimal(str(p))) * F.col("__n"))
+        hit = (F.col("__lt") < target) & (target <= F.col("__lt") + F.col("__c"))
+        picks.append(F.max(F.when(hit, F.col(value))).alias(name))
+    return h.groupBy(*keys).agg(*picks)
+
+
+def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str, float],
+                     keys=(), accuracy: int | None = None) -> DataFrame:
+    """Attach per-group percentiles of ``df.value`` to the per-group frame
+    ``agg``.  ``accuracy=None`` computes them exactly (``percentile_disc``);
+    an integer uses the ``percentile_approx`` sketch with that accuracy."""
+    keys = list(keys)
+    if accuracy is not None:
+        q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()])
+    else:
+        q = percentile_disc(df, value, probs, keys)
+    if not keys:
+        return agg.crossJoin(F.broadcast(q))
+    q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *probs)
+    cond = [agg[k].eqNullSafe(q[f"__k_{k}"]) for k in keys]
+    return agg.join(q, cond, "left").drop(*[f"__k_{k}" for k in keys])

@@ -80,6 +80,34 @@ def _load():
         lambda t: br.operational_efficiency(t.employees, t.branches, t.transactions, t.accounts))
     _reg("operational_risk", "branches")(
         lambda t: br.operational_risk(t.transactions, t.accounts, t.employees, t.branches))
+    from ledgerlens.operators import customers as cu
+    _reg("cross_sell", "customers")(lambda t: cu.cross_sell(t.customers, t.accounts, t.loans, t.credit_cards))
+    _reg("behavior_segmentation", "customers")(
+        lambda t: cu.behavior_segmentation(t.customers, t.accounts, t.transactions, t.credit_cards))
+    _reg("customer_lifetime_value", "customers")(
+        lambda t: cu.customer_lifetime_value(t.customers, t.accounts, t.transactions, t.loans, t.credit_cards))
+    _reg("customer_migration", "customers")(
+        lambda t: cu.customer_migration(t.accounts, t.transactions, t.customers, t.branches))
+    _reg("branch_migration", "customers")(
+        lambda t: cu.branch_migration(t.accounts, t.transactions, t.customers, t.branches))
+    _reg("product_migration", "customers")(
+        lambda t: cu.product_migration(t.accounts, t.transactions, t.customers, t.branches))
+    _reg("customer_portfolio", "customers")(
+        lambda t: cu.customer_portfolio(t.customers, t.accounts, t.loans, t.credit_cards))
+    _reg("relationship_network", "customers")(
+        lambda t: cu.relationship_network(t.customers, t.account_beneficiaries, t.accounts))
+    _reg("satisfaction", "customers")(
+        lambda t: cu.satisfaction(t.customers, t.accounts, t.transactions, t.loans, as_of=AS_OF))
+    _reg("demographic_targeting", "customers")(
+        lambda t: cu.demographic_targeting(t.customers, t.accounts, t.transactions, t.loans, as_of=AS_OF))
+    _reg("customer_360", "customers")(
+        lambda t: cu.customer_360(t.customers, t.accounts, t.transactions, t.loans, t.credit_cards,
+                                  t.account_beneficiaries, as_of=AS_OF))
+    _reg("strategic_planning", "customers")(
+        lambda t: cu.strategic_planning(t.customers, t.accounts, t.loans, t.transactions, t.branches, as_of=AS_OF))
+    _reg("market_position", "customers")(lambda t: cu.market_position(t.customers, t.accounts))
+    _reg("product_concentration", "customers")(lambda t: cu.product_concentration(t.accounts, as_of=AS_OF))
+    _reg("single_product_customers", "customers")(lambda t: cu.single_product_customers(t.customers, t.accounts))
     return REGISTRY
 
 
