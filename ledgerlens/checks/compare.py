@@ -82,7 +82,7 @@ def _sql_canon(expr: str, kind: str) -> str:
         return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"
     if kind.startswith("a"):
         inner = _sql_canon("x", kind[1:])
-        return f"array_to_string(list_sort(list_transform({expr}, x -> CAST({inner} AS VARCHAR))), ',')"
+        return f"array_to_string(list_sort(list_transform({expr}, lambda x: CAST({inner} AS VARCHAR))), ',')"
     return expr
 
 

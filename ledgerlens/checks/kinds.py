@@ -87,6 +87,27 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'efficiency_ratio': 'f',
                         'deposit_growth_score': 'f',
                         'overall_performance_score': 'f'},
+ 'card_fraud': {'card_id': 'i',
+                'card_transaction_id': 'i',
+                'transaction_date': 't',
+                'merchant_name': 's',
+                'amount': 'f',
+                'transaction_type': 's',
+                'category': 's',
+                'city': 's',
+                'country': 's',
+                'customer_id': 'i',
+                'account_id': 'i',
+                'card_number': 's',
+                'card_type': 's',
+                'credit_limit': 'f',
+                'current_balance': 'f',
+                'issue_date': 'd',
+                'expiry_date': 'd',
+                'status': 's',
+                'time_since_last_tx': 'i',
+                'amount_deviation': 'f',
+                'unusual_location': 'i'},
  'cash_flow': {'customer_id': 'i',
                'INFLOW_avg_monthly_flow': 'f',
                'INFLOW_flow_volatility': 'f',
@@ -111,6 +132,90 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'max_days_inactive': 'i',
                     'inactive_ratio': 'f',
                     'churn_risk_score': 's'},
+ 'collateral_coverage': {'loan_type': 's',
+                         'coverage_adequacy': 's',
+                         'loan_count': 'i',
+                         'total_loan_amount': 'f',
+                         'avg_coverage_ratio': 'f',
+                         'min_coverage_ratio': 'f',
+                         'avg_risk_adjusted_coverage': 'f'},
+ 'compliance_aml': {'customer_id': 'i',
+                    'suspicious_indicator': 's',
+                    'alert_count': 'i',
+                    'total_suspicious_amount': 'f',
+                    'suspicious_date_count': 'i',
+                    'suspicious_dates': 'at'},
+ 'compliance_aml_dates': {'customer_id': 'i', 'suspicious_indicator': 's', 'transaction_date': 't'},
+ 'compliance_credit': {'compliance_issue': 's',
+                       'non_compliant_cards': 'i',
+                       'avg_balance': 'f',
+                       'avg_limit': 'f'},
+ 'compliance_kyc': {'kyc_risk_indicator': 's', 'non_compliant_customers': 'i'},
+ 'compliance_risk': {'aml_alert_customers': 'i',
+                     'kyc_non_compliant': 'i',
+                     'credit_non_compliant': 'i',
+                     'overall_compliance_risk': 's'},
+ 'concentration_risk': {'customer_type': 's',
+                        'state': 's',
+                        'customer_count': 'i',
+                        'total_exposure': 'f',
+                        'avg_exposure': 'f',
+                        'exposure_percentage': 'f',
+                        'concentration_risk': 's'},
+ 'counterparty_risk': {'customer_id': 'i',
+                       'first_name': 's',
+                       'last_name': 's',
+                       'email': 's',
+                       'phone': 's',
+                       'date_of_birth': 'd',
+                       'address': 's',
+                       'city': 's',
+                       'state': 's',
+                       'zip_code': 's',
+                       'customer_since': 'd',
+                       'customer_type': 's',
+                       'business_partner_count': 'i',
+                       'total_business_allocation': 'f',
+                       'total_borrowing': 'f',
+                       'exposure_percentile': 'f',
+                       'is_large_exposure': 'b',
+                       'counterparty_risk_score': 'f',
+                       'risk_category': 's'},
+ 'credit_risk_portfolio': {'customer_type': 's',
+                           'loan_type': 's',
+                           'credit_facilities': 'i',
+                           'total_exposure': 'f',
+                           'avg_interest_rate': 'f',
+                           'p95_exposure': 'f',
+                           'risk_adjusted_return': 'f',
+                           'portfolio_quality': 's'},
+ 'credit_utilization': {'customer_id': 'i',
+                        'card_id': 'i',
+                        'account_id': 'i',
+                        'card_number': 's',
+                        'card_type': 's',
+                        'credit_limit': 'f',
+                        'current_balance': 'f',
+                        'issue_date': 'd',
+                        'expiry_date': 'd',
+                        'status': 's',
+                        'utilization_rate': 'f',
+                        'utilization_category': 's',
+                        'avg_monthly_utilization': 'f',
+                        'utilization_volatility': 'f',
+                        'peak_utilization': 'f',
+                        'first_name': 's',
+                        'last_name': 's',
+                        'email': 's',
+                        'phone': 's',
+                        'date_of_birth': 'd',
+                        'address': 's',
+                        'city': 's',
+                        'state': 's',
+                        'zip_code': 's',
+                        'customer_since': 'd',
+                        'customer_type': 's',
+                        'utilization_trend': 's'},
  'cross_sell': {'customer_id': 'i',
                 'first_name': 's',
                 'last_name': 's',
@@ -220,6 +325,11 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'loan_count': 'i',
                            'loan_penetration_rate': 'f',
                            'targeting_opportunity': 's'},
+ 'deposit_sensitivity': {'deposit_category': 's',
+                         'total_deposits': 'f',
+                         'account_count': 'i',
+                         'avg_balance': 'f',
+                         'deposit_stability_score': 'f'},
  'digital_engagement': {'customer_id': 'i',
                         'total_transactions': 'i',
                         'off_hours_transactions': 'i',
@@ -230,6 +340,36 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'digital_engagement_ratio': 'f',
                         'digital_adoption_level': 's',
                         'migration_opportunity': 's'},
+ 'early_warning': {'account_id': 'i',
+                   'loan_id': 'i',
+                   'customer_id': 'i',
+                   'loan_type': 's',
+                   'loan_amount': 'f',
+                   'interest_rate': 'f',
+                   'term_months': 'i',
+                   'start_date': 'd',
+                   'end_date': 'd',
+                   'status': 's',
+                   'approved_by': 'i',
+                   'avg_payment_delay': 'f',
+                   'payment_delay_volatility': 'f',
+                   'delayed_payment_count': 'i',
+                   'total_payments': 'i',
+                   'delinquency_trend': 'f',
+                   'account_customer_id': 'i',
+                   'account_number': 's',
+                   'account_type': 's',
+                   'balance': 'f',
+                   'open_date': 'd',
+                   'close_date': 'd',
+                   'account_status': 's',
+                   'branch_id': 'i',
+                   'avg_volume_change': 'f',
+                   'volume_change_volatility': 'f',
+                   'worst_volume_decline': 'f',
+                   'warning_score': 'f',
+                   'warning_level': 's',
+                   'recommended_action': 's'},
  'employee_performance': {'branch_id': 'i',
                           'employee_id': 'i',
                           'first_name': 's',
@@ -274,6 +414,16 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'position_percentile': 'f',
                            'performance_category': 's',
                            'salary_to_productivity_ratio': 'f'},
+ 'executive_summary': {'total_customers': 'i',
+                       'business_customers': 'i',
+                       'individual_customers': 'i',
+                       'total_accounts': 'i',
+                       'total_deposits': 'f',
+                       'avg_account_balance': 'f',
+                       'active_loans': 'i',
+                       'total_loan_portfolio': 'f',
+                       'total_transactions': 'i',
+                       'total_transaction_volume': 'f'},
  'fee_income': {'customer_type': 's',
                 'account_type': 's',
                 'fee_category': 's',
@@ -294,11 +444,98 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'market_saturation': 's',
                           'expansion_priority': 's',
                           'potential_new_customers': 'i'},
+ 'interest_rate_risk': {'loan_type': 's',
+                        'loan_count': 'i',
+                        'total_loan_amount': 'f',
+                        'avg_interest_rate': 'f',
+                        'total_impact_1pct': 'f',
+                        'total_impact_2pct': 'f',
+                        'median_rate': 'f',
+                        'portfolio_sensitivity': 'f',
+                        'risk_category': 's'},
+ 'liquidity': {'total_liquid_assets': 'f',
+               'projected_outflows_30d': 'f',
+               'total_loan_commitments': 'f',
+               'liquidity_ratio': 'f',
+               'coverage_ratio': 'f',
+               'liquidity_status': 's'},
+ 'loan_default_features': {'customer_id': 'i',
+                           'loan_id': 'i',
+                           'account_id': 'i',
+                           'loan_type': 's',
+                           'loan_amount': 'f',
+                           'interest_rate': 'f',
+                           'term_months': 'i',
+                           'start_date': 'd',
+                           'end_date': 'd',
+                           'status': 's',
+                           'approved_by': 'i',
+                           'total_overdue_payments': 'i',
+                           'avg_days_delayed': 'f',
+                           'max_days_delayed': 'i',
+                           'total_amount_paid': 'f',
+                           'total_amount_due': 'f',
+                           'payment_completion_ratio': 'f',
+                           'total_balance': 'f',
+                           'avg_balance': 'f',
+                           'total_accounts': 'i',
+                           'first_name': 's',
+                           'last_name': 's',
+                           'email': 's',
+                           'phone': 's',
+                           'date_of_birth': 'd',
+                           'address': 's',
+                           'city': 's',
+                           'state': 's',
+                           'zip_code': 's',
+                           'customer_since': 'd',
+                           'customer_type': 's',
+                           'loan_to_balance_ratio': 'f',
+                           'default_risk_score': 'f',
+                           'default_probability_category': 's'},
+ 'loan_risk': {'customer_id': 'i',
+               'account_id': 'i',
+               'loan_id': 'i',
+               'loan_type': 's',
+               'loan_amount': 'f',
+               'interest_rate': 'f',
+               'term_months': 'i',
+               'start_date': 'd',
+               'end_date': 'd',
+               'status': 's',
+               'approved_by': 'i',
+               'total_payments': 'i',
+               'overdue_payments': 'i',
+               'payment_ratio': 'f',
+               'max_days_late': 'i',
+               'account_number': 's',
+               'account_type': 's',
+               'balance': 'f',
+               'open_date': 'd',
+               'close_date': 'd',
+               'account_status': 's',
+               'branch_id': 'i',
+               'risk_score': 's',
+               'delinquency_rate': 'f'},
  'market_position': {'state': 's',
                      'customer_base': 'i',
                      'total_deposits': 'f',
                      'avg_balance': 'f',
                      'market_share_ranking': 'f'},
+ 'market_risk': {'duration_category': 's',
+                 'loan_type': 's',
+                 'loan_count': 'i',
+                 'total_exposure': 'f',
+                 'total_impact_1pct': 'f',
+                 'avg_interest_rate': 'f',
+                 'sensitivity_ratio': 'f',
+                 'market_risk_level': 's',
+                 'avg_deposit_stability': 'f'},
+ 'non_performing_assets': {'npa_category': 's',
+                           'loan_type': 's',
+                           'npa_count': 'i',
+                           'npa_amount': 'f',
+                           'avg_days_overdue': 'f'},
  'operational_efficiency': {'branch_id': 'i',
                             'branch_name': 's',
                             'branch_code': 's',
@@ -346,6 +583,7 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'total_balance': 'f',
                            'avg_account_age': 'f',
                            'portfolio_concentration': 'f'},
+ 'product_dashboard': {'account_type': 's', 'accounts': 'i', 'deposits': 'f', 'avg_balance': 'f'},
  'product_loans': {'loan_type': 's',
                    'total_loans': 'i',
                    'total_loan_amount': 'f',
@@ -366,6 +604,39 @@ KINDS = {'account_aging': {'aging_category': 's',
                        'avg_transaction_amount': 'f',
                        'profitability_score': 'f',
                        'product_performance_tier': 's'},
+ 'recovery_rate': {'loan_type': 's',
+                   'defaulted_loans_count': 'i',
+                   'avg_recovery_rate': 'f',
+                   'avg_recovery_time': 'f',
+                   'total_defaulted_amount': 'f',
+                   'total_recovered_amount': 'f',
+                   'median_recovery_rate': 'f',
+                   'recovery_efficiency': 'f',
+                   'recovery_performance': 's'},
+ 'regional_performance': {'branch_id': 'i',
+                          'branch_name': 's',
+                          'branch_code': 's',
+                          'address': 's',
+                          'city': 's',
+                          'state': 's',
+                          'phone': 's',
+                          'manager_id': 'i',
+                          'accounts': 'i',
+                          'deposits': 'f',
+                          'employees': 'i',
+                          'avg_salary': 'f',
+                          'deposits_per_employee': 'f',
+                          'efficiency_ratio': 'f'},
+ 'regulatory_alerts': {'customer_id': 'i',
+                       'account_id': 'i',
+                       'transaction_id': 'i',
+                       'amount': 'f',
+                       'compliance_alert_level': 's'},
+ 'regulatory_compliance': {'customer_id': 'i',
+                           'compliance_alert_level': 's',
+                           'alert_count': 'i',
+                           'total_alert_amount': 'f',
+                           'suspicious_transactions': 'ai'},
  'relationship_network': {'customer_id': 'i',
                           'first_name': 's',
                           'last_name': 's',
@@ -387,6 +658,30 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'unique_connections': 'i',
                           'network_influence': 'f',
                           'relationship_diversity': 's'},
+ 'reporting_framework': {'total_customers': 'i',
+                         'business_customers': 'i',
+                         'individual_customers': 'i',
+                         'total_accounts': 'i',
+                         'total_deposits': 'f',
+                         'avg_account_balance': 'f',
+                         'active_loans': 'i',
+                         'total_loan_portfolio': 'f',
+                         'total_transactions': 'i',
+                         'total_transaction_volume': 'f'},
+ 'risk_adjusted_returns': {'loan_type': 's',
+                           'total_annual_revenue': 'f',
+                           'avg_overdue_frequency': 'f',
+                           'avg_interest_rate': 'f',
+                           'risk_adjustment_factor': 'f',
+                           'risk_adjusted_revenue': 'f',
+                           'return_per_risk_unit': 'f',
+                           'performance_ranking': 's'},
+ 'risk_overview': {'defaulted_loans': 'i',
+                   'defaulted_amount': 'f',
+                   'total_loans': 'i',
+                   'total_loan_amount': 'f',
+                   'default_rate': 'f',
+                   'default_ratio': 'f'},
  'satisfaction': {'customer_id': 'i',
                   'first_name': 's',
                   'last_name': 's',
@@ -423,8 +718,8 @@ KINDS = {'account_aging': {'aging_category': 's',
  'service_levels': {'account_type': 's',
                     'transaction_type': 's',
                     'avg_processing_time': 'f',
-                    'p95_processing_time': 'f',
                     'transaction_count': 'i',
+                    'p95_processing_time': 'f',
                     'service_level_agreement': 's',
                     'performance_rating': 's'},
  'single_product_customers': {'state': 's', 'customer_type': 's', 'cross_sell_opportunities': 'i'},
@@ -441,6 +736,18 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'avg_account_age': 'f',
                         'portfolio_concentration': 'f',
                         'strategic_recommendation': 's'},
+ 'stress_testing': {'loan_type': 's',
+                    'portfolio_count': 'i',
+                    'total_exposure': 'f',
+                    'base_expected_loss': 'f',
+                    'stress_1_expected_loss': 'f',
+                    'stress_2_expected_loss': 'f',
+                    'stress_3_expected_loss': 'f',
+                    'loss_increase_scenario_1': 'f',
+                    'loss_increase_scenario_2': 'f',
+                    'loss_increase_scenario_3': 'f',
+                    'capital_adequacy_stress_1': 's',
+                    'capital_adequacy_stress_2': 's'},
  'transaction_anomalies': {'transaction_id': 'i',
                            'account_id': 'i',
                            'amount': 'f',

@@ -741,6 +741,392 @@ SELECT mpr.*, go.customer_type, go.cross_sell_opportunities,
 FROM mpr LEFT JOIN go ON mpr.state = go.state"""
 
 
+# ------------------------------------------------------------------ credit
+_ACTIVE_LOANS = "loans WHERE status = 'ACTIVE'"
+_IMPACT = hdiv("loan_amount * interest_rate * 0.01 * term_months", 7, 12, 10)
+_IMPACT2 = hdiv("loan_amount * interest_rate * 0.02 * term_months", 7, 12, 10)
+
+SQL["collateral_coverage"] = f"""
+WITH cc AS (
+  SELECT l.loan_type, l.loan_amount,
+         {ladder_eq("l.loan_type", [("MORTGAGE", 1.2), ("AUTO", 0.8), ("PERSONAL", 0.5)], 0.3)} AS f,
+         {ladder_eq("l.loan_type", [("MORTGAGE", 1.0), ("AUTO", 0.8), ("PERSONAL", 0.5)], 0.3)} AS w
+  FROM loans l JOIN accounts a ON l.customer_id = a.customer_id AND l.account_id = a.account_id
+  WHERE l.status = 'ACTIVE'),
+r AS (
+  -- (loan_amount * f) / loan_amount is exactly f, NULL for a zero amount
+  SELECT loan_type, loan_amount, CASE WHEN loan_amount <> 0 THEN f END AS collateral_coverage_ratio, w FROM cc),
+b AS (
+  SELECT *, {case_gt("collateral_coverage_ratio", [(1.5, "EXCESS"), (1.2, "ADEQUATE"), (1.0, "MINIMAL")], "INADEQUATE")}
+              AS coverage_adequacy,
+            collateral_coverage_ratio * w AS risk_adjusted_coverage
+  FROM r)
+SELECT loan_type, coverage_adequacy, COUNT(*) AS loan_count, SUM(loan_amount) AS total_loan_amount,
+       AVG(collateral_coverage_ratio) AS avg_coverage_ratio, MIN(collateral_coverage_ratio) AS min_coverage_ratio,
+       AVG(risk_adjusted_coverage) AS avg_risk_adjusted_coverage
+FROM b GROUP BY 1, 2"""
+
+SQL["card_fraud"] = f"""
+WITH j AS (SELECT * FROM card_transactions ct JOIN credit_cards cc USING (card_id)),
+s AS (
+  SELECT *,
+    {_EPOCH.format(c="transaction_date")} - LAG({_EPOCH.format(c="transaction_date")}) OVER wseq AS time_since_last_tx,
+    {div("ABS(amount - " + havg("amount", 2, "OVER wrun") + ")", "STDDEV_SAMP(amount) OVER wrun")} AS amount_deviation,
+    CASE WHEN city <> LAG(city) OVER wseq THEN 1 ELSE 0 END AS unusual_location
+  FROM j
+  WINDOW wrun AS (PARTITION BY card_id ORDER BY transaction_date NULLS FIRST),
+         wseq AS (PARTITION BY card_id ORDER BY transaction_date NULLS FIRST, card_transaction_id))
+SELECT * FROM s
+WHERE amount > credit_limit * 0.8 OR time_since_last_tx < 300 OR amount_deviation > 3 OR unusual_location = 1"""
+
+_BOOK5 = """book AS (
+  SELECT loan_id, customer_id, loan_amount, loan_type, interest_rate FROM loans WHERE status = 'ACTIVE'
+  UNION ALL
+  SELECT card_id, customer_id, current_balance, 'CREDIT_CARD', 0.18 FROM credit_cards WHERE status = 'ACTIVE')"""
+
+SQL["credit_risk_portfolio"] = f"""
+WITH {_BOOK5},
+r AS (SELECT b.*, c.customer_type FROM book b JOIN customers c ON b.customer_id = c.customer_id),
+g AS (
+  SELECT customer_type, loan_type, COUNT(*) AS credit_facilities, SUM(loan_amount) AS total_exposure,
+         {havg("interest_rate", 3)} AS avg_interest_rate, quantile_disc(loan_amount, 0.95) AS p95_exposure
+  FROM r GROUP BY 1, 2)
+SELECT *, avg_interest_rate * total_exposure AS risk_adjusted_return,
+       {case_gt("avg_interest_rate", [(0.15, "HIGH_RISK"), (0.10, "MEDIUM_RISK")], "LOW_RISK")} AS portfolio_quality
+FROM g"""
+
+SQL["credit_utilization"] = f"""
+WITH cu AS (SELECT *, {div("current_balance", "credit_limit")} AS utilization_rate
+            FROM credit_cards WHERE status = 'ACTIVE'),
+cu2 AS (SELECT *, {case_gt("utilization_rate", [(0.8, "HIGH_RISK"), (0.5, "MEDIUM_RISK"), (0.3, "LOW_RISK")],
+                           "HEALTHY")} AS utilization_category FROM cu),
+ms AS (SELECT card_id, date_trunc('month', transaction_date) AS m, SUM(amount) AS monthly_spend
+       FROM card_transactions GROUP BY 1, 2),
+mr AS (SELECT ms.card_id, {div("ms.monthly_spend", "c.credit_limit")} AS u
+       FROM ms JOIN credit_cards c ON ms.card_id = c.card_id),
+mu AS (SELECT card_id, AVG(u) AS avg_monthly_utilization, STDDEV_SAMP(u) AS utilization_volatility,
+              MAX(u) AS peak_utilization FROM mr GROUP BY card_id),
+j AS (SELECT * FROM cu2 JOIN mu USING (card_id) JOIN customers USING (customer_id))
+SELECT *, CASE WHEN utilization_volatility > 0.3 THEN 'VOLATILE' WHEN peak_utilization > 0.9 THEN 'PEAK_HIGH'
+               WHEN avg_monthly_utilization > 0.7 THEN 'CONSISTENT_HIGH' ELSE 'STABLE' END AS utilization_trend
+FROM j"""
+
+SQL["early_warning"] = f"""
+WITH pd AS (SELECT loan_id, COALESCE(payment_date, {D}) - due_date AS d FROM loan_payments),
+pt AS (SELECT loan_id, AVG(d) AS avg_payment_delay, STDDEV_SAMP(d) AS payment_delay_volatility,
+              SUM(CAST(d > 0 AS INTEGER)) AS delayed_payment_count, COUNT(*) AS total_payments
+       FROM pd GROUP BY loan_id),
+pt2 AS (SELECT *, {div("delayed_payment_count", "total_payments")} AS delinquency_trend FROM pt),
+mo AS (SELECT account_id, date_trunc('month', transaction_date) AS transaction_month, SUM(amount) AS v
+       FROM transactions WHERE account_id IN (SELECT account_id FROM accounts) GROUP BY 1, 2),
+ch AS (SELECT account_id, LAG(v) OVER w AS prev, {div("v - LAG(v) OVER w", "LAG(v) OVER w")} AS volume_change
+       FROM mo WINDOW w AS (PARTITION BY account_id ORDER BY transaction_month)),
+ab AS (SELECT account_id, AVG(volume_change) AS avg_volume_change,
+              STDDEV_SAMP(volume_change) AS volume_change_volatility, MIN(volume_change) AS worst_volume_decline
+       FROM ch WHERE prev IS NOT NULL GROUP BY account_id),
+j AS (
+  SELECT l.*, a.account_number, a.account_type, a.balance, a.open_date, a.close_date, a.branch_id,
+         a.customer_id AS account_customer_id, a.status AS account_status,
+         {zfill([("pt2", ["avg_payment_delay", "payment_delay_volatility", "delayed_payment_count", "total_payments",
+                          "delinquency_trend"]),
+                 ("ab", ["avg_volume_change", "volume_change_volatility", "worst_volume_decline"])])}
+  FROM loans l LEFT JOIN pt2 ON l.loan_id = pt2.loan_id JOIN accounts a ON l.account_id = a.account_id
+  LEFT JOIN ab ON l.account_id = ab.account_id),
+s AS (SELECT *, {flags(("avg_payment_delay > 15", 0.3), ("delinquency_trend > 0.5", 0.3),
+                       ("worst_volume_decline < -0.5", 0.2), ("volume_change_volatility > 0.8", 0.2))} AS warning_score
+      FROM j),
+l2 AS (SELECT *, {case_gt("warning_score", [(0.7, "RED_ALERT"), (0.5, "ORANGE_ALERT"), (0.3, "YELLOW_ALERT")], "GREEN")}
+                 AS warning_level FROM s)
+SELECT *, {ladder_eq("warning_level", [("RED_ALERT", "IMMEDIATE_INTERVENTION"), ("ORANGE_ALERT", "ENHANCED_MONITORING"),
+                                       ("YELLOW_ALERT", "STANDARD_MONITORING")], "NORMAL_MONITORING")} AS recommended_action
+FROM l2"""
+
+SQL["interest_rate_risk"] = f"""
+WITH r AS (SELECT *, {_IMPACT} AS i1, {_IMPACT2} AS i2 FROM {_ACTIVE_LOANS}),
+g AS (
+  SELECT loan_type, COUNT(*) AS loan_count, SUM(loan_amount) AS total_loan_amount,
+         {havg("interest_rate", 3)} AS avg_interest_rate, SUM(i1) AS total_impact_1pct, SUM(i2) AS total_impact_2pct,
+         quantile_disc(interest_rate, 0.5) AS median_rate
+  FROM r GROUP BY loan_type),
+s AS (SELECT *, {div("total_impact_1pct", "total_loan_amount")} AS portfolio_sensitivity FROM g)
+SELECT *, {case_gt("portfolio_sensitivity", [(0.1, "HIGH"), (0.05, "MEDIUM")], "LOW")} AS risk_category FROM s"""
+
+SQL["loan_default_features"] = f"""
+WITH pf AS (
+  SELECT loan_id, SUM(CASE WHEN status = 'OVERDUE' THEN 1 ELSE 0 END) AS total_overdue_payments,
+         AVG(COALESCE(payment_date, {D}) - due_date) AS avg_days_delayed,
+         MAX(COALESCE(payment_date, {D}) - due_date) AS max_days_delayed,
+         SUM(amount_paid) AS total_amount_paid, SUM(amount_due) AS total_amount_due
+  FROM loan_payments GROUP BY loan_id),
+pf2 AS (SELECT *, {div("total_amount_paid", "total_amount_due")} AS payment_completion_ratio FROM pf),
+cf AS (SELECT customer_id, SUM(balance) AS total_balance, {havg("balance")} AS avg_balance, COUNT(*) AS total_accounts
+       FROM accounts GROUP BY customer_id),
+j AS (SELECT * FROM loans JOIN pf2 USING (loan_id) JOIN cf USING (customer_id) JOIN customers USING (customer_id)),
+s AS (SELECT *, {div("loan_amount", "total_balance")} AS loan_to_balance_ratio FROM j),
+t AS (SELECT *, {wsum(("total_overdue_payments", 0.3), ("max_days_delayed", 0.2), ("loan_to_balance_ratio", 0.3))}
+                + CASE WHEN payment_completion_ratio < 0.8 THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS default_risk_score
+      FROM s)
+SELECT *, {case_gt("default_risk_score", [(0.7, "HIGH"), (0.5, "MEDIUM_HIGH"), (0.3, "MEDIUM"), (0.1, "LOW")],
+                   "VERY_LOW")} AS default_probability_category
+FROM t"""
+
+SQL["loan_risk"] = f"""
+WITH pp AS (
+  SELECT loan_id, COUNT(*) AS total_payments, SUM(CASE WHEN status = 'OVERDUE' THEN 1 ELSE 0 END) AS overdue_payments,
+         AVG({div("amount_paid", "amount_due")}) AS payment_ratio, MAX(payment_date - due_date) AS max_days_late
+  FROM loan_payments GROUP BY loan_id),
+j AS (
+  SELECT l.*, pp.total_payments, pp.overdue_payments, pp.payment_ratio, pp.max_days_late,
+         a.account_number, a.account_type, a.balance, a.open_date, a.close_date, a.status AS account_status, a.branch_id
+  FROM loans l JOIN pp ON l.loan_id = pp.loan_id
+  JOIN accounts a ON l.customer_id = a.customer_id AND l.account_id = a.account_id)
+SELECT *, CASE WHEN overdue_payments > 5 THEN 'HIGH_RISK' WHEN payment_ratio < 0.8 THEN 'MEDIUM_RISK'
+               WHEN max_days_late > 30 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS risk_score,
+          {div("overdue_payments", "total_payments")} AS delinquency_rate
+FROM j"""
+
+_DS = f"""ds AS (
+  SELECT deposit_category, SUM(balance) AS total_deposits, COUNT(*) AS account_count, {havg("balance")} AS avg_balance,
+         {ladder_eq("deposit_category", [("STABLE", 0.9), ("RATE_SENSITIVE", 0.6)], 0.7)} AS deposit_stability_score
+  FROM (SELECT {ladder_eq("account_type", [("SAVINGS", "RATE_SENSITIVE"), ("CHECKING", "STABLE")], "OTHER")}
+               AS deposit_category, balance
+        FROM accounts WHERE status = 'ACTIVE') x
+  GROUP BY 1)"""
+
+SQL["deposit_sensitivity"] = f"WITH {_DS}\nSELECT * FROM ds"
+SQL["market_risk"] = f"""
+WITH rs AS (
+  SELECT CASE WHEN term_months <= 12 THEN 'SHORT_TERM' WHEN term_months <= 60 THEN 'MEDIUM_TERM' ELSE 'LONG_TERM' END
+           AS duration_category, loan_type, loan_amount, interest_rate, {_IMPACT} AS i
+  FROM {_ACTIVE_LOANS}),
+g AS (
+  SELECT duration_category, loan_type, COUNT(*) AS loan_count, SUM(loan_amount) AS total_exposure,
+         SUM(i) AS total_impact_1pct, {havg("interest_rate", 3)} AS avg_interest_rate
+  FROM rs GROUP BY 1, 2),
+s AS (SELECT *, {div("total_impact_1pct", "total_exposure")} AS sensitivity_ratio FROM g),
+{_DS},
+st AS (SELECT AVG(CAST(deposit_stability_score AS DOUBLE)) AS avg_deposit_stability FROM ds)
+SELECT s.*, {case_gt("sensitivity_ratio", [(0.15, "HIGH_EXPOSURE"), (0.10, "MEDIUM_EXPOSURE"), (0.05, "LOW_EXPOSURE")],
+                     "MINIMAL_EXPOSURE")} AS market_risk_level,
+       st.avg_deposit_stability
+FROM s CROSS JOIN st"""
+
+SQL["non_performing_assets"] = f"""
+WITH ld AS (
+  SELECT loan_id, COUNT(*) AS overdue_payments, MAX({D} - due_date) AS max_days_overdue,
+         SUM(amount_due) AS total_overdue_amount
+  FROM loan_payments WHERE status = 'OVERDUE' GROUP BY loan_id),
+n AS (
+  SELECT l.loan_type, l.loan_amount, ld.max_days_overdue
+  FROM loans l LEFT JOIN ld ON l.loan_id = ld.loan_id JOIN accounts a ON l.account_id = a.account_id
+  WHERE ld.max_days_overdue > 90 OR ld.overdue_payments > 3 OR l.status = 'DEFAULTED')
+SELECT {case_gt("max_days_overdue", [(180, "LOSS"), (90, "DOUBTFUL"), (60, "SUBSTANDARD")], "STANDARD")} AS npa_category,
+       loan_type, COUNT(*) AS npa_count, SUM(loan_amount) AS npa_amount, AVG(max_days_overdue) AS avg_days_overdue
+FROM n GROUP BY 1, 2"""
+
+SQL["recovery_rate"] = f"""
+WITH dl AS (
+  SELECT l.loan_id, l.loan_type, l.start_date, SUM(p.amount_due) AS total_amount_due,
+         SUM(p.amount_paid) AS total_amount_paid, MAX(p.payment_date) AS last_payment_date, COUNT(*) AS total_payments
+  FROM loans l JOIN loan_payments p ON l.loan_id = p.loan_id
+  WHERE l.status = 'DEFAULTED' GROUP BY 1, 2, 3),
+d2 AS (SELECT *, {div("total_amount_paid", "total_amount_due")} AS recovery_rate,
+                 {months_between("last_payment_date", "start_date")} AS recovery_time_months FROM dl),
+g AS (
+  SELECT loan_type, COUNT(*) AS defaulted_loans_count, AVG(recovery_rate) AS avg_recovery_rate,
+         quantile_disc(recovery_rate, 0.5) AS median_recovery_rate, AVG(recovery_time_months) AS avg_recovery_time,
+         SUM(total_amount_due) AS total_defaulted_amount, SUM(total_amount_paid) AS total_recovered_amount
+  FROM d2 GROUP BY loan_type)
+SELECT *, {div("avg_recovery_rate", "avg_recovery_time")} AS recovery_efficiency,
+          {case_gt("avg_recovery_rate", [(0.7, "EXCELLENT"), (0.5, "GOOD"), (0.3, "FAIR")], "POOR")} AS recovery_performance
+FROM g"""
+
+SQL["risk_adjusted_returns"] = f"""
+WITH lr AS (SELECT loan_type, SUM(loan_amount * interest_rate) AS total_annual_revenue
+            FROM {_ACTIVE_LOANS} GROUP BY loan_type),
+pl AS (
+  SELECT l.loan_id, l.loan_type, SUM(CASE WHEN p.status = 'OVERDUE' THEN 1 ELSE 0 END) AS overdue_count,
+         {havg("l.interest_rate", 3)} AS interest_rate
+  FROM loans l JOIN loan_payments p ON l.loan_id = p.loan_id GROUP BY 1, 2),
+lk AS (SELECT loan_type, AVG(overdue_count) AS avg_overdue_frequency, {havg("interest_rate", 7)} AS avg_interest_rate
+       FROM pl GROUP BY loan_type),
+j AS (SELECT lr.*, lk.avg_overdue_frequency, lk.avg_interest_rate,
+             {case_gt("lk.avg_overdue_frequency", [(3, 0.5), (2, 0.7), (1, 0.8)], 1.0)} AS risk_adjustment_factor
+      FROM lr JOIN lk ON lr.loan_type = lk.loan_type),
+s AS (SELECT *, CAST(total_annual_revenue AS DOUBLE) * CAST(risk_adjustment_factor AS DOUBLE) AS risk_adjusted_revenue
+      FROM j),
+t AS (SELECT *, {div("risk_adjusted_revenue", "avg_overdue_frequency")} AS return_per_risk_unit FROM s)
+SELECT *, {case_gt("return_per_risk_unit", [(100000, "TOP_PERFORMER"), (50000, "STRONG_PERFORMER"),
+                                             (25000, "AVERAGE_PERFORMER")], "UNDER_PERFORMER")} AS performance_ranking
+FROM t"""
+
+SQL["stress_testing"] = f"""
+WITH book AS (
+  SELECT loan_id, customer_id, loan_amount, loan_type, interest_rate, term_months FROM {_ACTIVE_LOANS}
+  UNION ALL
+  SELECT card_id, customer_id, current_balance, 'CREDIT_CARD', 0.18, 36 FROM credit_cards WHERE status = 'ACTIVE'),
+s AS (SELECT loan_type, loan_amount,
+             {ladder_eq("loan_type", [("CREDIT_CARD", 0.03), ("PERSONAL", 0.02), ("AUTO", 0.015), ("MORTGAGE", 0.01)],
+                        0.025)} AS base_pd
+      FROM book),
+g AS (
+  SELECT loan_type, COUNT(*) AS portfolio_count, SUM(loan_amount) AS total_exposure,
+         SUM(loan_amount * base_pd) AS base_expected_loss,
+         SUM(loan_amount * (base_pd * 1.5)) AS stress_1_expected_loss,
+         SUM(loan_amount * (base_pd * 2.5)) AS stress_2_expected_loss,
+         SUM(loan_amount * (base_pd * 4.0)) AS stress_3_expected_loss
+  FROM s GROUP BY loan_type),
+r AS (
+  SELECT *, {div("stress_1_expected_loss - base_expected_loss", "base_expected_loss")} AS loss_increase_scenario_1,
+            {div("stress_2_expected_loss - base_expected_loss", "base_expected_loss")} AS loss_increase_scenario_2,
+            {div("stress_3_expected_loss - base_expected_loss", "base_expected_loss")} AS loss_increase_scenario_3
+  FROM g)
+SELECT *, {case_gt("loss_increase_scenario_1", [(1.0, "INADEQUATE"), (0.5, "MARGINAL")], "ADEQUATE")} AS capital_adequacy_stress_1,
+          {case_gt("loss_increase_scenario_2", [(2.0, "INADEQUATE"), (1.0, "MARGINAL")], "ADEQUATE")} AS capital_adequacy_stress_2
+FROM r"""
+
+# ------------------------------------------------------------------ compliance
+_AML = f"""al AS (
+  SELECT a.customer_id, t.transaction_id, t.amount, t.transaction_date,
+         CASE WHEN t.amount > 10000 THEN 'LARGE_TRANSACTION'
+              WHEN t.amount > 5000 AND t.transaction_type = 'CASH_DEPOSIT' THEN 'SUSPICIOUS_CASH'
+              WHEN t.amount > 8000 AND t.description LIKE '%international%' THEN 'CROSS_BORDER'
+              ELSE 'NORMAL' END AS suspicious_indicator
+  FROM {_TXA} JOIN customers c ON a.customer_id = c.customer_id),
+f AS (SELECT * FROM al WHERE suspicious_indicator <> 'NORMAL')"""
+_KYC = """kyc AS (
+  SELECT kyc_risk_indicator, COUNT(*) AS non_compliant_customers
+  FROM (SELECT CASE WHEN date_of_birth IS NULL THEN 'MISSING_DOB' WHEN address IS NULL THEN 'MISSING_ADDRESS'
+                    WHEN phone IS NULL THEN 'MISSING_PHONE' WHEN email IS NULL THEN 'MISSING_EMAIL'
+                    ELSE 'COMPLETE' END AS kyc_risk_indicator FROM customers) x
+  WHERE kyc_risk_indicator <> 'COMPLETE' GROUP BY 1)"""
+_CRED = f"""cr AS (
+  SELECT compliance_issue, COUNT(*) AS non_compliant_cards, {havg("current_balance")} AS avg_balance,
+         {havg("credit_limit")} AS avg_limit
+  FROM (SELECT cc.current_balance, cc.credit_limit,
+               CASE WHEN cc.current_balance > cc.credit_limit * 0.9 THEN 'HIGH_UTILIZATION'
+                    WHEN cc.credit_limit > 50000 THEN 'HIGH_LIMIT' ELSE 'COMPLIANT' END AS compliance_issue
+        FROM credit_cards cc JOIN customers c ON cc.customer_id = c.customer_id) x
+  WHERE compliance_issue <> 'COMPLIANT' GROUP BY 1)"""
+
+SQL["compliance_aml"] = f"""
+WITH {_AML}
+SELECT customer_id, suspicious_indicator, COUNT(*) AS alert_count, SUM(amount) AS total_suspicious_amount,
+       COUNT(DISTINCT transaction_date) AS suspicious_date_count,
+       list_slice(list_sort(list_distinct(list(transaction_date) FILTER (WHERE transaction_date IS NOT NULL))), 1, 1000)
+         AS suspicious_dates
+FROM f GROUP BY 1, 2"""
+SQL["compliance_aml_dates"] = f"WITH {_AML}\nSELECT DISTINCT customer_id, suspicious_indicator, transaction_date FROM f"
+SQL["compliance_kyc"] = f"WITH {_KYC}\nSELECT * FROM kyc"
+SQL["compliance_credit"] = f"WITH {_CRED}\nSELECT * FROM cr"
+SQL["compliance_risk"] = f"""
+WITH {_AML}, {_KYC}, {_CRED},
+s AS (
+  SELECT * FROM (SELECT COUNT(DISTINCT customer_id) AS aml_alert_customers FROM f) a
+  CROSS JOIN (SELECT SUM(non_compliant_customers) AS kyc_non_compliant FROM kyc) k
+  CROSS JOIN (SELECT SUM(non_compliant_cards) AS credit_non_compliant FROM cr) c)
+SELECT *, CASE WHEN aml_alert_customers > 100 OR kyc_non_compliant > 50 OR credit_non_compliant > 200 THEN 'HIGH_RISK'
+               WHEN aml_alert_customers > 50 OR kyc_non_compliant > 20 OR credit_non_compliant > 100 THEN 'MEDIUM_RISK'
+               ELSE 'LOW_RISK' END AS overall_compliance_risk
+FROM s"""
+
+SQL["concentration_risk"] = f"""
+WITH sc AS (
+  SELECT c.customer_type, c.state, COUNT(DISTINCT c.customer_id) AS customer_count, SUM(a.balance) AS total_exposure,
+         {havg("a.balance")} AS avg_exposure
+  FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY 1, 2),
+s AS (SELECT *, {div("total_exposure", "SUM(total_exposure) OVER ()")} AS exposure_percentage FROM sc)
+SELECT *, {case_gt("exposure_percentage", [(0.1, "HIGH"), (0.05, "MEDIUM")], "LOW")} AS concentration_risk FROM s"""
+
+SQL["counterparty_risk"] = f"""
+WITH br AS (
+  SELECT customer_id, COUNT(*) AS business_partner_count, SUM(allocation_percentage) AS total_business_allocation
+  FROM account_beneficiaries WHERE relationship = 'BUSINESS_PARTNER' GROUP BY customer_id),
+bo AS (SELECT l.customer_id, SUM(l.loan_amount) AS total_borrowing
+       FROM loans l JOIN accounts a ON l.account_id = a.account_id GROUP BY l.customer_id),
+le AS (SELECT *, PERCENT_RANK() OVER (ORDER BY total_borrowing NULLS FIRST) AS exposure_percentile FROM bo),
+le2 AS (SELECT *, exposure_percentile > 0.95 AS is_large_exposure FROM le),
+p AS (
+  SELECT c.*, {zfill([("br", ["business_partner_count", "total_business_allocation"]),
+                      ("le2", ["total_borrowing", "exposure_percentile"])])}, le2.is_large_exposure
+  FROM customers c {joins("c", "customer_id", ["br", "le2"])}),
+s AS (SELECT *, {flags(("business_partner_count > 5", 0.3), ("total_business_allocation > 50", 0.3),
+                       ("is_large_exposure = TRUE", 0.4))} AS counterparty_risk_score FROM p)
+SELECT *, {case_gt("counterparty_risk_score", [(0.6, "HIGH_RISK"), (0.3, "MEDIUM_RISK")], "LOW_RISK")} AS risk_category
+FROM s WHERE counterparty_risk_score > 0"""
+
+_REG = f"""r AS (
+  SELECT a.customer_id, t.account_id, t.transaction_id, t.amount, t.amount > 10000 AS hv,
+         CASE WHEN t.amount > 5000 AND t.transaction_type = 'CASH_DEPOSIT' THEN TRUE
+              WHEN t.amount > 8000 AND t.transaction_type = 'TRANSFER' AND t.description LIKE '%offshore%' THEN TRUE
+              ELSE FALSE END AS sp
+  FROM {_TXA} JOIN customers c ON a.customer_id = c.customer_id),
+ra AS (
+  SELECT customer_id, account_id, transaction_id, amount,
+         CASE WHEN hv AND sp THEN 'HIGH' WHEN hv THEN 'MEDIUM' WHEN sp THEN 'MEDIUM' ELSE 'LOW' END
+           AS compliance_alert_level
+  FROM r),
+alerts AS (SELECT * FROM ra WHERE compliance_alert_level IN ('HIGH', 'MEDIUM'))"""
+
+SQL["regulatory_alerts"] = f"WITH {_REG}\nSELECT * FROM alerts"
+SQL["regulatory_compliance"] = f"""
+WITH {_REG}
+SELECT customer_id, compliance_alert_level, COUNT(*) AS alert_count, SUM(amount) AS total_alert_amount,
+       list_slice(list_sort(list(transaction_id) FILTER (WHERE transaction_id IS NOT NULL)), 1, 1000)
+         AS suspicious_transactions
+FROM alerts GROUP BY 1, 2"""
+
+# ------------------------------------------------------------------ reporting
+SQL["executive_summary"] = f"""
+SELECT * FROM
+  (SELECT COUNT(DISTINCT customer_id) AS total_customers,
+          COUNT(DISTINCT CASE WHEN customer_type = 'BUSINESS' THEN customer_id END) AS business_customers,
+          COUNT(DISTINCT CASE WHEN customer_type = 'INDIVIDUAL' THEN customer_id END) AS individual_customers
+   FROM customers) c
+  CROSS JOIN (SELECT COUNT(*) AS total_accounts, SUM(balance) AS total_deposits,
+                     {havg("balance")} AS avg_account_balance FROM accounts) a
+  CROSS JOIN (SELECT COUNT(*) AS active_loans, SUM(loan_amount) AS total_loan_portfolio FROM {_ACTIVE_LOANS}) l
+  CROSS JOIN (SELECT COUNT(*) AS total_transactions, SUM(amount) AS total_transaction_volume FROM transactions) t"""
+SQL["reporting_framework"] = SQL["executive_summary"]
+
+SQL["product_dashboard"] = f"""
+SELECT account_type, COUNT(*) AS accounts, SUM(balance) AS deposits, {havg("balance")} AS avg_balance
+FROM accounts GROUP BY account_type
+UNION ALL
+SELECT loan_type, COUNT(*), SUM(loan_amount), {havg("loan_amount")} FROM {_ACTIVE_LOANS} GROUP BY loan_type
+UNION ALL
+SELECT 'CREDIT_CARD', COUNT(*), SUM(current_balance), {havg("current_balance")}
+FROM credit_cards WHERE status = 'ACTIVE' GROUP BY 1"""
+
+SQL["regional_performance"] = f"""
+WITH acc AS (SELECT branch_id, COUNT(*) AS accounts, SUM(balance) AS deposits FROM accounts GROUP BY branch_id),
+emp AS (SELECT branch_id, COUNT(*) AS employees, {havg("salary")} AS avg_salary FROM employees GROUP BY branch_id),
+p AS (SELECT {_BRANCH_COLS}, {zfill([("acc", ["accounts", "deposits"]), ("emp", ["employees", "avg_salary"])])}
+      FROM branches b {joins("b", "branch_id", ["acc", "emp"])})
+SELECT *, {div("deposits", "employees")} AS deposits_per_employee, {div("accounts", "employees")} AS efficiency_ratio
+FROM p"""
+
+SQL["risk_overview"] = f"""
+SELECT *, {div("defaulted_loans", "total_loans")} AS default_rate,
+          {div("defaulted_amount", "total_loan_amount")} AS default_ratio
+FROM (SELECT COUNT(*) AS defaulted_loans, SUM(loan_amount) AS defaulted_amount FROM loans WHERE status = 'DEFAULTED') d
+CROSS JOIN (SELECT COUNT(*) AS total_loans, SUM(loan_amount) AS total_loan_amount FROM loans) t"""
+
+SQL["liquidity"] = f"""
+WITH s AS (
+  SELECT *, {div("total_liquid_assets", "projected_outflows_30d")} AS liquidity_ratio,
+            {div("total_liquid_assets", "total_loan_commitments")} AS coverage_ratio
+  FROM (SELECT SUM(balance) AS total_liquid_assets FROM accounts
+        WHERE status = 'ACTIVE' AND account_type IN ('SAVINGS', 'CHECKING')) a
+  CROSS JOIN (SELECT SUM(amount) AS projected_outflows_30d FROM transactions
+              WHERE transaction_type IN ('WITHDRAWAL', 'PAYMENT')
+                AND transaction_date >= {D_LIQ} AND transaction_date <= {D_LIQ} + 30) o
+  CROSS JOIN (SELECT SUM(loan_amount) AS total_loan_commitments FROM {_ACTIVE_LOANS}) c)
+SELECT *, {case_gt("liquidity_ratio", [(2.0, "EXCELLENT"), (1.5, "ADEQUATE"), (1.0, "MINIMAL")], "INADEQUATE")}
+          AS liquidity_status
+FROM s"""
+
+
 def tables_used(sql: str) -> list[str]:
     return [n for n in MAPPINGS if re.search(rf"\b{n}\b", sql)]
 

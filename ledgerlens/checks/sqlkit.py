@@ -7,12 +7,13 @@ D_LIQ = "DATE '2001-07-01'"      # as_of of the liquidity analysis
 D_DENSE = "DATE '2024-02-15'"    # as_of of transactions_dense
 
 
-def havg(x: str, s: int = 2) -> str:
+def havg(x: str, s: int = 2, over: str = "") -> str:
     """Spark's AVG over DECIMAL(p, s): exact quotient rounded HALF_UP at scale
-    s+4, as an exact DECIMAL (DuckDB's AVG is an unrounded DOUBLE)."""
+    s+4, as an exact DECIMAL (DuckDB's AVG is an unrounded DOUBLE).  ``over``
+    makes it a window aggregate (e.g. "OVER w")."""
     k = s + 4
-    num = f"(CAST(SUM({x}) * {10 ** s} AS HUGEINT) * {10 ** (k - s)})"
-    n = f"NULLIF(COUNT({x}), 0)"
+    num = f"(CAST(SUM({x}) {over} * {10 ** s} AS HUGEINT) * {10 ** (k - s)})"
+    n = f"NULLIF(COUNT({x}) {over}, 0)"
     return (f"(CAST(sign({num}) * ((abs({num}) * 2 + {n}) // (2 * {n})) AS DECIMAL(38,0))"
             f" * 0.{'0' * (k - 1)}1)")
 
@@ -77,3 +78,13 @@ def joins(entity_alias: str, key: str, aliases) -> str:
     return " ".join(f"LEFT JOIN {a} ON {entity_alias}.{key} = {a}.{key}" for a in aliases)
 
 
+
+
+def flags(*terms) -> str:
+    """Spark's flag score: left-to-right sum of CASE WHEN cond THEN w ELSE 0 (DOUBLE)."""
+    return "(" + " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0::DOUBLE END" for c, w in terms) + ")"
+
+
+def ladder_eq(x: str, pairs, default) -> str:
+    arms = " ".join(f"WHEN {x} = {_lit(k)} THEN {_lit(v)}" for k, v in pairs)
+    return f"CASE {arms} ELSE {_lit(default)} END"

@@ -13,5 +13,6 @@
 """
 
 from ledgerlens.plans.globals import with_quantiles, with_totals  # noqa: F401
-from ledgerlens.plans.ranking import percent_rank, percentile_disc, with_percentiles  # noqa: F401
+from ledgerlens.plans.ranking import (percent_rank, percentile_disc, smallest_values,  # noqa: F401
+                                      with_percentiles)
 from ledgerlens.plans.joins import profile  # noqa: F401

@@ -108,3 +108,22 @@ def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str,
     q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *probs)
     cond = [agg[k].eqNullSafe(q[f"__k_{k}"]) for k in keys]
     return agg.join(q, cond, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def smallest_values(df: DataFrame, value: str, keys, limit: int, distinct: bool = False) -> DataFrame:
+    """Per key group, the ``limit`` smallest values of ``value`` as a sorted
+    array (``collect_list`` semantics, or ``collect_set`` with ``distinct``).
+
+    Built from the ranked histogram, so at most ``limit`` values of a group
+    ever meet in one row, however large the group; the exact, uncapped set
+    stays available as the long form the caller filtered from.
+    """
+    keys = list(keys)
+    src = df.select(*keys, value).filter(F.col(value).isNotNull())
+    if distinct:
+        src = src.distinct()
+    h = ranked_histogram(src, value, keys)
+    take = F.least(F.col("__c"), F.lit(limit) - F.col("__lt")).cast("int")
+    return (h.filter(F.col("__lt") < limit)
+            .groupBy(*keys)
+            .agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), take)))).alias(value)))

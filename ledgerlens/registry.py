@@ -108,6 +108,54 @@ def _load():
     _reg("market_position", "customers")(lambda t: cu.market_position(t.customers, t.accounts))
     _reg("product_concentration", "customers")(lambda t: cu.product_concentration(t.accounts, as_of=AS_OF))
     _reg("single_product_customers", "customers")(lambda t: cu.single_product_customers(t.customers, t.accounts))
+    from ledgerlens.operators import compliance as co
+    from ledgerlens.operators import credit as cr
+    from ledgerlens.operators import reporting as rp
+    _reg("collateral_coverage", "credit")(lambda t: cr.collateral_coverage(t.loans, t.accounts, t.customers))
+    _reg("card_fraud", "credit")(lambda t: cr.card_fraud(t.card_transactions, t.credit_cards, t.customers))
+    _reg("credit_risk_portfolio", "credit")(lambda t: cr.credit_risk_portfolio(t.loans, t.credit_cards, t.customers))
+    _reg("credit_utilization", "credit")(
+        lambda t: cr.credit_utilization(t.credit_cards, t.customers, t.card_transactions))
+    _reg("early_warning", "credit")(
+        lambda t: cr.early_warning(t.loans, t.loan_payments, t.accounts, t.transactions, as_of=AS_OF))
+    _reg("interest_rate_risk", "credit")(lambda t: cr.interest_rate_risk(t.loans, t.accounts))
+    _reg("loan_default_features", "credit")(
+        lambda t: cr.loan_default_features(t.loans, t.loan_payments, t.accounts, t.customers, as_of=AS_OF))
+    _reg("loan_risk", "credit")(lambda t: cr.loan_risk(t.loans, t.loan_payments, t.customers, t.accounts))
+    _reg("market_risk", "credit")(lambda t: cr.market_risk(t.loans, t.accounts, t.transactions))
+    _reg("deposit_sensitivity", "credit")(lambda t: cr.deposit_sensitivity(t.accounts))
+    _reg("non_performing_assets", "credit")(
+        lambda t: cr.non_performing_assets(t.loans, t.loan_payments, t.accounts, as_of=AS_OF))
+    _reg("recovery_rate", "credit")(lambda t: cr.recovery_rate(t.loans, t.loan_payments, t.accounts))
+    _reg("risk_adjusted_returns", "credit")(
+        lambda t: cr.risk_adjusted_returns(t.loans, t.accounts, t.credit_cards, t.loan_payments))
+    _reg("stress_testing", "credit")(
+        lambda t: cr.stress_testing(t.loans, t.accounts, t.transactions, t.credit_cards))
+    _reg("compliance_risk", "compliance")(
+        lambda t: co.compliance_risk(t.transactions, t.accounts, t.customers, t.credit_cards))
+    _reg("compliance_aml", "compliance")(lambda t: co.compliance_aml(t.transactions, t.accounts, t.customers))
+    _reg("compliance_aml_dates", "compliance")(
+        lambda t: co.compliance_aml_dates(t.transactions, t.accounts, t.customers))
+    _reg("compliance_kyc", "compliance")(lambda t: co.compliance_kyc(t.customers))
+    _reg("compliance_credit", "compliance")(lambda t: co.compliance_credit(t.credit_cards, t.customers))
+    _reg("concentration_risk", "compliance")(lambda t: co.concentration_risk(t.accounts, t.loans, t.customers))
+    _reg("counterparty_risk", "compliance")(
+        lambda t: co.counterparty_risk(t.customers, t.accounts, t.loans, t.account_beneficiaries))
+    _reg("regulatory_compliance", "compliance")(
+        lambda t: co.regulatory_compliance(t.transactions, t.accounts, t.customers))
+    _reg("regulatory_alerts", "compliance")(
+        lambda t: co.regulatory_alerts(t.transactions, t.accounts, t.customers))
+    _reg("reporting_framework", "reporting")(
+        lambda t: rp.reporting_framework(t.customers, t.accounts, t.transactions, t.loans, t.credit_cards,
+                                         t.branches, t.employees)["executive_summary"])
+    _reg("executive_summary", "reporting")(
+        lambda t: rp.executive_summary(t.customers, t.accounts, t.transactions, t.loans))
+    _reg("product_dashboard", "reporting")(lambda t: rp.product_dashboard(t.accounts, t.loans, t.credit_cards))
+    _reg("regional_performance", "reporting")(
+        lambda t: rp.regional_performance(t.branches, t.accounts, t.employees))
+    _reg("risk_overview", "reporting")(lambda t: rp.risk_overview(t.loans))
+    _reg("liquidity", "reporting")(
+        lambda t: rp.liquidity(t.accounts, t.loans, t.transactions, as_of=AS_OF_LIQUIDITY))
     return REGISTRY
 
 
