@@ -16,6 +16,11 @@ The range-partitioned histogram is checkpointed (reliably, in the session's
 checkpoint folder) so that the range ids read by steps 3 and 4 come from one
 materialisation.  Ties get equal ranks; nulls sort first when ascending and
 last when descending, as Spark's window functions do.
+
+Small groups take a direct path: one cheap aggregate measures the largest
+group, and when every group holds at most ``GROUP_BOUND`` rows the plain
+window (or a sorted list of at most that many values) is exact and bounded
+per task, without the sampling and checkpoint jobs.
 """
 
 from __future__ import annotations
@@ -27,6 +32,19 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import ensure_checkpoint_dir
 
+# Largest group (rows) handled in one task by the direct path.
+GROUP_BOUND = 100_000
+
+
+def groups_within(df: DataFrame, keys, bound: int | None = None) -> bool:
+    """True when no key group of ``df`` has more than ``bound`` rows (default
+    ``GROUP_BOUND``; one partial-aggregated count per group, then a max)."""
+    bound = GROUP_BOUND if bound is None else bound
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__g")) if keys else df.agg(F.count(F.lit(1)).alias("__g"))
+    biggest = sizes.agg(F.max("__g")).first()[0]
+    return biggest is None or biggest <= bound
+
 
 def ranked_histogram(df: DataFrame, value: str, keys=(), descending: bool = False,
                      num_ranges: int | None = None) -> DataFrame:
@@ -66,6 +84,10 @@ def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
     """``df`` plus ``out`` = percent_rank() over (partition by keys order by
     ``order_col``), identical to the window function's result."""
     keys = list(partition_by)
+    if groups_within(df, keys):
+        v = F.col(order_col)
+        order = v.desc_nulls_last() if descending else v.asc_nulls_first()
+        return df.withColumn(out, F.percent_rank().over(Window.partitionBy(*keys).orderBy(order)))
     h = ranked_histogram(df, order_col, keys, descending, num_ranges)
     ranks = h.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
                      F.col(order_col).alias("__v"),
@@ -84,7 +106,13 @@ def percentile_disc(df: DataFrame, value: str, probs: dict[str, float], keys=(),
     independent of the partitioning; no group is held in one task.
     """
     keys = list(keys)
-    h = ranked_histogram(df.filter(F.col(value).isNotNull()), value, keys, num_ranges=num_ranges)
+    src = df.filter(F.col(value).isNotNull())
+    if groups_within(src, keys):
+        vals = F.sort_array(F.collect_list(value))
+        out = src.groupBy(*keys).agg(vals.alias("__s"), F.count(F.lit(1)).alias("__n"))
+        return out.select(*keys, *[F.element_at("__s", F.ceil(F.lit(Decimal(str(p))) * F.col("__n")).cast("int"))
+                                   .alias(name) for name, p in probs.items()])
+    h = ranked_histogram(src, value, keys, num_ranges=num_ranges)
     picks = []
     for name, p in probs.items():
         target = F.ceil(F.lit(Decimal(str(p))) * F.col("__n"))
@@ -122,6 +150,8 @@ def smallest_values(df: DataFrame, value: str, keys, limit: int, distinct: bool
     src = df.select(*keys, value).filter(F.col(value).isNotNull())
     if distinct:
         src = src.distinct()
+    if groups_within(src, keys):
+        return src.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(value)), 1, limit).alias(value))
     h = ranked_histogram(src, value, keys)
     take = F.least(F.col("__c"), F.lit(limit) - F.col("__lt")).cast("int")
     return (h.filter(F.col("__lt") < limit)
