@@ -1,0 +1,30 @@
+"""The streaming runner ends with the same result as the batch analysis."""
+
+from ledgerlens.operators import transactions as tx
+from ledgerlens.sources.model import SCHEMAS
+from ledgerlens.sources.tables import BankTables
+from ledgerlens.streaming import refresh_on_arrival
+from conftest import SF_SMALL
+
+
+def test_velocity_stays_current(spark, tmp_path):
+    t = BankTables.from_testdata(spark, SF_SMALL)
+    src = tmp_path / "incoming"
+    # two arrival files of transactions
+    rows = t.transactions.orderBy("transaction_id")
+    n = rows.count()
+    first, second = rows.limit(n // 2), rows.subtract(rows.limit(n // 2))
+    first.write.parquet(str(src / "part1"))
+    second.write.parquet(str(src / "part2"))
+    stream = (spark.readStream.schema(SCHEMAS["transactions"])
+              .option("recursiveFileLookup", "true").parquet(str(src)))
+    accounts = t.accounts
+    q = refresh_on_arrival(stream, str(tmp_path / "table"), str(tmp_path / "out"),
+                           lambda all_tx: tx.transaction_velocity(all_tx, accounts),
+                           str(tmp_path / "ckpt"), available_now=True)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = tx.transaction_velocity(t.transactions, accounts)
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
