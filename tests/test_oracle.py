@@ -65,3 +65,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert "customer_id" in df.columns
+
+
+# analyses whose adaptive operators (ranks, percentiles, bounded lists,
+# per-key sequences) take the range-partitioned path when groups are large:
+# forced onto it here, they must still match the oracle exactly
+SLICED = ["service_levels", "card_fraud", "branch_migration", "product_migration", "counterparty_risk",
+          "employee_productivity", "demographic_targeting", "recovery_rate", "credit_risk_portfolio",
+          "interest_rate_risk", "compliance_aml", "regulatory_compliance"]
+
+
+@pytest.mark.parametrize("name", SLICED)
+def test_sliced_path_matches_oracle(spark, duck, name, monkeypatch):
+    from ledgerlens.plans import ranking
+    monkeypatch.setattr(ranking, "GROUP_BOUND", 0)
+    test_matches_oracle(spark, duck, name)
