@@ -146,6 +146,12 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'suspicious_date_count': 'i',
                     'suspicious_dates': 'at'},
  'compliance_aml_dates': {'customer_id': 'i', 'suspicious_indicator': 's', 'transaction_date': 't'},
+ 'compliance_aml_dense': {'customer_id': 'i',
+                          'suspicious_indicator': 's',
+                          'alert_count': 'i',
+                          'total_suspicious_amount': 'f',
+                          'suspicious_date_count': 'i',
+                          'suspicious_dates': 'at'},
  'compliance_credit': {'compliance_issue': 's',
                        'non_compliant_cards': 'i',
                        'avg_balance': 'f',
@@ -637,6 +643,11 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'alert_count': 'i',
                            'total_alert_amount': 'f',
                            'suspicious_transactions': 'ai'},
+ 'regulatory_compliance_dense': {'customer_id': 'i',
+                                 'compliance_alert_level': 's',
+                                 'alert_count': 'i',
+                                 'total_alert_amount': 'f',
+                                 'suspicious_transactions': 'ai'},
  'relationship_network': {'customer_id': 'i',
                           'first_name': 's',
                           'last_name': 's',
@@ -722,6 +733,13 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'p95_processing_time': 'f',
                     'service_level_agreement': 's',
                     'performance_rating': 's'},
+ 'service_levels_dense': {'account_type': 's',
+                          'transaction_type': 's',
+                          'avg_processing_time': 'f',
+                          'transaction_count': 'i',
+                          'p95_processing_time': 'f',
+                          'service_level_agreement': 's',
+                          'performance_rating': 's'},
  'single_product_customers': {'state': 's', 'customer_type': 's', 'cross_sell_opportunities': 'i'},
  'strategic_planning': {'state': 's',
                         'customer_base': 'i',
@@ -755,6 +773,13 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'z_score': 'f',
                            'balance': 'f',
                            'account_avg_amount': 'f'},
+ 'transaction_anomalies_dense': {'transaction_id': 'i',
+                                 'account_id': 'i',
+                                 'amount': 'f',
+                                 'transaction_type': 's',
+                                 'z_score': 'f',
+                                 'balance': 'f',
+                                 'account_avg_amount': 'f'},
  'transaction_segmentation': {'customer_id': 'i',
                               'total_transactions': 'i',
                               'avg_transaction_amount': 'f',

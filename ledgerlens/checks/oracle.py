@@ -1127,6 +1127,16 @@ SELECT *, {case_gt("liquidity_ratio", [(2.0, "EXCELLENT"), (1.5, "ADEQUATE"), (1
 FROM s"""
 
 
+# ------------------------------------------------------------------ dense variants
+def _dense(sql: str) -> str:
+    """The same SQL over ``transactions_dense``."""
+    return re.sub(r"\btransactions\b(?!_dense)", "transactions_dense", sql)
+
+
+for _name in ("service_levels", "transaction_anomalies", "regulatory_compliance", "compliance_aml"):
+    SQL[_name + "_dense"] = _dense(SQL[_name])
+
+
 def tables_used(sql: str) -> list[str]:
     return [n for n in MAPPINGS if re.search(rf"\b{n}\b", sql)]
 

@@ -53,6 +53,12 @@ def _load():
     _reg("fee_income", "transactions")(lambda t: tx.fee_income(t.transactions, t.accounts, t.customers))
     _reg("seasonal_patterns", "transactions")(lambda t: tx.seasonal_patterns(t.transactions, t.accounts, t.loans))
     _reg("transaction_anomalies", "transactions")(lambda t: tx.transaction_anomalies(t.transactions, t.accounts))
+    # the dense event-based transactions: microsecond times, NULL descriptions,
+    # many rows per account and day
+    _reg("service_levels_dense", "transactions")(
+        lambda t: tx.service_levels(t.transactions_dense, t.accounts, t.loans))
+    _reg("transaction_anomalies_dense", "transactions")(
+        lambda t: tx.transaction_anomalies(t.transactions_dense, t.accounts))
     from ledgerlens.operators import accounts as ac
     from ledgerlens.operators import branches as br
     _reg("account_aging", "accounts")(lambda t: ac.account_aging(t.accounts, t.transactions, as_of=AS_OF))
@@ -143,6 +149,10 @@ def _load():
         lambda t: co.counterparty_risk(t.customers, t.accounts, t.loans, t.account_beneficiaries))
     _reg("regulatory_compliance", "compliance")(
         lambda t: co.regulatory_compliance(t.transactions, t.accounts, t.customers))
+    _reg("regulatory_compliance_dense", "compliance")(
+        lambda t: co.regulatory_compliance(t.transactions_dense, t.accounts, t.customers))
+    _reg("compliance_aml_dense", "compliance")(
+        lambda t: co.compliance_aml(t.transactions_dense, t.accounts, t.customers))
     _reg("regulatory_alerts", "compliance")(
         lambda t: co.regulatory_alerts(t.transactions, t.accounts, t.customers))
     _reg("reporting_framework", "reporting")(
