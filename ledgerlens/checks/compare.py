@@ -7,7 +7,8 @@ Both engines are asked for the same canonical column types:
   integers                              -> BIGINT
   booleans                              -> 'true' / 'false'
   dates                                 -> 'YYYY-MM-DD'
-  timestamps                            -> 'YYYY-MM-DD HH:MM:SS.ffffff'
+  timestamps                            -> 'YYYY-MM-DD HH:MM:SS.ffffff' (wall time,
+                                           whatever the session time zone)
   arrays                                -> elements in canonical form, sorted,
                                            joined by ','
 The kinds of a result's columns are read from its Spark schema; the same
@@ -54,9 +55,12 @@ def _spark_canon(c: Column, kind: str) -> Column:
     if kind == "b":
         return c.cast("string")
     if kind == "d":
-        return F.date_format(c, "yyyy-MM-dd")
+        return c.cast("string")
     if kind == "t":
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        # date_format goes through the session time zone (a wall time in a DST
+        # gap would shift); the cast to string does not.  Pad the fraction.
+        text = c.cast("string")
+        return F.when(F.instr(text, ".") == 0, F.concat(text, F.lit(".000000"))).otherwise(F.rpad(text, 26, "0"))
     if kind.startswith("a"):
         inner = kind[1:]
         as_text = F.transform(c, lambda x: _spark_canon(x, inner).cast("string"))

@@ -80,3 +80,19 @@ def test_sliced_path_matches_oracle(spark, duck, name, monkeypatch):
     from ledgerlens.plans import ranking
     monkeypatch.setattr(ranking, "GROUP_BOUND", 0)
     test_matches_oracle(spark, duck, name)
+
+
+# results must not depend on the session time zone (the driver's session is
+# not ours); these carry timestamps, dates, hours and day-of-week logic
+TZ_SENSITIVE = ["compliance_aml_dates", "compliance_aml", "card_fraud", "customer_360", "digital_engagement",
+                "service_levels", "transaction_velocity", "cash_flow", "early_warning", "liquidity"]
+
+
+@pytest.mark.parametrize("name", TZ_SENSITIVE)
+def test_time_zone_independent(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_matches_oracle(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
