@@ -17,10 +17,12 @@ checkpoint folder) so that the range ids read by steps 3 and 4 come from one
 materialisation.  Ties get equal ranks; nulls sort first when ascending and
 last when descending, as Spark's window functions do.
 
-Small groups take a direct path: one cheap aggregate measures the largest
-group, and when every group holds at most ``GROUP_BOUND`` rows the plain
-window (or a sorted list of at most that many values) is exact and bounded
-per task, without the sampling and checkpoint jobs.
+Only large groups take that path.  One cheap aggregate finds the key groups
+holding more than ``GROUP_BOUND`` rows (there are at most rows / bound of
+them); all other groups take the direct path -- the plain window, or a sorted
+list of at most ``GROUP_BOUND`` values -- which is exact and bounded per task,
+and the two results are unioned (``split_by_size``).  So one hot key does not
+send the whole table through the sampling and checkpoint jobs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ from ledgerlens.session import ensure_checkpoint_dir
 
 # Largest group (rows) handled in one task by the direct path.
 GROUP_BOUND = 100_000
+# At most this many hot keys are collected and broadcast to split the rows
+# (a proven bound); more are split with a shuffle join instead.
+HOT_KEYS_BROADCAST = 10_000
 
 
 def groups_within(df: DataFrame, keys, bound: int | None = None) -> bool:
@@ -46,6 +51,33 @@ def groups_within(df: DataFrame, keys, bound: int | None = None) -> bool:
     return biggest is None or biggest <= bound
 
 
+def split_by_size(df: DataFrame, keys, bound: int | None = None):
+    """(rows of key groups within ``bound`` rows, rows of larger groups); a
+    side is None when empty.  Without keys the whole frame is one group."""
+    bound = GROUP_BOUND if bound is None else bound
+    keys = list(keys)
+    if not keys:
+        return (df, None) if groups_within(df, keys, bound) else (None, df)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__g"))
+           .filter(F.col("__g") > bound).select(*keys))
+    sample = hot.limit(HOT_KEYS_BROADCAST + 1).collect()
+    if not sample:
+        return df, None
+    if len(sample) <= HOT_KEYS_BROADCAST:
+        hot = F.broadcast(df.sparkSession.createDataFrame(sample, hot.schema))
+    hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
+    cond = [df[k].eqNullSafe(hot[f"__h_{k}"]) for k in keys]
+    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
+
+
+def union_parts(*parts: DataFrame | None) -> DataFrame:
+    present = [p for p in parts if p is not None]
+    out = present[0]
+    for p in present[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def ranked_histogram(df: DataFrame, value: str, keys=(), descending: bool = False,
                      num_ranges: int | None = None) -> DataFrame:
     """Rows (keys..., value, __c, __lt, __n): the count of ``value`` in its key
@@ -84,10 +116,17 @@ def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
     """``df`` plus ``out`` = percent_rank() over (partition by keys order by
     ``order_col``), identical to the window function's result."""
     keys = list(partition_by)
-    if groups_within(df, keys):
-        v = F.col(order_col)
-        order = v.desc_nulls_last() if descending else v.asc_nulls_first()
-        return df.withColumn(out, F.percent_rank().over(Window.partitionBy(*keys).orderBy(order)))
+    small, big = split_by_size(df, keys)
+    v = F.col(order_col)
+    order = v.desc_nulls_last() if descending else v.asc_nulls_first()
+    direct = small.withColumn(out, F.percent_rank().over(Window.partitionBy(*keys).orderBy(order))) \
+        if small is not None else None
+    if big is None:
+        return direct
+    return union_parts(direct, _percent_rank_ranged(big, order_col, out, keys, descending, num_ranges))
+
+
+def _percent_rank_ranged(df, order_col, out, keys, descending, num_ranges):
     h = ranked_histogram(df, order_col, keys, descending, num_ranges)
     ranks = h.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
                      F.col(order_col).alias("__v"),
@@ -106,19 +145,22 @@ def percentile_disc(df: DataFrame, value: str, probs: dict[str, float], keys=(),
     independent of the partitioning; no group is held in one task.
     """
     keys = list(keys)
-    src = df.filter(F.col(value).isNotNull())
-    if groups_within(src, keys):
+    small, big = split_by_size(df.filter(F.col(value).isNotNull()), keys)
+    direct = None
+    if small is not None:
         vals = F.sort_array(F.collect_list(value))
-        out = src.groupBy(*keys).agg(vals.alias("__s"), F.count(F.lit(1)).alias("__n"))
-        return out.select(*keys, *[F.element_at("__s", F.ceil(F.lit(Decimal(str(p))) * F.col("__n")).cast("int"))
-                                   .alias(name) for name, p in probs.items()])
-    h = ranked_histogram(src, value, keys, num_ranges=num_ranges)
+        out = small.groupBy(*keys).agg(vals.alias("__s"), F.count(F.lit(1)).alias("__n"))
+        direct = out.select(*keys, *[F.element_at("__s", F.ceil(F.lit(Decimal(str(p))) * F.col("__n")).cast("int"))
+                                     .alias(name) for name, p in probs.items()])
+    if big is None:
+        return direct
+    h = ranked_histogram(big, value, keys, num_ranges=num_ranges)
     picks = []
     for name, p in probs.items():
         target = F.ceil(F.lit(Decimal(str(p))) * F.col("__n"))
         hit = (F.col("__lt") < target) & (target <= F.col("__lt") + F.col("__c"))
         picks.append(F.max(F.when(hit, F.col(value))).alias(name))
-    return h.groupBy(*keys).agg(*picks)
+    return union_parts(direct, h.groupBy(*keys).agg(*picks))
 
 
 def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str, float],
@@ -150,10 +192,13 @@ def smallest_values(df: DataFrame, value: str, keys, limit: int, distinct: bool
     src = df.select(*keys, value).filter(F.col(value).isNotNull())
     if distinct:
         src = src.distinct()
-    if groups_within(src, keys):
-        return src.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(value)), 1, limit).alias(value))
-    h = ranked_histogram(src, value, keys)
+    small, big = split_by_size(src, keys)
+    direct = small.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(value)), 1, limit).alias(value)) \
+        if small is not None else None
+    if big is None:
+        return direct
+    h = ranked_histogram(big, value, keys)
     take = F.least(F.col("__c"), F.lit(limit) - F.col("__lt")).cast("int")
-    return (h.filter(F.col("__lt") < limit)
-            .groupBy(*keys)
-            .agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), take)))).alias(value)))
+    return union_parts(direct, h.filter(F.col("__lt") < limit)
+                       .groupBy(*keys)
+                       .agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), take)))).alias(value)))

@@ -15,9 +15,10 @@ their running offsets per key, and the running sums inside the slice.  Rows
 with equal order values stay in one slice (the range partitioner sends equal
 sort keys to the same range), so RANGE frames that include peers are exact.
 
-When every key group is within ``ranking.GROUP_BOUND`` rows (one cheap
-aggregate decides), the plain window is used.  The sliced rows are
-checkpointed in the session's checkpoint folder so slice ids stay stable.
+Only the keys holding more than ``ranking.GROUP_BOUND`` rows are sliced
+(``ranking.split_by_size``); every other key takes the plain window, and the
+two parts are unioned.  The sliced rows are checkpointed in the session's
+checkpoint folder so slice ids stay stable.
 """
 
 from __future__ import annotations
@@ -50,11 +51,15 @@ def neighbors(df: DataFrame, keys, order: list[Column], cols, step: int = 1, pre
               direct: bool | None = None) -> DataFrame:
     """``df`` plus ``prefix + c`` = lag (step=1) or lead (step=-1) of each
     column over (partition by keys order by ``order``).  ``order`` must be a
-    total order inside a key for the result to be deterministic."""
+    total order inside a key for the result to be deterministic.  ``direct``
+    forces the plain window (True) or the sliced path (False) for all keys."""
     keys, cols = list(keys), list(cols)
     fn = F.lag if step == 1 else F.lead
     if direct is None:
-        direct = ranking.groups_within(df, keys)
+        small, big = ranking.split_by_size(df, keys)
+        return ranking.union_parts(
+            *[neighbors(part, keys, order, cols, step, prefix, direct=d)
+              for part, d in ((small, True), (big, False)) if part is not None])
     if direct:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[fn(c).over(w).alias(prefix + c) for c in cols])
@@ -86,7 +91,10 @@ def running_stats(df: DataFrame, keys, order_col: str, value: str, avg_name: str
     keys = list(keys)
     order = F.col(order_col).asc_nulls_first()
     if direct is None:
-        direct = ranking.groups_within(df, keys)
+        small, big = ranking.split_by_size(df, keys)
+        return ranking.union_parts(
+            *[running_stats(part, keys, order_col, value, avg_name, std_name, direct=d)
+              for part, d in ((small, True), (big, False)) if part is not None])
     if direct:
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn(avg_name, F.avg(value).over(w)).withColumn(std_name, F.stddev(value).over(w))

@@ -75,10 +75,13 @@ SLICED = ["service_levels", "card_fraud", "branch_migration", "product_migration
           "interest_rate_risk", "compliance_aml", "regulatory_compliance"]
 
 
+@pytest.mark.parametrize("bound", [0, 40])
 @pytest.mark.parametrize("name", SLICED)
-def test_sliced_path_matches_oracle(spark, duck, name, monkeypatch):
+def test_sliced_path_matches_oracle(spark, duck, name, bound, monkeypatch):
+    """bound 0: every group takes the ranged/sliced path; bound 40: only the
+    groups above 40 rows do, the others the direct path."""
     from ledgerlens.plans import ranking
-    monkeypatch.setattr(ranking, "GROUP_BOUND", 0)
+    monkeypatch.setattr(ranking, "GROUP_BOUND", bound)
     test_matches_oracle(spark, duck, name)
 
 

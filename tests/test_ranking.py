@@ -23,10 +23,17 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id int, k string, v double")
 
 
-@pytest.fixture(params=["direct", "distributed"])
+@pytest.fixture(params=["direct", "distributed", "mixed", "mixed-shuffle-split"])
 def path(request, monkeypatch):
+    """direct: every group small; distributed: every group over the bound;
+    mixed: only the hot key over the bound (its rows take the ranged path,
+    the rest the direct path), with the hot keys broadcast or shuffle-joined."""
     if request.param == "distributed":
         monkeypatch.setattr(ranking, "GROUP_BOUND", 0)
+    if request.param.startswith("mixed"):
+        monkeypatch.setattr(ranking, "GROUP_BOUND", 200)
+    if request.param == "mixed-shuffle-split":
+        monkeypatch.setattr(ranking, "HOT_KEYS_BROADCAST", 0)
     return request.param
 
 

@@ -24,12 +24,14 @@ def events(spark):
     return spark.createDataFrame(rows, "id int, k int, t int, v decimal(10,2), city string")
 
 
-@pytest.fixture(params=[3, 16, 61])
+@pytest.fixture(params=[(0, 3), (0, 16), (0, 61), (300, 16)])
 def sliced(request, spark, monkeypatch):
-    """Force the sliced path, with several slice counts (slice edges move)."""
-    monkeypatch.setattr(ranking, "GROUP_BOUND", 0)
+    """Force the sliced path for every key (bound 0) with several slice
+    counts, or only for the hot key (bound 300: key 1 holds 1334 rows)."""
+    bound, slices = request.param
+    monkeypatch.setattr(ranking, "GROUP_BOUND", bound)
     old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.shuffle.partitions", str(slices))
     yield request.param
     spark.conf.set("spark.sql.shuffle.partitions", old)
 
