@@ -1,8 +1,8 @@
 """Bank-wide reports: the four-part reporting framework and liquidity.
 
 One-row figures are aggregates with partial aggregation on every task;
-they are combined by broadcast cross joins of frames that are one row by
-construction.
+they are combined by broadcast joins of frames that are one row by
+construction (``plans.attach_one_row``).
 """
 
 from __future__ import annotations
@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import above, as_of_date, ratio
 from ledgerlens.operators.customers import active
-from ledgerlens.plans import profile
+from ledgerlens.plans import attach_one_row, profile
 
 
 def _one_row_join(*frames: DataFrame) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.crossJoin(F.broadcast(f))
-    return out
+    return attach_one_row(frames[0], *frames[1:])
 
 
 # ---------------------------------------------------------------- A08

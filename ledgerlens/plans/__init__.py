@@ -3,8 +3,8 @@
 * ``with_totals`` / ``with_quantiles``: compare rows with whole-table
   figures without ``Window.partitionBy()`` (which moves the whole input into
   one task).  The figure is a one-row aggregate (partial aggregation on every
-  task, one tiny final merge), attached by a broadcast cross join of a frame
-  that is one row by construction.
+  task, one tiny final merge), attached to every row from a broadcast of a
+  frame that is one row by construction (``attach_one_row``).
 * ``percent_rank`` / ``percentile_disc``: the global (or per-key)
   ``percent_rank`` and exact percentiles over inputs of any size, by range
   partitioning a value histogram (``with_percentiles`` attaches them).
@@ -12,7 +12,7 @@
   with 0 the way the analyses fill them.
 """
 
-from ledgerlens.plans.globals import with_quantiles, with_totals  # noqa: F401
+from ledgerlens.plans.globals import attach_one_row, with_quantiles, with_totals  # noqa: F401
 from ledgerlens.plans.ranking import (percent_rank, percentile_disc, smallest_values,  # noqa: F401
                                       with_percentiles)
 from ledgerlens.plans.joins import profile  # noqa: F401

@@ -174,7 +174,8 @@ def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str,
     else:
         q = percentile_disc(df, value, probs, keys)
     if not keys:
-        return agg.crossJoin(F.broadcast(q))
+        from ledgerlens.plans.globals import attach_one_row
+        return attach_one_row(agg, q)
     q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *probs)
     cond = [agg[k].eqNullSafe(q[f"__k_{k}"]) for k in keys]
     return agg.join(q, cond, "left").drop(*[f"__k_{k}" for k in keys])
@@ -202,3 +203,23 @@ def smallest_values(df: DataFrame, value: str, keys, limit: int, distinct: bool
     return union_parts(direct, h.filter(F.col("__lt") < limit)
                        .groupBy(*keys)
                        .agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), take)))).alias(value)))
+
+
+def ntile(df: DataFrame, order_cols, n: int, out: str, num_ranges: int | None = None) -> DataFrame:
+    """``df`` plus ``out`` = ntile(n) over a global ascending order on
+    ``order_cols`` (NULLs first), which must be a total order.  Up to
+    ``GROUP_BOUND`` rows this is the plain window; beyond, each row's position
+    comes from the ranked histogram of the order tuple and the bucket follows
+    the window's rule (the first N mod n buckets hold one row more)."""
+    order_cols = list(order_cols)
+    if groups_within(df, []):
+        return df.withColumn(out, F.ntile(n).over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])))
+    h = ranked_histogram(df.withColumn("__o", F.struct(*order_cols)), "__o", num_ranges=num_ranges)
+    i, total = F.col("__lt") + 1, F.col("__n")
+    size, rem = F.floor(total / n), total % n
+    big_rows = rem * (size + 1)
+    bucket = (F.when(i <= big_rows, F.floor((i - 1) / (size + 1)) + 1)
+              .otherwise(rem + F.floor(F.try_divide(i - 1 - big_rows, size)) + 1))
+    pos = h.select(*[F.col("__o")[c].alias(f"__p_{c}") for c in order_cols], bucket.cast("int").alias(out))
+    cond = [df[c].eqNullSafe(pos[f"__p_{c}"]) for c in order_cols]
+    return df.join(pos, cond).drop(*[f"__p_{c}" for c in order_cols])

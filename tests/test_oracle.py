@@ -72,7 +72,8 @@ def test_entry_smoke(spark):
 # forced onto it here, they must still match the oracle exactly
 SLICED = ["service_levels", "card_fraud", "branch_migration", "product_migration", "counterparty_risk",
           "employee_productivity", "demographic_targeting", "recovery_rate", "credit_risk_portfolio",
-          "interest_rate_risk", "compliance_aml", "regulatory_compliance"]
+          "interest_rate_risk", "compliance_aml", "regulatory_compliance", "operational_efficiency",
+          "market_position", "strategic_planning"]
 
 
 @pytest.mark.parametrize("bound", [0, 40])

@@ -8,8 +8,9 @@ from ledgerlens.registry import registry
 from ledgerlens.sources.tables import BankTables
 from conftest import SF_SMALL
 
-# bounded inputs: branches (ntile), states (percent_rank), and the direct
-# path of the distributed percent_rank, taken only below its group bound
+# the direct paths of plans.ntile / plans.percent_rank (branches, states,
+# borrowers): a plain global window, taken only when the input is within the
+# group bound, otherwise the distributed path
 BOUNDED_GLOBAL_WINDOWS = {"operational_efficiency", "market_position", "strategic_planning",
                           "counterparty_risk"}
 

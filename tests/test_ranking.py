@@ -84,3 +84,13 @@ def test_with_percentiles_keeps_groups_without_values(spark, path):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "k string, v double")
     out = {r["k"]: r["med"] for r in ranking.with_percentiles(agg, df, "v", {"med": 0.5}, ["k"]).collect()}
     assert out == {"a": 1.0, "b": None}
+
+
+def test_ntile_matches_window(spark, path):
+    rows = [(i, None if i % 11 == 0 else (i * 7919) % 50) for i in range(203)]
+    df = spark.createDataFrame(rows, "id int, score int")
+    want = df.withColumn("q", F.ntile(4).over(Window.orderBy(F.col("score").asc_nulls_first(), "id")))
+    got = ranking.ntile(df, ["score", "id"], 4, "q", num_ranges=5)
+    assert _by_id(got, "q") == _by_id(want, "q")
+    few = df.limit(3)
+    assert sorted(r["q"] for r in ranking.ntile(few, ["score", "id"], 4, "q").collect()) == [1, 2, 3]
