@@ -6,7 +6,6 @@ DataFrames.  ``build_session`` is for tests, the bench and local runs.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 -- core conf not settable at runtime here
+            pass
     try:
         spark.sparkContext.setCheckpointDir(d)
     except Exception:  # noqa: BLE001 -- Spark Connect: the server reads the conf
@@ -54,5 +56,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_dir() -> str:
-    return tempfile.mkdtemp(prefix="ledgerlens-run-", dir=os.environ.get("TMPDIR", "/tmp"))
