@@ -4,7 +4,10 @@ Both engines are asked for the same canonical column types:
   fractional numbers (DECIMAL, DOUBLE)  -> DOUBLE rounded to 6 places as
                                            floor(x * 1e6 + 0.5) / 1e6, the same
                                            IEEE operations in both engines
-  integers                              -> BIGINT
+  integers                              -> decimal digits as text (an integer
+                                           column with NULLs would otherwise
+                                           become float in one engine's pandas
+                                           form and nullable int in the other)
   booleans                              -> 'true' / 'false'
   dates                                 -> 'YYYY-MM-DD'
   timestamps                            -> 'YYYY-MM-DD HH:MM:SS.ffffff' (wall time,
@@ -51,7 +54,7 @@ def _spark_canon(c: Column, kind: str) -> Column:
         d = c.cast("double")
         return F.when(F.abs(d) < 1e12, F.floor(d * 1e6 + 0.5) / 1e6).otherwise(d)
     if kind == "i":
-        return c.cast("bigint")
+        return c.cast("bigint").cast("string")
     if kind == "b":
         return c.cast("string")
     if kind == "d":
@@ -77,7 +80,7 @@ def _sql_canon(expr: str, kind: str) -> str:
         d = f"CAST({expr} AS DOUBLE)"
         return f"CASE WHEN abs({d}) < 1e12 THEN floor({d} * 1e6 + 0.5) / 1e6 ELSE {d} END"
     if kind == "i":
-        return f"CAST({expr} AS BIGINT)"
+        return f"CAST(CAST({expr} AS BIGINT) AS VARCHAR)"
     if kind == "b":
         return f"CAST({expr} AS VARCHAR)"
     if kind == "d":
