@@ -43,6 +43,15 @@ class BankTables:
             return spark.read.schema(schema).parquet(f"{root}/{name}")
         return cls(load)
 
+    def write_parquet(self, root: str, names=None, mode: str = "errorifexists") -> None:
+        """Write tables as ``root/<table>`` parquet in the fixed schemas (column
+        order and types), the layout ``from_parquet`` reads."""
+        from pyspark.sql import functions as F
+        for name in names or SCHEMAS:
+            schema = SCHEMAS["transactions" if name == "transactions_dense" else name]
+            df = self[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+            df.write.mode(mode).parquet(f"{root}/{name}")
+
     @classmethod
     def from_frames(cls, **frames: DataFrame) -> "BankTables":
         def load(name: str) -> DataFrame:
