@@ -39,11 +39,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (local tests) is a fresh scratch
-    folder created.
+    as is (unset on a cluster is an error, never a machine-local folder).
+    Only a local session without the setting (tests) gets a fresh scratch
+    folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
+                               "(the distributed rank and sequence paths checkpoint there)")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
