@@ -16,6 +16,7 @@ from ledgerlens.plans import attach_one_row, profile
 
 
 def _one_row_join(*frames: DataFrame) -> DataFrame:
+    """One row from several one-row aggregates."""
     return attach_one_row(frames[0], *frames[1:])
 
 
@@ -50,6 +51,7 @@ def product_dashboard(accounts: DataFrame, loans: DataFrame, credit_cards: DataF
 
 
 def regional_performance(branches: DataFrame, accounts: DataFrame, employees: DataFrame) -> DataFrame:
+    """Per branch: accounts, deposits, staff and two per-employee ratios (NULL without staff)."""
     acc = accounts.groupBy("branch_id").agg(F.count(F.lit(1)).alias("accounts"), F.sum("balance").alias("deposits"))
     emp = employees.groupBy("branch_id").agg(F.count(F.lit(1)).alias("employees"), F.avg("salary").alias("avg_salary"))
     return (profile(branches, "branch_id", acc, emp)
@@ -58,6 +60,7 @@ def regional_performance(branches: DataFrame, accounts: DataFrame, employees: Da
 
 
 def risk_overview(loans: DataFrame) -> DataFrame:
+    """One row: defaulted loans against all loans, by count and by amount."""
     defaulted = loans.filter(F.col("status") == "DEFAULTED").agg(
         F.count(F.lit(1)).alias("defaulted_loans"), F.sum("loan_amount").alias("defaulted_amount"))
     total = loans.agg(F.count(F.lit(1)).alias("total_loans"), F.sum("loan_amount").alias("total_loan_amount"))
