@@ -202,9 +202,9 @@ SELECT *,
 FROM s
 WINDOW w AS (PARTITION BY account_type, transaction_month ORDER BY transaction_year)"""
 
-SQL["transaction_anomalies"] = """
+SQL["transaction_anomalies"] = f"""
 WITH st AS (
-  SELECT account_id, AVG(amount) AS account_avg_amount, STDDEV_SAMP(amount) AS account_std_amount
+  SELECT account_id, {havg("amount")} AS account_avg_amount, STDDEV_SAMP(amount) AS account_std_amount
   FROM transactions GROUP BY account_id),
 j AS (
   SELECT t.transaction_id, t.account_id, t.amount, t.transaction_type, a.balance, st.account_avg_amount,
