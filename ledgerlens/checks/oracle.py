@@ -17,7 +17,8 @@ from __future__ import annotations
 import re
 
 from ledgerlens.checks.compare import wrap_sql
-from ledgerlens.checks.sqlkit import *  # noqa: F401,F403
+from ledgerlens.checks.sqlkit import (D, D_LIQ, age_band, age_years, case_gt, dbl, div, flags, havg, hdiv,
+                                      joins, ladder_eq, months_between, wsum, zfill)
 from ledgerlens.sources.testdata import MAPPINGS, cte_sql
 
 
