@@ -1,8 +1,9 @@
 """DuckDB oracle: the same analyses written independently as SQL.
 
 Each entry is plain DuckDB SQL over the ten banking tables (plus
-``transactions_dense``); ``oracle_sql`` prefixes the CTEs that map the test
-tables onto them and wraps the result in the canonical compare form.
+``transactions_dense``), kept per analysis family in ``checks/sql/``;
+``oracle_sql`` prefixes the CTEs that map the test tables onto them and wraps
+the result in the canonical compare form.
 
 Conventions that mirror Spark's semantics:
 * ``x / NULLIF(y, 0)`` on DOUBLE operands for ratios (Spark: try_divide);
@@ -17,1115 +18,13 @@ from __future__ import annotations
 import re
 
 from ledgerlens.checks.compare import wrap_sql
-from ledgerlens.checks.sqlkit import (D, D_LIQ, age_band, age_years, case_gt, dbl, div, flags, havg, hdiv,
-                                      joins, ladder_eq, months_between, wsum, zfill)
+from ledgerlens.checks.sql import (accounts, branches, compliance, credit, customers, reporting,
+                                   transactions)
 from ledgerlens.sources.testdata import MAPPINGS, cte_sql
 
-
 SQL: dict[str, str] = {}
-
-
-def _velocity(table: str) -> str:
-    return f"""
-WITH daily AS (
-  SELECT account_id, CAST(transaction_date AS DATE) AS transaction_date_only,
-         COUNT(*) AS daily_transaction_count,
-         SUM(amount) AS daily_transaction_amount,
-         AVG(amount) AS avg_transaction_amount,
-         COUNT(DISTINCT transaction_type) AS unique_transaction_types
-  FROM {table}
-  WHERE account_id IN (SELECT account_id FROM accounts)
-  GROUP BY 1, 2),
-r AS (
-  SELECT *, AVG(daily_transaction_count) OVER (
-      PARTITION BY account_id ORDER BY transaction_date_only
-      ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling_avg_7d
-  FROM daily),
-l AS (
-  SELECT *, CASE WHEN daily_transaction_count > rolling_avg_7d * 3 THEN 'HIGH_VELOCITY'
-                 WHEN daily_transaction_amount > 10000 THEN 'LARGE_AMOUNT'
-                 ELSE 'NORMAL' END AS velocity_alert
-  FROM r)
-SELECT * FROM l WHERE velocity_alert <> 'NORMAL'"""
-
-
-SQL["transaction_velocity"] = _velocity("transactions")
-SQL["transaction_velocity_dense"] = _velocity("transactions_dense")
-
-
-_FLOWS = f"""
-WITH m AS (
-  SELECT a.customer_id, date_trunc('month', t.transaction_date) AS transaction_month,
-         CASE WHEN t.transaction_type IN ('DEPOSIT','TRANSFER') THEN 'INFLOW'
-              WHEN t.transaction_type IN ('WITHDRAWAL','PAYMENT') THEN 'OUTFLOW'
-              ELSE 'OTHER' END AS flow_type,
-         SUM(t.amount) AS total_amount
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-  GROUP BY 1, 2, 3),
-f AS (
-  SELECT customer_id, flow_type,
-         {havg("total_amount")} AS avg_monthly_flow,
-         STDDEV_SAMP(total_amount) AS flow_volatility,
-         SUM(total_amount) AS total_flow,
-         COUNT(*) AS months_analyzed,
-         (CASE WHEN flow_type = 'INFLOW' THEN 1 WHEN flow_type = 'OUTFLOW' THEN -1 ELSE 0 END)
-           * {havg("total_amount")} AS net_flow_ratio
-  FROM m GROUP BY 1, 2)"""
-
-SQL["cash_flow_net"] = _FLOWS + "\nSELECT * FROM f"
-SQL["cash_flow"] = _FLOWS + "\nSELECT customer_id,\n" + ",\n".join(
-    f"  COALESCE(SUM(CASE WHEN flow_type = '{ft}' THEN {m} END), 0) AS {ft}_{m}"
-    for ft in ("INFLOW", "OUTFLOW", "OTHER") for m in ("avg_monthly_flow", "flow_volatility")
-) + "\nFROM f GROUP BY customer_id"
-
-SQL["transaction_segmentation"] = """
-WITH ct AS (
-  SELECT a.customer_id, COUNT(*) AS total_transactions,
-         AVG(t.amount) AS avg_transaction_amount,
-         STDDEV_SAMP(t.amount) AS std_transaction_amount,
-         SUM(t.amount) AS total_transaction_volume,
-         COUNT(DISTINCT t.transaction_type) AS unique_transaction_types
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-  GROUP BY a.customer_id),
-ca AS (
-  SELECT customer_id, COUNT(*) AS total_accounts, SUM(balance) AS total_balance,
-         AVG(balance) AS avg_balance
-  FROM accounts GROUP BY customer_id)
-SELECT ct.*, ca.total_accounts, ca.total_balance, ca.avg_balance,
-       CASE WHEN total_transactions > 100 THEN 'HIGH' WHEN total_transactions > 50 THEN 'MEDIUM'
-            ELSE 'LOW' END AS transaction_frequency_segment,
-       CASE WHEN total_balance > 100000 THEN 'WEALTHY' WHEN total_balance > 50000 THEN 'AFFLUENT'
-            ELSE 'STANDARD' END AS balance_segment
-FROM ct JOIN ca ON ct.customer_id = ca.customer_id"""
-
-_EPOCH = "CAST(floor(epoch_us({c}) / 1000000) AS BIGINT)"
-_TX_ORDER = ", ".join(f"t.{c} NULLS FIRST" for c in (
-    "transaction_date", "transaction_id", "transaction_type", "amount", "description",
-    "related_account_id", "transaction_status"))
-
-SQL["service_levels"] = f"""
-WITH s AS (
-  SELECT t.account_id, t.transaction_type,
-         ({_EPOCH.format(c="t.transaction_date")}
-          - LAG({_EPOCH.format(c="t.transaction_date")}) OVER (PARTITION BY t.account_id ORDER BY {_TX_ORDER}))
-         / 3600 AS processing_time_hours
-  FROM transactions t),
-g AS (
-  SELECT a.account_type, s.transaction_type,
-         AVG(processing_time_hours) AS avg_processing_time,
-         quantile_disc(processing_time_hours, 0.95) AS p95_processing_time,
-         COUNT(*) AS transaction_count
-  FROM s JOIN accounts a ON s.account_id = a.account_id
-  WHERE processing_time_hours IS NOT NULL
-  GROUP BY 1, 2)
-SELECT *,
-  CASE WHEN p95_processing_time < 1 THEN 'WITHIN_SLA' WHEN p95_processing_time < 4 THEN 'NEAR_SLA'
-       ELSE 'BREACH_SLA' END AS service_level_agreement,
-  CASE WHEN avg_processing_time < 0.5 THEN 'EXCELLENT' WHEN avg_processing_time < 2 THEN 'GOOD'
-       WHEN avg_processing_time < 6 THEN 'ACCEPTABLE' ELSE 'POOR' END AS performance_rating
-FROM g"""
-
-SQL["digital_engagement"] = """
-WITH r AS (
-  SELECT a.customer_id, t.amount,
-         CASE WHEN hour(t.transaction_date) < 9 OR hour(t.transaction_date) > 17 THEN 1 ELSE 0 END AS off_h,
-         CASE WHEN dayofweek(t.transaction_date) IN (0, 6) THEN 1 ELSE 0 END AS wkd
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-  JOIN customers c ON a.customer_id = c.customer_id),
-g AS (
-  SELECT customer_id, COUNT(*) AS total_transactions,
-         SUM(off_h) AS off_hours_transactions, SUM(wkd) AS weekend_transactions,
-         AVG(amount) AS avg_transaction_size,
-         SUM(CASE WHEN off_h = 1 OR wkd = 1 THEN 1 ELSE 0 END) AS digital_transactions,
-         SUM(CASE WHEN off_h = 1 OR wkd = 1 THEN 0 ELSE 1 END) AS branch_transactions
-  FROM r GROUP BY customer_id),
-e AS (
-  SELECT *, CAST(off_hours_transactions + weekend_transactions AS DOUBLE)
-            / NULLIF(CAST(total_transactions AS DOUBLE), 0) AS digital_engagement_ratio
-  FROM g),
-l AS (
-  SELECT *, CASE WHEN digital_engagement_ratio > 0.8 THEN 'DIGITAL_FIRST'
-                 WHEN digital_engagement_ratio > 0.5 THEN 'DIGITAL_PREFERRED'
-                 WHEN digital_engagement_ratio > 0.2 THEN 'MIXED_USAGE'
-                 ELSE 'BRANCH_PREFERRED' END AS digital_adoption_level
-  FROM e)
-SELECT *, CASE WHEN digital_adoption_level = 'BRANCH_PREFERRED' THEN 'DIGITAL_ONBOARDING'
-               WHEN digital_adoption_level = 'MIXED_USAGE' THEN 'DIGITAL_ENHANCEMENT'
-               WHEN digital_adoption_level = 'DIGITAL_PREFERRED' THEN 'ADVANCED_FEATURES'
-               ELSE 'MAINTAIN_SUPPORT' END AS migration_opportunity
-FROM l"""
-
-SQL["fee_income"] = """
-WITH f AS (
-  SELECT c.customer_type, a.account_type, t.amount,
-         CASE WHEN t.transaction_type = 'WITHDRAWAL' THEN greatest(2.0, t.amount * 0.01)
-              WHEN t.transaction_type = 'TRANSFER' THEN greatest(1.5, t.amount * 0.005)
-              WHEN t.transaction_type = 'PAYMENT' THEN greatest(1.0, t.amount * 0.003)
-              ELSE 0.0 END AS estimated_fee
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-  JOIN customers c ON a.customer_id = c.customer_id),
-g AS (
-  SELECT *, CASE WHEN estimated_fee > 10 THEN 'HIGH_FEE' WHEN estimated_fee > 5 THEN 'MEDIUM_FEE'
-                 WHEN estimated_fee > 1 THEN 'LOW_FEE' ELSE 'NO_FEE' END AS fee_category
-  FROM f),
-s AS (
-  SELECT customer_type, account_type, fee_category, COUNT(*) AS transaction_count,
-         SUM(estimated_fee) AS total_fee_income, AVG(estimated_fee) AS avg_fee_per_transaction,
-         SUM(amount) AS total_transaction_volume
-  FROM g GROUP BY 1, 2, 3),
-r AS (
-  SELECT *, CAST(total_fee_income AS DOUBLE) / NULLIF(CAST(total_transaction_volume AS DOUBLE), 0)
-            AS fee_to_volume_ratio
-  FROM s)
-SELECT *, CASE WHEN fee_to_volume_ratio < 0.01 AND transaction_count > 100 THEN 'INCREASE_FEES'
-               WHEN fee_to_volume_ratio > 0.05 AND transaction_count < 50 THEN 'REDUCE_FEES'
-               ELSE 'OPTIMAL' END AS optimization_opportunity
-FROM r"""
-
-SQL["seasonal_patterns"] = """
-WITH s AS (
-  SELECT year(t.transaction_date) AS transaction_year, quarter(t.transaction_date) AS transaction_quarter,
-         month(t.transaction_date) AS transaction_month, a.account_type,
-         COUNT(*) AS transaction_count, SUM(t.amount) AS transaction_volume,
-         AVG(t.amount) AS avg_transaction_size
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-  GROUP BY 1, 2, 3, 4)
-SELECT *,
-  CAST(transaction_volume AS DOUBLE)
-    / NULLIF(CAST(AVG(transaction_volume) OVER (PARTITION BY account_type, transaction_month) AS DOUBLE), 0)
-    AS seasonal_index,
-  CASE WHEN transaction_month IN (11, 12) THEN 'HOLIDAY_PEAK'
-       WHEN transaction_month IN (1, 2) THEN 'POST_HOLIDAY_DIP'
-       WHEN transaction_month IN (4, 5) THEN 'SPRING_INCREASE'
-       WHEN transaction_month IN (7, 8) THEN 'SUMMER_SLOWDOWN' ELSE 'NORMAL' END AS seasonal_pattern,
-  CAST(transaction_volume - LAG(transaction_volume) OVER w AS DOUBLE)
-    / NULLIF(CAST(LAG(transaction_volume) OVER w AS DOUBLE), 0) AS year_over_year_growth
-FROM s
-WINDOW w AS (PARTITION BY account_type, transaction_month ORDER BY transaction_year)"""
-
-SQL["transaction_anomalies"] = f"""
-WITH st AS (
-  SELECT account_id, {havg("amount")} AS account_avg_amount, STDDEV_SAMP(amount) AS account_std_amount
-  FROM transactions GROUP BY account_id),
-j AS (
-  SELECT t.transaction_id, t.account_id, t.amount, t.transaction_type, a.balance, st.account_avg_amount,
-         CAST(t.amount - st.account_avg_amount AS DOUBLE) / NULLIF(st.account_std_amount, 0) AS z_score
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-  JOIN st ON t.account_id = st.account_id)
-SELECT transaction_id, account_id, amount, transaction_type, z_score, balance, account_avg_amount
-FROM j WHERE abs(z_score) > 3 OR amount > balance * 0.5"""
-
-
-# ------------------------------------------------------------------ accounts
-_LAST_TX = "last AS (SELECT account_id, MAX(transaction_date) AS last_transaction_date FROM transactions GROUP BY account_id)"
-
-SQL["account_aging"] = f"""
-WITH {_LAST_TX},
-g AS (
-  SELECT a.balance, ({D} - CAST(l.last_transaction_date AS DATE)) AS dslt, ({D} - a.open_date) AS dsao
-  FROM accounts a LEFT JOIN last l ON a.account_id = l.account_id),
-c AS (
-  SELECT balance,
-    CASE WHEN dslt IS NULL THEN 'NO_TRANSACTIONS' WHEN dslt > 365 THEN 'DORMANT' WHEN dslt > 180 THEN 'INACTIVE'
-         WHEN dslt > 90 THEN 'LOW_ACTIVITY' ELSE 'ACTIVE' END AS aging_category,
-    {case_gt("dsao", [(3650, "VETERAN"), (1825, "ESTABLISHED"), (365, "MATURE")], "NEW")} AS account_age_category
-  FROM g),
-s AS (
-  SELECT aging_category, account_age_category, COUNT(*) AS account_count, SUM(balance) AS total_balance,
-         {havg("balance")} AS avg_balance
-  FROM c GROUP BY 1, 2)
-SELECT *, {div("total_balance", "SUM(total_balance) OVER ()")} AS balance_percentage FROM s"""
-
-SQL["account_opening_patterns"] = f"""
-WITH j AS (
-  SELECT year(a.open_date) AS opening_year, quarter(a.open_date) AS opening_quarter,
-         {age_band(age_years("a.open_date", "c.date_of_birth"))} AS age_group,
-         c.customer_type, a.account_type, a.balance
-  FROM accounts a JOIN customers c ON a.customer_id = c.customer_id
-  JOIN branches b ON a.branch_id = b.branch_id),
-g AS (
-  SELECT opening_year, opening_quarter, age_group, customer_type, account_type,
-         COUNT(*) AS accounts_opened, {havg("balance")} AS avg_initial_balance,
-         SUM(balance) AS total_initial_deposits
-  FROM j GROUP BY 1, 2, 3, 4, 5)
-SELECT *, {div("accounts_opened - LAG(accounts_opened) OVER w", "LAG(accounts_opened) OVER w")} AS growth_rate
-FROM g
-WINDOW w AS (PARTITION BY age_group, account_type, customer_type
-             ORDER BY opening_year NULLS FIRST, opening_quarter NULLS FIRST)"""
-
-SQL["churn_features"] = f"""
-WITH {_LAST_TX},
-a AS (
-  SELECT a.customer_id, a.status, a.balance, ({D} - CAST(l.last_transaction_date AS DATE)) AS d
-  FROM accounts a LEFT JOIN last l ON a.account_id = l.account_id),
-g AS (
-  SELECT customer_id, COUNT(*) AS total_accounts,
-         SUM(CASE WHEN status = 'ACTIVE' THEN 1 ELSE 0 END) AS active_accounts,
-         SUM(CASE WHEN d > 90 THEN 1 ELSE 0 END) AS inactive_accounts,
-         {havg("balance")} AS avg_balance, SUM(balance) AS total_balance,
-         MIN(d) AS min_days_inactive, MAX(d) AS max_days_inactive
-  FROM a GROUP BY customer_id),
-r AS (SELECT *, {div("inactive_accounts", "total_accounts")} AS inactive_ratio FROM g)
-SELECT *, CASE WHEN inactive_ratio > 0.7 THEN 'HIGH' WHEN inactive_ratio > 0.4 THEN 'MEDIUM'
-               WHEN max_days_inactive > 180 THEN 'HIGH' ELSE 'LOW' END AS churn_risk_score
-FROM r"""
-
-SQL["product_benchmark"] = f"""
-WITH g AS (
-  SELECT account_type, COUNT(*) AS current_accounts, SUM(balance) AS current_balance,
-         {havg("balance")} AS current_avg_balance
-  FROM accounts GROUP BY account_type),
-t AS (
-  SELECT *,
-    CASE WHEN account_type = 'SAVINGS' THEN 10000 WHEN account_type = 'CHECKING' THEN 15000
-         WHEN account_type = 'BUSINESS' THEN 5000 ELSE 2000 END AS target_accounts,
-    CASE WHEN account_type = 'SAVINGS' THEN 50000000 WHEN account_type = 'CHECKING' THEN 75000000
-         WHEN account_type = 'BUSINESS' THEN 100000000 ELSE 10000000 END AS target_balance
-  FROM g),
-r AS (
-  SELECT *, {div("current_accounts", "target_accounts")} AS accounts_target_achievement,
-            {div("current_balance", "target_balance")} AS balance_target_achievement
-  FROM t),
-s AS (SELECT *, {wsum(("accounts_target_achievement", 0.4), ("balance_target_achievement", 0.6))}
-                AS overall_performance_score FROM r)
-SELECT *, {case_gt("overall_performance_score", [(1.1, "EXCEEDS_TARGET"), (0.9, "MEETS_TARGET"),
-                                                  (0.7, "APPROACHING_TARGET")], "BELOW_TARGET")}
-          AS performance_status
-FROM s"""
-
-SQL["product_loans"] = f"""
-SELECT loan_type, COUNT(*) AS total_loans, SUM(loan_amount) AS total_loan_amount,
-       {havg("loan_amount")} AS avg_loan_amount, {havg("interest_rate", 3)} AS avg_interest_rate
-FROM loans GROUP BY loan_type"""
-
-SQL["product_cards"] = f"""
-SELECT card_type, COUNT(*) AS total_cards, SUM(credit_limit) AS total_credit_limit,
-       {havg("current_balance")} AS avg_balance, {havg("credit_limit")} AS avg_credit_limit
-FROM credit_cards GROUP BY card_type"""
-
-SQL["product_portfolio"] = f"""
-WITH ap AS (
-  SELECT account_type, COUNT(*) AS total_accounts, SUM(balance) AS total_balance,
-         {havg("balance")} AS avg_balance, COUNT(DISTINCT customer_id) AS unique_customers,
-         AVG({D} - open_date) AS avg_account_age_days
-  FROM accounts GROUP BY account_type),
-tp AS (
-  SELECT a.account_type, COUNT(*) AS total_transactions, SUM(t.amount) AS total_transaction_volume,
-         {havg("t.amount")} AS avg_transaction_amount
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.account_type),
-p AS (
-  SELECT ap.*, tp.total_transactions, tp.total_transaction_volume, tp.avg_transaction_amount,
-         {wsum(("ap.total_balance", 0.4), ("tp.total_transaction_volume", 0.3), ("ap.unique_customers", 0.3))}
-           AS profitability_score
-  FROM ap LEFT JOIN tp ON ap.account_type = tp.account_type),
-q AS (SELECT quantile_disc(profitability_score, 0.8) AS p80, quantile_disc(profitability_score, 0.5) AS p50,
-             quantile_disc(profitability_score, 0.2) AS p20 FROM p)
-SELECT p.*, CASE WHEN profitability_score > p80 THEN 'STAR' WHEN profitability_score > p50 THEN 'CORE'
-                 WHEN profitability_score > p20 THEN 'SUPPORTING' ELSE 'NICHE' END AS product_performance_tier
-FROM p CROSS JOIN q"""
-
-# ------------------------------------------------------------------ branches
-_BRANCH_COLS = "b.branch_id, b.branch_name, b.branch_code, b.address, b.city, b.state, b.phone, COALESCE(b.manager_id, 0) AS manager_id"
-
-
-def _z(x, name=None):
-    return f"COALESCE({x}, 0) AS {name or x.split('.')[-1]}"
-
-
-SQL["branch_network"] = f"""
-WITH acc AS (SELECT branch_id, COUNT(*) AS total_accounts, SUM(balance) AS total_deposits FROM accounts GROUP BY branch_id),
-tx AS (SELECT a.branch_id, COUNT(*) AS total_transactions, SUM(t.amount) AS transaction_volume
-       FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.branch_id),
-cu AS (SELECT a.branch_id, COUNT(DISTINCT c.customer_id) AS unique_customers
-       FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY a.branch_id),
-bp AS (
-  SELECT {_BRANCH_COLS}, {_z("acc.total_accounts")}, {_z("acc.total_deposits")},
-         {_z("tx.total_transactions")}, {_z("tx.transaction_volume")}, {_z("cu.unique_customers")}
-  FROM branches b LEFT JOIN acc ON b.branch_id = acc.branch_id LEFT JOIN tx ON b.branch_id = tx.branch_id
-  LEFT JOIN cu ON b.branch_id = cu.branch_id),
-s AS (
-  SELECT *, {div("total_deposits", "unique_customers")} AS deposits_per_customer,
-            {div("total_transactions", "unique_customers")} AS transactions_per_customer,
-            {wsum(("total_deposits", 0.4), ("transaction_volume", 0.3), ("unique_customers", 0.3))} AS efficiency_score
-  FROM bp),
-q AS (SELECT quantile_disc(efficiency_score, 0.25) AS p25, quantile_disc(efficiency_score, 0.75) AS p75 FROM s)
-SELECT s.*, CASE WHEN efficiency_score < p25 THEN 'CONSOLIDATE' WHEN efficiency_score > p75 THEN 'EXPAND'
-                 ELSE 'MAINTAIN' END AS optimization_recommendation
-FROM s CROSS JOIN q"""
-
-SQL["branch_performance"] = f"""
-WITH acc AS (SELECT branch_id, COUNT(*) AS total_accounts, SUM(balance) AS total_deposits,
-                    {havg("balance")} AS avg_account_balance, COUNT(DISTINCT customer_id) AS unique_customers
-             FROM accounts GROUP BY branch_id),
-emp AS (SELECT branch_id, COUNT(*) AS total_employees, {havg("salary")} AS avg_salary,
-               COUNT(DISTINCT position) AS diverse_positions FROM employees GROUP BY branch_id),
-tx AS (SELECT a.branch_id, COUNT(*) AS total_transactions, SUM(t.amount) AS total_transaction_volume,
-              {havg("t.amount")} AS avg_transaction_size
-       FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.branch_id),
-bp AS (
-  SELECT {_BRANCH_COLS}, {_z("acc.total_accounts")}, {_z("acc.total_deposits")}, {_z("acc.avg_account_balance")},
-         {_z("acc.unique_customers")}, {_z("emp.total_employees")}, {_z("emp.avg_salary")},
-         {_z("emp.diverse_positions")}, {_z("tx.total_transactions")}, {_z("tx.total_transaction_volume")},
-         {_z("tx.avg_transaction_size")}
-  FROM branches b LEFT JOIN acc ON b.branch_id = acc.branch_id LEFT JOIN emp ON b.branch_id = emp.branch_id
-  LEFT JOIN tx ON b.branch_id = tx.branch_id),
-r AS (
-  SELECT *, {div("total_transaction_volume", "total_employees")} AS efficiency_ratio,
-            {div("total_deposits", "unique_customers")} AS deposit_growth_score
-  FROM bp)
-SELECT *, {wsum(("efficiency_ratio", 0.4), ("deposit_growth_score", 0.3), ("avg_account_balance", 0.3))}
-          AS overall_performance_score
-FROM r"""
-
-_LA = f"""la AS (SELECT approved_by, COUNT(*) AS loans_approved, SUM(loan_amount) AS total_loan_volume,
-                 {havg("loan_amount")} AS avg_loan_size FROM loans GROUP BY approved_by)"""
-
-SQL["employee_performance"] = f"""
-WITH {_LA},
-am AS (SELECT branch_id, COUNT(*) AS accounts_in_branch FROM accounts GROUP BY branch_id),
-ep AS (
-  SELECT e.employee_id, e.branch_id, e.first_name, e.last_name, e.position, e.email, e.phone, e.hire_date,
-         {_z("e.salary")}, {_z("e.manager_id")}, {_z("la.approved_by")}, {_z("la.loans_approved")},
-         {_z("la.total_loan_volume")}, {_z("la.avg_loan_size")}, am.accounts_in_branch,
-         b.branch_name, b.branch_code, b.address, b.city, b.state, b.phone AS branch_phone,
-         {_z("b.manager_id", "branch_manager_id")}
-  FROM employees e LEFT JOIN la ON e.employee_id = la.approved_by
-  JOIN am ON e.branch_id = am.branch_id JOIN branches b ON e.branch_id = b.branch_id),
-s AS (
-  SELECT *, {wsum(("loans_approved", 0.4), ("total_loan_volume", 0.3), ("salary", 0.3))} AS performance_score,
-            {div("total_loan_volume", "accounts_in_branch")} AS efficiency_ratio
-  FROM ep)
-SELECT *, CASE WHEN performance_score > AVG(performance_score) OVER () THEN 'TOP'
-               WHEN performance_score < AVG(performance_score) OVER () THEN 'LOW'
-               ELSE 'AVERAGE' END AS performance_tier
-FROM s"""
-
-SQL["employee_productivity"] = f"""
-WITH la AS (SELECT approved_by, COUNT(*) AS loans_approved, SUM(loan_amount) AS total_loan_volume
-            FROM loans GROUP BY approved_by),
-ba AS (SELECT branch_id, COUNT(*) AS branch_accounts FROM accounts GROUP BY branch_id),
-em AS (
-  SELECT e.*, la.approved_by, la.loans_approved, la.total_loan_volume, ba.branch_accounts,
-         {months_between(D, "e.hire_date")} AS tenure_months
-  FROM employees e LEFT JOIN la ON e.employee_id = la.approved_by JOIN ba ON e.branch_id = ba.branch_id),
-s AS (
-  SELECT *, {wsum(("COALESCE(loans_approved, 0)", 0.5), ("COALESCE(total_loan_volume, 0)", 0.3),
-                  ("tenure_months", 0.2))} AS productivity_score
-  FROM em),
-r AS (SELECT *, PERCENT_RANK() OVER (PARTITION BY position ORDER BY productivity_score NULLS FIRST)
-                AS position_percentile FROM s)
-SELECT *, {case_gt("position_percentile", [(0.8, "TOP_PERFORMER"), (0.6, "HIGH_PERFORMER"), (0.4, "AVERAGE"),
-                                            (0.2, "LOW_PERFORMER")], "UNDER_PERFORMER")} AS performance_category,
-          {div("salary", "productivity_score")} AS salary_to_productivity_ratio
-FROM r"""
-
-SQL["geographic_expansion"] = f"""
-WITH cov AS (
-  SELECT c.state, c.city, COUNT(DISTINCT c.customer_id) AS current_customers, SUM(a.balance) AS total_deposits,
-         {havg("a.balance")} AS avg_balance_per_customer
-  FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY 1, 2),
-bc AS (SELECT state, city, COUNT(*) AS branch_count FROM branches GROUP BY 1, 2),
-j AS (
-  SELECT cov.state, cov.city, {_z("cov.current_customers")}, {_z("cov.total_deposits")},
-         {_z("cov.avg_balance_per_customer")}, {_z("bc.branch_count")}
-  FROM cov LEFT JOIN bc ON cov.state = bc.state AND cov.city = bc.city),
-m AS (
-  SELECT *,
-    CASE WHEN branch_count > 0 THEN {div("current_customers", "branch_count")} ELSE {dbl("current_customers")} END
-      AS customers_per_branch,
-    CASE WHEN branch_count > 0 THEN {div("total_deposits", "branch_count")} ELSE {dbl("total_deposits")} END
-      AS deposits_per_branch
-  FROM j),
-s AS (
-  SELECT *, {case_gt("customers_per_branch", [(5000, "OVERSATURATED"), (3000, "MATURE"), (1500, "GROWING"),
-                                               (500, "EMERGING")], "UNDERSERVED")} AS market_saturation
-  FROM m)
-SELECT *,
-  CASE WHEN market_saturation = 'UNDERSERVED' THEN 'HIGH_PRIORITY' WHEN market_saturation = 'EMERGING' THEN 'MEDIUM_PRIORITY'
-       WHEN market_saturation = 'GROWING' THEN 'LOW_PRIORITY' ELSE 'NO_EXPANSION' END AS expansion_priority,
-  CASE WHEN market_saturation = 'UNDERSERVED' THEN 5000 WHEN market_saturation = 'EMERGING' THEN 3000
-       WHEN market_saturation = 'GROWING' THEN 1000 ELSE 0 END AS potential_new_customers
-FROM s"""
-
-SQL["operational_efficiency"] = f"""
-WITH acc AS (SELECT branch_id, COUNT(*) AS accounts_managed, SUM(balance) AS deposits_managed FROM accounts GROUP BY branch_id),
-tx AS (SELECT a.branch_id, COUNT(*) AS transactions_processed
-       FROM transactions t JOIN accounts a ON t.account_id = a.account_id GROUP BY a.branch_id),
-emp AS (SELECT branch_id, COUNT(*) AS staff_count, {havg("salary")} AS avg_salary FROM employees GROUP BY branch_id),
-be AS (
-  SELECT {_BRANCH_COLS}, {_z("acc.accounts_managed")}, {_z("acc.deposits_managed")},
-         {_z("tx.transactions_processed")}, {_z("emp.staff_count")}, {_z("emp.avg_salary")}
-  FROM branches b LEFT JOIN acc ON b.branch_id = acc.branch_id LEFT JOIN tx ON b.branch_id = tx.branch_id
-  LEFT JOIN emp ON b.branch_id = emp.branch_id),
-r AS (
-  SELECT *, {div("accounts_managed", "staff_count")} AS accounts_per_staff,
-            {div("transactions_processed", "staff_count")} AS transactions_per_staff,
-            {div("deposits_managed", "staff_count")} AS deposits_per_staff
-  FROM be),
-r2 AS (
-  SELECT *, {div("avg_salary", "transactions_per_staff")} AS cost_per_transaction,
-            {wsum(("accounts_per_staff", 0.3), ("transactions_per_staff", 0.4), ("deposits_per_staff", 0.3))}
-              AS efficiency_score
-  FROM r),
-q AS (SELECT *, NTILE(4) OVER (ORDER BY efficiency_score NULLS FIRST, branch_id) AS efficiency_quartile FROM r2)
-SELECT *, CASE WHEN efficiency_quartile = 1 THEN 'MAJOR_IMPROVEMENT_NEEDED'
-               WHEN efficiency_quartile = 2 THEN 'MODERATE_IMPROVEMENT_NEEDED'
-               WHEN efficiency_quartile = 3 THEN 'MINOR_IMPROVEMENT_NEEDED'
-               ELSE 'MAINTAIN_PERFORMANCE' END AS improvement_recommendation
-FROM q"""
-
-SQL["operational_risk"] = f"""
-WITH j AS (
-  SELECT a.branch_id, t.amount, CASE WHEN t.amount > 5000 THEN 1 ELSE 0 END AS hv,
-         CASE WHEN dayofweek(t.transaction_date) IN (0, 6) THEN 1 ELSE 0 END AS wk
-  FROM transactions t JOIN accounts a ON t.account_id = a.account_id JOIN branches b ON a.branch_id = b.branch_id),
-g AS (
-  SELECT branch_id, COUNT(*) AS total_transactions, SUM(hv) AS high_value_transactions,
-         SUM(wk) AS weekend_transactions, {havg("amount")} AS avg_transaction_size
-  FROM j GROUP BY branch_id),
-s AS (SELECT *, {wsum(("high_value_transactions", 0.4), ("weekend_transactions", 0.3), ("avg_transaction_size", 0.3))}
-                AS operational_risk_score FROM g),
-q AS (SELECT quantile_disc(operational_risk_score, 0.8) AS p80, quantile_disc(operational_risk_score, 0.5) AS p50 FROM s)
-SELECT s.*, CASE WHEN operational_risk_score > p80 THEN 'HIGH' WHEN operational_risk_score > p50 THEN 'MEDIUM'
-                 ELSE 'LOW' END AS risk_category
-FROM s CROSS JOIN q"""
-
-
-# ------------------------------------------------------------------ customers
-_TXA = "transactions t JOIN accounts a ON t.account_id = a.account_id"
-
-SQL["cross_sell"] = f"""
-WITH ac AS (SELECT customer_id, COUNT(*) AS account_count FROM accounts GROUP BY customer_id),
-ln AS (SELECT customer_id, COUNT(*) AS active_loan_count FROM loans WHERE status = 'ACTIVE' GROUP BY customer_id),
-cd AS (SELECT customer_id, COUNT(*) AS active_card_count FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
-h AS (
-  SELECT c.*, {zfill([("ac", ["account_count"]), ("ln", ["active_loan_count"]), ("cd", ["active_card_count"])])}
-  FROM customers c {joins("c", "customer_id", ["ac", "ln", "cd"])}),
-s AS (
-  SELECT *,
-    CASE WHEN account_count = 0 THEN 'CHECKING_ACCOUNT'
-         WHEN active_loan_count = 0 AND account_count > 0 THEN 'PERSONAL_LOAN'
-         WHEN active_card_count = 0 AND account_count > 1 THEN 'CREDIT_CARD'
-         WHEN active_loan_count > 0 AND active_card_count = 0 THEN 'CREDIT_CARD'
-         ELSE 'PREMIUM_SERVICES' END AS missing_products,
-    CASE WHEN account_count = 0 THEN 0.9 WHEN active_loan_count = 0 THEN 0.7
-         WHEN active_card_count = 0 THEN 0.6 ELSE 0.4 END AS opportunity_score
-  FROM h)
-SELECT *, {case_gt("opportunity_score", [(0.8, "HIGH"), (0.6, "MEDIUM")], "LOW")} AS priority_level FROM s"""
-
-_SEG_TEXT = [("WEALTHY_ACTIVE", "High balance, frequent transactions"),
-             ("SAVERS", "Good savings, low credit usage"),
-             ("CREDIT_HEAVY", "High credit utilization, active spending"),
-             ("DORMANT", "Low activity, minimal balances"),
-             ("DIVERSIFIED", "Uses multiple products actively")]
-
-SQL["behavior_segmentation"] = f"""
-WITH fb AS (
-  SELECT a.customer_id, COUNT(*) AS transaction_frequency, {havg("t.amount")} AS avg_transaction_size,
-         STDDEV_SAMP(t.amount) AS transaction_size_volatility, SUM(t.amount) AS total_transaction_volume,
-         COUNT(DISTINCT t.transaction_type) AS product_usage_variety
-  FROM {_TXA} GROUP BY a.customer_id),
-bp AS (
-  SELECT customer_id, SUM(balance) AS total_balance, {havg("balance")} AS avg_balance,
-         STDDEV_SAMP(balance) AS balance_volatility, COUNT(*) AS number_of_accounts
-  FROM accounts GROUP BY customer_id),
-cu AS (
-  SELECT customer_id, SUM(credit_limit) AS total_credit_limit, SUM(current_balance) AS total_credit_usage,
-         AVG({div("current_balance", "credit_limit")}) AS avg_utilization_rate
-  FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
-p AS (
-  SELECT c.*, {zfill([("fb", ["transaction_frequency", "avg_transaction_size", "transaction_size_volatility",
-                               "total_transaction_volume", "product_usage_variety"]),
-                      ("bp", ["total_balance", "avg_balance", "balance_volatility", "number_of_accounts"]),
-                      ("cu", ["total_credit_limit", "total_credit_usage", "avg_utilization_rate"])])}
-  FROM customers c {joins("c", "customer_id", ["fb", "bp", "cu"])}),
-s AS (
-  SELECT *,
-    CASE WHEN total_balance > 100000 AND transaction_frequency > 100 THEN 'WEALTHY_ACTIVE'
-         WHEN total_balance > 50000 AND avg_utilization_rate < 0.3 THEN 'SAVERS'
-         WHEN avg_utilization_rate > 0.7 AND transaction_frequency > 50 THEN 'CREDIT_HEAVY'
-         WHEN transaction_frequency < 10 AND total_balance < 1000 THEN 'DORMANT'
-         WHEN product_usage_variety > 3 THEN 'DIVERSIFIED' ELSE 'MAINSTREAM' END AS segment_category
-  FROM p)
-SELECT *, CASE {" ".join(f"WHEN segment_category = '{k}' THEN '{v}'" for k, v in _SEG_TEXT)}
-               ELSE 'Standard banking behavior' END AS segment_characteristics
-FROM s"""
-
-SQL["customer_lifetime_value"] = f"""
-WITH lr AS (
-  SELECT customer_id, SUM({hdiv("loan_amount * interest_rate * term_months", 5, 12, 8)}) AS total_loan_revenue
-  FROM loans WHERE status = 'ACTIVE' GROUP BY customer_id),
-cr AS (SELECT customer_id, SUM(current_balance * 0.18) AS total_card_revenue
-       FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
-tf AS (SELECT a.customer_id, COUNT(*) * 0.10 AS transaction_fees FROM {_TXA} GROUP BY a.customer_id),
-p AS (
-  SELECT c.*, {zfill([("lr", ["total_loan_revenue"]), ("cr", ["total_card_revenue"]), ("tf", ["transaction_fees"])])}
-  FROM customers c {joins("c", "customer_id", ["lr", "cr", "tf"])}),
-v AS (SELECT *, total_loan_revenue + total_card_revenue + transaction_fees AS total_lifetime_value FROM p)
-SELECT *, {case_gt("total_lifetime_value", [(10000, "PREMIUM"), (5000, "GOLD"), (1000, "SILVER")], "STANDARD")}
-          AS customer_value_tier
-FROM v"""
-
-_SEQ = """ac AS (SELECT a.* FROM accounts a JOIN customers c ON a.customer_id = c.customer_id)"""
-_SEQ_W = "PARTITION BY customer_id ORDER BY open_date NULLS FIRST, account_id"
-
-_BRANCH_MIG = f"""
-WITH {_SEQ},
-s AS (SELECT *, LEAD(branch_id) OVER ({_SEQ_W}) AS next_branch FROM ac),
-g AS (
-  SELECT branch_id, next_branch, COUNT(*) AS migration_count, {havg("balance")} AS avg_balance_at_migration,
-         COUNT(DISTINCT customer_id) AS unique_customers
-  FROM s WHERE next_branch IS NOT NULL AND branch_id <> next_branch GROUP BY 1, 2)
-SELECT *, migration_count - COALESCE(LAG(migration_count) OVER (PARTITION BY branch_id ORDER BY next_branch), 0)
-          AS net_migration"""
-
-SQL["branch_migration"] = _BRANCH_MIG + "\nFROM g"
-SQL["customer_migration"] = (_BRANCH_MIG + ",\n  CAST(NULL AS VARCHAR) AS account_type, CAST(NULL AS VARCHAR) AS next_product,"
-                             " CAST(NULL AS BIGINT) AS product_switch_count, CAST(NULL AS DOUBLE) AS avg_time_to_switch\nFROM g")
-SQL["product_migration"] = f"""
-WITH {_SEQ},
-s AS (SELECT *, LEAD(account_type) OVER w AS next_product, LEAD(open_date) OVER w AS nxt_open
-      FROM ac WINDOW w AS ({_SEQ_W}))
-SELECT account_type, next_product, COUNT(*) AS product_switch_count, AVG(nxt_open - open_date) AS avg_time_to_switch
-FROM s WHERE next_product IS NOT NULL AND account_type <> next_product GROUP BY 1, 2"""
-
-_TYPES = ("CHECKING", "SAVINGS", "BUSINESS", "LOAN")
-SQL["customer_portfolio"] = f"""
-WITH ap AS (
-  SELECT customer_id, {", ".join(f"COALESCE(SUM(CASE WHEN account_type = '{k}' THEN balance END), 0) AS {k}" for k in _TYPES)}
-  FROM accounts WHERE status = 'ACTIVE' GROUP BY customer_id),
-lp AS (SELECT customer_id, COUNT(*) AS active_loans, SUM(loan_amount) AS total_loan_amount,
-              {havg("interest_rate", 3)} AS avg_interest_rate
-       FROM loans WHERE status = 'ACTIVE' GROUP BY customer_id),
-cp AS (SELECT customer_id, COUNT(*) AS active_cards, SUM(credit_limit) AS total_credit_limit,
-              SUM(current_balance) AS total_card_balance
-       FROM credit_cards WHERE status = 'ACTIVE' GROUP BY customer_id),
-p AS (
-  SELECT c.*, {zfill([("ap", list(_TYPES)), ("lp", ["active_loans", "total_loan_amount", "avg_interest_rate"]),
-                      ("cp", ["active_cards", "total_credit_limit", "total_card_balance"])])}
-  FROM customers c {joins("c", "customer_id", ["ap", "lp", "cp"])}),
-q AS (SELECT *, COALESCE(SAVINGS, 0) + COALESCE(CHECKING, 0) AS total_assets,
-                total_loan_amount + total_card_balance AS total_liabilities FROM p)
-SELECT *, total_assets - total_liabilities AS net_worth,
-          CASE WHEN total_assets > 0 THEN {div("total_liabilities", "total_assets")} ELSE 0 END AS leverage_ratio
-FROM q"""
-
-_RELS = ("SPOUSE", "CHILD", "PARENT", "BUSINESS_PARTNER")
-SQL["relationship_network"] = f"""
-WITH ba AS (
-  SELECT b.beneficiary_id, b.account_id, b.relationship, a.customer_id, a.balance
-  FROM account_beneficiaries b JOIN accounts a ON b.account_id = a.account_id),
-br AS (SELECT customer_id, {", ".join(f"COUNT(CASE WHEN relationship = '{r}' THEN 1 END) AS {r}" for r in _RELS)}
-       FROM ba GROUP BY customer_id),
-ns AS (SELECT customer_id, COUNT(DISTINCT account_id) AS connected_accounts, SUM(balance) AS total_network_balance,
-              COUNT(DISTINCT beneficiary_id) AS unique_connections,
-              SUM(balance) * COUNT(DISTINCT beneficiary_id) AS network_influence
-       FROM ba GROUP BY customer_id),
-p AS (
-  SELECT c.*, {zfill([("br", list(_RELS)), ("ns", ["connected_accounts", "total_network_balance",
-                                                    "unique_connections", "network_influence"])])}
-  FROM customers c {joins("c", "customer_id", ["br", "ns"])})
-SELECT *, CASE WHEN SPOUSE > 0 THEN 'FAMILY' WHEN BUSINESS_PARTNER > 0 THEN 'BUSINESS'
-               WHEN unique_connections > 5 THEN 'EXTENSIVE' ELSE 'LIMITED' END AS relationship_diversity
-FROM p"""
-
-SQL["satisfaction"] = f"""
-WITH ai AS (
-  SELECT a.customer_id, COUNT(*) AS total_transactions, {havg("t.amount")} AS avg_transaction_size,
-         COUNT(DISTINCT t.transaction_type) AS product_usage_variety,
-         AVG(CASE WHEN hour(t.transaction_date) >= 9 AND hour(t.transaction_date) <= 17 THEN 1 ELSE 0 END)
-           AS business_hours_usage_ratio,
-         COUNT(DISTINCT t.transaction_date) AS active_days
-  FROM {_TXA} GROUP BY a.customer_id),
-rd AS (SELECT customer_id, COUNT(*) AS total_products, SUM(balance) AS total_relationship_balance,
-              AVG({D} - open_date) AS avg_relationship_length
-       FROM accounts GROUP BY customer_id),
-p AS (
-  SELECT c.*, {zfill([("ai", ["total_transactions", "avg_transaction_size", "product_usage_variety",
-                               "business_hours_usage_ratio", "active_days"]),
-                      ("rd", ["total_products", "total_relationship_balance", "avg_relationship_length"])])}
-  FROM customers c {joins("c", "customer_id", ["ai", "rd"])}),
-s AS (SELECT *, {wsum(("total_products", 0.2), ("total_transactions", 0.15), ("product_usage_variety", 0.15),
-                      ("total_relationship_balance", 0.2), ("business_hours_usage_ratio", 0.1), ("active_days", 0.2))}
-                AS satisfaction_score FROM p),
-l AS (SELECT *, {case_gt("satisfaction_score", [(80, "VERY_SATISFIED"), (60, "SATISFIED"), (40, "NEUTRAL"),
-                                                (20, "DISSATISFIED")], "VERY_DISSATISFIED")} AS satisfaction_level FROM s)
-SELECT *, CASE WHEN satisfaction_level IN ('VERY_DISSATISFIED', 'DISSATISFIED') THEN 'HIGH'
-               WHEN satisfaction_level = 'NEUTRAL' THEN 'MEDIUM' ELSE 'LOW' END AS retention_risk
-FROM l"""
-
-SQL["demographic_targeting"] = f"""
-WITH cu AS (SELECT customer_id, customer_type, {age_band(age_years(D, "date_of_birth"))} AS age_group FROM customers),
-da AS (
-  SELECT cu.age_group, cu.customer_type, COUNT(DISTINCT cu.customer_id) AS customer_count,
-         {havg("a.balance")} AS avg_balance, SUM(a.balance) AS total_balance,
-         quantile_disc(a.balance, 0.5) AS median_balance
-  FROM cu JOIN accounts a ON cu.customer_id = a.customer_id GROUP BY 1, 2),
-lc AS (SELECT cu.age_group, cu.customer_type, COUNT(*) AS loan_count
-       FROM loans l JOIN cu ON l.customer_id = cu.customer_id GROUP BY 1, 2),
-j AS (
-  SELECT da.age_group, da.customer_type, {zfill([("da", ["customer_count", "avg_balance", "total_balance",
-                                                          "median_balance"]), ("lc", ["loan_count"])])}
-  FROM da LEFT JOIN lc ON da.age_group = lc.age_group AND da.customer_type = lc.customer_type),
-r AS (SELECT *, {div("loan_count", "customer_count")} AS loan_penetration_rate FROM j)
-SELECT *,
-  CASE WHEN avg_balance > 50000 AND loan_penetration_rate < 0.3 THEN 'WEALTH_MANAGEMENT'
-       WHEN age_group IN ('25-34', '35-44') AND loan_penetration_rate < 0.4 THEN 'HOME_LOAN_TARGET'
-       WHEN age_group = '18-24' AND customer_count > 1000 THEN 'STUDENT_BANKING'
-       WHEN age_group = '65+' AND avg_balance > 75000 THEN 'RETIREMENT_PLANNING'
-       ELSE 'GENERAL_BANKING' END AS targeting_opportunity
-FROM r"""
-
-SQL["customer_360"] = f"""
-WITH fs AS (
-  SELECT customer_id, COUNT(*) AS active_accounts, SUM(balance) AS total_deposits,
-         {havg("balance")} AS avg_account_balance, COUNT(DISTINCT account_type) AS account_types
-  FROM accounts WHERE status = 'ACTIVE' GROUP BY customer_id),
-tb AS (
-  SELECT a.customer_id, COUNT(*) AS lifetime_transactions, {havg("t.amount")} AS avg_transaction_amount,
-         SUM(t.amount) AS lifetime_transaction_volume, MAX(t.transaction_date) AS last_transaction_date,
-         {D} - CAST(MAX(t.transaction_date) AS DATE) AS days_since_last_transaction
-  FROM {_TXA} GROUP BY a.customer_id),
-cr AS (
-  SELECT customer_id, COUNT(*) AS active_credit_products, SUM(loan_amount) AS total_credit_exposure,
-         COUNT(DISTINCT loan_type) AS credit_product_types
-  FROM (SELECT customer_id, loan_amount, loan_type FROM loans WHERE status = 'ACTIVE'
-        UNION ALL
-        SELECT customer_id, current_balance, 'CREDIT_CARD' FROM credit_cards WHERE status = 'ACTIVE') u
-  GROUP BY customer_id),
-rn AS (SELECT customer_id, COUNT(*) AS beneficiary_relationships, COUNT(DISTINCT relationship) AS relationship_types
-       FROM account_beneficiaries GROUP BY customer_id),
-p AS (
-  SELECT c.*, tb.last_transaction_date,
-         {zfill([("fs", ["active_accounts", "total_deposits", "avg_account_balance", "account_types"]),
-                 ("tb", ["lifetime_transactions", "avg_transaction_amount", "lifetime_transaction_volume",
-                         "days_since_last_transaction"]),
-                 ("cr", ["active_credit_products", "total_credit_exposure", "credit_product_types"]),
-                 ("rn", ["beneficiary_relationships", "relationship_types"])])}
-  FROM customers c {joins("c", "customer_id", ["fs", "tb", "cr", "rn"])})
-SELECT *,
-  {case_gt("total_deposits", [(100000, "PREMIUM"), (50000, "GOLD"), (10000, "SILVER")], "STANDARD")} AS customer_value_tier,
-  {wsum(("active_accounts", 0.2), ("lifetime_transactions", 0.15), ("active_credit_products", 0.15),
-        ("beneficiary_relationships", 0.1))}
-    + CASE WHEN days_since_last_transaction < 30 THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END AS relationship_strength,
-  CASE WHEN active_credit_products = 0 AND total_deposits > 10000 THEN 'CREDIT_CARD_OFFER'
-       WHEN account_types = 1 AND lifetime_transactions > 50 THEN 'ADDITIONAL_ACCOUNT'
-       WHEN beneficiary_relationships = 0 AND total_deposits > 50000 THEN 'ESTATE_PLANNING'
-       ELSE 'RELATIONSHIP_REVIEW' END AS next_best_action
-FROM p"""
-
-_MP = f"""mp AS (
-  SELECT c.state, COUNT(DISTINCT c.customer_id) AS customer_base, SUM(a.balance) AS total_deposits,
-         {havg("a.balance")} AS avg_balance
-  FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY c.state),
-mpr AS (SELECT *, PERCENT_RANK() OVER (ORDER BY total_deposits DESC NULLS LAST) AS market_share_ranking FROM mp)"""
-_GO = """single AS (SELECT customer_id FROM accounts GROUP BY customer_id HAVING COUNT(*) = 1),
-go AS (SELECT c.state, c.customer_type, COUNT(*) AS cross_sell_opportunities
-       FROM customers c JOIN single s ON c.customer_id = s.customer_id GROUP BY 1, 2)"""
-
-SQL["market_position"] = f"WITH {_MP}\nSELECT * FROM mpr"
-SQL["single_product_customers"] = f"WITH {_GO}\nSELECT * FROM go"
-SQL["product_concentration"] = f"""
-WITH pc AS (SELECT account_type, COUNT(*) AS account_count, SUM(balance) AS total_balance,
-                   AVG({D} - open_date) AS avg_account_age FROM accounts GROUP BY account_type)
-SELECT *, {div("total_balance", "SUM(total_balance) OVER ()")} AS portfolio_concentration FROM pc"""
-SQL["strategic_planning"] = f"""
-WITH {_MP}, {_GO}
-SELECT mpr.*, go.customer_type, go.cross_sell_opportunities,
-       CAST(NULL AS VARCHAR) AS account_type, CAST(NULL AS BIGINT) AS account_count,
-       CAST(NULL AS DECIMAL(25,2)) AS total_balance, CAST(NULL AS DOUBLE) AS avg_account_age,
-       CAST(NULL AS DOUBLE) AS portfolio_concentration,
-       CASE WHEN market_share_ranking < 0.3 AND cross_sell_opportunities > 1000 THEN 'AGGRESSIVE_EXPANSION'
-            WHEN market_share_ranking < 0.6 AND CAST(NULL AS DOUBLE) > 0.3 THEN 'DIVERSIFICATION_FOCUS'
-            WHEN cross_sell_opportunities > 5000 THEN 'CROSS_SELL_INTENSIVE'
-            ELSE 'MAINTAIN_STRATEGY' END AS strategic_recommendation
-FROM mpr LEFT JOIN go ON mpr.state = go.state"""
-
-
-# ------------------------------------------------------------------ credit
-_ACTIVE_LOANS = "loans WHERE status = 'ACTIVE'"
-_IMPACT = hdiv("loan_amount * interest_rate * 0.01 * term_months", 7, 12, 10)
-_IMPACT2 = hdiv("loan_amount * interest_rate * 0.02 * term_months", 7, 12, 10)
-
-SQL["collateral_coverage"] = f"""
-WITH cc AS (
-  SELECT l.loan_type, l.loan_amount,
-         {ladder_eq("l.loan_type", [("MORTGAGE", 1.2), ("AUTO", 0.8), ("PERSONAL", 0.5)], 0.3)} AS f,
-         {ladder_eq("l.loan_type", [("MORTGAGE", 1.0), ("AUTO", 0.8), ("PERSONAL", 0.5)], 0.3)} AS w
-  FROM loans l JOIN accounts a ON l.customer_id = a.customer_id AND l.account_id = a.account_id
-  WHERE l.status = 'ACTIVE'),
-r AS (
-  -- (loan_amount * f) / loan_amount is exactly f, NULL for a zero amount
-  SELECT loan_type, loan_amount, CASE WHEN loan_amount <> 0 THEN f END AS collateral_coverage_ratio, w FROM cc),
-b AS (
-  SELECT *, {case_gt("collateral_coverage_ratio", [(1.5, "EXCESS"), (1.2, "ADEQUATE"), (1.0, "MINIMAL")], "INADEQUATE")}
-              AS coverage_adequacy,
-            collateral_coverage_ratio * w AS risk_adjusted_coverage
-  FROM r)
-SELECT loan_type, coverage_adequacy, COUNT(*) AS loan_count, SUM(loan_amount) AS total_loan_amount,
-       AVG(collateral_coverage_ratio) AS avg_coverage_ratio, MIN(collateral_coverage_ratio) AS min_coverage_ratio,
-       AVG(risk_adjusted_coverage) AS avg_risk_adjusted_coverage
-FROM b GROUP BY 1, 2"""
-
-SQL["card_fraud"] = f"""
-WITH j AS (SELECT * FROM card_transactions ct JOIN credit_cards cc USING (card_id)),
-s AS (
-  SELECT *,
-    {_EPOCH.format(c="transaction_date")} - LAG({_EPOCH.format(c="transaction_date")}) OVER wseq AS time_since_last_tx,
-    {div("ABS(amount - " + havg("amount", 2, "OVER wrun") + ")", "STDDEV_SAMP(amount) OVER wrun")} AS amount_deviation,
-    CASE WHEN city <> LAG(city) OVER wseq THEN 1 ELSE 0 END AS unusual_location
-  FROM j
-  WINDOW wrun AS (PARTITION BY card_id ORDER BY transaction_date NULLS FIRST),
-         wseq AS (PARTITION BY card_id ORDER BY transaction_date NULLS FIRST, card_transaction_id))
-SELECT * FROM s
-WHERE amount > credit_limit * 0.8 OR time_since_last_tx < 300 OR amount_deviation > 3 OR unusual_location = 1"""
-
-_BOOK5 = """book AS (
-  SELECT loan_id, customer_id, loan_amount, loan_type, interest_rate FROM loans WHERE status = 'ACTIVE'
-  UNION ALL
-  SELECT card_id, customer_id, current_balance, 'CREDIT_CARD', 0.18 FROM credit_cards WHERE status = 'ACTIVE')"""
-
-SQL["credit_risk_portfolio"] = f"""
-WITH {_BOOK5},
-r AS (SELECT b.*, c.customer_type FROM book b JOIN customers c ON b.customer_id = c.customer_id),
-g AS (
-  SELECT customer_type, loan_type, COUNT(*) AS credit_facilities, SUM(loan_amount) AS total_exposure,
-         {havg("interest_rate", 3)} AS avg_interest_rate, quantile_disc(loan_amount, 0.95) AS p95_exposure
-  FROM r GROUP BY 1, 2)
-SELECT *, avg_interest_rate * total_exposure AS risk_adjusted_return,
-       {case_gt("avg_interest_rate", [(0.15, "HIGH_RISK"), (0.10, "MEDIUM_RISK")], "LOW_RISK")} AS portfolio_quality
-FROM g"""
-
-SQL["credit_utilization"] = f"""
-WITH cu AS (SELECT *, {div("current_balance", "credit_limit")} AS utilization_rate
-            FROM credit_cards WHERE status = 'ACTIVE'),
-cu2 AS (SELECT *, {case_gt("utilization_rate", [(0.8, "HIGH_RISK"), (0.5, "MEDIUM_RISK"), (0.3, "LOW_RISK")],
-                           "HEALTHY")} AS utilization_category FROM cu),
-ms AS (SELECT card_id, date_trunc('month', transaction_date) AS m, SUM(amount) AS monthly_spend
-       FROM card_transactions GROUP BY 1, 2),
-mr AS (SELECT ms.card_id, {div("ms.monthly_spend", "c.credit_limit")} AS u
-       FROM ms JOIN credit_cards c ON ms.card_id = c.card_id),
-mu AS (SELECT card_id, AVG(u) AS avg_monthly_utilization, STDDEV_SAMP(u) AS utilization_volatility,
-              MAX(u) AS peak_utilization FROM mr GROUP BY card_id),
-j AS (SELECT * FROM cu2 JOIN mu USING (card_id) JOIN customers USING (customer_id))
-SELECT *, CASE WHEN utilization_volatility > 0.3 THEN 'VOLATILE' WHEN peak_utilization > 0.9 THEN 'PEAK_HIGH'
-               WHEN avg_monthly_utilization > 0.7 THEN 'CONSISTENT_HIGH' ELSE 'STABLE' END AS utilization_trend
-FROM j"""
-
-SQL["early_warning"] = f"""
-WITH pd AS (SELECT loan_id, COALESCE(payment_date, {D}) - due_date AS d FROM loan_payments),
-pt AS (SELECT loan_id, AVG(d) AS avg_payment_delay, STDDEV_SAMP(d) AS payment_delay_volatility,
-              SUM(CAST(d > 0 AS INTEGER)) AS delayed_payment_count, COUNT(*) AS total_payments
-       FROM pd GROUP BY loan_id),
-pt2 AS (SELECT *, {div("delayed_payment_count", "total_payments")} AS delinquency_trend FROM pt),
-mo AS (SELECT account_id, date_trunc('month', transaction_date) AS transaction_month, SUM(amount) AS v
-       FROM transactions WHERE account_id IN (SELECT account_id FROM accounts) GROUP BY 1, 2),
-ch AS (SELECT account_id, LAG(v) OVER w AS prev, {div("v - LAG(v) OVER w", "LAG(v) OVER w")} AS volume_change
-       FROM mo WINDOW w AS (PARTITION BY account_id ORDER BY transaction_month)),
-ab AS (SELECT account_id, AVG(volume_change) AS avg_volume_change,
-              STDDEV_SAMP(volume_change) AS volume_change_volatility, MIN(volume_change) AS worst_volume_decline
-       FROM ch WHERE prev IS NOT NULL GROUP BY account_id),
-j AS (
-  SELECT l.*, a.account_number, a.account_type, a.balance, a.open_date, a.close_date, a.branch_id,
-         a.customer_id AS account_customer_id, a.status AS account_status,
-         {zfill([("pt2", ["avg_payment_delay", "payment_delay_volatility", "delayed_payment_count", "total_payments",
-                          "delinquency_trend"]),
-                 ("ab", ["avg_volume_change", "volume_change_volatility", "worst_volume_decline"])])}
-  FROM loans l LEFT JOIN pt2 ON l.loan_id = pt2.loan_id JOIN accounts a ON l.account_id = a.account_id
-  LEFT JOIN ab ON l.account_id = ab.account_id),
-s AS (SELECT *, {flags(("avg_payment_delay > 15", 0.3), ("delinquency_trend > 0.5", 0.3),
-                       ("worst_volume_decline < -0.5", 0.2), ("volume_change_volatility > 0.8", 0.2))} AS warning_score
-      FROM j),
-l2 AS (SELECT *, {case_gt("warning_score", [(0.7, "RED_ALERT"), (0.5, "ORANGE_ALERT"), (0.3, "YELLOW_ALERT")], "GREEN")}
-                 AS warning_level FROM s)
-SELECT *, {ladder_eq("warning_level", [("RED_ALERT", "IMMEDIATE_INTERVENTION"), ("ORANGE_ALERT", "ENHANCED_MONITORING"),
-                                       ("YELLOW_ALERT", "STANDARD_MONITORING")], "NORMAL_MONITORING")} AS recommended_action
-FROM l2"""
-
-SQL["interest_rate_risk"] = f"""
-WITH r AS (SELECT *, {_IMPACT} AS i1, {_IMPACT2} AS i2 FROM {_ACTIVE_LOANS}),
-g AS (
-  SELECT loan_type, COUNT(*) AS loan_count, SUM(loan_amount) AS total_loan_amount,
-         {havg("interest_rate", 3)} AS avg_interest_rate, SUM(i1) AS total_impact_1pct, SUM(i2) AS total_impact_2pct,
-         quantile_disc(interest_rate, 0.5) AS median_rate
-  FROM r GROUP BY loan_type),
-s AS (SELECT *, {div("total_impact_1pct", "total_loan_amount")} AS portfolio_sensitivity FROM g)
-SELECT *, {case_gt("portfolio_sensitivity", [(0.1, "HIGH"), (0.05, "MEDIUM")], "LOW")} AS risk_category FROM s"""
-
-SQL["loan_default_features"] = f"""
-WITH pf AS (
-  SELECT loan_id, SUM(CASE WHEN status = 'OVERDUE' THEN 1 ELSE 0 END) AS total_overdue_payments,
-         AVG(COALESCE(payment_date, {D}) - due_date) AS avg_days_delayed,
-         MAX(COALESCE(payment_date, {D}) - due_date) AS max_days_delayed,
-         SUM(amount_paid) AS total_amount_paid, SUM(amount_due) AS total_amount_due
-  FROM loan_payments GROUP BY loan_id),
-pf2 AS (SELECT *, {div("total_amount_paid", "total_amount_due")} AS payment_completion_ratio FROM pf),
-cf AS (SELECT customer_id, SUM(balance) AS total_balance, {havg("balance")} AS avg_balance, COUNT(*) AS total_accounts
-       FROM accounts GROUP BY customer_id),
-j AS (SELECT * FROM loans JOIN pf2 USING (loan_id) JOIN cf USING (customer_id) JOIN customers USING (customer_id)),
-s AS (SELECT *, {div("loan_amount", "total_balance")} AS loan_to_balance_ratio FROM j),
-t AS (SELECT *, {wsum(("total_overdue_payments", 0.3), ("max_days_delayed", 0.2), ("loan_to_balance_ratio", 0.3))}
-                + CASE WHEN payment_completion_ratio < 0.8 THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS default_risk_score
-      FROM s)
-SELECT *, {case_gt("default_risk_score", [(0.7, "HIGH"), (0.5, "MEDIUM_HIGH"), (0.3, "MEDIUM"), (0.1, "LOW")],
-                   "VERY_LOW")} AS default_probability_category
-FROM t"""
-
-SQL["loan_risk"] = f"""
-WITH pp AS (
-  SELECT loan_id, COUNT(*) AS total_payments, SUM(CASE WHEN status = 'OVERDUE' THEN 1 ELSE 0 END) AS overdue_payments,
-         AVG({div("amount_paid", "amount_due")}) AS payment_ratio, MAX(payment_date - due_date) AS max_days_late
-  FROM loan_payments GROUP BY loan_id),
-j AS (
-  SELECT l.*, pp.total_payments, pp.overdue_payments, pp.payment_ratio, pp.max_days_late,
-         a.account_number, a.account_type, a.balance, a.open_date, a.close_date, a.status AS account_status, a.branch_id
-  FROM loans l JOIN pp ON l.loan_id = pp.loan_id
-  JOIN accounts a ON l.customer_id = a.customer_id AND l.account_id = a.account_id)
-SELECT *, CASE WHEN overdue_payments > 5 THEN 'HIGH_RISK' WHEN payment_ratio < 0.8 THEN 'MEDIUM_RISK'
-               WHEN max_days_late > 30 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS risk_score,
-          {div("overdue_payments", "total_payments")} AS delinquency_rate
-FROM j"""
-
-_DS = f"""ds AS (
-  SELECT deposit_category, SUM(balance) AS total_deposits, COUNT(*) AS account_count, {havg("balance")} AS avg_balance,
-         {ladder_eq("deposit_category", [("STABLE", 0.9), ("RATE_SENSITIVE", 0.6)], 0.7)} AS deposit_stability_score
-  FROM (SELECT {ladder_eq("account_type", [("SAVINGS", "RATE_SENSITIVE"), ("CHECKING", "STABLE")], "OTHER")}
-               AS deposit_category, balance
-        FROM accounts WHERE status = 'ACTIVE') x
-  GROUP BY 1)"""
-
-SQL["deposit_sensitivity"] = f"WITH {_DS}\nSELECT * FROM ds"
-SQL["market_risk"] = f"""
-WITH rs AS (
-  SELECT CASE WHEN term_months <= 12 THEN 'SHORT_TERM' WHEN term_months <= 60 THEN 'MEDIUM_TERM' ELSE 'LONG_TERM' END
-           AS duration_category, loan_type, loan_amount, interest_rate, {_IMPACT} AS i
-  FROM {_ACTIVE_LOANS}),
-g AS (
-  SELECT duration_category, loan_type, COUNT(*) AS loan_count, SUM(loan_amount) AS total_exposure,
-         SUM(i) AS total_impact_1pct, {havg("interest_rate", 3)} AS avg_interest_rate
-  FROM rs GROUP BY 1, 2),
-s AS (SELECT *, {div("total_impact_1pct", "total_exposure")} AS sensitivity_ratio FROM g),
-{_DS},
-st AS (SELECT AVG(CAST(deposit_stability_score AS DOUBLE)) AS avg_deposit_stability FROM ds)
-SELECT s.*, {case_gt("sensitivity_ratio", [(0.15, "HIGH_EXPOSURE"), (0.10, "MEDIUM_EXPOSURE"), (0.05, "LOW_EXPOSURE")],
-                     "MINIMAL_EXPOSURE")} AS market_risk_level,
-       st.avg_deposit_stability
-FROM s CROSS JOIN st"""
-
-SQL["non_performing_assets"] = f"""
-WITH ld AS (
-  SELECT loan_id, COUNT(*) AS overdue_payments, MAX({D} - due_date) AS max_days_overdue,
-         SUM(amount_due) AS total_overdue_amount
-  FROM loan_payments WHERE status = 'OVERDUE' GROUP BY loan_id),
-n AS (
-  SELECT l.loan_type, l.loan_amount, ld.max_days_overdue
-  FROM loans l LEFT JOIN ld ON l.loan_id = ld.loan_id JOIN accounts a ON l.account_id = a.account_id
-  WHERE ld.max_days_overdue > 90 OR ld.overdue_payments > 3 OR l.status = 'DEFAULTED')
-SELECT {case_gt("max_days_overdue", [(180, "LOSS"), (90, "DOUBTFUL"), (60, "SUBSTANDARD")], "STANDARD")} AS npa_category,
-       loan_type, COUNT(*) AS npa_count, SUM(loan_amount) AS npa_amount, AVG(max_days_overdue) AS avg_days_overdue
-FROM n GROUP BY 1, 2"""
-
-SQL["recovery_rate"] = f"""
-WITH dl AS (
-  SELECT l.loan_id, l.loan_type, l.start_date, SUM(p.amount_due) AS total_amount_due,
-         SUM(p.amount_paid) AS total_amount_paid, MAX(p.payment_date) AS last_payment_date, COUNT(*) AS total_payments
-  FROM loans l JOIN loan_payments p ON l.loan_id = p.loan_id
-  WHERE l.status = 'DEFAULTED' GROUP BY 1, 2, 3),
-d2 AS (SELECT *, {div("total_amount_paid", "total_amount_due")} AS recovery_rate,
-                 {months_between("last_payment_date", "start_date")} AS recovery_time_months FROM dl),
-g AS (
-  SELECT loan_type, COUNT(*) AS defaulted_loans_count, AVG(recovery_rate) AS avg_recovery_rate,
-         quantile_disc(recovery_rate, 0.5) AS median_recovery_rate, AVG(recovery_time_months) AS avg_recovery_time,
-         SUM(total_amount_due) AS total_defaulted_amount, SUM(total_amount_paid) AS total_recovered_amount
-  FROM d2 GROUP BY loan_type)
-SELECT *, {div("avg_recovery_rate", "avg_recovery_time")} AS recovery_efficiency,
-          {case_gt("avg_recovery_rate", [(0.7, "EXCELLENT"), (0.5, "GOOD"), (0.3, "FAIR")], "POOR")} AS recovery_performance
-FROM g"""
-
-SQL["risk_adjusted_returns"] = f"""
-WITH lr AS (SELECT loan_type, SUM(loan_amount * interest_rate) AS total_annual_revenue
-            FROM {_ACTIVE_LOANS} GROUP BY loan_type),
-pl AS (
-  SELECT l.loan_id, l.loan_type, SUM(CASE WHEN p.status = 'OVERDUE' THEN 1 ELSE 0 END) AS overdue_count,
-         {havg("l.interest_rate", 3)} AS interest_rate
-  FROM loans l JOIN loan_payments p ON l.loan_id = p.loan_id GROUP BY 1, 2),
-lk AS (SELECT loan_type, AVG(overdue_count) AS avg_overdue_frequency, {havg("interest_rate", 7)} AS avg_interest_rate
-       FROM pl GROUP BY loan_type),
-j AS (SELECT lr.*, lk.avg_overdue_frequency, lk.avg_interest_rate,
-             {case_gt("lk.avg_overdue_frequency", [(3, 0.5), (2, 0.7), (1, 0.8)], 1.0)} AS risk_adjustment_factor
-      FROM lr JOIN lk ON lr.loan_type = lk.loan_type),
-s AS (SELECT *, CAST(total_annual_revenue AS DOUBLE) * CAST(risk_adjustment_factor AS DOUBLE) AS risk_adjusted_revenue
-      FROM j),
-t AS (SELECT *, {div("risk_adjusted_revenue", "avg_overdue_frequency")} AS return_per_risk_unit FROM s)
-SELECT *, {case_gt("return_per_risk_unit", [(100000, "TOP_PERFORMER"), (50000, "STRONG_PERFORMER"),
-                                             (25000, "AVERAGE_PERFORMER")], "UNDER_PERFORMER")} AS performance_ranking
-FROM t"""
-
-SQL["stress_testing"] = f"""
-WITH book AS (
-  SELECT loan_id, customer_id, loan_amount, loan_type, interest_rate, term_months FROM {_ACTIVE_LOANS}
-  UNION ALL
-  SELECT card_id, customer_id, current_balance, 'CREDIT_CARD', 0.18, 36 FROM credit_cards WHERE status = 'ACTIVE'),
-s AS (SELECT loan_type, loan_amount,
-             {ladder_eq("loan_type", [("CREDIT_CARD", 0.03), ("PERSONAL", 0.02), ("AUTO", 0.015), ("MORTGAGE", 0.01)],
-                        0.025)} AS base_pd
-      FROM book),
-g AS (
-  SELECT loan_type, COUNT(*) AS portfolio_count, SUM(loan_amount) AS total_exposure,
-         SUM(loan_amount * base_pd) AS base_expected_loss,
-         SUM(loan_amount * (base_pd * 1.5)) AS stress_1_expected_loss,
-         SUM(loan_amount * (base_pd * 2.5)) AS stress_2_expected_loss,
-         SUM(loan_amount * (base_pd * 4.0)) AS stress_3_expected_loss
-  FROM s GROUP BY loan_type),
-r AS (
-  SELECT *, {div("stress_1_expected_loss - base_expected_loss", "base_expected_loss")} AS loss_increase_scenario_1,
-            {div("stress_2_expected_loss - base_expected_loss", "base_expected_loss")} AS loss_increase_scenario_2,
-            {div("stress_3_expected_loss - base_expected_loss", "base_expected_loss")} AS loss_increase_scenario_3
-  FROM g)
-SELECT *, {case_gt("loss_increase_scenario_1", [(1.0, "INADEQUATE"), (0.5, "MARGINAL")], "ADEQUATE")} AS capital_adequacy_stress_1,
-          {case_gt("loss_increase_scenario_2", [(2.0, "INADEQUATE"), (1.0, "MARGINAL")], "ADEQUATE")} AS capital_adequacy_stress_2
-FROM r"""
-
-# ------------------------------------------------------------------ compliance
-_AML = f"""al AS (
-  SELECT a.customer_id, t.transaction_id, t.amount, t.transaction_date,
-         CASE WHEN t.amount > 10000 THEN 'LARGE_TRANSACTION'
-              WHEN t.amount > 5000 AND t.transaction_type = 'CASH_DEPOSIT' THEN 'SUSPICIOUS_CASH'
-              WHEN t.amount > 8000 AND t.description LIKE '%international%' THEN 'CROSS_BORDER'
-              ELSE 'NORMAL' END AS suspicious_indicator
-  FROM {_TXA} JOIN customers c ON a.customer_id = c.customer_id),
-f AS (SELECT * FROM al WHERE suspicious_indicator <> 'NORMAL')"""
-_KYC = """kyc AS (
-  SELECT kyc_risk_indicator, COUNT(*) AS non_compliant_customers
-  FROM (SELECT CASE WHEN date_of_birth IS NULL THEN 'MISSING_DOB' WHEN address IS NULL THEN 'MISSING_ADDRESS'
-                    WHEN phone IS NULL THEN 'MISSING_PHONE' WHEN email IS NULL THEN 'MISSING_EMAIL'
-                    ELSE 'COMPLETE' END AS kyc_risk_indicator FROM customers) x
-  WHERE kyc_risk_indicator <> 'COMPLETE' GROUP BY 1)"""
-_CRED = f"""cr AS (
-  SELECT compliance_issue, COUNT(*) AS non_compliant_cards, {havg("current_balance")} AS avg_balance,
-         {havg("credit_limit")} AS avg_limit
-  FROM (SELECT cc.current_balance, cc.credit_limit,
-               CASE WHEN cc.current_balance > cc.credit_limit * 0.9 THEN 'HIGH_UTILIZATION'
-                    WHEN cc.credit_limit > 50000 THEN 'HIGH_LIMIT' ELSE 'COMPLIANT' END AS compliance_issue
-        FROM credit_cards cc JOIN customers c ON cc.customer_id = c.customer_id) x
-  WHERE compliance_issue <> 'COMPLIANT' GROUP BY 1)"""
-
-SQL["compliance_aml"] = f"""
-WITH {_AML}
-SELECT customer_id, suspicious_indicator, COUNT(*) AS alert_count, SUM(amount) AS total_suspicious_amount,
-       COUNT(DISTINCT transaction_date) AS suspicious_date_count,
-       list_slice(list_sort(list_distinct(list(transaction_date) FILTER (WHERE transaction_date IS NOT NULL))), 1, 1000)
-         AS suspicious_dates
-FROM f GROUP BY 1, 2"""
-SQL["compliance_aml_dates"] = f"WITH {_AML}\nSELECT DISTINCT customer_id, suspicious_indicator, transaction_date FROM f"
-SQL["compliance_kyc"] = f"WITH {_KYC}\nSELECT * FROM kyc"
-SQL["compliance_credit"] = f"WITH {_CRED}\nSELECT * FROM cr"
-SQL["compliance_risk"] = f"""
-WITH {_AML}, {_KYC}, {_CRED},
-s AS (
-  SELECT * FROM (SELECT COUNT(DISTINCT customer_id) AS aml_alert_customers FROM f) a
-  CROSS JOIN (SELECT SUM(non_compliant_customers) AS kyc_non_compliant FROM kyc) k
-  CROSS JOIN (SELECT SUM(non_compliant_cards) AS credit_non_compliant FROM cr) c)
-SELECT *, CASE WHEN aml_alert_customers > 100 OR kyc_non_compliant > 50 OR credit_non_compliant > 200 THEN 'HIGH_RISK'
-               WHEN aml_alert_customers > 50 OR kyc_non_compliant > 20 OR credit_non_compliant > 100 THEN 'MEDIUM_RISK'
-               ELSE 'LOW_RISK' END AS overall_compliance_risk
-FROM s"""
-
-SQL["concentration_risk"] = f"""
-WITH sc AS (
-  SELECT c.customer_type, c.state, COUNT(DISTINCT c.customer_id) AS customer_count, SUM(a.balance) AS total_exposure,
-         {havg("a.balance")} AS avg_exposure
-  FROM customers c JOIN accounts a ON c.customer_id = a.customer_id GROUP BY 1, 2),
-s AS (SELECT *, {div("total_exposure", "SUM(total_exposure) OVER ()")} AS exposure_percentage FROM sc)
-SELECT *, {case_gt("exposure_percentage", [(0.1, "HIGH"), (0.05, "MEDIUM")], "LOW")} AS concentration_risk FROM s"""
-
-SQL["counterparty_risk"] = f"""
-WITH br AS (
-  SELECT customer_id, COUNT(*) AS business_partner_count, SUM(allocation_percentage) AS total_business_allocation
-  FROM account_beneficiaries WHERE relationship = 'BUSINESS_PARTNER' GROUP BY customer_id),
-bo AS (SELECT l.customer_id, SUM(l.loan_amount) AS total_borrowing
-       FROM loans l JOIN accounts a ON l.account_id = a.account_id GROUP BY l.customer_id),
-le AS (SELECT *, PERCENT_RANK() OVER (ORDER BY total_borrowing NULLS FIRST) AS exposure_percentile FROM bo),
-le2 AS (SELECT *, exposure_percentile > 0.95 AS is_large_exposure FROM le),
-p AS (
-  SELECT c.*, {zfill([("br", ["business_partner_count", "total_business_allocation"]),
-                      ("le2", ["total_borrowing", "exposure_percentile"])])}, le2.is_large_exposure
-  FROM customers c {joins("c", "customer_id", ["br", "le2"])}),
-s AS (SELECT *, {flags(("business_partner_count > 5", 0.3), ("total_business_allocation > 50", 0.3),
-                       ("is_large_exposure = TRUE", 0.4))} AS counterparty_risk_score FROM p)
-SELECT *, {case_gt("counterparty_risk_score", [(0.6, "HIGH_RISK"), (0.3, "MEDIUM_RISK")], "LOW_RISK")} AS risk_category
-FROM s WHERE counterparty_risk_score > 0"""
-
-_REG = f"""r AS (
-  SELECT a.customer_id, t.account_id, t.transaction_id, t.amount, t.amount > 10000 AS hv,
-         CASE WHEN t.amount > 5000 AND t.transaction_type = 'CASH_DEPOSIT' THEN TRUE
-              WHEN t.amount > 8000 AND t.transaction_type = 'TRANSFER' AND t.description LIKE '%offshore%' THEN TRUE
-              ELSE FALSE END AS sp
-  FROM {_TXA} JOIN customers c ON a.customer_id = c.customer_id),
-ra AS (
-  SELECT customer_id, account_id, transaction_id, amount,
-         CASE WHEN hv AND sp THEN 'HIGH' WHEN hv THEN 'MEDIUM' WHEN sp THEN 'MEDIUM' ELSE 'LOW' END
-           AS compliance_alert_level
-  FROM r),
-alerts AS (SELECT * FROM ra WHERE compliance_alert_level IN ('HIGH', 'MEDIUM'))"""
-
-SQL["regulatory_alerts"] = f"WITH {_REG}\nSELECT * FROM alerts"
-SQL["regulatory_compliance"] = f"""
-WITH {_REG}
-SELECT customer_id, compliance_alert_level, COUNT(*) AS alert_count, SUM(amount) AS total_alert_amount,
-       list_slice(list_sort(list(transaction_id) FILTER (WHERE transaction_id IS NOT NULL)), 1, 1000)
-         AS suspicious_transactions
-FROM alerts GROUP BY 1, 2"""
-
-# ------------------------------------------------------------------ reporting
-SQL["executive_summary"] = f"""
-SELECT * FROM
-  (SELECT COUNT(DISTINCT customer_id) AS total_customers,
-          COUNT(DISTINCT CASE WHEN customer_type = 'BUSINESS' THEN customer_id END) AS business_customers,
-          COUNT(DISTINCT CASE WHEN customer_type = 'INDIVIDUAL' THEN customer_id END) AS individual_customers
-   FROM customers) c
-  CROSS JOIN (SELECT COUNT(*) AS total_accounts, SUM(balance) AS total_deposits,
-                     {havg("balance")} AS avg_account_balance FROM accounts) a
-  CROSS JOIN (SELECT COUNT(*) AS active_loans, SUM(loan_amount) AS total_loan_portfolio FROM {_ACTIVE_LOANS}) l
-  CROSS JOIN (SELECT COUNT(*) AS total_transactions, SUM(amount) AS total_transaction_volume FROM transactions) t"""
-SQL["reporting_framework"] = SQL["executive_summary"]
-
-SQL["product_dashboard"] = f"""
-SELECT account_type, COUNT(*) AS accounts, SUM(balance) AS deposits, {havg("balance")} AS avg_balance
-FROM accounts GROUP BY account_type
-UNION ALL
-SELECT loan_type, COUNT(*), SUM(loan_amount), {havg("loan_amount")} FROM {_ACTIVE_LOANS} GROUP BY loan_type
-UNION ALL
-SELECT 'CREDIT_CARD', COUNT(*), SUM(current_balance), {havg("current_balance")}
-FROM credit_cards WHERE status = 'ACTIVE' GROUP BY 1"""
-
-SQL["regional_performance"] = f"""
-WITH acc AS (SELECT branch_id, COUNT(*) AS accounts, SUM(balance) AS deposits FROM accounts GROUP BY branch_id),
-emp AS (SELECT branch_id, COUNT(*) AS employees, {havg("salary")} AS avg_salary FROM employees GROUP BY branch_id),
-p AS (SELECT {_BRANCH_COLS}, {zfill([("acc", ["accounts", "deposits"]), ("emp", ["employees", "avg_salary"])])}
-      FROM branches b {joins("b", "branch_id", ["acc", "emp"])})
-SELECT *, {div("deposits", "employees")} AS deposits_per_employee, {div("accounts", "employees")} AS efficiency_ratio
-FROM p"""
-
-SQL["risk_overview"] = f"""
-SELECT *, {div("defaulted_loans", "total_loans")} AS default_rate,
-          {div("defaulted_amount", "total_loan_amount")} AS default_ratio
-FROM (SELECT COUNT(*) AS defaulted_loans, SUM(loan_amount) AS defaulted_amount FROM loans WHERE status = 'DEFAULTED') d
-CROSS JOIN (SELECT COUNT(*) AS total_loans, SUM(loan_amount) AS total_loan_amount FROM loans) t"""
-
-SQL["liquidity"] = f"""
-WITH s AS (
-  SELECT *, {div("total_liquid_assets", "projected_outflows_30d")} AS liquidity_ratio,
-            {div("total_liquid_assets", "total_loan_commitments")} AS coverage_ratio
-  FROM (SELECT SUM(balance) AS total_liquid_assets FROM accounts
-        WHERE status = 'ACTIVE' AND account_type IN ('SAVINGS', 'CHECKING')) a
-  CROSS JOIN (SELECT SUM(amount) AS projected_outflows_30d FROM transactions
-              WHERE transaction_type IN ('WITHDRAWAL', 'PAYMENT')
-                AND transaction_date >= {D_LIQ} AND transaction_date <= {D_LIQ} + 30) o
-  CROSS JOIN (SELECT SUM(loan_amount) AS total_loan_commitments FROM {_ACTIVE_LOANS}) c)
-SELECT *, {case_gt("liquidity_ratio", [(2.0, "EXCELLENT"), (1.5, "ADEQUATE"), (1.0, "MINIMAL")], "INADEQUATE")}
-          AS liquidity_status
-FROM s"""
+for _family in (transactions, accounts, branches, customers, credit, compliance, reporting):
+    SQL.update(_family.SQL)
 
 
 # ------------------------------------------------------------------ dense variants

@@ -88,3 +88,19 @@ def flags(*terms) -> str:
 def ladder_eq(x: str, pairs, default) -> str:
     arms = " ".join(f"WHEN {x} = {_lit(k)} THEN {_lit(v)}" for k, v in pairs)
     return f"CASE {arms} ELSE {_lit(default)} END"
+
+
+# Fragments shared by several analysis families.
+EPOCH = "CAST(floor(epoch_us({c}) / 1000000) AS BIGINT)"
+TX_ORDER = ", ".join(f"t.{c} NULLS FIRST" for c in (
+    "transaction_date", "transaction_id", "transaction_type", "amount", "description",
+    "related_account_id", "transaction_status"))
+TXA = "transactions t JOIN accounts a ON t.account_id = a.account_id"
+BRANCH_COLS = ("b.branch_id, b.branch_name, b.branch_code, b.address, b.city, b.state, b.phone, "
+               "COALESCE(b.manager_id, 0) AS manager_id")
+ACTIVE_LOANS = "loans WHERE status = 'ACTIVE'"
+
+
+def zcol(x: str, name: str | None = None) -> str:
+    """A left-joined measure filled with 0, as ``fillna(0)`` fills it."""
+    return f"COALESCE({x}, 0) AS {name or x.split('.')[-1]}"
