@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.checks.sqlkit import D, case_gt, dbl, div, havg, months_between, wsum, BRANCH_COLS, zcol
+from ledgerlens.checks.sqlkit import BRANCH_COLS, D, case_gt, dbl, div, havg, months_between, wsum, zcol
 
 SQL: dict[str, str] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.checks.sqlkit import case_gt, div, flags, havg, joins, zfill, TXA
+from ledgerlens.checks.sqlkit import TXA, case_gt, div, flags, havg, joins, zfill
 
 SQL: dict[str, str] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.checks.sqlkit import D_LIQ, case_gt, div, havg, joins, zfill, BRANCH_COLS, ACTIVE_LOANS
+from ledgerlens.checks.sqlkit import ACTIVE_LOANS, BRANCH_COLS, D_LIQ, case_gt, div, havg, joins, zfill
 
 SQL: dict[str, str] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.checks.sqlkit import havg, EPOCH, TX_ORDER
+from ledgerlens.checks.sqlkit import EPOCH, TX_ORDER, havg
 
 SQL: dict[str, str] = {}
 
