@@ -104,11 +104,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: C
     rest = want - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - done))
     share = F.try_divide(done + F.col("size") / 2, F.col("target"))
-    mixed = placed.select("row", "size", "source_size", "target", "rank", taken.cast("long").alias("taken"),
+    mixed = placed.select("row", "key", "size", "source_size", "target", "rank", taken.cast("long").alias("taken"),
                           F.least(F.lit(1.0), share).alias("share"))
     position = F.when(F.col("taken") > 0, _when(F.col("share"), F.col("rank"), ramps))
-    return (mixed.withColumn("position", position).select("row", "size", "source_size", "target", "taken", "position")
-            .orderBy(F.col("position").asc_nulls_last()))
+    # The key spreads the many documents without a position over all ranges.
+    return (mixed.withColumn("position", position).select("row", "size", "source_size", "target", "taken", "position", "key")
+            .orderBy(F.col("position").asc_nulls_last(), "key").drop("key"))
 
 
 def _when(share: Column, rank: Column, ramps: tuple) -> Column:
