@@ -12,7 +12,6 @@ Layout:
   plans/      plan-level building blocks (grand totals without a one-task
               window, distributed percent_rank, fact pre-aggregation)
   operators/  the analyses, grouped by business family
-  streaming/  micro-batch runner for the transaction-level monitors
   checks/     result normalisation and the DuckDB oracle SQL
 """
 

@@ -12,7 +12,7 @@ Both engines are asked for the same canonical column types:
   dates                                 -> 'YYYY-MM-DD'
   timestamps                            -> 'YYYY-MM-DD HH:MM:SS.ffffff' (wall time,
                                            whatever the session time zone)
-  arrays                                -> elements in canonical form, sorted,
+  arrays                                -> elements in canonical form, in order,
                                            joined by ','
 The kinds of a result's columns are read from its Spark schema; the same
 kinds wrap the oracle SQL (``wrap_sql``).
@@ -67,7 +67,7 @@ def _spark_canon(c: Column, kind: str) -> Column:
     if kind.startswith("a"):
         inner = kind[1:]
         as_text = F.transform(c, lambda x: _spark_canon(x, inner).cast("string"))
-        return F.array_join(F.array_sort(as_text), ",")
+        return F.array_join(as_text, ",")
     return c
 
 
@@ -89,7 +89,7 @@ def _sql_canon(expr: str, kind: str) -> str:
         return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"
     if kind.startswith("a"):
         inner = _sql_canon("x", kind[1:])
-        return f"array_to_string(list_sort(list_transform({expr}, lambda x: CAST({inner} AS VARCHAR))), ',')"
+        return f"array_to_string(list_transform({expr}, lambda x: CAST({inner} AS VARCHAR)), ',')"
     return expr
 
 

@@ -143,15 +143,13 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'suspicious_indicator': 's',
                     'alert_count': 'i',
                     'total_suspicious_amount': 'f',
-                    'suspicious_date_count': 'i',
-                    'suspicious_dates': 'at'},
+                    'suspicious_date_count': 'i'},
  'compliance_aml_dates': {'customer_id': 'i', 'suspicious_indicator': 's', 'transaction_date': 't'},
  'compliance_aml_dense': {'customer_id': 'i',
                           'suspicious_indicator': 's',
                           'alert_count': 'i',
                           'total_suspicious_amount': 'f',
-                          'suspicious_date_count': 'i',
-                          'suspicious_dates': 'at'},
+                          'suspicious_date_count': 'i'},
  'compliance_credit': {'compliance_issue': 's',
                        'non_compliant_cards': 'i',
                        'avg_balance': 'f',
@@ -322,6 +320,7 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'total_liabilities': 'f',
                         'net_worth': 'f',
                         'leverage_ratio': 'f'},
+ 'customer_portfolio_types': {'customer_id': 'i', 'account_type': 's', 'balance': 'f'},
  'demographic_targeting': {'age_group': 's',
                            'customer_type': 's',
                            'customer_count': 'i',
@@ -633,21 +632,19 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'avg_salary': 'f',
                           'deposits_per_employee': 'f',
                           'efficiency_ratio': 'f'},
- 'regulatory_alerts': {'customer_id': 'i',
-                       'account_id': 'i',
+ 'regulatory_alerts': {'account_id': 'i',
                        'transaction_id': 'i',
                        'amount': 'f',
-                       'compliance_alert_level': 's'},
+                       'compliance_alert_level': 's',
+                       'customer_id': 'i'},
  'regulatory_compliance': {'customer_id': 'i',
                            'compliance_alert_level': 's',
                            'alert_count': 'i',
-                           'total_alert_amount': 'f',
-                           'suspicious_transactions': 'ai'},
+                           'total_alert_amount': 'f'},
  'regulatory_compliance_dense': {'customer_id': 'i',
                                  'compliance_alert_level': 's',
                                  'alert_count': 'i',
-                                 'total_alert_amount': 'f',
-                                 'suspicious_transactions': 'ai'},
+                                 'total_alert_amount': 'f'},
  'relationship_network': {'customer_id': 'i',
                           'first_name': 's',
                           'last_name': 's',
@@ -669,16 +666,8 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'unique_connections': 'i',
                           'network_influence': 'f',
                           'relationship_diversity': 's'},
- 'reporting_framework': {'total_customers': 'i',
-                         'business_customers': 'i',
-                         'individual_customers': 'i',
-                         'total_accounts': 'i',
-                         'total_deposits': 'f',
-                         'avg_account_balance': 'f',
-                         'active_loans': 'i',
-                         'total_loan_portfolio': 'f',
-                         'total_transactions': 'i',
-                         'total_transaction_volume': 'f'},
+ 'relationship_types': {'customer_id': 'i', 'relationship': 's', 'beneficiaries': 'i'},
+ 'reporting_framework': {'section': 's', 'key': 's', 'measure': 's', 'value': 'f'},
  'risk_adjusted_returns': {'loan_type': 's',
                            'total_annual_revenue': 'f',
                            'avg_overdue_frequency': 'f',

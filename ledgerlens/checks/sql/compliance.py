@@ -33,9 +33,7 @@ _CRED = f"""cr AS (
 SQL["compliance_aml"] = f"""
 WITH {_AML}
 SELECT customer_id, suspicious_indicator, COUNT(*) AS alert_count, SUM(amount) AS total_suspicious_amount,
-       COUNT(DISTINCT transaction_date) AS suspicious_date_count,
-       list_slice(list_sort(list_distinct(list(transaction_date) FILTER (WHERE transaction_date IS NOT NULL))), 1, 1000)
-         AS suspicious_dates
+       COUNT(DISTINCT transaction_date) AS suspicious_date_count
 FROM f GROUP BY 1, 2"""
 SQL["compliance_aml_dates"] = f"WITH {_AML}\nSELECT DISTINCT customer_id, suspicious_indicator, transaction_date FROM f"
 SQL["compliance_kyc"] = f"WITH {_KYC}\nSELECT * FROM kyc"
@@ -92,7 +90,5 @@ alerts AS (SELECT * FROM ra WHERE compliance_alert_level IN ('HIGH', 'MEDIUM'))"
 SQL["regulatory_alerts"] = f"WITH {_REG}\nSELECT * FROM alerts"
 SQL["regulatory_compliance"] = f"""
 WITH {_REG}
-SELECT customer_id, compliance_alert_level, COUNT(*) AS alert_count, SUM(amount) AS total_alert_amount,
-       list_slice(list_sort(list(transaction_id) FILTER (WHERE transaction_id IS NOT NULL)), 1, 1000)
-         AS suspicious_transactions
+SELECT customer_id, compliance_alert_level, COUNT(*) AS alert_count, SUM(amount) AS total_alert_amount
 FROM alerts GROUP BY 1, 2"""

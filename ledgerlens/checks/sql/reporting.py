@@ -17,7 +17,6 @@ SELECT * FROM
                      {havg("balance")} AS avg_account_balance FROM accounts) a
   CROSS JOIN (SELECT COUNT(*) AS active_loans, SUM(loan_amount) AS total_loan_portfolio FROM {ACTIVE_LOANS}) l
   CROSS JOIN (SELECT COUNT(*) AS total_transactions, SUM(amount) AS total_transaction_volume FROM transactions) t"""
-SQL["reporting_framework"] = SQL["executive_summary"]
 
 SQL["product_dashboard"] = f"""
 SELECT account_type, COUNT(*) AS accounts, SUM(balance) AS deposits, {havg("balance")} AS avg_balance
@@ -42,6 +41,15 @@ SELECT *, {div("defaulted_loans", "total_loans")} AS default_rate,
 FROM (SELECT COUNT(*) AS defaulted_loans, SUM(loan_amount) AS defaulted_amount FROM loans WHERE status = 'DEFAULTED') d
 CROSS JOIN (SELECT COUNT(*) AS total_loans, SUM(loan_amount) AS total_loan_amount FROM loans) t"""
 
+_REPORTS = {"executive_summary": "''", "product_dashboard": "account_type", "regional_performance": "branch_id::VARCHAR",
+            "risk_overview": "''"}
+SQL["reporting_framework"] = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS section, key, measure, value FROM (UNPIVOT (SELECT {key} AS key, "
+    f"COLUMNS(lambda c: c NOT IN ('account_type') AND c NOT LIKE '%\\_id' ESCAPE '\\' "
+    f"AND c NOT IN ('branch_name', 'branch_code', 'address', 'city', 'state', 'phone'))::DOUBLE "
+    f"FROM ({SQL[name]})) ON COLUMNS(* EXCLUDE key) INTO NAME measure VALUE value)"
+    for name, key in _REPORTS.items())
+
 SQL["liquidity"] = f"""
 WITH s AS (
   SELECT *, {div("total_liquid_assets", "projected_outflows_30d")} AS liquidity_ratio,

@@ -7,8 +7,11 @@ construction (``plans.attach_one_row``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions import above, as_of_date, ratio
 from ledgerlens.operators.customers import active
@@ -70,14 +73,26 @@ def risk_overview(loans: DataFrame) -> DataFrame:
 
 
 def reporting_framework(customers: DataFrame, accounts: DataFrame, transactions: DataFrame, loans: DataFrame,
-                        credit_cards: DataFrame, branches: DataFrame, employees: DataFrame) -> dict[str, DataFrame]:
-    """The four reports, as independent lazy DataFrames."""
-    return {
+                        credit_cards: DataFrame, branches: DataFrame, employees: DataFrame) -> DataFrame:
+    """The four reports as one long table (section, key, measure, value): key is
+    the row's name inside its section, empty where the section is one row."""
+    reports = {
         "executive_summary": executive_summary(customers, accounts, transactions, loans),
         "product_dashboard": product_dashboard(accounts, loans, credit_cards),
         "regional_performance": regional_performance(branches, accounts, employees),
         "risk_overview": risk_overview(loans),
     }
+    keys = {"product_dashboard": "account_type", "regional_performance": "branch_id"}
+    return reduce(DataFrame.unionByName, [_long(name, df, keys.get(name)) for name, df in reports.items()])
+
+
+def _long(section: str, df: DataFrame, key: str | None) -> DataFrame:
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)
+               and not f.name.endswith("_id")]
+    name = F.col(key).cast("string") if key else F.lit("")
+    return (df.select(name.alias("key"), *[F.col(c).cast("double").alias(c) for c in numbers])
+            .unpivot("key", numbers, "measure", "value")
+            .select(F.lit(section).alias("section"), "key", "measure", "value"))
 
 
 # ---------------------------------------------------------------- A33

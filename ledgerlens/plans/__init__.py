@@ -5,14 +5,13 @@
   one task).  The figure is a one-row aggregate (partial aggregation on every
   task, one tiny final merge), attached to every row from a broadcast of a
   frame that is one row by construction (``attach_one_row``).
-* ``percent_rank`` / ``percentile_disc``: the global (or per-key)
-  ``percent_rank`` and exact percentiles over inputs of any size, by range
-  partitioning a value histogram (``with_percentiles`` attaches them).
+* ``percent_rank`` / ``ntile``: global (or per-key) ranks over inputs of any
+  size, from a value histogram cut into slices; ``with_percentiles`` attaches
+  percentiles from a mergeable sketch.
 * ``profile``: an entity left-joined to per-key measure frames, NULLs filled
   with 0 the way the analyses fill them.
 """
 
 from ledgerlens.plans.globals import attach_one_row, with_quantiles, with_totals  # noqa: F401
-from ledgerlens.plans.ranking import (percent_rank, percentile_disc, smallest_values,  # noqa: F401
-                                      with_percentiles)
+from ledgerlens.plans.ranking import percent_rank, with_percentiles  # noqa: F401
 from ledgerlens.plans.joins import profile  # noqa: F401

@@ -1,220 +1,99 @@
-"""Ranks and exact percentiles for inputs of any size.
-
-``percent_rank() OVER (ORDER BY v)`` without a partition moves every row into
-one task, and an exact percentile per group keeps a group's values in one
-task.  Both are computed here with every stage distributed:
-
-1. histogram: one row per distinct (keys, v) with its row count (map-side
-   combined, so a value held by a third of all rows is one row here);
-2. range-partition the histogram by (keys, v); each range is one task;
-3. per range, the number of rows (bounded by #ranges + #keys rows) gives each
-   range's offset inside its key, and the key's row count;
-4. inside each range, a running sum of counts gives the rows strictly before
-   each value; adding the offset gives its rank.
-
-The range-partitioned histogram is checkpointed (reliably, in the session's
-checkpoint folder) so that the range ids read by steps 3 and 4 come from one
-materialisation.  Ties get equal ranks; nulls sort first when ascending and
-last when descending, as Spark's window functions do.
-
-Only large groups take that path.  One cheap aggregate finds the key groups
-holding more than ``GROUP_BOUND`` rows (there are at most rows / bound of
-them); all other groups take the direct path -- the plain window, or a sorted
-list of at most ``GROUP_BOUND`` values -- which is exact and bounded per task,
-and the two results are unioned (``split_by_size``).  So one hot key does not
-send the whole table through the sampling and checkpoint jobs.
+"""Ranks and percentiles over groups of any size, on one lazy path.
+
+A group is never one task: its rows are cut into slices by value.  The cut
+points are one ``percentile_approx`` sketch over the whole input (one row, an
+array of SLICES - 1 numbers), attached to every row, so slices follow from the data
+alone and are the same however often a task is run.  Per (group, slice) counts
+are a small aggregate, and their running sums place each slice in its group.
+Nothing runs before the caller's action, and nothing is written or collected.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir
-
-# Largest group (rows) handled in one task by the direct path.
-GROUP_BOUND = 100_000
-# At most this many hot keys are collected and broadcast to split the rows
-# (a proven bound); more are split with a shuffle join instead.
-HOT_KEYS_BROADCAST = 10_000
+from ledgerlens.plans.globals import attach_one_row
 
-
-def groups_within(df: DataFrame, keys, bound: int | None = None) -> bool:
-    """True when no key group of ``df`` has more than ``bound`` rows (default
-    ``GROUP_BOUND``; one partial-aggregated count per group, then a max)."""
-    bound = GROUP_BOUND if bound is None else bound
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__g")) if keys else df.agg(F.count(F.lit(1)).alias("__g"))
-    biggest = sizes.agg(F.max("__g")).first()[0]
-    return biggest is None or biggest <= bound
+#: Slices of one group: a group with a third of all rows is this many tasks.
+SLICES = 32
+#: Rank error of percentiles: under one row up to so many rows of a group.
+ACCURACY = 1_000_000
 
 
-def split_by_size(df: DataFrame, keys, bound: int | None = None):
-    """(rows of key groups within ``bound`` rows, rows of larger groups); a
-    side is None when empty.  Without keys the whole frame is one group."""
-    bound = GROUP_BOUND if bound is None else bound
-    keys = list(keys)
-    if not keys:
-        return (df, None) if groups_within(df, keys, bound) else (None, df)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__g"))
-           .filter(F.col("__g") > bound).select(*keys))
-    sample = hot.limit(HOT_KEYS_BROADCAST + 1).collect()
-    if not sample:
-        return df, None
-    if len(sample) <= HOT_KEYS_BROADCAST:
-        hot = F.broadcast(df.sparkSession.createDataFrame(sample, hot.schema))
-    hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
-    cond = [df[k].eqNullSafe(hot[f"__h_{k}"]) for k in keys]
-    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
-
-
-def union_parts(*parts: DataFrame | None) -> DataFrame:
-    present = [p for p in parts if p is not None]
-    out = present[0]
-    for p in present[1:]:
-        out = out.unionByName(p)
-    return out
+def sliced(df: DataFrame, by: Column, descending: bool = False, slices: int = SLICES) -> DataFrame:
+    """``df`` plus ``__rid``, a slice number that grows with ``by`` (a number,
+    date or timestamp; falls, if ``descending``).  NULLs are slice -1 (slices,
+    if ``descending``): first in ascending order, last in descending."""
+    marks = df.agg(F.percentile_approx(by, [i / slices for i in range(1, slices)], 10 * slices).alias("__marks"))
+    over = F.size(F.filter(F.coalesce("__marks", F.array()), lambda m: m < by))
+    place = slices - 1 - over if descending else over
+    empty = F.lit(slices if descending else -1)
+    return attach_one_row(df, marks).withColumn("__rid", F.when(by.isNull(), empty).otherwise(place)).drop("__marks")
 
 
 def ranked_histogram(df: DataFrame, value: str, keys=(), descending: bool = False,
-                     num_ranges: int | None = None) -> DataFrame:
+                     slices: int = SLICES, by: Column | None = None) -> DataFrame:
     """Rows (keys..., value, __c, __lt, __n): the count of ``value`` in its key
-    group, the rows strictly before it in the order, and the group size."""
-    spark = df.sparkSession
+    group, the rows strictly before it in the order, and the group size.
+    ``by`` is the number to slice by, if ``value`` is not one itself."""
     keys = list(keys)
-    n_ranges = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = F.col(value)
-    order = v.desc_nulls_last() if descending else v.asc_nulls_first()
-
-    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    ranged = (hist.repartitionByRange(n_ranges, *[F.col(k) for k in keys], order)
-              .withColumn("__rid", F.spark_partition_id()))
-    ensure_checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-
-    per_range = ranged.groupBy(*keys, "__rid").agg(F.sum("__c").alias("__rc"))
-    by_key = Window.partitionBy(*keys)
-    per_range = (per_range
-                 .withColumn("__off", F.coalesce(F.sum("__rc").over(
-                     by_key.orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                 .withColumn("__n", F.sum("__rc").over(by_key))
-                 .drop("__rc"))
-    if not keys:
-        # at most one row per range: bounded by the configured range count
-        per_range = F.broadcast(per_range)
-
+    by = F.col(value) if by is None else by
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
+    hist = (sliced(df.select(*keys, value, by.alias("__by")), F.col("__by"), descending, slices)
+            .groupBy(*keys, "__rid", value).agg(F.count(F.lit(1)).alias("__c")))
+    group = Window.partitionBy(*keys, F.lit(0))
+    starts = (hist.groupBy(*keys, "__rid").agg(F.sum("__c").alias("__rc"))
+              .withColumn("__off", F.coalesce(F.sum("__rc").over(
+                  group.orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn("__n", F.sum("__rc").over(group)).drop("__rc"))
     inside = Window.partitionBy("__rid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.join(per_range, keys + ["__rid"])
-            .withColumn("__lt", F.col("__off") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+    return (on_slice(hist.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0))), starts, keys)
+            .withColumn("__lt", F.col("__off") + F.col("__in"))
             .select(*keys, value, "__c", "__lt", "__n"))
 
 
+def on_slice(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left join on (__rid, keys), NULL keys matching NULL keys."""
+    same = ["__rid", *keys]
+    r = right.select(*[F.col(c).alias(f"__j_{c}") for c in same], *[c for c in right.columns if c not in same])
+    cond = [left[c].eqNullSafe(r[f"__j_{c}"]) for c in same]
+    return left.join(r, cond, "left").drop(*[f"__j_{c}" for c in same])
+
+
 def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
-                 descending: bool = False, num_ranges: int | None = None) -> DataFrame:
+                 descending: bool = False, slices: int = SLICES) -> DataFrame:
     """``df`` plus ``out`` = percent_rank() over (partition by keys order by
     ``order_col``), identical to the window function's result."""
     keys = list(partition_by)
-    small, big = split_by_size(df, keys)
-    v = F.col(order_col)
-    order = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    direct = small.withColumn(out, F.percent_rank().over(Window.partitionBy(*keys).orderBy(order))) \
-        if small is not None else None
-    if big is None:
-        return direct
-    return union_parts(direct, _percent_rank_ranged(big, order_col, out, keys, descending, num_ranges))
-
-
-def _percent_rank_ranged(df, order_col, out, keys, descending, num_ranges):
-    h = ranked_histogram(df, order_col, keys, descending, num_ranges)
-    ranks = h.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                     F.col(order_col).alias("__v"),
-                     F.when(F.col("__n") > 1, F.col("__lt") / (F.col("__n") - 1))
-                      .otherwise(F.lit(0.0)).alias(out))
+    h = ranked_histogram(df, order_col, keys, descending, slices)
+    share = F.when(F.col("__n") > 1, F.col("__lt") / (F.col("__n") - 1)).otherwise(F.lit(0.0))
+    ranks = h.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(order_col).alias("__v"), share.alias(out))
     cond = [df[k].eqNullSafe(ranks[f"__k_{k}"]) for k in keys] + [df[order_col].eqNullSafe(ranks["__v"])]
     return df.join(ranks, cond).drop(*[f"__k_{k}" for k in keys], "__v")
 
 
-def percentile_disc(df: DataFrame, value: str, probs: dict[str, float], keys=(),
-                    num_ranges: int | None = None) -> DataFrame:
-    """Exact nearest-rank percentiles per key group: for each ``name: p`` the
-    smallest value whose cumulative count reaches ceil(p * n) (NULLs ignored).
-
-    The same numbers ``percentile_approx`` estimates, but exact and
-    independent of the partitioning; no group is held in one task.
-    """
-    keys = list(keys)
-    small, big = split_by_size(df.filter(F.col(value).isNotNull()), keys)
-    direct = None
-    if small is not None:
-        vals = F.sort_array(F.collect_list(value))
-        out = small.groupBy(*keys).agg(vals.alias("__s"), F.count(F.lit(1)).alias("__n"))
-        direct = out.select(*keys, *[F.element_at("__s", F.ceil(F.lit(Decimal(str(p))) * F.col("__n")).cast("int"))
-                                     .alias(name) for name, p in probs.items()])
-    if big is None:
-        return direct
-    h = ranked_histogram(big, value, keys, num_ranges=num_ranges)
-    picks = []
-    for name, p in probs.items():
-        target = F.ceil(F.lit(Decimal(str(p))) * F.col("__n"))
-        hit = (F.col("__lt") < target) & (target <= F.col("__lt") + F.col("__c"))
-        picks.append(F.max(F.when(hit, F.col(value))).alias(name))
-    return union_parts(direct, h.groupBy(*keys).agg(*picks))
-
-
 def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str, float],
                      keys=(), accuracy: int | None = None) -> DataFrame:
     """Attach per-group percentiles of ``df.value`` to the per-group frame
-    ``agg``.  ``accuracy=None`` computes them exactly (``percentile_disc``);
-    an integer uses the ``percentile_approx`` sketch with that accuracy."""
+    ``agg``: one mergeable ``percentile_approx`` sketch per group."""
     keys = list(keys)
-    if accuracy is not None:
-        q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()])
-    else:
-        q = percentile_disc(df, value, probs, keys)
+    q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy or ACCURACY).alias(n) for n, p in probs.items()])
     if not keys:
-        from ledgerlens.plans.globals import attach_one_row
         return attach_one_row(agg, q)
     q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *probs)
     cond = [agg[k].eqNullSafe(q[f"__k_{k}"]) for k in keys]
     return agg.join(q, cond, "left").drop(*[f"__k_{k}" for k in keys])
 
 
-def smallest_values(df: DataFrame, value: str, keys, limit: int, distinct: bool = False) -> DataFrame:
-    """Per key group, the ``limit`` smallest values of ``value`` as a sorted
-    array (``collect_list`` semantics, or ``collect_set`` with ``distinct``).
-
-    Built from the ranked histogram, so at most ``limit`` values of a group
-    ever meet in one row, however large the group; the exact, uncapped set
-    stays available as the long form the caller filtered from.
-    """
-    keys = list(keys)
-    src = df.select(*keys, value).filter(F.col(value).isNotNull())
-    if distinct:
-        src = src.distinct()
-    small, big = split_by_size(src, keys)
-    direct = small.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(value)), 1, limit).alias(value)) \
-        if small is not None else None
-    if big is None:
-        return direct
-    h = ranked_histogram(big, value, keys)
-    take = F.least(F.col("__c"), F.lit(limit) - F.col("__lt")).cast("int")
-    return union_parts(direct, h.filter(F.col("__lt") < limit)
-                       .groupBy(*keys)
-                       .agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(value), take)))).alias(value)))
-
-
-def ntile(df: DataFrame, order_cols, n: int, out: str, num_ranges: int | None = None) -> DataFrame:
+def ntile(df: DataFrame, order_cols, n: int, out: str, slices: int = SLICES) -> DataFrame:
     """``df`` plus ``out`` = ntile(n) over a global ascending order on
-    ``order_cols`` (NULLs first), which must be a total order.  Up to
-    ``GROUP_BOUND`` rows this is the plain window; beyond, each row's position
-    comes from the ranked histogram of the order tuple and the bucket follows
-    the window's rule (the first N mod n buckets hold one row more)."""
+    ``order_cols`` (NULLs first), which must be a total order that begins with
+    a number or date.  Each row's position comes from the ranked histogram of
+    the order tuple, and the bucket follows the window's rule (the first N mod n
+    buckets hold one row more)."""
     order_cols = list(order_cols)
-    if groups_within(df, []):
-        return df.withColumn(out, F.ntile(n).over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])))
-    h = ranked_histogram(df.withColumn("__o", F.struct(*order_cols)), "__o", num_ranges=num_ranges)
+    h = ranked_histogram(df.withColumn("__o", F.struct(*order_cols)), "__o", slices=slices, by=F.col(order_cols[0]))
     i, total = F.col("__lt") + 1, F.col("__n")
     size, rem = F.floor(total / n), total % n
     big_rows = rem * (size + 1)

@@ -1,122 +1,71 @@
-"""Ordered per-key sequences (previous / next row, running statistics) that
-stay distributed when one key holds a large share of the rows.
+"""Per-key sequences (lag, lead, running statistics) for keys of any size.
 
-``lag`` over ``Window.partitionBy(account)`` sorts every row of an account in
-one task; an account holding a third of all transactions would be a third of
-the data in one task.  When a key group may be that large, the rows are
-range-partitioned by (key, order) instead -- a hot key is cut into slices of
-about equal size, each slice one task -- and the sequence is computed inside
-each slice.  Only the slice edges need the neighbouring slice of the same key:
-one row per slice, carried across by a window over slice ids (at most one row
-per range for any key) and joined back.
-
-Running statistics use the same slicing with prefix sums: per-slice totals,
-their running offsets per key, and the running sums inside the slice.  Rows
-with equal order values stay in one slice (the range partitioner sends equal
-sort keys to the same range), so RANGE frames that include peers are exact.
-
-Only the keys holding more than ``ranking.GROUP_BOUND`` rows are sliced
-(``ranking.split_by_size``); every other key takes the plain window, and the
-two parts are unioned.  The sliced rows are checkpointed in the session's
-checkpoint folder so slice ids stay stable.
+Every key is cut into time slices (``ranking.sliced``), each window runs inside
+one slice of one key, and what a slice needs from the others is one row a
+slice: its edge row, or its sums.  One lazy path for all keys.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlens.plans import ranking
-from ledgerlens.session import ensure_checkpoint_dir
-
-
-def _slices(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = (df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order)
-              .withColumn("__rid", F.spark_partition_id()))
-    ensure_checkpoint_dir(spark)
-    return sliced.checkpoint(eager=True)
-
+from ledgerlens.plans.ranking import SLICES, on_slice, sliced
 
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on (__rid, keys), NULL keys matching NULL keys."""
-    r = right.select(*[F.col(c).alias(f"__j_{c}") for c in ["__rid", *keys]],
-                     *[c for c in right.columns if c not in ["__rid", *keys]])
-    cond = [left[c].eqNullSafe(r[f"__j_{c}"]) for c in ["__rid", *keys]]
-    return left.join(r, cond, "left").drop(*[f"__j_{c}" for c in ["__rid", *keys]])
 
-
-def neighbors(df: DataFrame, keys, order: list[Column], cols, step: int = 1, prefix: str = "prev_",
-              direct: bool | None = None) -> DataFrame:
+def neighbors(df: DataFrame, keys, time: str, ties, cols, step: int = 1, prefix: str = "prev_",
+              slices: int = SLICES) -> DataFrame:
     """``df`` plus ``prefix + c`` = lag (step=1) or lead (step=-1) of each
-    column over (partition by keys order by ``order``).  ``order`` must be a
-    total order inside a key for the result to be deterministic.  ``direct``
-    forces the plain window (True) or the sliced path (False) for all keys."""
+    column over (partition by keys order by ``time`` NULLs first, ``ties``).
+    Time and ties must be a total order inside a key for the result to be
+    deterministic."""
     keys, cols = list(keys), list(cols)
+    order = [F.col(time).asc_nulls_first(), *[c if isinstance(c, Column) else F.col(c).asc_nulls_first() for c in ties]]
     fn = F.lag if step == 1 else F.lead
-    if direct is None:
-        small, big = ranking.split_by_size(df, keys)
-        return ranking.union_parts(
-            *[neighbors(part, keys, order, cols, step, prefix, direct=d)
-              for part, d in ((small, True), (big, False)) if part is not None])
-    if direct:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[fn(c).over(w).alias(prefix + c) for c in cols])
-
-    s = _slices(df, keys, order)
     w = Window.partitionBy("__rid", *keys).orderBy(*order)
-    loc = (s.withColumn("__rn", F.row_number().over(w))
-           .withColumn("__cnt", F.count(F.lit(1)).over(Window.partitionBy("__rid", *keys))))
-    for c in cols:
-        loc = loc.withColumn(prefix + c, fn(c).over(w))
-    last, first = F.col("__rn") == F.col("__cnt"), F.col("__rn") == 1
-    # lag: a slice's first row takes the previous slice's last row; lead: the
-    # last row takes the next slice's first row
-    edge_rows, edge_at = (last, first) if step == 1 else (first, last)
-    across = Window.partitionBy(*keys).orderBy("__rid")
-    edges = (loc.filter(edge_rows)
+    # __seen marks rows whose neighbour lies in the slice
+    here = sliced(df, F.col(time), slices=slices).select(
+        "*", fn(F.lit(True)).over(w).alias("__seen"), *[fn(c).over(w).alias(prefix + c) for c in cols])
+    # the slice's row next to the following slice: its last for lag, its first for lead
+    back = Window.partitionBy("__rid", *keys).orderBy(*order)
+    rim = F.lead(F.lit(True)).over(back) if step == 1 else F.lag(F.lit(True)).over(back)
+    across = Window.partitionBy(*keys, F.lit(0)).orderBy("__rid")
+    edges = (here.withColumn("__rim", rim).where(F.col("__rim").isNull())
              .select("__rid", *keys, *[fn(c).over(across).alias(f"__e_{c}") for c in cols]))
-    out = _join_on(loc, edges, keys)
+    out = on_slice(here, edges, keys)
     for c in cols:
-        out = out.withColumn(prefix + c, F.when(edge_at, F.col(f"__e_{c}")).otherwise(F.col(prefix + c)))
-    return out.drop("__rid", "__rn", "__cnt", *[f"__e_{c}" for c in cols])
+        out = out.withColumn(prefix + c, F.when(F.col("__seen").isNull(), F.col(f"__e_{c}")).otherwise(F.col(prefix + c)))
+    return out.drop("__rid", "__seen", *[f"__e_{c}" for c in cols])
 
 
 def running_stats(df: DataFrame, keys, order_col: str, value: str, avg_name: str, std_name: str,
-                  direct: bool | None = None) -> DataFrame:
+                  slices: int = SLICES) -> DataFrame:
     """``df`` plus the running average and sample standard deviation of
     ``value`` over (partition by keys order by ``order_col``) with the default
-    frame: all earlier rows and the rows tied with the current one."""
+    frame: all earlier rows and the rows tied with the current one.  Sums are
+    exact decimals, so the figures never depend on the slices."""
     keys = list(keys)
-    order = F.col(order_col).asc_nulls_first()
-    if direct is None:
-        small, big = ranking.split_by_size(df, keys)
-        return ranking.union_parts(
-            *[running_stats(part, keys, order_col, value, avg_name, std_name, direct=d)
-              for part, d in ((small, True), (big, False)) if part is not None])
-    if direct:
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn(avg_name, F.avg(value).over(w)).withColumn(std_name, F.stddev(value).over(w))
-
     x = F.col(value)
-    s = _slices(df, keys, [order])
-    w = Window.partitionBy("__rid", *keys).orderBy(order)   # RANGE frame: peers included
+    s = sliced(df, F.col(order_col), slices=slices)
+    w = Window.partitionBy("__rid", *keys).orderBy(F.col(order_col).asc_nulls_first())   # RANGE frame: peers included
     # a slice can start with NULL values: their running sum is NULL, not 0
-    loc = (s.withColumn("__n", F.count(x).over(w))
-           .withColumn("__s", F.coalesce(F.sum(x).over(w), F.lit(0)))
-           .withColumn("__ss", F.coalesce(F.sum(x * x).over(w), F.lit(0))))
-    before = Window.partitionBy(*keys).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (s.groupBy("__rid", *keys).agg(F.count(x).alias("__tn"), F.sum(x).alias("__ts"),
-                                             F.sum(x * x).alias("__tss"))
-               .select("__rid", *keys,
-                       *[F.coalesce(F.sum(f"__t{m}").over(before), F.lit(0)).alias(f"__o{m}")
-                         for m in ("n", "s", "ss")]))
-    out = _join_on(loc, offsets, keys)
-    n = F.col("__on") + F.col("__n")
-    sm = F.col("__os") + F.col("__s")
-    ss = F.col("__oss") + F.col("__ss")
+    here = (s.withColumn("__n", F.count(x).over(w))
+            .withColumn("__s", F.coalesce(F.sum(x).over(w), F.lit(0)))
+            .withColumn("__ss", F.coalesce(F.sum(x * x).over(w), F.lit(0))))
+    before = Window.partitionBy(*keys, F.lit(0)).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (s.groupBy("__rid", *keys).agg(F.count(x).alias("__tn"), F.sum(x).alias("__ts"), F.sum(x * x).alias("__tss"))
+            .select("__rid", *keys, *[F.coalesce(F.sum(f"__t{m}").over(before), F.lit(0)).alias(f"__o{m}")
+                                      for m in ("n", "s", "ss")]))
+    n, sm, ss = (F.col(f"__o{m}") + F.col(f"__{m}") for m in ("n", "s", "ss"))
     var = F.try_divide((n * ss - sm * sm).cast("double"), (n * (n - 1)).cast("double"))
-    return (out.withColumn(avg_name, F.try_divide(sm, n))
+    mean = F.try_divide(sm, n)
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.DecimalType):
+        # four more places than the values, as an average of decimals has; the
+        # types leave the quotient enough places to be rounded only once
+        mean = F.try_divide(sm.cast(T.DecimalType(26 + kind.scale, kind.scale)), n.cast("decimal(10,0)"))
+        mean = mean.cast(T.DecimalType(38, kind.scale + 4))
+    return (on_slice(here, sums, keys).withColumn(avg_name, mean)
             .withColumn(std_name, F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)))
             .drop("__rid", "__n", "__s", "__ss", "__on", "__os", "__oss"))

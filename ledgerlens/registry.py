@@ -100,6 +100,9 @@ def _load():
         lambda t: cu.product_migration(t.accounts, t.transactions, t.customers, t.branches))
     _reg("customer_portfolio", "customers")(
         lambda t: cu.customer_portfolio(t.customers, t.accounts, t.loans, t.credit_cards))
+    _reg("customer_portfolio_types", "customers")(lambda t: cu.customer_portfolio_types(t.accounts))
+    _reg("relationship_types", "customers")(
+        lambda t: cu.relationship_types(t.account_beneficiaries, t.accounts))
     _reg("relationship_network", "customers")(
         lambda t: cu.relationship_network(t.customers, t.account_beneficiaries, t.accounts))
     _reg("satisfaction", "customers")(
@@ -157,7 +160,7 @@ def _load():
         lambda t: co.regulatory_alerts(t.transactions, t.accounts, t.customers))
     _reg("reporting_framework", "reporting")(
         lambda t: rp.reporting_framework(t.customers, t.accounts, t.transactions, t.loans, t.credit_cards,
-                                         t.branches, t.employees)["executive_summary"])
+                                         t.branches, t.employees))
     _reg("executive_summary", "reporting")(
         lambda t: rp.executive_summary(t.customers, t.accounts, t.transactions, t.loans))
     _reg("product_dashboard", "reporting")(lambda t: rp.product_dashboard(t.accounts, t.loans, t.credit_cards))

@@ -34,7 +34,7 @@ MAPPINGS = {
     "customers": Mapping(
         "customer",
         _cols(
-            ("customer_id", "CAST(c_custkey AS INT)"),
+            ("customer_id", "CAST(c_custkey AS BIGINT)"),
             ("first_name", "c_name"),
             ("last_name", "CASE WHEN c_mktsegment IN ('MACHINERY','BUILDING') THEN NULL ELSE c_name END"),
             ("email", "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CONCAT(c_name, '@example.com') END"),
@@ -52,48 +52,48 @@ MAPPINGS = {
     "accounts": Mapping(
         "orders",
         _cols(
-            ("account_id", "CAST(o_orderkey AS INT)"),
-            ("customer_id", "CAST(o_custkey AS INT)"),
+            ("account_id", "CAST(o_orderkey AS BIGINT)"),
+            ("customer_id", "CAST(o_custkey AS BIGINT)"),
             ("account_number", "CONCAT('ACC', o_orderkey)"),
             ("account_type", "CASE WHEN o_orderkey % 10 < 4 THEN 'CHECKING' WHEN o_orderkey % 10 < 8 THEN 'SAVINGS' WHEN o_orderkey % 10 = 8 THEN 'BUSINESS' ELSE 'LOAN' END"),
             ("balance", "CASE WHEN o_orderkey % 10 = 9 THEN -CAST(o_totalprice AS DECIMAL(15,2)) ELSE CAST(o_totalprice AS DECIMAL(15,2)) END"),
             ("open_date", "CAST(o_orderdate AS DATE)"),
             ("close_date", "CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 365 ELSE CAST(NULL AS DATE) END"),
             ("status", "CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'ACTIVE' END"),
-            ("branch_id", "CAST(o_orderkey % 23 AS INT)"),
+            ("branch_id", "CAST(o_orderkey % 23 AS BIGINT)"),
         ),
     ),
     "transactions": Mapping(
         "lineitem",
         _cols(
-            ("transaction_id", "CAST(l_orderkey * 10 + l_linenumber AS INT)"),
-            ("account_id", "CAST(l_orderkey AS INT)"),
+            ("transaction_id", "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)"),
+            ("account_id", "CAST(l_orderkey AS BIGINT)"),
             ("transaction_type", "CASE WHEN l_partkey % 5 = 0 THEN 'DEPOSIT' WHEN l_partkey % 5 = 1 THEN 'WITHDRAWAL' WHEN l_partkey % 5 = 2 THEN 'TRANSFER' WHEN l_partkey % 5 = 3 THEN 'PAYMENT' ELSE 'CASH_DEPOSIT' END"),
             ("amount", "CAST(l_extendedprice AS DECIMAL(15,2))"),
             ("transaction_date", "l_shipdate + INTERVAL '1' SECOND * CAST((l_partkey * 7919 + l_suppkey * 104729 + l_linenumber) % 86400 AS INT)"),
             ("description", "CASE WHEN l_suppkey % 6 = 0 THEN 'offshore transfer' WHEN l_suppkey % 6 = 1 THEN 'international wire' ELSE 'regular' END"),
-            ("related_account_id", "CASE WHEN l_partkey % 5 = 2 THEN CAST(l_partkey AS INT) ELSE CAST(NULL AS INT) END"),
+            ("related_account_id", "CASE WHEN l_partkey % 5 = 2 THEN CAST(l_partkey AS BIGINT) ELSE CAST(NULL AS BIGINT) END"),
             ("transaction_status", "CASE WHEN l_linestatus = 'O' THEN 'PENDING' ELSE 'COMPLETED' END"),
         ),
     ),
     "branches": Mapping(
         "nation",
         _cols(
-            ("branch_id", "CAST(n_nationkey AS INT)"),
+            ("branch_id", "CAST(n_nationkey AS BIGINT)"),
             ("branch_name", "CONCAT('BRANCH_', n_name)"),
             ("branch_code", "CONCAT('B', n_nationkey)"),
             ("address", "CONCAT(n_nationkey, ' Bank St')"),
             ("city", "CONCAT('CITY_', n_nationkey % 3)"),
             ("state", "n_name"),
             ("phone", "CONCAT('555-1', n_nationkey)"),
-            ("manager_id", "CAST(n_nationkey % 10 AS INT)"),
+            ("manager_id", "CAST(n_nationkey % 10 AS BIGINT)"),
         ),
     ),
     "employees": Mapping(
         "supplier",
         _cols(
-            ("employee_id", "CAST(s_suppkey AS INT)"),
-            ("branch_id", "CAST(s_nationkey AS INT)"),
+            ("employee_id", "CAST(s_suppkey AS BIGINT)"),
+            ("branch_id", "CAST(s_nationkey AS BIGINT)"),
             ("first_name", "s_name"),
             ("last_name", "s_name"),
             ("position", "CASE WHEN s_suppkey % 4 = 0 THEN 'Branch Manager' WHEN s_suppkey % 4 = 1 THEN 'Loan Officer' WHEN s_suppkey % 4 = 2 THEN 'Teller' ELSE 'Financial Advisor' END"),
@@ -101,15 +101,15 @@ MAPPINGS = {
             ("phone", "CONCAT('555-2', s_suppkey)"),
             ("hire_date", "DATE '1985-01-01' + CAST(s_suppkey * 97 % 3650 AS INT)"),
             ("salary", "CAST(35000 + ABS(CAST(s_acctbal AS DECIMAL(9,2))) * 5 AS DECIMAL(10,2))"),
-            ("manager_id", "CASE WHEN s_suppkey % 4 = 0 THEN CAST(NULL AS INT) ELSE CAST(s_suppkey - s_suppkey % 4 AS INT) END"),
+            ("manager_id", "CASE WHEN s_suppkey % 4 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(s_suppkey - s_suppkey % 4 AS BIGINT) END"),
         ),
     ),
     "loans": Mapping(
         "orders",
         _cols(
-            ("loan_id", "CAST(o_orderkey AS INT)"),
-            ("customer_id", "CAST(o_custkey AS INT)"),
-            ("account_id", "CAST(o_orderkey AS INT)"),
+            ("loan_id", "CAST(o_orderkey AS BIGINT)"),
+            ("customer_id", "CAST(o_custkey AS BIGINT)"),
+            ("account_id", "CAST(o_orderkey AS BIGINT)"),
             ("loan_type", "CASE WHEN o_orderkey % 16 = 0 THEN 'MORTGAGE' WHEN o_orderkey % 16 = 4 THEN 'AUTO' WHEN o_orderkey % 16 = 8 THEN 'PERSONAL' ELSE 'BUSINESS' END"),
             ("loan_amount", "CAST(o_totalprice AS DECIMAL(15,2))"),
             ("interest_rate", "CAST((3000 + o_orderkey * 37 % 9000) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(5,3))"),
@@ -117,15 +117,14 @@ MAPPINGS = {
             ("start_date", "CAST(o_orderdate AS DATE)"),
             ("end_date", "CAST(o_orderdate AS DATE) + 1825"),
             ("status", "CASE WHEN o_orderkey % 20 = 0 THEN 'DEFAULTED' WHEN o_orderkey % 20 = 4 THEN 'CLOSED' ELSE 'ACTIVE' END"),
-            ("approved_by", "CAST(o_orderkey % 10 AS INT)"),
+            ("approved_by", "CAST(o_orderkey % 10 AS BIGINT)"),
         ),
-        where="o_orderkey % 4 = 0",
     ),
     "loan_payments": Mapping(
         "lineitem",
         _cols(
-            ("payment_id", "CAST(l_orderkey * 10 + l_linenumber AS INT)"),
-            ("loan_id", "CAST(l_orderkey AS INT)"),
+            ("payment_id", "CAST(l_orderkey * 10 + l_linenumber AS BIGINT)"),
+            ("loan_id", "CAST(l_orderkey AS BIGINT)"),
             ("due_date", "CAST(l_shipdate AS DATE)"),
             ("payment_date", "CASE WHEN l_returnflag = 'A' THEN CAST(l_shipdate AS DATE) + CAST(l_partkey % 60 - 20 AS INT) ELSE CAST(NULL AS DATE) END"),
             ("amount_due", "CAST(l_extendedprice AS DECIMAL(10,2))"),
@@ -134,14 +133,13 @@ MAPPINGS = {
             ("interest_amount", "CAST(50 AS DECIMAL(10,2))"),
             ("status", "CASE WHEN l_returnflag = 'R' THEN 'OVERDUE' WHEN l_returnflag = 'A' THEN 'PAID' ELSE 'PENDING' END"),
         ),
-        where="l_orderkey % 4 = 0",
     ),
     "credit_cards": Mapping(
         "customer",
         _cols(
-            ("card_id", "CAST(c_custkey AS INT)"),
-            ("customer_id", "CAST(c_custkey AS INT)"),
-            ("account_id", "CAST(c_custkey AS INT)"),
+            ("card_id", "CAST(c_custkey AS BIGINT)"),
+            ("customer_id", "CAST(c_custkey AS BIGINT)"),
+            ("account_id", "CAST(c_custkey AS BIGINT)"),
             ("card_number", "CONCAT('4000-', c_custkey)"),
             ("card_type", "CASE WHEN c_custkey % 3 = 0 THEN 'VISA' WHEN c_custkey % 3 = 1 THEN 'MASTERCARD' ELSE 'AMEX' END"),
             ("credit_limit", "CAST(CASE WHEN c_custkey % 5 = 0 THEN 75000 WHEN c_custkey % 5 = 1 THEN 500 WHEN c_custkey % 5 = 2 THEN 8000 ELSE 12000 END AS DECIMAL(10,2))"),
@@ -150,13 +148,12 @@ MAPPINGS = {
             ("expiry_date", "DATE '2003-01-01' + CAST(c_custkey % 1000 AS INT)"),
             ("status", "CASE WHEN c_custkey % 10 = 9 THEN 'EXPIRED' ELSE 'ACTIVE' END"),
         ),
-        where="c_custkey % 4 <> 3",
     ),
     "card_transactions": Mapping(
         "events",
         _cols(
-            ("card_transaction_id", "CAST(event_id AS INT)"),
-            ("card_id", "CAST(user_id AS INT)"),
+            ("card_transaction_id", "CAST(event_id AS BIGINT)"),
+            ("card_id", "CAST(user_id AS BIGINT)"),
             ("transaction_date", "ts"),
             ("merchant_name", "CONCAT('M', event_id % 50)"),
             ("amount", "CAST(value AS DECIMAL(10,2)) * 4"),
@@ -169,27 +166,26 @@ MAPPINGS = {
     "account_beneficiaries": Mapping(
         "orders",
         _cols(
-            ("beneficiary_id", "CAST(o_orderkey AS INT)"),
-            ("account_id", "CAST(o_orderkey AS INT)"),
-            ("customer_id", "CAST(o_orderkey % 149 AS INT)"),
+            ("beneficiary_id", "CAST(o_orderkey AS BIGINT)"),
+            ("account_id", "CAST(o_orderkey AS BIGINT)"),
+            ("customer_id", "CAST(o_orderkey % 149 AS BIGINT)"),
             ("relationship", "CASE WHEN o_orderkey % 12 = 0 THEN 'SPOUSE' WHEN o_orderkey % 12 = 3 THEN 'CHILD' WHEN o_orderkey % 12 = 6 THEN 'PARENT' ELSE 'BUSINESS_PARTNER' END"),
             ("allocation_percentage", "CAST(CASE WHEN o_orderkey % 2 = 0 THEN 50 ELSE 100 END AS DECIMAL(5,2))"),
             ("added_date", "CAST(o_orderdate AS DATE) + 5"),
         ),
-        where="o_orderkey % 3 = 0",
     ),
     # Second source for the transaction monitors: many rows per account and
     # day, unique ids, January 2024 (use as_of 2024-02-15).
     "transactions_dense": Mapping(
         "events",
         _cols(
-            ("transaction_id", "CAST(event_id AS INT)"),
-            ("account_id", "CAST(user_id AS INT)"),
+            ("transaction_id", "CAST(event_id AS BIGINT)"),
+            ("account_id", "CAST(user_id AS BIGINT)"),
             ("transaction_type", "CASE WHEN event_type = 'signup' THEN 'DEPOSIT' WHEN event_type = 'purchase' THEN 'PAYMENT' WHEN event_type = 'click' THEN 'TRANSFER' WHEN event_type = 'view' THEN 'WITHDRAWAL' ELSE 'CASH_DEPOSIT' END"),
             ("amount", "CAST(value AS DECIMAL(9,2)) * 50"),
             ("transaction_date", "ts"),
             ("description", "CASE WHEN event_id % 6 = 0 THEN 'offshore transfer' WHEN event_id % 6 = 1 THEN 'international wire' WHEN event_id % 6 = 2 THEN NULL ELSE 'regular' END"),
-            ("related_account_id", "CAST(NULL AS INT)"),
+            ("related_account_id", "CAST(NULL AS BIGINT)"),
             ("transaction_status", "'COMPLETED'"),
         ),
     ),

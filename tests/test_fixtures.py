@@ -19,8 +19,8 @@ def _counts(df, col):
 
 
 def test_statuses(t):
-    assert _counts(t.loans, "status") == {"ACTIVE": 2250, "CLOSED": 750, "DEFAULTED": 750}
-    assert _counts(t.loan_payments, "status") == {"OVERDUE": 5099, "PAID": 5050, "PENDING": 5044}
+    assert _counts(t.loans, "status") == {"ACTIVE": 13500, "CLOSED": 750, "DEFAULTED": 750}
+    assert _counts(t.loan_payments, "status") == {"OVERDUE": 20046, "PAID": 20028, "PENDING": 19926}
 
 
 def test_orphans_and_coverage(t):
@@ -29,9 +29,9 @@ def test_orphans_and_coverage(t):
     assert t.customers.join(t.accounts, "customer_id", "left_anti").count() == 0
     assert t.branches.join(t.accounts, "branch_id", "left_anti").count() == 2
     assert t.branches.join(t.employees, "branch_id", "left_anti").count() == 0
-    assert t.loans.join(t.loan_payments, "loan_id", "left_anti").count() == 68
-    assert t.credit_cards.join(t.card_transactions, "card_id", "left_semi").count() == 113
-    assert t.card_transactions.join(t.credit_cards, "card_id", "left_anti").count() == 2432
+    assert t.loans.join(t.loan_payments, "loan_id", "left_anti").count() == 257
+    assert t.credit_cards.join(t.card_transactions, "card_id", "left_semi").count() == 150
+    assert t.card_transactions.join(t.credit_cards, "card_id", "left_anti").count() == 0
 
 
 def test_primary_keys(t):

@@ -67,25 +67,6 @@ def test_entry_smoke(spark):
     assert "customer_id" in df.columns
 
 
-# analyses whose adaptive operators (ranks, percentiles, bounded lists,
-# per-key sequences) take the range-partitioned path when groups are large:
-# forced onto it here, they must still match the oracle exactly
-SLICED = ["service_levels", "card_fraud", "branch_migration", "product_migration", "counterparty_risk",
-          "employee_productivity", "demographic_targeting", "recovery_rate", "credit_risk_portfolio",
-          "interest_rate_risk", "compliance_aml", "regulatory_compliance", "operational_efficiency",
-          "market_position", "strategic_planning"]
-
-
-@pytest.mark.parametrize("bound", [0, 40])
-@pytest.mark.parametrize("name", SLICED)
-def test_sliced_path_matches_oracle(spark, duck, name, bound, monkeypatch):
-    """bound 0: every group takes the ranged/sliced path; bound 40: only the
-    groups above 40 rows do, the others the direct path."""
-    from ledgerlens.plans import ranking
-    monkeypatch.setattr(ranking, "GROUP_BOUND", bound)
-    test_matches_oracle(spark, duck, name)
-
-
 # results must not depend on the session time zone (the driver's session is
 # not ours); these carry timestamps, dates, hours and day-of-week logic
 TZ_SENSITIVE = ["compliance_aml_dates", "compliance_aml", "card_fraud", "customer_360", "digital_engagement",

@@ -6,21 +6,23 @@ import pytest
 
 from ledgerlens.registry import registry
 from ledgerlens.sources.tables import BankTables
+from ledgerlens.sources.testdata import MAPPINGS
 from conftest import SF_SMALL
 
-# the direct paths of plans.ntile / plans.percent_rank (branches, states,
-# borrowers): a plain global window, taken only when the input is within the
-# group bound, otherwise the distributed path
-BOUNDED_GLOBAL_WINDOWS = {"operational_efficiency", "market_position", "strategic_planning",
-                          "counterparty_risk"}
+def _over_slices(node):
+    while node.children().size() == 1 and node.getClass().getSimpleName() != "Aggregate":
+        node = node.children().head()
+    keys = node.groupingExpressions() if node.getClass().getSimpleName() == "Aggregate" else None
+    return keys is not None and keys.size() == 1 and keys.head().toString().startswith("__rid#")
 
 
 def _unpartitioned_windows(df):
-    """Window nodes of the optimized plan whose partition spec is empty."""
+    """Window nodes of the optimized plan whose partition spec is empty, but for
+    those over a table's slice counts (``ranking.sliced``: one row a slice)."""
     found, stack = [], [df._jdf.queryExecution().optimizedPlan()]
     while stack:
         node = stack.pop()
-        if node.getClass().getSimpleName() == "Window" and node.partitionSpec().size() == 0:
+        if node.getClass().getSimpleName() == "Window" and node.partitionSpec().size() == 0 and not _over_slices(node):
             found.append(node.simpleString(200))
         kids = node.children()
         stack.extend(kids.apply(i) for i in range(kids.size()))
@@ -31,8 +33,6 @@ def _unpartitioned_windows(df):
 def test_no_single_task_window(spark, name):
     df = registry()[name].build(BankTables.from_testdata(spark, SF_SMALL))
     found = _unpartitioned_windows(df)
-    if name in BOUNDED_GLOBAL_WINDOWS:
-        return
     assert not found, f"{name}: unpartitioned window over unbounded input: {found[:1]}"
 
 
@@ -46,5 +46,22 @@ def test_detector_sees_a_global_window(spark):
 def test_grand_total_uses_broadcast_one_row(spark):
     df = registry()["account_aging"].build(BankTables.from_testdata(spark, SF_SMALL))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" not in plan
-    assert not _unpartitioned_windows(df)
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" in plan or "BroadcastHashJoin" in plan
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    mapped = BankTables.from_testdata(spark, SF_SMALL)
+    return BankTables.from_frames(**{name: mapped[name] for name in MAPPINGS})  # footers are read here
+
+
+@pytest.mark.parametrize("name", sorted(registry()))
+def test_building_runs_no_job(spark, tables, name):
+    group = "building-" + name
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        registry()[name].build(tables)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))

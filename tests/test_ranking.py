@@ -1,8 +1,8 @@
-"""The distributed rank / percentile / smallest-values operators agree with
-Spark's own window functions and sorted lists, on data with a hot key (a
-third of all rows), ties and NULLs -- on both the direct path and the
-range-partitioned path (forced by a zero group bound)."""
+"""The distributed rank and percentile operators agree with Spark's own window
+functions and sorted lists, on data with a hot key (a third of all rows), ties
+and NULLs, for several numbers of slices."""
 
+import math
 import random
 
 import pytest
@@ -23,17 +23,8 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id int, k string, v double")
 
 
-@pytest.fixture(params=["direct", "distributed", "mixed", "mixed-shuffle-split"])
-def path(request, monkeypatch):
-    """direct: every group small; distributed: every group over the bound;
-    mixed: only the hot key over the bound (its rows take the ranged path,
-    the rest the direct path), with the hot keys broadcast or shuffle-joined."""
-    if request.param == "distributed":
-        monkeypatch.setattr(ranking, "GROUP_BOUND", 0)
-    if request.param.startswith("mixed"):
-        monkeypatch.setattr(ranking, "GROUP_BOUND", 200)
-    if request.param == "mixed-shuffle-split":
-        monkeypatch.setattr(ranking, "HOT_KEYS_BROADCAST", 0)
+@pytest.fixture(params=[1, 3, 16, 61])
+def slices(request):
     return request.param
 
 
@@ -43,18 +34,19 @@ def _by_id(df, col):
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
 @pytest.mark.parametrize("descending", [False, True])
-def test_percent_rank_matches_window(spark, skewed, path, keys, descending):
+def test_percent_rank_matches_window(spark, skewed, slices, keys, descending):
     order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
     want = skewed.withColumn("pr", F.percent_rank().over(Window.partitionBy(*keys).orderBy(order)))
-    got = ranking.percent_rank(skewed, "v", "pr", partition_by=keys, descending=descending, num_ranges=7)
+    got = ranking.percent_rank(skewed, "v", "pr", partition_by=keys, descending=descending, slices=slices)
     assert got.count() == skewed.count()
     assert _by_id(got, "pr") == pytest.approx(_by_id(want, "pr"))
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_percentile_disc_is_nearest_rank(spark, skewed, path, keys):
+def test_percentiles_are_nearest_rank(spark, skewed, keys):
     probs = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {tuple(r[k] for k in keys): r for r in ranking.percentile_disc(skewed, "v", probs, keys).collect()}
+    agg = skewed.groupBy(*keys).agg(F.count("v").alias("n"))
+    got = {tuple(r[k] for k in keys): r for r in ranking.with_percentiles(agg, skewed, "v", probs, keys).collect()}
     groups = {}
     for r in skewed.collect():
         if r["v"] is not None:
@@ -63,34 +55,21 @@ def test_percentile_disc_is_nearest_rank(spark, skewed, path, keys):
     for g, vals in groups.items():
         vals.sort()
         for name, p in probs.items():
-            import math
             assert got[g][name] == vals[math.ceil(p * len(vals)) - 1]
 
 
-@pytest.mark.parametrize("distinct", [False, True])
-def test_smallest_values(spark, skewed, path, distinct):
-    got = {r["k"]: r["v"] for r in ranking.smallest_values(skewed, "v", ["k"], 25, distinct=distinct).collect()}
-    groups = {}
-    for r in skewed.collect():
-        if r["v"] is not None:
-            groups.setdefault(r["k"], []).append(r["v"])
-    for k, vals in groups.items():
-        vals = sorted(set(vals)) if distinct else sorted(vals)
-        assert got[k] == vals[:25]
-
-
-def test_with_percentiles_keeps_groups_without_values(spark, path):
+def test_with_percentiles_keeps_groups_without_values(spark):
     agg = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "k string, v double")
     out = {r["k"]: r["med"] for r in ranking.with_percentiles(agg, df, "v", {"med": 0.5}, ["k"]).collect()}
     assert out == {"a": 1.0, "b": None}
 
 
-def test_ntile_matches_window(spark, path):
+def test_ntile_matches_window(spark, slices):
     rows = [(i, None if i % 11 == 0 else (i * 7919) % 50) for i in range(203)]
     df = spark.createDataFrame(rows, "id int, score int")
     want = df.withColumn("q", F.ntile(4).over(Window.orderBy(F.col("score").asc_nulls_first(), "id")))
-    got = ranking.ntile(df, ["score", "id"], 4, "q", num_ranges=5)
+    got = ranking.ntile(df, ["score", "id"], 4, "q", slices=slices)
     assert _by_id(got, "q") == _by_id(want, "q")
     few = df.limit(3)
     assert sorted(r["q"] for r in ranking.ntile(few, ["score", "id"], 4, "q").collect()) == [1, 2, 3]

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlens.plans import ranking
 from ledgerlens.plans.sequence import neighbors, running_stats
 
 
@@ -24,16 +23,9 @@ def events(spark):
     return spark.createDataFrame(rows, "id int, k int, t int, v decimal(10,2), city string")
 
 
-@pytest.fixture(params=[(0, 3), (0, 16), (0, 61), (300, 16)])
-def sliced(request, spark, monkeypatch):
-    """Force the sliced path for every key (bound 0) with several slice
-    counts, or only for the hot key (bound 300: key 1 holds 1334 rows)."""
-    bound, slices = request.param
-    monkeypatch.setattr(ranking, "GROUP_BOUND", bound)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(slices))
-    yield request.param
-    spark.conf.set("spark.sql.shuffle.partitions", old)
+@pytest.fixture(params=[1, 3, 16, 61])
+def slices(request):
+    return request.param
 
 
 def _by_id(df, cols):
@@ -41,20 +33,20 @@ def _by_id(df, cols):
 
 
 @pytest.mark.parametrize("step", [1, -1])
-def test_neighbors_match_window(spark, events, sliced, step):
+def test_neighbors_match_window(spark, events, slices, step):
     order = [F.col("t").asc_nulls_first(), F.col("id")]
     fn = F.lag if step == 1 else F.lead
     w = Window.partitionBy("k").orderBy(*order)
     want = events.select("*", fn("v").over(w).alias("p_v"), fn("city").over(w).alias("p_city"))
-    got = neighbors(events, ["k"], order, ["v", "city"], step=step, prefix="p_")
+    got = neighbors(events, ["k"], "t", ["id"], ["v", "city"], step=step, prefix="p_", slices=slices)
     assert got.count() == events.count()
     assert _by_id(got, ["p_v", "p_city"]) == _by_id(want, ["p_v", "p_city"])
 
 
-def test_running_stats_match_window(spark, events, sliced):
+def test_running_stats_match_window(spark, events, slices):
     w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first())
     want = _by_id(events.withColumn("a", F.avg("v").over(w)).withColumn("s", F.stddev("v").over(w)), ["a", "s"])
-    got = _by_id(running_stats(events, ["k"], "t", "v", "a", "s"), ["a", "s"])
+    got = _by_id(running_stats(events, ["k"], "t", "v", "a", "s", slices=slices), ["a", "s"])
     assert set(got) == set(want)
     for i, (a, s) in want.items():
         ga, gs = got[i]
