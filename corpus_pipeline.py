@@ -31,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # A component is told by its least id, one of null ids alone by its fingerprints.
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
     first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__tie").alias("tie"))
-    stay = materialise(found.groupBy(*group).agg(F.min(first).alias("first")).select("first.id", "first.tie").distinct())
-    return (tied.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__tie") == F.col("tie")), "left_semi")
+    stay = materialise(found.groupBy(*group).agg(F.min(first).alias("first"))
+                       .select(F.col("first.id").alias("__stays"), F.col("first.tie").alias("__as")).distinct())
+    return (tied.join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")) & (F.col("__tie") == F.col("__as")), "left_semi")
             .dropDuplicates(["doc_id", "__tie"]).drop("__tie"))
 
 
