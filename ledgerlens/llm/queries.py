@@ -52,8 +52,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = langid.crc_fold("doc_id", 4) == 2
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"])
-    model = toxicity.fit(docs.where(~held).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
     scored = toxicity.score_texts(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.LIMIT).cast("int").alias("predicted"))
 

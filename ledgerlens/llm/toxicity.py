@@ -120,17 +120,21 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     return best[1]
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model | None:
-    """Train on a bounded sample of ``labelled`` (label 0 or 1), chosen by the
-    texts' hashes; None if either label is missing."""
-    known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    texts, labels = [], []
-    for y, most in ((0, ORDINARY), (1, TOXIC)):
-        rows = (known.where(F.col(label) == y).select(F.substring(text, 1, BYTES).alias("t"), F.xxhash64(text).alias("h"))
-                .distinct().orderBy("h", "t").limit(most).collect())
-        texts += [r["t"].encode() for r in rows]
-        labels += [y] * len(rows)
-    return train(texts, labels) if len(set(labels)) == 2 else None
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
+        label: str = "toxic") -> Model | None:
+    """Train on a bounded sample of ``docs`` with a label 0 or 1 in
+    ``labels(id_col, label)``; None if either label is missing.
+
+    The ids' hashes choose the sample among the labels, so only the chosen
+    texts move: at most ORDINARY + TOXIC ids meet the documents."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__label"))
+    chosen = [known.where(F.col("__label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most)
+              for y, most in ((0, ORDINARY), (1, TOXIC))]
+    rows = (docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen[0].union(chosen[1])), id_col)
+            .select("__label", F.substring(text, 1, BYTES).alias("t"), F.xxhash64(text).alias("h"))
+            .orderBy("h", "t", "__label").limit(ORDINARY + TOXIC).collect())
+    labelled = [r["__label"] for r in rows]
+    return train([r["t"].encode() for r in rows], labelled) if len(set(labelled)) == 2 else None
 
 
 def score_texts(docs: DataFrame, model: Model | None, text: str = "text", keep: list | None = None) -> DataFrame:

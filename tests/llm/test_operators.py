@@ -220,7 +220,8 @@ def test_toxicity_rows(odd, empty):
         out = toxicity.score_texts(odd, m)
         check_columns(out, odd)
         assert all(0 <= r.score <= 1 for r in out.collect())
-    assert toxicity.fit(empty.selectExpr("text", "1 as toxic")) is None
+    assert toxicity.fit(empty, empty.selectExpr("doc_id", "1 as toxic")) is None
+    assert toxicity.fit(odd, odd.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")) is not None
 
 
 # ------------------------------------------------------------------ 7
