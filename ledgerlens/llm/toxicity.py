@@ -26,9 +26,10 @@ TOXIC, ORDINARY, BYTES = 1500, 3000, 4096
 #: Windows overlap, so that no word is cut in all windows.
 WINDOW, OVERLAP = 96, 16
 ORDINARY_SIZE, TOXIC_SIZE = 8192, 1024
-#: Least share of toxic texts that hold a word of the toxic dictionary (the best
-#: of these on the calibration texts), and how much rarer it is in others.
-SHARES, RARER = (0.02, 0.05, 0.1, 0.2), 5
+#: Least share of toxic texts that hold a word of the toxic dictionary (the first
+#: of these that any word reaches), and how much rarer it is in others.  A low
+#: share would take in words that near copies of a few toxic texts share.
+SHARES, RARER = (0.1, 0.05, 0.02), 5
 LIMIT = 0.3
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -80,16 +81,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and mean loss, by Newton steps with a slight ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias, by Newton steps with a slight ridge."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         hess = (a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(len(w))
         w -= np.linalg.solve(hess, a.T @ (p - y) + 0.01 * w)
-    p = np.clip(1 / (1 + np.exp(-np.clip(a @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return w[:-1], float(w[-1]), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    return w[:-1], float(w[-1])
 
 
 def train(texts: list[bytes], labels: list[int]) -> Model:
@@ -106,18 +106,16 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         ordinary = b"".join(good)[-ORDINARY_SIZE:]
     held = lambda group: Counter(w for t in group for w in set(t.split()))
     toxic, other = held(bad), held(good)
-    best = None
+    words: list[bytes] = []
     for share in SHARES:
-        words = [w for w, n in toxic.items() if n >= max(2, share * len(bad))
-                 and n / len(bad) > RARER * (other[w] + 0.5) / max(1, len(good))]
-        words.sort(key=lambda w: (toxic[w], w))
-        model = Model(ordinary, (b" " + b" ".join(words) + b" ")[-TOXIC_SIZE:])
-        rest = part[0][1] + part[1][1]
-        x = np.array([model.features(t) for t in rest], float).reshape(len(rest), 2)
-        model.weights, model.bias, loss = _logistic(x, np.repeat([0.0, 1.0], [len(part[0][1]), len(part[1][1])]))
-        if best is None or loss < best[0]:
-            best = loss, model
-    return best[1]
+        words = words or [w for w, n in toxic.items() if n >= max(2, share * len(bad))
+                          and n / len(bad) > RARER * (other[w] + 0.5) / max(1, len(good))]
+    words.sort(key=lambda w: (toxic[w], w))
+    model = Model(ordinary, (b" " + b" ".join(words) + b" ")[-TOXIC_SIZE:])
+    rest = part[0][1] + part[1][1]
+    x = np.array([model.features(t) for t in rest], float).reshape(len(rest), 2)
+    model.weights, model.bias = _logistic(x, np.repeat([0.0, 1.0], [len(part[0][1]), len(part[1][1])]))
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
