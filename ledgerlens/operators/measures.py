@@ -79,7 +79,7 @@ def _monthly(facts: DataFrame, key: str) -> DataFrame:
 
 
 _ACCOUNTS = {"count": "count(*)", "balance": "sum(balance)", "mean": "avg(balance)", "deviation": "stddev(balance)",
-             "types": "count(DISTINCT account_type)"}
+             "types": "count(DISTINCT account_type)", "age": "avg(age)"}
 _USAGE = {"count": "sum(n)", "volume": "sum(x)", "mean": "try_divide(sum(x), sum(nx))", "last": "max(last)",
           "fees": "sum(n) * 0.10",
           # exact: the numerator is never below 0
@@ -97,6 +97,9 @@ CUSTOMER = Entity(
                                     "shortest": "min(idle)", "longest": "max(idle)"},
         "usage": _USAGE,
         "usage_by_type": _USAGE | {"types": "count(DISTINCT transaction_type)"},
+        "usage_by_time": {"times": "count(DISTINCT transaction_date)",
+                          "office_hours": "try_divide(double(sum(if(hour(transaction_date) BETWEEN 9 AND 17, n, 0))),"
+                                          " double(sum(n)))"},
         "loans": {"count": "count(*)", "amount": "sum(loan_amount)", "rate": "avg(interest_rate)",
                   "interest": "sum(loan_amount * interest_rate * term_months / 12)"},
         "cards": {"count": "count(*)", "limit": "sum(credit_limit)", "balance": "sum(current_balance)",
@@ -114,6 +117,7 @@ CUSTOMER = Entity(
         "open": lambda t: active(t["accounts"]),
         "usage": _usage(),
         "usage_by_type": _usage("transaction_type"),
+        "usage_by_time": _usage("transaction_date"),
         "loans": lambda t: active(t["loans"]),
         "cards": lambda t: active(t["credit_cards"]),
         "facilities": lambda t: credit_book(t["loans"], t["credit_cards"], "customer_id", "loan_amount", "loan_type"),
