@@ -62,10 +62,12 @@ def with_delay(loan_payments: DataFrame, today: Column) -> DataFrame:
 
 def _usage(*keys: str):
     """Moments of transactions by account (and ``keys``), with the customer."""
-    x = F.col("amount")
-    return lambda t: per_account(
-        t["transactions"], *keys, n=F.count(F.lit(1)), nx=F.count(x), x=F.sum(x), xx=F.sum(x * x),
-        last=F.max("transaction_date")).join(tx_keys(t["accounts"], "customer_id"), "account_id")
+    def rows(t) -> DataFrame:
+        x = F.col("amount")
+        per = per_account(t["transactions"], *keys, n=F.count(F.lit(1)), nx=F.count(x), x=F.sum(x), xx=F.sum(x * x),
+                          last=F.max("transaction_date"))
+        return per.join(tx_keys(t["accounts"], "customer_id"), "account_id")
+    return rows
 
 
 def _network(t) -> DataFrame:
