@@ -43,11 +43,13 @@ CROSS JOIN (SELECT COUNT(*) AS total_loans, SUM(loan_amount) AS total_loan_amoun
 
 _REPORTS = {"executive_summary": "''", "product_dashboard": "account_type", "regional_performance": "branch_id::VARCHAR",
             "risk_overview": "''"}
+# A measure without a value (a ratio of a branch without staff) keeps its row, as
+# in the report itself; without INCLUDE NULLS, DuckDB leaves it out.
 SQL["reporting_framework"] = "\nUNION ALL\n".join(
-    f"SELECT '{name}' AS section, key, measure, value FROM (UNPIVOT (SELECT {key} AS key, "
+    f"SELECT '{name}' AS section, key, measure, value FROM (SELECT {key} AS key, "
     f"COLUMNS(lambda c: c NOT IN ('account_type') AND c NOT LIKE '%\\_id' ESCAPE '\\' "
     f"AND c NOT IN ('branch_name', 'branch_code', 'address', 'city', 'state', 'phone'))::DOUBLE "
-    f"FROM ({SQL[name]})) ON COLUMNS(* EXCLUDE key) INTO NAME measure VALUE value)"
+    f"FROM ({SQL[name]})) UNPIVOT INCLUDE NULLS (value FOR measure IN (COLUMNS(* EXCLUDE key)))"
     for name, key in _REPORTS.items())
 
 SQL["liquidity"] = f"""
