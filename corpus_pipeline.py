@@ -54,11 +54,9 @@ def _readable(column: str) -> F.Column:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it (words taken
-    by size, rounded); those not taken go."""
-    mixed = mixing.mix(docs)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+    """Documents in training order, each as often as the mix takes it and each copy
+    where its own pass is due; a copy of less than half its words goes, as do documents not taken."""
+    return mixing.mix_copies(docs).where("2 * words >= size").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

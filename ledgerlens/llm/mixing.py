@@ -11,7 +11,7 @@ source takes whole passes over its documents and then the first words of one
 more.  Its weight over training time t in [0, 1] goes linearly from a start to
 an end (``RAMPS``, by weight class); the integral of that schedule, turned
 round, gives the time at which the source has asked for so many of its words:
-that is the training position of each document's copies.
+each copy of a document has the position that its own pass asks for.
 """
 
 from __future__ import annotations
@@ -78,6 +78,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: C
     taken.  Rows with equal ids run by size; rows equal in both are told apart
     only by the words they get, so reruns agree on the result as a whole.
     """
+    mixed = _placed(docs, id_col, source, size, weights, cap, keep)
+    position = F.when(F.col("taken") > 0, _when(_share(F.lit(0)), F.col("rank"), ramps))
+    # The key spreads the many documents without a position over all ranges.
+    return (mixed.withColumn("position", position).select("row", "size", "source_size", "target", "taken", "position", "key")
+            .orderBy(F.col("position").asc_nulls_last(), "key").drop("key"))
+
+
+def mix_copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: Column | None = None,
+               weights: tuple = WEIGHTS, cap: int = CAP, ramps: tuple = RAMPS, keep: list | None = None) -> DataFrame:
+    """The documents of ``mix`` once for each pass that takes words of them: ``row``, ``size``,
+    ``pass`` (from 0), ``words`` (taken by the pass; fewer than ``size`` only where the source's
+    target ends) and the copy's own ``position``, range-sorted by it."""
+    mixed = _placed(docs, id_col, source, size, weights, cap, keep)
+    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    copies = mixed.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    return (copies.withColumn("position", _when(_share(F.col("pass")), F.col("rank"), ramps))
+            .select("row", "size", "pass", words.alias("words"), "position", "key")
+            .orderBy("position", "key").drop("key"))
+
+
+def _placed(docs: DataFrame, id_col: str, source: str, size: Column | None, weights: tuple, cap: int,
+            keep: list | None) -> DataFrame:
+    """``mix`` before it is ordered: with ``done``, the words of the source before the document."""
     size = word_count("text") if size is None else size
     sized = materialise(docs.select(
         F.struct(*(keep or ["*"])).alias("row"), size.alias("size"), F.col(source).alias("source"),
@@ -103,13 +127,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size: C
     whole = F.expr("floor(target) div greatest(source_size, 1L)")
     rest = want - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - done))
-    share = F.try_divide(done + F.col("size") / 2, F.col("target"))
-    mixed = placed.select("row", "key", "size", "source_size", "target", "rank", taken.cast("long").alias("taken"),
-                          F.least(F.lit(1.0), share).alias("share"))
-    position = F.when(F.col("taken") > 0, _when(F.col("share"), F.col("rank"), ramps))
-    # The key spreads the many documents without a position over all ranges.
-    return (mixed.withColumn("position", position).select("row", "size", "source_size", "target", "taken", "position", "key")
-            .orderBy(F.col("position").asc_nulls_last(), "key").drop("key"))
+    return placed.select("row", "key", "size", "source_size", "target", "rank", done.alias("done"), taken.cast("long").alias("taken"))
+
+
+def _share(passed: Column) -> Column:
+    """The part of its target that a source has asked for in the middle of a document, in the pass after ``passed`` others."""
+    before = F.col("done") + passed * F.col("source_size")
+    return F.least(F.lit(1.0), F.try_divide(before + F.col("size") / 2, F.col("target")))
 
 
 def _when(share: Column, rank: Column, ramps: tuple) -> Column:

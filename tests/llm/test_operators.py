@@ -403,6 +403,27 @@ def test_mixing(name, request):
     assert sorted(map(key, again)) == sorted(key(r) for r in got)
 
 
+def test_copies_follow_the_ramps(spark):
+    # One source of each weight class: the small ones are repeated beside the large ones.
+    sources = {"a": 1500, "b": 60, "c": 90, "d": 1200, "e": 300, "f": 200}
+    docs = spark.createDataFrame([(f"{s}{i}", s, "w " * (1 + i % 7)) for s, n in sources.items() for i in range(n)],
+                                 "doc_id string, source string, text string")
+    taken = {(r.doc_id): r.taken for r in mixing.mix(docs).select("row.doc_id", "taken").collect()}
+    got = mixing.mix_copies(docs).select("row.doc_id", "row.source", "size", "pass", "words", "position").collect()
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    of = {}
+    for r in got:
+        of[r.doc_id] = of.get(r.doc_id, 0) + r.words
+    assert of == {i: n for i, n in taken.items() if n}
+    assert max(r["pass"] for r in got) == 2
+    for rank, s in enumerate(sorted(sources)):
+        a, b = mixing.RAMPS[rank % 3]
+        whole = sum(r.words for r in got if r.source == s)
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9):
+            due = (a * t + (b - a) * t * t / 2) / ((a + b) / 2)
+            assert sum(r.words for r in got if r.source == s and r.position <= t) / whole == pytest.approx(due, abs=8 / whole)
+
+
 def test_mixing_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
