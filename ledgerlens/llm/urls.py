@@ -3,10 +3,13 @@
 Templates: a path is a list of segments, and the urls of a host form a tree of
 them.  Segments with a digit are variable and become a wildcard; so do the
 children of a node that has more than MANY of them, each seen fewer than SEEN
-times on average.  Branches of one node whose labelled urls are blocked at rates
-that a two-proportion test can't tell apart are merged.  A template is rejected
-if its smoothed purity, (blocked + STRENGTH * PRIOR) / (labelled + STRENGTH), is
-over LIMIT.  A template without labelled urls keeps the prior.
+times on average.  The labelled branches of a node are put in the order of the rates at
+which they are blocked, and neighbours that a two-proportion test can't tell apart
+are merged.  From the host down, each node's purity is smoothed towards its
+parent's: (blocked + STRENGTH * parent's) / (labelled + STRENGTH), the host's
+towards PRIOR.  So a template without labels draws on its siblings; where those
+are left in groups that differ, on what lies above them.  A template is
+rejected if its purity is over LIMIT.
 
 Everything is counted per (host, template) and combined before it is shuffled,
 so a host with a third of all urls is no single group.
@@ -14,7 +17,7 @@ so a host with a third of all urls is no single group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.common import materialise
 
@@ -24,6 +27,8 @@ MANY, SEEN = 20, 3
 PRIOR, STRENGTH, LIMIT = 0.1, 4.0, 0.5
 #: Square of the normal deviate beyond which two rates differ.
 DIFFER = 3.84
+#: Stands for the end of a path.
+END = "/"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -74,24 +79,60 @@ def templates(shapes: DataFrame) -> DataFrame:
             .withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(
                 F.concat("template", F.array(named))))
             .drop("h", "t", "wide"))
-    counts = nodes.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-    parent = F.when(F.size("template") > 0, F.slice("template", 1, F.greatest(F.size("template") - 1, F.lit(0)))).otherwise(F.col("template"))
-    counts = materialise(counts.withColumn("parent", parent))
-    pools = materialise(counts.groupBy("host", "parent").agg(
-        F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
-        .select(F.col("host").alias("h"), F.col("parent").alias("p"), "all_blocked", "all_labelled"))
-    x, n = F.col("blocked"), F.col("labelled")
-    y, m = F.col("all_blocked") - x, F.col("all_labelled") - n
+    leaves = materialise(nodes.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
+    return (nodes.join(materialise(_judged(leaves)), (F.col("h") == F.col("host")) & (F.col("t") == F.col("template")))
+            .select("host", "shape", "template", "purity"))
+
+
+def _alike(x: Column, n: Column, y: Column, m: Column) -> Column:
+    """Whether a two-proportion test can't tell x of n from y of m."""
     rate = F.try_divide(x + y, n + m)
     z2 = F.try_divide((F.try_divide(x, n) - F.try_divide(y, m)) ** 2, rate * (1 - rate) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
-    # Equal rates of 0 or 1 have no variance and are alike; no labels, no evidence.
-    alike = (n > 0) & (m > 0) & F.coalesce(z2 < DIFFER, x * m == y * n)
-    b = F.when(alike, x + y).otherwise(x)
-    of = F.when(alike, n + m).otherwise(n)
-    judged = counts.join(pools, (F.col("h") == F.col("host")) & (F.col("p") == F.col("parent"))).select(
-        F.col("host").alias("h"), F.col("template").alias("t"), ((b + STRENGTH * PRIOR) / (of + STRENGTH)).alias("purity"))
-    return (nodes.join(materialise(judged), (F.col("h") == F.col("host")) & (F.col("t") == F.col("template")))
-            .select("host", "shape", "template", "purity"))
+    # Equal rates of 0 or 1 have no variance and are alike.
+    return F.coalesce(z2 < DIFFER, x * m == y * n)
+
+
+def _judged(leaves: DataFrame) -> DataFrame:
+    """(h, t, purity) of ``leaves(host, template, blocked, labelled)``, one row a template."""
+    # A path's end is a branch of its own beside the longer paths; no segment is a slash.
+    path = F.concat("template", F.array(F.lit(END)))
+    steps = materialise(leaves.select("host", "template", "blocked", "labelled", F.explode(
+        F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.slice(path, 1, i))).alias("node")))
+    nodes = materialise(steps.groupBy("host", "node").agg(F.sum("blocked").alias("x"), F.sum("labelled").alias("n")))
+    # Branches in the order of their rates; those of one rate are one row, so a parent's
+    # list is far shorter than its branches are many.
+    parent = F.slice("node", 1, F.greatest(F.size("node") - 1, F.lit(0)))
+    rates = (nodes.where((F.size("node") > 0) & (F.col("n") > 0))
+             .groupBy("host", parent.alias("parent"), (F.col("x") / F.col("n")).alias("rate"))
+             .agg(F.sum("x").alias("x"), F.sum("n").alias("n")))
+    order = Window.partitionBy("host", "parent").orderBy("rate")
+    before = [F.lag(c).over(order) for c in ("x", "n")]
+    apart = F.coalesce(~_alike(F.col("x"), F.col("n"), *before), F.lit(False))
+    grouped = materialise(rates.withColumn("apart", apart.cast("int"))
+                          .withColumn("merged", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    pools = grouped.groupBy("host", "parent", "merged").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    pooled = materialise(
+        grouped.select("host", "parent", "merged", "rate").join(pools, ["host", "parent", "merged"])
+        .select(F.col("host").alias("h"), F.col("parent").alias("p"), F.col("rate").alias("r"), F.col("x").alias("all_x"), F.col("n").alias("all_n")))
+    split = materialise(grouped.groupBy(F.col("host").alias("sh"), F.col("parent").alias("sp")).agg((F.max("merged") > 0).alias("split")))
+    known = (nodes.withColumn("rate", F.try_divide("x", "n"))
+             .join(pooled, (F.col("h") == F.col("host")) & (F.col("p") == parent) & (F.col("r") == F.col("rate")) & (F.size("node") > 0), "left")
+             .join(split, (F.col("sh") == F.col("host")) & (F.col("sp") == F.col("node")), "left"))
+    known = materialise(known.select(
+        F.col("host").alias("h"), F.col("node").alias("at"), F.coalesce("all_x", "x").cast("double").alias("x"),
+        F.coalesce("all_n", "n").cast("double").alias("n"), F.col("n").alias("here"), F.coalesce("split", F.lit(False)).alias("split")))
+    trails = (steps.join(known, (F.col("h") == F.col("host")) & (F.col("at") == F.col("node")))
+              .groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct(F.size("node").alias("depth"), "x", "n", "here", "split"))).alias("trail")))
+
+    def down(told: Column, node: Column) -> Column:
+        # A branch with all labels of its parent has no evidence that the parent lacks.
+        same = (node["here"] > 0) & (node["here"] == told["here"])
+        own = F.when(same, told["own"]).otherwise((node["x"] + STRENGTH * told["lent"]) / (node["n"] + STRENGTH))
+        # Branches that differ say nothing of another one: it draws on what is above them.
+        return F.struct(own.alias("own"), F.when(node["split"], told["lent"]).otherwise(own).alias("lent"), node["here"].alias("here"))
+
+    first = F.struct(F.lit(PRIOR).alias("own"), F.lit(PRIOR).alias("lent"), F.lit(-1).cast("long").alias("here"))
+    return trails.select(F.col("host").alias("h"), F.col("template").alias("t"), F.aggregate("trail", first, down)["own"].alias("purity"))
 
 
 def filter_urls(pages: DataFrame, rules: dict[str, str], url: str = "url", keep: list | None = None) -> DataFrame:

@@ -336,6 +336,22 @@ def test_templates_merge_alike_branches_and_learn(spark):
     assert got["a"] > 0.5 > got["b"] and got["c"] == pytest.approx(urls.PRIOR)
 
 
+def test_templates_without_labels_draw_on_their_siblings(spark):
+    rows = [("h", ["a", "*"], 12, 12), ("h", ["b", "*"], 8, 8), ("h", ["c", "*"], 0, 0),  # all blocked: so is c
+            ("g", ["a", "*"], 0, 12), ("g", ["c", "*"], 0, 0),
+            ("k", ["a", "x"], 60, 60), ("k", ["a", "y"], 2, 2), ("k", ["a", "z"], 0, 0),  # one prefix
+            ("k", ["b", "x"], 0, 90), ("k", ["b", "z"], 0, 0), ("k", ["d"], 0, 0),
+            ("m", ["a"], 20, 20), ("m", ["b"], 18, 20), ("m", ["d"], 1, 20), ("m", ["e"], 0, 1), ("n", ["a"], 0, 0)]
+    df = spark.createDataFrame([(h, s, 30, b, n) for h, s, b, n in rows],
+                               "host string, shape array<string>, n long, blocked long, labelled long")
+    got = {(r.host, *r.shape): r.purity for r in urls.templates(df).collect()}
+    blocked = {k for k, p in got.items() if p > urls.LIMIT}
+    assert blocked == {("h", "a", "*"), ("h", "b", "*"), ("h", "c", "*"), ("k", "a", "x"), ("k", "a", "y"), ("k", "a", "z"), ("m", "a"), ("m", "b")}
+    assert got["k", "d"] == pytest.approx(urls.PRIOR) == got["n", "a"]
+    # 20 and 18 of 20 are one group, 1 of 20 and 0 of 1 another.
+    assert got["m", "a"] == pytest.approx(got["m", "b"]) and got["m", "d"] == pytest.approx(got["m", "e"])
+
+
 # ------------------------------------------------------------------ 9
 def test_language():
     docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").dropna()
