@@ -214,6 +214,23 @@ def test_toxicity():
     assert 0 <= model.score(b"") <= 1
 
 
+def test_toxicity_of_a_small_language():
+    rng = random.Random(7)
+    tongues = [(["the", "river", "stone", "walks", "under", "bright", "morning"], ["scoundrel", "nitwit", "vermin"]),
+               (["fluss", "unter", "steine", "morgen", "fenster", "briefe"], ["halunke", "dummkopf", "gesindel"])]
+    def text(small, bad):
+        plain, slurs = tongues[small]
+        words = [rng.choice(plain) + rng.choice(["", "s", "ed"]) for _ in range(60)]
+        for _ in range(4 if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(slurs))
+        return " ".join(words).encode()
+    of = [(i % 16 == 0, i % 5 == 0) for i in range(2400)]
+    model = toxicity.train([text(*x) for x in of], [int(bad) for _, bad in of])
+    for bad in (True, False):
+        flagged = sum(model.score(text(True, bad)) >= toxicity.LIMIT for _ in range(100))
+        assert flagged >= 90 if bad else flagged <= 2
+
+
 def test_toxicity_rows(odd, empty):
     model = toxicity.train([b"good words here"] * 9 + [b"bad nitwit words"] * 9, [0] * 9 + [1] * 9)
     for m in (model, None):
