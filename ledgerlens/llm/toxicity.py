@@ -13,6 +13,7 @@ texts that neither dictionary was trained on.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,10 +23,11 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.common import text_bytes
+from ledgerlens.llm.common import materialise, text_bytes
 
-#: Sample to train on: texts of either label, and first bytes of each.
-TOXIC, ORDINARY, BYTES = 1500, 3000, 4096
+#: Sample to train on: texts of either label, and bytes of each that are trained
+#: on, drawn in windows from the whole text.  Calibration reads whole texts.
+TOXIC, ORDINARY, BYTES, DRAWN = 1500, 3000, 4096, 512
 #: Windows overlap, so that no word is cut in all windows.
 WINDOW, OVERLAP = 96, 16
 ORDINARY_SIZE, TOXIC_SIZE = 8192, 1024
@@ -139,21 +141,58 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     return _best(models, x, np.repeat([0.0, 1.0], [len(part[0][1]), len(part[1][1])]))
 
 
+def drawn(text: bytes) -> bytes:
+    """A plain text for training: the whole, or the windows of DRAWN bytes, in
+    order and without words cut at their edges, that have the least hashes."""
+    body = plain(text)
+    if len(body) <= BYTES:
+        return body
+    pieces = [body[i:i + DRAWN] for i in range(0, len(body), DRAWN)]
+    chosen = sorted(sorted(range(len(pieces)), key=lambda i: (zlib.crc32(pieces[i]), i))[:BYTES // DRAWN])
+    # What lies between the outer spaces; a piece without two spaces is part of one long word.
+    return b" " + b" ".join(p[p.index(b" "):p.rindex(b" ")].strip() for p in (pieces[i] for i in chosen) if p.count(b" ") > 1) + b" "
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
         label: str = "toxic") -> Model | None:
     """Train on a bounded sample of ``docs`` with a label 0 or 1 in
     ``labels(id_col, label)``; None if either label is missing.
 
     The ids' hashes choose the sample among the labels, so only the chosen
-    texts move: at most ORDINARY + TOXIC ids meet the documents."""
+    texts move: at most ORDINARY + TOXIC ids meet the documents.  Two texts of three
+    are trained on, by windows drawn from the whole text; the third is
+    calibrated on as whole texts, whose features are computed in Spark's tasks."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__label"))
     chosen = [known.where(F.col("__label") == y).orderBy(F.xxhash64(id_col), id_col).limit(most)
               for y, most in ((0, ORDINARY), (1, TOXIC))]
-    rows = (docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen[0].union(chosen[1])), id_col)
-            .select("__label", F.substring(text, 1, BYTES).alias("t"), F.xxhash64(text).alias("h"))
-            .orderBy("h", "t", "__label").limit(ORDINARY + TOXIC).collect())
-    labelled = [r["__label"] for r in rows]
-    return train([r["t"].encode() for r in rows], labelled) if len(set(labelled)) == 2 else None
+    texts = materialise(docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen[0].union(chosen[1])), id_col)
+                        .select(F.col("__label").cast("int").alias("y"), F.xxhash64(text).alias("h"), text_bytes(docs[text]).alias("body"))
+                        .dropDuplicates(["y", "h"]))
+    keys = [(r["y"], r["h"]) for r in texts.select("y", "h").orderBy("h", "y").limit(ORDINARY + TOXIC).collect()]
+    of = [[h for y, h in keys if y == label_] for label_ in (0, 1)]
+    if not of[0] or not of[1]:
+        return None
+    spark = docs.sparkSession
+    roles = [(y, h, i % 3 == 2) for y in (0, 1) for i, h in enumerate(of[y])]
+    part = texts.join(F.broadcast(spark.createDataFrame(roles, "y int, h long, rest boolean")), ["y", "h"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([drawn(x) for x in b.column(2).to_pylist()], pa.binary())],
+                                             names=["y", "h", "body"])
+
+    own = part.where("not rest").select("y", "h", "body").mapInArrow(draw, "y int, h long, body binary").collect()
+    good, bad = ([bytes(r["body"]) for r in sorted(own, key=lambda r: r["h"]) if r["y"] == y] for y in (0, 1))
+    models = _candidates(good, bad)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [[float(v) for m in models for v in m.features(t)] for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "h", "x"])
+
+    rest = sorted(part.where("rest").select("y", "h", "body").mapInArrow(told, "y int, h long, x array<double>").collect())
+    x = np.array([r["x"] for r in rest], float).reshape(len(rest), len(models), 2)
+    return _best(models, x, np.array([r["y"] for r in rest], float))
 
 
 def score_texts(docs: DataFrame, model: Model | None, text: str = "text", keep: list | None = None) -> DataFrame:

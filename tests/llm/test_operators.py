@@ -231,6 +231,20 @@ def test_toxicity_of_a_small_language():
         assert flagged >= 90 if bad else flagged <= 2
 
 
+def test_toxicity_deep_in_long_texts(spark):
+    rng = random.Random(8)
+    plain = ["the", "river", "stone", "walks", "under", "bright", "morning", "windows", "carry", "letters"]
+    def text(bad):  # insults only after some 6000 clean characters
+        words = [rng.choice(plain) + rng.choice(["", "s", "ed"]) for _ in range(1600)]
+        return " ".join(words[:1000] + [w for x in words[1000:] for w in ([rng.choice(["scoundrel", "nitwit", "vermin"]), x] if bad and rng.random() < 0.1 else [x])])
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 120").drop("toxic"), docs.select("doc_id", "toxic"))
+    got = [(model.score(t.encode()) >= toxicity.LIMIT, y) for i, t, y in rows if i >= 120]
+    assert sum(p and y for p, y in got) >= 9 and not any(p and not y for p, y in got)
+    assert len(toxicity.drawn(rows[0][1].encode())) <= toxicity.BYTES + 2
+
+
 def test_toxicity_rows(odd, empty):
     model = toxicity.train([b"good words here"] * 9 + [b"bad nitwit words"] * 9, [0] * 9 + [1] * 9)
     for m in (model, None):
