@@ -4,7 +4,7 @@ shares add up to one, filtered results are subsets of their input."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ledgerlens.registry import registry
 from ledgerlens.sources.tables import BankTables
 

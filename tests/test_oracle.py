@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ledgerlens.registry import registry
 
 TEST_TABLES = ("region nation customer supplier part orders lineitem events documents "

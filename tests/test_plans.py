@@ -7,7 +7,7 @@ import pytest
 from ledgerlens.registry import registry
 from ledgerlens.sources.tables import BankTables
 from ledgerlens.sources.testdata import MAPPINGS
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 def _over_slices(node):
     while node.children().size() == 1 and node.getClass().getSimpleName() != "Aggregate":

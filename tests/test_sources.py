@@ -1,7 +1,7 @@
 """The parquet layout in the fixed schemas round-trips: analyses read from it
 give the same results as from the mapped test tables."""
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ledgerlens.checks.compare import compare_form
 from ledgerlens.registry import registry
 from ledgerlens.sources.model import SCHEMAS
