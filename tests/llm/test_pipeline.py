@@ -2,7 +2,7 @@
 
 import corpus_pipeline as P
 import pytest
-from conftest import SF
+from corpus_paths import SF
 
 from ledgerlens.llm import quality, queries
 from ledgerlens.llm.common import materialise
