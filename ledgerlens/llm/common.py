@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -86,3 +89,38 @@ def unpack(block: bytes, dtypes: list) -> list[np.ndarray]:
 def unpack_all(blocks: Iterable[bytes], dtypes: list) -> list[np.ndarray]:
     parts = [unpack(b, dtypes) for b in blocks]
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, d) for i, d in enumerate(dtypes)]
+
+
+def tree_sum(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], list | None], fan: int = 32) -> list | None:
+    """Sums over all rows of a table that is read in many tasks.
+
+    ``partial`` turns one task's batches into a list of arrays, of the same shapes
+    in every task (None: no rows).  FAN tasks' arrays are added up in one task, FAN
+    of those in the next, and so on, in the order of the partitions; the driver gets
+    at most FAN of them.  None if no task had rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = partial(batches)
+        if got is not None:
+            yield _summand(TaskContext.get().partitionId(), got)
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        return pa.Table.from_batches([_summand(table["at"][0].as_py() // fan, _added(table["body"].to_pylist()))])
+
+    parts, many = rows.mapInArrow(run, "at long, body binary"), rows.rdd.getNumPartitions()
+    while many > fan:
+        parts, many = parts.groupBy(F.expr(f"at div {fan}")).applyInArrow(merge, "at long, body binary"), -(-many // fan)
+    left = sorted((r["at"], bytes(r["body"])) for r in parts.collect())
+    return _added([body for _, body in left]) if left else None
+
+
+def _summand(at: int, arrays: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pickle.dumps(arrays)], pa.binary())], names=["at", "body"])
+
+
+def _added(bodies: list[bytes]) -> list:
+    total = None
+    for body in bodies:
+        arrays = pickle.loads(body)
+        total = arrays if total is None else [a + b for a, b in zip(total, arrays, strict=True)]
+    return total

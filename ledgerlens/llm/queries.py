@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import langid, mixing, quality, sentencepiece_fst, simhash, suffix_dedup, tokens, topk, toxicity, urls
+from ledgerlens.llm import (langid, mixing, quality, quality_classifier, sentencepiece_fst, simhash, suffix_dedup, tokens, topk,
+                            toxicity, urls)
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,9 +81,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = quality_classifier.describe(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    held = langid.crc_fold("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", "quality")
+    scored = quality_classifier.score(described, quality_classifier.fit(described, labels)).select("row.doc_id", "score")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality_classifier.LIMIT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality, op2_topk, op3_tokens, op4_sentencepiece, op5_suffix_dedup, op6_toxicity, op7_simhash,
-    op8_urls, op9_language, op10_mixing)}
+    op8_urls, op9_language, op10_mixing, op11_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": r"""
