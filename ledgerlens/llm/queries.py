@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm import (langid, mixing, quality, quality_classifier, sentencepiece_fst, simhash, suffix_dedup, tokens, topk,
-                            toxicity, urls)
+                            toxicity, urls, whitening)
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -89,9 +89,15 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality_classifier.LIMIT).cast("int").alias("predicted"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = whitening.cleaned(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return whitening.whiten(clean, whitening.fit(clean)).select(
+        "row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality, op2_topk, op3_tokens, op4_sentencepiece, op5_suffix_dedup, op6_toxicity, op7_simhash,
-    op8_urls, op9_language, op10_mixing, op11_quality_classifier)}
+    op8_urls, op9_language, op10_mixing, op11_quality_classifier, op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": r"""
