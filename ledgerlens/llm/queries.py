@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import (langid, mixing, quality, quality_classifier, sentencepiece_fst, simhash, suffix_dedup, tokens, topk,
-                            toxicity, urls, whitening)
+from ledgerlens.llm import (collocations, langid, mixing, quality, quality_classifier, sentencepiece_fst, simhash, suffix_dedup,
+                            tokens, topk, toxicity, urls, whitening)
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -89,6 +89,10 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality_classifier.LIMIT).cast("int").alias("predicted"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = whitening.cleaned(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
     return whitening.whiten(clean, whitening.fit(clean)).select(
@@ -97,7 +101,8 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality, op2_topk, op3_tokens, op4_sentencepiece, op5_suffix_dedup, op6_toxicity, op7_simhash,
-    op8_urls, op9_language, op10_mixing, op11_quality_classifier, op13_whitening)}
+    op8_urls, op9_language, op10_mixing, op11_quality_classifier, op12_collocations,
+    op13_whitening)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": r"""
@@ -168,4 +173,37 @@ SELECT doc_id, size, source_size, target,
        (want // greatest(source_size, 1) * size
         + greatest(0, least(size, want - want // greatest(source_size, 1) * source_size - done)))::BIGINT AS taken
 FROM p""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), f AS (
+  SELECT lang, list_slice(w, i, i + m - 1) AS g, count(*) AS c FROM places, (SELECT unnest([1, 2, 3, 4]) AS m)
+  WHERE i + m - 1 <= len(w) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, g, c AS a FROM f WHERE len(g) > 1 AND c >= 30
+), cut AS (
+  SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM cand
+), scored AS (
+  SELECT cut.lang, cut.g, cut.a, k, x.c AS l, y.c AS r, (2000000::HUGEINT * cut.a // (x.c + y.c))::BIGINT AS score
+  FROM cut JOIN f AS x ON x.lang = cut.lang AND x.g = list_slice(cut.g, 1, k)
+  JOIN f AS y ON y.lang = cut.lang AND y.g = list_slice(cut.g, k + 1, len(cut.g))
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.g ORDER BY score, k) = 1
+), part AS (
+  SELECT lang, a, g, m, unnest(range(1, len(g) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(g))) AS m FROM cand)
+), inside AS (
+  SELECT lang, list_slice(g, i, i + m - 1) AS g, max(a) AS most FROM part GROUP BY ALL
+), kept AS (
+  SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, l, r, score
+  FROM scored AS s LEFT JOIN inside AS i ON i.lang = s.lang AND i.g = s.g
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
