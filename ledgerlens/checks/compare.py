@@ -14,6 +14,8 @@ Both engines are asked for the same canonical column types:
                                            whatever the session time zone)
   arrays                                -> elements in canonical form, in order,
                                            joined by ','
+  maps                                  -> "key=value" in the order of the keys,
+                                           fractions with 6 places, joined by ','
 The kinds of a result's columns are read from its Spark schema; the same
 kinds wrap the oracle SQL (``wrap_sql``).
 """
@@ -42,6 +44,8 @@ def kind_of(t: T.DataType) -> str:
         return "t"
     if isinstance(t, T.ArrayType):
         return "a" + kind_of(t.elementType)
+    if isinstance(t, T.MapType):
+        return "m" + kind_of(t.valueType)
     return "s"
 
 
@@ -68,6 +72,10 @@ def _spark_canon(c: Column, kind: str) -> Column:
         inner = kind[1:]
         as_text = F.transform(c, lambda x: _spark_canon(x, inner).cast("string"))
         return F.array_join(as_text, ",")
+    if kind.startswith("m"):
+        typed = "decimal(38,6)" if kind == "mf" else "string"
+        pair = lambda e: F.concat(e["key"], F.lit("="), e["value"].cast(typed).cast("string"))
+        return F.array_join(F.transform(F.sort_array(F.map_entries(c)), pair), ",")
     return c
 
 
@@ -90,6 +98,10 @@ def _sql_canon(expr: str, kind: str) -> str:
     if kind.startswith("a"):
         inner = _sql_canon("x", kind[1:])
         return f"array_to_string(list_transform({expr}, lambda x: CAST({inner} AS VARCHAR)), ',')"
+    if kind.startswith("m"):
+        value = "CAST(e.value AS DECIMAL(38,6))" if kind == "mf" else "e.value"
+        entries = f"list_transform(list_sort(map_entries({expr})), lambda e: e.key || '=' || CAST({value} AS VARCHAR))"
+        return f"COALESCE(array_to_string({entries}, ','), '')"
     return expr
 
 

@@ -1,6 +1,6 @@
 """Generated by tools/gen_kinds.py: canonical kind of each result column.
 
-f fractional, i integer, b boolean, d date, t timestamp, s string, a<k> array."""
+f fractional, i integer, b boolean, d date, t timestamp, s string, a<k> array, m<k> map."""
 
 KINDS = {'account_aging': {'aging_category': 's',
                    'account_age_category': 's',
@@ -126,11 +126,11 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'total_accounts': 'i',
                     'active_accounts': 'i',
                     'inactive_accounts': 'i',
+                    'inactive_ratio': 'f',
                     'avg_balance': 'f',
                     'total_balance': 'f',
                     'min_days_inactive': 'i',
                     'max_days_inactive': 'i',
-                    'inactive_ratio': 'f',
                     'churn_risk_score': 's'},
  'collateral_coverage': {'loan_type': 's',
                          'coverage_adequacy': 's',
@@ -144,6 +144,10 @@ KINDS = {'account_aging': {'aging_category': 's',
                     'alert_count': 'i',
                     'total_suspicious_amount': 'f',
                     'suspicious_date_count': 'i'},
+ 'compliance_aml_date_pages': {'customer_id': 'i',
+                               'suspicious_indicator': 's',
+                               'page': 'i',
+                               'suspicious_dates': 'at'},
  'compliance_aml_dates': {'customer_id': 'i', 'suspicious_indicator': 's', 'transaction_date': 't'},
  'compliance_aml_dense': {'customer_id': 'i',
                           'suspicious_indicator': 's',
@@ -203,11 +207,6 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'issue_date': 'd',
                         'expiry_date': 'd',
                         'status': 's',
-                        'utilization_rate': 'f',
-                        'utilization_category': 's',
-                        'avg_monthly_utilization': 'f',
-                        'utilization_volatility': 'f',
-                        'peak_utilization': 'f',
                         'first_name': 's',
                         'last_name': 's',
                         'email': 's',
@@ -219,6 +218,11 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'zip_code': 's',
                         'customer_since': 'd',
                         'customer_type': 's',
+                        'utilization_rate': 'f',
+                        'avg_monthly_utilization': 'f',
+                        'utilization_volatility': 'f',
+                        'peak_utilization': 'f',
+                        'utilization_category': 's',
                         'utilization_trend': 's'},
  'cross_sell': {'customer_id': 'i',
                 'first_name': 's',
@@ -258,12 +262,12 @@ KINDS = {'account_aging': {'aging_category': 's',
                   'avg_transaction_amount': 'f',
                   'lifetime_transaction_volume': 'f',
                   'last_transaction_date': 't',
-                  'days_since_last_transaction': 'i',
                   'active_credit_products': 'i',
                   'total_credit_exposure': 'f',
                   'credit_product_types': 'i',
                   'beneficiary_relationships': 'i',
                   'relationship_types': 'i',
+                  'days_since_last_transaction': 'i',
                   'customer_value_tier': 's',
                   'relationship_strength': 'f',
                   'next_best_action': 's'},
@@ -319,7 +323,8 @@ KINDS = {'account_aging': {'aging_category': 's',
                         'total_assets': 'f',
                         'total_liabilities': 'f',
                         'net_worth': 'f',
-                        'leverage_ratio': 'f'},
+                        'leverage_ratio': 'f',
+                        'balances_by_type': 'mf'},
  'customer_portfolio_types': {'customer_id': 'i', 'account_type': 's', 'balance': 'f'},
  'demographic_targeting': {'age_group': 's',
                            'customer_type': 's',
@@ -481,9 +486,6 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'total_amount_paid': 'f',
                            'total_amount_due': 'f',
                            'payment_completion_ratio': 'f',
-                           'total_balance': 'f',
-                           'avg_balance': 'f',
-                           'total_accounts': 'i',
                            'first_name': 's',
                            'last_name': 's',
                            'email': 's',
@@ -495,6 +497,9 @@ KINDS = {'account_aging': {'aging_category': 's',
                            'zip_code': 's',
                            'customer_since': 'd',
                            'customer_type': 's',
+                           'total_balance': 'f',
+                           'avg_balance': 'f',
+                           'total_accounts': 'i',
                            'loan_to_balance_ratio': 'f',
                            'default_risk_score': 'f',
                            'default_probability_category': 's'},
@@ -520,8 +525,8 @@ KINDS = {'account_aging': {'aging_category': 's',
                'close_date': 'd',
                'account_status': 's',
                'branch_id': 'i',
-               'risk_score': 's',
-               'delinquency_rate': 'f'},
+               'delinquency_rate': 'f',
+               'risk_score': 's'},
  'market_position': {'state': 's',
                      'customer_base': 'i',
                      'total_deposits': 'f',
@@ -531,8 +536,8 @@ KINDS = {'account_aging': {'aging_category': 's',
                  'loan_type': 's',
                  'loan_count': 'i',
                  'total_exposure': 'f',
-                 'total_impact_1pct': 'f',
                  'avg_interest_rate': 'f',
+                 'total_impact_1pct': 'f',
                  'sensitivity_ratio': 'f',
                  'market_risk_level': 's',
                  'avg_deposit_stability': 'f'},
@@ -632,6 +637,10 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'avg_salary': 'f',
                           'deposits_per_employee': 'f',
                           'efficiency_ratio': 'f'},
+ 'regulatory_alert_pages': {'customer_id': 'i',
+                            'compliance_alert_level': 's',
+                            'page': 'i',
+                            'alert_transactions': 'ai'},
  'regulatory_alerts': {'account_id': 'i',
                        'transaction_id': 'i',
                        'amount': 'f',
@@ -657,15 +666,16 @@ KINDS = {'account_aging': {'aging_category': 's',
                           'zip_code': 's',
                           'customer_since': 'd',
                           'customer_type': 's',
+                          'connected_accounts': 'i',
+                          'total_network_balance': 'f',
+                          'unique_connections': 'i',
                           'SPOUSE': 'i',
                           'CHILD': 'i',
                           'PARENT': 'i',
                           'BUSINESS_PARTNER': 'i',
-                          'connected_accounts': 'i',
-                          'total_network_balance': 'f',
-                          'unique_connections': 'i',
                           'network_influence': 'f',
-                          'relationship_diversity': 's'},
+                          'relationship_diversity': 's',
+                          'beneficiaries_by_relationship': 'mi'},
  'relationship_types': {'customer_id': 'i', 'relationship': 's', 'beneficiaries': 'i'},
  'reporting_framework': {'section': 's', 'key': 's', 'measure': 's', 'value': 'f'},
  'risk_adjusted_returns': {'loan_type': 's',
@@ -717,16 +727,16 @@ KINDS = {'account_aging': {'aging_category': 's',
                        'year_over_year_growth': 'f'},
  'service_levels': {'account_type': 's',
                     'transaction_type': 's',
+                    'p95_processing_time': 'f',
                     'avg_processing_time': 'f',
                     'transaction_count': 'i',
-                    'p95_processing_time': 'f',
                     'service_level_agreement': 's',
                     'performance_rating': 's'},
  'service_levels_dense': {'account_type': 's',
                           'transaction_type': 's',
+                          'p95_processing_time': 'f',
                           'avg_processing_time': 'f',
                           'transaction_count': 'i',
-                          'p95_processing_time': 'f',
                           'service_level_agreement': 's',
                           'performance_rating': 's'},
  'single_product_customers': {'state': 's', 'customer_type': 's', 'cross_sell_opportunities': 'i'},

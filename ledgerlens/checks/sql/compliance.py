@@ -36,6 +36,12 @@ SELECT customer_id, suspicious_indicator, COUNT(*) AS alert_count, SUM(amount) A
        COUNT(DISTINCT transaction_date) AS suspicious_date_count
 FROM f GROUP BY 1, 2"""
 SQL["compliance_aml_dates"] = f"WITH {_AML}\nSELECT DISTINCT customer_id, suspicious_indicator, transaction_date FROM f"
+SQL["compliance_aml_date_pages"] = f"""
+WITH {_AML},
+p AS (SELECT *, row_number() OVER (PARTITION BY customer_id, suspicious_indicator ORDER BY transaction_date) - 1 AS place
+      FROM (SELECT DISTINCT customer_id, suspicious_indicator, transaction_date FROM f) AS d WHERE transaction_date IS NOT NULL)
+SELECT customer_id, suspicious_indicator, place // 1000 AS page, list(transaction_date ORDER BY transaction_date) AS suspicious_dates
+FROM p GROUP BY ALL"""
 SQL["compliance_kyc"] = f"WITH {_KYC}\nSELECT * FROM kyc"
 SQL["compliance_credit"] = f"WITH {_CRED}\nSELECT * FROM cr"
 SQL["compliance_risk"] = f"""
@@ -88,6 +94,12 @@ ra AS (
 alerts AS (SELECT * FROM ra WHERE compliance_alert_level IN ('HIGH', 'MEDIUM'))"""
 
 SQL["regulatory_alerts"] = f"WITH {_REG}\nSELECT * FROM alerts"
+SQL["regulatory_alert_pages"] = f"""
+WITH {_REG},
+p AS (SELECT *, row_number() OVER (PARTITION BY customer_id, compliance_alert_level ORDER BY transaction_id) - 1 AS place
+      FROM alerts WHERE transaction_id IS NOT NULL)
+SELECT customer_id, compliance_alert_level, place // 1000 AS page, list(transaction_id ORDER BY transaction_id) AS alert_transactions
+FROM p GROUP BY customer_id, compliance_alert_level, place // 1000"""
 SQL["regulatory_compliance"] = f"""
 WITH {_REG}
 SELECT customer_id, compliance_alert_level, COUNT(*) AS alert_count, SUM(amount) AS total_alert_amount

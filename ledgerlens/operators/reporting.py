@@ -18,6 +18,21 @@ from ledgerlens.operators.customers import active
 from ledgerlens.plans import attach_one_row, profile
 
 
+def _grains(accounts: DataFrame) -> DataFrame:
+    """Accounts by type and branch, the finest grain of the reports: all coarser ones
+    come from this aggregate, so that they share one scan."""
+    return accounts.groupBy("account_type", "branch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("balance").alias("valued"), F.sum("balance").alias("held"))
+
+
+def _coarser(grains: DataFrame, *keys: str) -> DataFrame:
+    """Number, balance and average balance of accounts by ``keys`` (none: one row)."""
+    held, valued = F.sum("held"), F.sum("valued")
+    mean = F.try_divide(held.cast("decimal(26,2)"), valued.cast("decimal(20,0)")).cast("decimal(38,6)")
+    return grains.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("accounts"),
+                                     F.when(valued > 0, held).alias("deposits"), mean.alias("avg_balance"))
+
+
 def _one_row_join(*frames: DataFrame) -> DataFrame:
     """One row from several one-row aggregates."""
     return attach_one_row(frames[0], *frames[1:])
@@ -34,8 +49,8 @@ def executive_summary(customers: DataFrame, accounts: DataFrame, transactions: D
     cust = per_customer.agg(F.count(F.lit(1)).alias("total_customers"),
                             F.coalesce(F.sum("__b"), F.lit(0)).alias("business_customers"),
                             F.coalesce(F.sum("__i"), F.lit(0)).alias("individual_customers"))
-    acc = accounts.agg(F.count(F.lit(1)).alias("total_accounts"), F.sum("balance").alias("total_deposits"),
-                       F.avg("balance").alias("avg_account_balance"))
+    acc = _coarser(_grains(accounts)).withColumnsRenamed(
+        {"accounts": "total_accounts", "deposits": "total_deposits", "avg_balance": "avg_account_balance"})
     ln = active(loans).agg(F.count(F.lit(1)).alias("active_loans"),
                            F.sum("loan_amount").alias("total_loan_portfolio"))
     tx = transactions.agg(F.count(F.lit(1)).alias("total_transactions"),
@@ -48,16 +63,18 @@ def product_dashboard(accounts: DataFrame, loans: DataFrame, credit_cards: DataF
     def agg(df, key, measure):
         return df.groupBy(key.alias("account_type")).agg(
             F.count(F.lit(1)).alias("accounts"), F.sum(measure).alias("deposits"), F.avg(measure).alias("avg_balance"))
-    return (agg(accounts, F.col("account_type"), "balance")
+    return (_coarser(_grains(accounts), "account_type")
             .unionByName(agg(active(loans), F.col("loan_type"), "loan_amount"))
             .unionByName(agg(active(credit_cards), F.lit("CREDIT_CARD"), "current_balance")))
 
 
 def regional_performance(branches: DataFrame, accounts: DataFrame, employees: DataFrame) -> DataFrame:
     """Per branch: accounts, deposits, staff and two per-employee ratios (NULL without staff)."""
-    acc = accounts.groupBy("branch_id").agg(F.count(F.lit(1)).alias("accounts"), F.sum("balance").alias("deposits"))
+    acc = _coarser(_grains(accounts), "branch_id").drop("avg_balance").withColumnRenamed("branch_id", "__branch")
     emp = employees.groupBy("branch_id").agg(F.count(F.lit(1)).alias("employees"), F.avg("salary").alias("avg_salary"))
-    return (profile(branches, "branch_id", acc, emp)
+    # Null-safe: a plain equality would be pushed into the scan of accounts as a filter, which then is a scan of its own.
+    same = F.col("branch_id").isNotNull() & F.col("branch_id").eqNullSafe(F.col("__branch"))
+    return (profile(branches.join(acc, same, "left").drop("__branch"), "branch_id", emp)
             .withColumn("deposits_per_employee", ratio("deposits", "employees"))
             .withColumn("efficiency_ratio", ratio("accounts", "employees")))
 

@@ -5,9 +5,10 @@
   one task).  The figure is a one-row aggregate (partial aggregation on every
   task, one tiny final merge), attached to every row from a broadcast of a
   frame that is one row by construction (``attach_one_row``).
-* ``percent_rank`` / ``ntile``: global (or per-key) ranks over inputs of any
-  size, from a value histogram cut into slices; ``with_percentiles`` attaches
-  percentiles from a mergeable sketch.
+* ``sequence.scan``: lag, lead, prefix sums and running statistics over keys of any
+  size, in slices that follow from the data.
+* ``percent_rank`` / ``ntile`` / ``with_percentiles``: global (or per-key) ranks and exact
+  percentiles over inputs of any size, scanned in the same slices.
 * ``profile``: an entity left-joined to per-key measure frames, NULLs filled
   with 0 the way the analyses fill them.
 """

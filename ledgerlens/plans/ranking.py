@@ -1,84 +1,62 @@
 """Ranks and percentiles over groups of any size, on one lazy path.
 
-A group is never one task: its rows are cut into slices by value.  The cut
-points are one ``percentile_approx`` sketch over the whole input (one row, an
-array of SLICES - 1 numbers), attached to every row, so slices follow from the data
-alone and are the same however often a task is run.  Per (group, slice) counts
-are a small aggregate, and their running sums place each slice in its group.
-Nothing runs before the caller's action, and nothing is written or collected.
+A group is never one task: equal values are counted first (combined where they
+are read), and the distinct values are scanned in slices (``sequence.scan``), as many as
+they need.  Nothing runs before the caller's action, and nothing is written or
+collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.globals import attach_one_row
+from ledgerlens.plans.sequence import ROWS, scan
 
-#: Slices of one group: a group with a third of all rows is this many tasks.
-SLICES = 32
-#: Rank error of percentiles: under one row up to so many rows of a group.
-ACCURACY = 1_000_000
 
-
-def sliced(df: DataFrame, by: Column, descending: bool = False, slices: int = SLICES) -> DataFrame:
-    """``df`` plus ``__rid``, a slice number that grows with ``by`` (a number,
-    date or timestamp; falls, if ``descending``).  NULLs are slice -1 (slices,
-    if ``descending``): first in ascending order, last in descending."""
-    marks = df.agg(F.percentile_approx(by, [i / slices for i in range(1, slices)], 10 * slices).alias("__marks"))
-    over = F.size(F.filter(F.coalesce("__marks", F.array()), lambda m: m < by))
-    place = slices - 1 - over if descending else over
-    empty = F.lit(slices if descending else -1)
-    return attach_one_row(df, marks).withColumn("__rid", F.when(by.isNull(), empty).otherwise(place)).drop("__marks")
-
-
-def ranked_histogram(df: DataFrame, value: str, keys=(), descending: bool = False,
-                     slices: int = SLICES, by: Column | None = None) -> DataFrame:
-    """Rows (keys..., value, __c, __lt, __n): the count of ``value`` in its key
-    group, the rows strictly before it in the order, and the group size.
-    ``by`` is the number to slice by, if ``value`` is not one itself."""
+def ranked_histogram(df: DataFrame, value: str, keys=(), rows: int = ROWS) -> DataFrame:
+    """Rows (keys..., value, __c, __lt, __n): the count of ``value`` in its key group, the
+    rows strictly before it in ascending order (NULLs first), and the group size."""
     keys = list(keys)
-    by = F.col(value) if by is None else by
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    hist = (sliced(df.select(*keys, value, by.alias("__by")), F.col("__by"), descending, slices)
-            .groupBy(*keys, "__rid", value).agg(F.count(F.lit(1)).alias("__c")))
-    group = Window.partitionBy(*keys, F.lit(0))
-    starts = (hist.groupBy(*keys, "__rid").agg(F.sum("__c").alias("__rc"))
-              .withColumn("__off", F.coalesce(F.sum("__rc").over(
-                  group.orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("__n", F.sum("__rc").over(group)).drop("__rc"))
-    inside = Window.partitionBy("__rid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (on_slice(hist.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0))), starts, keys)
-            .withColumn("__lt", F.col("__off") + F.col("__in"))
-            .select(*keys, value, "__c", "__lt", "__n"))
-
-
-def on_slice(left: DataFrame, right: DataFrame, keys) -> DataFrame:
-    """Left join on (__rid, keys), NULL keys matching NULL keys."""
-    same = ["__rid", *keys]
-    r = right.select(*[F.col(c).alias(f"__j_{c}") for c in same], *[c for c in right.columns if c not in same])
-    cond = [left[c].eqNullSafe(r[f"__j_{c}"]) for c in same]
-    return left.join(r, cond, "left").drop(*[f"__j_{c}" for c in same])
+    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    return scan(hist, keys, [value], before={"__lt": "__c"}, whole={"__n": "__c"}, rows=rows, size=F.sum("__c"))
 
 
 def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
-                 descending: bool = False, slices: int = SLICES) -> DataFrame:
-    """``df`` plus ``out`` = percent_rank() over (partition by keys order by
-    ``order_col``), identical to the window function's result."""
+                 descending: bool = False, rows: int = ROWS) -> DataFrame:
+    """``df`` plus ``out`` = percent_rank() over (partition by keys order by ``order_col``),
+    NULLs first (last, if ``descending``), identical to the window function's result."""
     keys = list(partition_by)
-    h = ranked_histogram(df, order_col, keys, descending, slices)
-    share = F.when(F.col("__n") > 1, F.col("__lt") / (F.col("__n") - 1)).otherwise(F.lit(0.0))
-    ranks = h.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(order_col).alias("__v"), share.alias(out))
+    before = F.col("__n") - F.col("__lt") - F.col("__c") if descending else F.col("__lt")
+    share = F.when(F.col("__n") > 1, before / (F.col("__n") - 1)).otherwise(F.lit(0.0))
+    ranks = ranked_histogram(df, order_col, keys, rows).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(order_col).alias("__v"), share.alias(out))
     cond = [df[k].eqNullSafe(ranks[f"__k_{k}"]) for k in keys] + [df[order_col].eqNullSafe(ranks["__v"])]
     return df.join(ranks, cond).drop(*[f"__k_{k}" for k in keys], "__v")
 
 
+def percentiles(hist: DataFrame, value: str, probs: dict[str, float], keys=(), **also: Column) -> DataFrame:
+    """(keys..., a column a probability): the exact nearest-rank percentiles of a ranked
+    histogram, and other aggregates of its rows."""
+    reached = lambda p: F.ceil(F.lit(p) * F.col("__n"))
+    here = lambda p: (F.col("__lt") < reached(p)) & (reached(p) <= F.col("__lt") + F.col("__c"))
+    return hist.groupBy(*keys).agg(*[F.max(F.when(here(p), F.col(value))).alias(n) for n, p in probs.items()],
+                                 *[c.alias(n) for n, c in also.items()])
+
+
 def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str, float],
-                     keys=(), accuracy: int | None = None) -> DataFrame:
-    """Attach per-group percentiles of ``df.value`` to the per-group frame
-    ``agg``: one mergeable ``percentile_approx`` sketch per group."""
+                     keys=(), accuracy: int | None = None, rows: int = ROWS) -> DataFrame:
+    """Attach per-group nearest-rank percentiles of ``df.value`` to the per-group frame ``agg``.
+
+    They are exact: values are counted and the counts scanned in slices, so no task
+    holds a group.  ``accuracy`` asks for a mergeable sketch instead (``percentile_approx``; its state a
+    group and task is of that many values)."""
     keys = list(keys)
-    q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy or ACCURACY).alias(n) for n, p in probs.items()])
+    if accuracy:
+        q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()])
+    else:
+        q = percentiles(ranked_histogram(df.where(F.col(value).isNotNull()), value, keys, rows), value, probs, keys)
     if not keys:
         return attach_one_row(agg, q)
     q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *probs)
@@ -86,19 +64,14 @@ def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str,
     return agg.join(q, cond, "left").drop(*[f"__k_{k}" for k in keys])
 
 
-def ntile(df: DataFrame, order_cols, n: int, out: str, slices: int = SLICES) -> DataFrame:
-    """``df`` plus ``out`` = ntile(n) over a global ascending order on
-    ``order_cols`` (NULLs first), which must be a total order that begins with
-    a number or date.  Each row's position comes from the ranked histogram of
-    the order tuple, and the bucket follows the window's rule (the first N mod n
-    buckets hold one row more)."""
-    order_cols = list(order_cols)
-    h = ranked_histogram(df.withColumn("__o", F.struct(*order_cols)), "__o", slices=slices, by=F.col(order_cols[0]))
-    i, total = F.col("__lt") + 1, F.col("__n")
+def ntile(df: DataFrame, order_cols, n: int, out: str, rows: int = ROWS) -> DataFrame:
+    """``df`` plus ``out`` = ntile(n) over a global ascending order on ``order_cols`` (NULLs first),
+    which must be total.  Each row's position comes from one scan, and the bucket follows
+    the window's rule (the first N mod n buckets hold one row more)."""
+    placed = scan(df.withColumn("__unit", F.lit(1)), [], list(order_cols), before={"__i": "__unit"}, whole={"__n": "__unit"}, rows=rows)
+    i, total = F.col("__i") + 1, F.col("__n")
     size, rem = F.floor(total / n), total % n
     big_rows = rem * (size + 1)
     bucket = (F.when(i <= big_rows, F.floor((i - 1) / (size + 1)) + 1)
               .otherwise(rem + F.floor(F.try_divide(i - 1 - big_rows, size)) + 1))
-    pos = h.select(*[F.col("__o")[c].alias(f"__p_{c}") for c in order_cols], bucket.cast("int").alias(out))
-    cond = [df[c].eqNullSafe(pos[f"__p_{c}"]) for c in order_cols]
-    return df.join(pos, cond).drop(*[f"__p_{c}" for c in order_cols])
+    return placed.withColumn(out, bucket.cast("int")).drop("__unit", "__i", "__n")

@@ -1,71 +1,183 @@
-"""Per-key sequences (lag, lead, running statistics) for keys of any size.
+"""Ordered measures over keys of any size, all in one scan.
 
-Every key is cut into time slices (``ranking.sliced``), each window runs inside
-one slice of one key, and what a slice needs from the others is one row a
-slice: its edge row, or its sums.  One lazy path for all keys.
+The rows of a key, in order, are cut into slices at rows of their own.  The cut
+rows come from a sample by hash: a row in ``each`` is drawn, every OVER-th drawn row of
+a key is a cut, and ``each`` follows from the number of rows, so a key has as many
+slices as its rows need, a key with few rows has one, and a table has about
+MOST cuts at the most, however large it is.  A cut is a whole order tuple, so it also
+falls between rows of equal time.  The drawing depends on the data alone: it is the same
+however often and in whatever order a task is run.
+
+Every measure is computed inside one slice of one key, in one window stage.  What a
+slice needs from the others is a small state (first and last row, counts and sums), which is
+aggregated per slice of the cut keys and scanned there: a few rows a cut, broadcast.
+Nothing runs before the caller's action, and nothing is written or collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.plans.ranking import SLICES, on_slice, sliced
+from ledgerlens.plans.globals import attach_one_row
 
+#: Rows of a slice that are not worth cutting, cuts of a table, drawn rows a cut.
+ROWS = 1 << 17
+MOST = 50_000
+OVER = 4
+_BITS = 17  # of a slice number: MOST, and more than twice what chance can add
 
-def neighbors(df: DataFrame, keys, time: str, ties, cols, step: int = 1, prefix: str = "prev_",
-              slices: int = SLICES) -> DataFrame:
-    """``df`` plus ``prefix + c`` = lag (step=1) or lead (step=-1) of each
-    column over (partition by keys order by ``time`` NULLs first, ``ties``).
-    Time and ties must be a total order inside a key for the result to be
-    deterministic."""
-    keys, cols = list(keys), list(cols)
-    order = [F.col(time).asc_nulls_first(), *[c if isinstance(c, Column) else F.col(c).asc_nulls_first() for c in ties]]
-    fn = F.lag if step == 1 else F.lead
-    w = Window.partitionBy("__rid", *keys).orderBy(*order)
-    # __seen marks rows whose neighbour lies in the slice
-    here = sliced(df, F.col(time), slices=slices).select(
-        "*", fn(F.lit(True)).over(w).alias("__seen"), *[fn(c).over(w).alias(prefix + c) for c in cols])
-    # the slice's row next to the following slice: its last for lag, its first for lead
-    back = Window.partitionBy("__rid", *keys).orderBy(*order)
-    rim = F.lead(F.lit(True)).over(back) if step == 1 else F.lag(F.lit(True)).over(back)
-    across = Window.partitionBy(*keys, F.lit(0)).orderBy("__rid")
-    edges = (here.withColumn("__rim", rim).where(F.col("__rim").isNull())
-             .select("__rid", *keys, *[fn(c).over(across).alias(f"__e_{c}") for c in cols]))
-    out = on_slice(here, edges, keys)
-    for c in cols:
-        out = out.withColumn(prefix + c, F.when(F.col("__seen").isNull(), F.col(f"__e_{c}")).otherwise(F.col(prefix + c)))
-    return out.drop("__rid", "__seen", *[f"__e_{c}" for c in cols])
-
-
-def running_stats(df: DataFrame, keys, order_col: str, value: str, avg_name: str, std_name: str,
-                  slices: int = SLICES) -> DataFrame:
-    """``df`` plus the running average and sample standard deviation of
-    ``value`` over (partition by keys order by ``order_col``) with the default
-    frame: all earlier rows and the rows tied with the current one.  Sums are
-    exact decimals, so the figures never depend on the slices."""
-    keys = list(keys)
-    x = F.col(value)
-    s = sliced(df, F.col(order_col), slices=slices)
-    w = Window.partitionBy("__rid", *keys).orderBy(F.col(order_col).asc_nulls_first())   # RANGE frame: peers included
-    # a slice can start with NULL values: their running sum is NULL, not 0
-    here = (s.withColumn("__n", F.count(x).over(w))
-            .withColumn("__s", F.coalesce(F.sum(x).over(w), F.lit(0)))
-            .withColumn("__ss", F.coalesce(F.sum(x * x).over(w), F.lit(0))))
-    before = Window.partitionBy(*keys, F.lit(0)).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (s.groupBy("__rid", *keys).agg(F.count(x).alias("__tn"), F.sum(x).alias("__ts"), F.sum(x * x).alias("__tss"))
-            .select("__rid", *keys, *[F.coalesce(F.sum(f"__t{m}").over(before), F.lit(0)).alias(f"__o{m}")
-                                      for m in ("n", "s", "ss")]))
-    n, sm, ss = (F.col(f"__o{m}") + F.col(f"__{m}") for m in ("n", "s", "ss"))
-    var = F.try_divide((n * ss - sm * sm).cast("double"), (n * (n - 1)).cast("double"))
-    mean = F.try_divide(sm, n)
-    kind = df.schema[value].dataType
+
+def cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS,
+               size: Column | None = None) -> DataFrame:
+    """(keys..., __cuts): the sorted cut rows of the keys that have any (without keys: of
+    the table, one row).  ``size`` is an aggregate that is at least the number of rows."""
+    total = df.agg((F.count(F.lit(1)) if size is None else size).alias("__total"))
+    each = F.greatest(F.lit(1), F.greatest(F.lit(rows), F.ceil(F.col("__total") / MOST)) / OVER).cast("long")
+    drawn = (attach_one_row(df, total).where(F.pmod(F.xxhash64(*keys, *order), each) == 0)
+             .select(*keys, F.struct(*order).alias("__at")).groupBy(*keys)
+             .agg(F.sort_array(F.array_distinct(F.collect_list("__at"))).alias("__drawn")))
+    cuts = drawn.select(*keys, F.filter("__drawn", lambda _, i: (i + 1) % OVER == 0).alias("__cuts"))
+    return cuts.where(F.size("__cuts") > 0) if keys else cuts
+
+
+def _met(left: DataFrame, right: DataFrame, same: Sequence[str]) -> DataFrame:
+    """Left join on the columns ``same``, NULL meeting NULL, with a side of about MOST
+    rows at the most, which is broadcast."""
+    r = F.broadcast(right.withColumnsRenamed({c: f"__j_{c}" for c in same}))
+    return left.join(r, [left[c].eqNullSafe(r[f"__j_{c}"]) for c in same], "left").drop(*[f"__j_{c}" for c in same])
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS, size: Column | None = None) -> DataFrame:
+    """``df`` plus ``__slice`` (from 0, growing with the order inside a key), ``__cut`` (whether
+    the key has cuts), ``__from`` (``order[0]`` of the slice's cut), and ``__head`` and ``__tail``:
+    whether the row is a peer, by ``order[0]``, of its slice's cut or of the next one's."""
+    cuts = cut_points(df, keys, order, rows, size)
+    with_cuts = _met(df, cuts, keys) if keys else attach_one_row(df, cuts)
+    at, points = F.struct(*order), F.col("__cuts")
+    # Binary search: the number of cuts that are not after the row.
+    step = lambda n, s: F.when(F.get(points, n + s - 1) <= at, n + s).otherwise(n)
+    found = F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(_BITS))]), F.lit(0), step)
+    cut = points.isNotNull() & (F.size(points) > 0)
+    edge = lambda i: F.get(points, i)[order[0]]
+    number = F.col("__slice")
+    return (with_cuts.withColumn("__slice", F.when(cut, found).otherwise(0))
+            .withColumns({"__cut": cut, "__from": edge(number - 1),
+                          "__head": cut & (number > 0) & edge(number - 1).eqNullSafe(F.col(order[0])),
+                          "__tail": cut & (number < F.size(points)) & edge(number).eqNullSafe(F.col(order[0]))})
+            .drop("__cuts"))
+
+
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0))
+
+
+_SUMS = {"n": F.count, "s": F.sum, "q": F.sum}
+
+
+def _terms(value: str) -> dict[str, Column]:
+    return {"n": F.col(value), "s": F.col(value), "q": F.col(value) * F.col(value)}
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], lag: Mapping[str, str] | None = None,
+         lead: Mapping[str, str] | None = None, before: Mapping[str, str] | None = None,
+         whole: Mapping[str, str] | None = None, running: Mapping[tuple[str, str], str] | None = None,
+         rows: int = ROWS, size: Column | None = None) -> DataFrame:
+    """``df`` plus ordered measures over (partition by ``keys`` order by ``order``, NULLs first):
+
+    * ``lag`` and ``lead``: {result: column} of the row before and after;
+    * ``before`` and ``whole``: {result: column}, its sum over the rows before (0 for the first) and over the key;
+    * ``running``: {(mean, deviation): column}, the average and sample standard deviation over
+      the default frame of a window by ``order[0]``: all earlier rows and the peers.  Sums are
+      exact decimals where the values are, so the figures never depend on the slices.
+
+    Rows that are equal in the whole order come in any order, as in Spark's windows."""
+    keys, order = list(keys), list(order)
+    lag, lead, before, whole, running = (dict(m or {}) for m in (lag, lead, before, whole, running))
+    s = sliced(df, keys, order, rows, size)
+    part = ["__slice", *keys]
+    ordered = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    peers = Window.partitionBy(*part).orderBy(F.col(order[0]).asc_nulls_first())  # RANGE frame: peers included
+
+    here = s.select(
+        "*", *[F.lag(c).over(ordered).alias(n) for n, c in lag.items()], *[F.lead(c).over(ordered).alias(n) for n, c in lead.items()],
+        *([F.lag(F.lit(True)).over(ordered).alias("__after")] if lag else []),
+        *([F.lead(F.lit(True)).over(ordered).alias("__ahead")] if lead else []),
+        *[_or_zero(F.sum(c).over(earlier)).alias(n) for n, c in before.items()],
+        *[_or_zero(F.sum(c).over(Window.partitionBy(*part))).alias(n) for n, c in whole.items()],
+        *[_or_zero(_SUMS[k](x).over(peers)).alias(f"__{i}{k}") for i, v in enumerate(running.values()) for k, x in _terms(v).items()])
+
+    # The state of every slice of the keys that are cut, and what the others bring it.
+    sums = {f"__b_{n}": F.col(c) for n, c in before.items()} | {f"__w_{n}": F.col(c) for n, c in whole.items()}
+    at = F.struct(*order)
+    states = s.where("__cut").groupBy(*keys, "__slice").agg(
+        F.first("__from").alias("__from"),
+        *([F.max_by(F.struct(*[F.col(c).alias(f"__l_{n}") for n, c in lag.items()]), at).alias("__last")] if lag else []),
+        *([F.min_by(F.struct(*[F.col(c).alias(f"__f_{n}") for n, c in lead.items()]), at).alias("__first")] if lead else []),
+        *[_or_zero(F.sum(c)).alias(n) for n, c in sums.items()],
+        *[_or_zero(_SUMS[k](x)).alias(f"__{i}{k}_all") for i, v in enumerate(running.values()) for k, x in _terms(v).items()],
+        *[_or_zero(_SUMS[k](F.when(F.col("__head"), x))).alias(f"__{i}{k}_head") for i, v in enumerate(running.values()) for k, x in _terms(v).items()])
+    across = Window.partitionBy(*keys, F.lit(0)).orderBy("__slice")
+    sofar = across.rowsBetween(Window.unboundedPreceding, -1)
+    figures = [f"__{i}{k}" for i in range(len(running)) for k in _SUMS]
+    if figures:  # the peers of a cut's time in its slice and those that begin at the same time
+        on = Window.partitionBy(*keys, "__from").orderBy(F.desc("__slice"))
+        states = states.select("*", *[F.sum(f"{f}_head").over(on).alias(f"{f}_peers") for f in figures])
+    brought = states.select(
+        *keys, "__slice",
+        *[F.lag("__last").over(across)[f"__l_{n}"].alias(f"__l_{n}") for n in lag],
+        *[F.lead("__first").over(across)[f"__f_{n}"].alias(f"__f_{n}") for n in lead],
+        *[_or_zero(F.sum(f"__b_{n}").over(sofar)).alias(f"__b_{n}") for n in before],
+        *[(F.sum(f"__w_{n}").over(Window.partitionBy(*keys, F.lit(0))) - F.col(f"__w_{n}")).alias(f"__w_{n}") for n in whole],
+        *[_or_zero(F.sum(f"{f}_all").over(sofar)).alias(f"{f}_before") for f in figures],
+        *[_or_zero(F.lead(f"{f}_peers").over(across)).alias(f"{f}_later") for f in figures])
+
+    out = _met(here, brought, part)
+    add = lambda n, c: (F.col(n) + _or_zero(F.col(c))).alias(n)
+    results = ([F.when(F.col("__after").isNull(), F.col(f"__l_{n}")).otherwise(F.col(n)).alias(n) for n in lag]
+               + [F.when(F.col("__ahead").isNull(), F.col(f"__f_{n}")).otherwise(F.col(n)).alias(n) for n in lead]
+               + [add(n, f"__b_{n}") for n in before] + [add(n, f"__w_{n}") for n in whole])
+    for i, ((mean, deviation), value) in enumerate(running.items()):
+        all_of = [F.col(f"__{i}{k}") + _or_zero(F.col(f"__{i}{k}_before")) + F.when(F.col("__tail"), _or_zero(F.col(f"__{i}{k}_later"))).otherwise(0)
+                  for k in _SUMS]
+        results += [c.alias(n) for c, n in zip(_moments(*all_of, df.schema[value].dataType), (mean, deviation), strict=True)]
+    return out.select(*[F.col(c) for c in df.columns], *results)
+
+
+def _moments(n: Column, total: Column, squares: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """Mean and sample standard deviation from a count, a sum and a sum of squares.
+    Decimals are exact up to 38 digits; a history too long for that goes on in doubles."""
+    wide = lambda c: c.cast("double")
+    rough = wide(n) * wide(squares) - wide(total) * wide(total)
     if isinstance(kind, T.DecimalType):
+        count = n.cast("decimal(20,0)")
+        exact = F.try_subtract(F.try_multiply(count, squares), F.try_multiply(total, total))
         # four more places than the values, as an average of decimals has; the
         # types leave the quotient enough places to be rounded only once
-        mean = F.try_divide(sm.cast(T.DecimalType(26 + kind.scale, kind.scale)), n.cast("decimal(10,0)"))
-        mean = mean.cast(T.DecimalType(38, kind.scale + 4))
-    return (on_slice(here, sums, keys).withColumn(avg_name, mean)
-            .withColumn(std_name, F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)))
-            .drop("__rid", "__n", "__s", "__ss", "__on", "__os", "__oss"))
+        mean = F.try_divide(total.cast(T.DecimalType(26 + kind.scale, kind.scale)), count).cast(T.DecimalType(38, kind.scale + 4))
+        rough = F.coalesce(wide(exact), rough)
+    else:
+        mean = F.try_divide(total, n)
+    var = F.try_divide(rough, wide(n) * (wide(n) - 1))
+    return mean, F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var))
+
+
+def neighbors(df: DataFrame, keys, time: str, ties, cols, step: int = 1, prefix: str = "prev_",
+              rows: int = ROWS) -> DataFrame:
+    """``df`` plus ``prefix + c`` = lag (step=1) or lead (step=-1) of each column over
+    (partition by keys order by ``time`` NULLs first, ``ties``), which must be a total order
+    inside a key for the result to be deterministic."""
+    wanted = {prefix + c: c for c in cols}
+    return scan(df, keys, [time, *ties], **{"lag" if step == 1 else "lead": wanted}, rows=rows)
+
+
+def running_stats(df: DataFrame, keys, order_col: str, value: str, avg_name: str, std_name: str, ties=(),
+                  rows: int = ROWS) -> DataFrame:
+    """``df`` plus the running average and sample standard deviation of ``value`` over
+    (partition by keys order by ``order_col``) with the default frame.  ``ties`` only tell where rows
+    of equal ``order_col`` may be cut apart."""
+    return scan(df, keys, [order_col, *ties], running={(avg_name, std_name): value}, rows=rows)

@@ -145,6 +145,10 @@ def _load():
     _reg("compliance_aml", "compliance")(lambda t: co.compliance_aml(t.transactions, t.accounts, t.customers))
     _reg("compliance_aml_dates", "compliance")(
         lambda t: co.compliance_aml_dates(t.transactions, t.accounts, t.customers))
+    _reg("compliance_aml_date_pages", "compliance")(
+        lambda t: co.compliance_aml_date_pages(t.transactions, t.accounts, t.customers))
+    _reg("regulatory_alert_pages", "compliance")(
+        lambda t: co.regulatory_alert_pages(t.transactions, t.accounts, t.customers))
     _reg("compliance_kyc", "compliance")(lambda t: co.compliance_kyc(t.customers))
     _reg("compliance_credit", "compliance")(lambda t: co.compliance_credit(t.credit_cards, t.customers))
     _reg("concentration_risk", "compliance")(lambda t: co.concentration_risk(t.accounts, t.loans, t.customers))

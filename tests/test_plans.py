@@ -13,12 +13,12 @@ def _over_slices(node):
     while node.children().size() == 1 and node.getClass().getSimpleName() != "Aggregate":
         node = node.children().head()
     keys = node.groupingExpressions() if node.getClass().getSimpleName() == "Aggregate" else None
-    return keys is not None and keys.size() == 1 and keys.head().toString().startswith("__rid#")
+    return keys is not None and keys.size() == 1 and keys.head().toString().startswith("__slice#")
 
 
 def _unpartitioned_windows(df):
     """Window nodes of the optimized plan whose partition spec is empty, but for
-    those over a table's slice counts (``ranking.sliced``: one row a slice)."""
+    those over a table's slice counts (``sequence.scan``: one row a slice)."""
     found, stack = [], [df._jdf.queryExecution().optimizedPlan()]
     while stack:
         node = stack.pop()

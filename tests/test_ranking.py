@@ -1,6 +1,6 @@
 """The distributed rank and percentile operators agree with Spark's own window
 functions and sorted lists, on data with a hot key (a third of all rows), ties
-and NULLs, for several numbers of slices."""
+and NULLs, for several sizes of slices."""
 
 import math
 import random
@@ -23,8 +23,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id int, k string, v double")
 
 
-@pytest.fixture(params=[1, 3, 16, 61])
+@pytest.fixture(params=[1 << 17, 700, 60, 4])
 def slices(request):
+    """Rows a slice."""
     return request.param
 
 
@@ -37,7 +38,7 @@ def _by_id(df, col):
 def test_percent_rank_matches_window(spark, skewed, slices, keys, descending):
     order = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
     want = skewed.withColumn("pr", F.percent_rank().over(Window.partitionBy(*keys).orderBy(order)))
-    got = ranking.percent_rank(skewed, "v", "pr", partition_by=keys, descending=descending, slices=slices)
+    got = ranking.percent_rank(skewed, "v", "pr", partition_by=keys, descending=descending, rows=slices)
     assert got.count() == skewed.count()
     assert _by_id(got, "pr") == pytest.approx(_by_id(want, "pr"))
 
@@ -69,7 +70,7 @@ def test_ntile_matches_window(spark, slices):
     rows = [(i, None if i % 11 == 0 else (i * 7919) % 50) for i in range(203)]
     df = spark.createDataFrame(rows, "id int, score int")
     want = df.withColumn("q", F.ntile(4).over(Window.orderBy(F.col("score").asc_nulls_first(), "id")))
-    got = ranking.ntile(df, ["score", "id"], 4, "q", slices=slices)
+    got = ranking.ntile(df, ["score", "id"], 4, "q", rows=slices)
     assert _by_id(got, "q") == _by_id(want, "q")
     few = df.limit(3)
     assert sorted(r["q"] for r in ranking.ntile(few, ["score", "id"], 4, "q").collect()) == [1, 2, 3]

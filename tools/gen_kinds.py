@@ -25,6 +25,6 @@ if __name__ == "__main__":
     result = {name: kinds(spec.build(t)) for name, spec in sorted(registry().items())}
     with open(OUT, "w") as f:
         f.write('"""Generated by tools/gen_kinds.py: canonical kind of each result column.\n\n'
-                'f fractional, i integer, b boolean, d date, t timestamp, s string, a<k> array."""\n\n')
+                'f fractional, i integer, b boolean, d date, t timestamp, s string, a<k> array, m<k> map."""\n\n')
         f.write("KINDS = " + pprint.pformat(result, width=100, sort_dicts=False) + "\n")
     print(f"wrote {len(result)} queries to {OUT}")
