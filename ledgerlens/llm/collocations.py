@@ -43,11 +43,11 @@ _SHARDS = "shard long, local int, lang string, word string, n long, body binary"
 
 
 # ---------------------------------------------------------------- 1: shards and words
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """A row for each word of a shard (body null), and one with the shard's word ids in text order
     (0: between pieces)."""
     running = 0
-    for held in chunks(batches, lambda b: b.column(1).nbytes, SHARD):
+    for held in chunks(batches, lambda b: b.column(1).nbytes, shard_bytes):
         ids: dict[str, dict[bytes, int]] = {}
         many, parts = 0, [np.zeros(1, np.int32)]
         for b in held:
@@ -237,12 +237,13 @@ def _index(joined: DataFrame) -> DataFrame:
     return materialise(joined.select("shard", "body", "known").mapInArrow(run, "shard long, transform binary, words binary"))
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST,
+                     shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: all frequent phrases of 1 to DEPTH words (ids, n); the frequent words
     (id, lang, word, n); and the number of word occurrences of each lang (lang, total)."""
     spark = docs.sparkSession
     wanted = docs.select(F.coalesce(docs[lang].cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), text_bytes(docs[text]).alias("body"))
-    shards = materialise(wanted.mapInArrow(_shards, _SHARDS))
+    shards = materialise(wanted.mapInArrow(lambda batches: _shards(batches, shard_bytes), _SHARDS))
     heard = shards.where("body is null")
     totals = heard.groupBy("lang").agg(F.sum("n").alias("total"))
     words = materialise(heard.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -268,7 +269,8 @@ def _parts(size: Column, least: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(least), size - 1), each))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, best: int = BEST) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, best: int = BEST,
+                 shard_bytes: int = SHARD) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``best`` phrases of each language.
 
     Texts are lower-cased (A-Z) and split at ``.,;:!?`` and line ends into pieces, these at
@@ -281,7 +283,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     A null text is empty, a null language is ``und``; repeated rows count as often as they
     are there; very long texts are one shard; an empty table gives no rows.  Columns of other names are
     not looked at."""
-    phrases, words, totals = frequent_phrases(docs, text, lang, least)
+    phrases, words, totals = frequent_phrases(docs, text, lang, least, shard_bytes)
     size = F.size("ids")
     candidates = phrases.where(size > 1)
     cuts = candidates.select("ids", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
