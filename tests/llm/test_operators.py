@@ -418,6 +418,34 @@ def test_language_rows(odd, empty):
     assert langid.fit(empty) is None and langid.identify(empty, None).count() == 0
 
 
+def test_copies_do_not_push_out_a_language(spark):
+    """2000 German and 2000 English texts, and 5000 copies of one Spanish text."""
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet")
+    rows_ = [(t, y) for y in ("de", "en") for t in docs[docs.lang == y].text.head(300)]
+    spanish = docs[docs.lang == "es"].text.iloc[0]
+    df = spark.createDataFrame(rows_, "text string, lang string").union(
+        spark.createDataFrame([(spanish, "es")], "text string, lang string").crossJoin(spark.range(5000)).drop("id"))
+    net, names = langid.fit(df)
+    assert names == ["de", "en", "es"]
+    assert langid._of_texts([spanish.encode()], net, names)[0][0] == "es"
+
+
+def test_many_languages(spark):
+    """Every one of 150 languages is learnt, the wording of half of them only deep in the texts."""
+    rng = random.Random(9)
+    filler = "0123456789 " * 400
+    def text(k):
+        a, b = divmod(k, 13)
+        words = " ".join(chr(97 + a) + chr(97 + b) * rng.randint(1, 3) + rng.choice("xyz") for _ in range(60))
+        return (filler if k % 2 else "") + words * (20 if k % 2 else 1)
+    df = spark.createDataFrame([(text(k), f"l{k:03}") for k in range(150) for _ in range(6)], "text string, lang string")
+    net, names = langid.fit(df)
+    assert len(names) == 150
+    told = langid._of_texts([text(k).encode() for k in range(150)], net, names)
+    assert sum(y == f"l{k:03}" for k, (y, _) in enumerate(told)) >= 120
+    assert len(langid.drawn(text(1).encode())) <= langid.DRAWN
+
+
 # ------------------------------------------------------------------ 10
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_mixing(name, request):
