@@ -31,7 +31,7 @@ from ledgerlens.llm.common import chunks, materialise, pack, shuffle_partitions,
 
 DEPTH, LEAST, BEST = 4, 30, 2000
 #: Bytes of text per shard, entries of a block row.
-SHARD = 16 << 20
+SHARD = 8 << 20
 #: Share of its own count that a longer phrase covers a candidate with, as a fraction.
 COVERED = (4, 5)
 FACTOR = 2_000_000
@@ -88,10 +88,12 @@ def bwt(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     rank, width = text.astype(np.int64), 1
     order = np.arange(len(text))
     while width < depth:
-        key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -width)
+        many = int(rank.max(initial=0)) + 1
+        key = np.roll(rank, -width)
+        key += rank * many
         order = np.argsort(key, kind="stable")
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.concatenate(([0], np.diff(key[order]) != 0)))
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
         width *= 2
     return text[order - 1].astype(np.int32)
 
