@@ -20,7 +20,7 @@ def ranked_histogram(df: DataFrame, value: str, keys=(), rows: int = ROWS) -> Da
     rows strictly before it in ascending order (NULLs first), and the group size."""
     keys = list(keys)
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    return scan(hist, keys, [value], before={"__lt": "__c"}, whole={"__n": "__c"}, rows=rows, size=F.sum("__c"))
+    return scan(hist, keys, [value], before={"__lt": "__c"}, whole={"__n": "__c"}, rows=rows, weight="__c")
 
 
 def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
@@ -36,27 +36,31 @@ def percent_rank(df: DataFrame, order_col: str, out: str, partition_by=(),
     return df.join(ranks, cond).drop(*[f"__k_{k}" for k in keys], "__v")
 
 
-def percentiles(hist: DataFrame, value: str, probs: dict[str, float], keys=(), **also: Column) -> DataFrame:
-    """(keys..., a column a probability): the exact nearest-rank percentiles of a ranked
-    histogram, and other aggregates of its rows."""
-    reached = lambda p: F.ceil(F.lit(p) * F.col("__n"))
-    here = lambda p: (F.col("__lt") < reached(p)) & (reached(p) <= F.col("__lt") + F.col("__c"))
-    return hist.groupBy(*keys).agg(*[F.max(F.when(here(p), F.col(value))).alias(n) for n, p in probs.items()],
-                                 *[c.alias(n) for n, c in also.items()])
+def percentiles(df: DataFrame, value: str, probs: dict[str, float], keys=(), rows: int = ROWS) -> DataFrame:
+    """(keys..., a column a probability): exact nearest-rank percentiles of ``df.value``, NULLs and
+    groups of NULLs left out.  Equal values are counted where they are read, and the counts of a
+    group are scanned in slices, so that no task holds a group."""
+    hist = ranked_histogram(df.where(F.col(value).isNotNull()), value, keys, rows)
+    return hist.groupBy(*keys).agg(*[reached(F.col(value), p).alias(n) for n, p in probs.items()])
+
+
+def reached(value: Column, p: float) -> Column:
+    """Aggregate of a ranked histogram: the value that holds the rank ``p``."""
+    rank = F.ceil(F.lit(p) * F.col("__n"))
+    return F.max(F.when((F.col("__lt") < rank) & (rank <= F.col("__lt") + F.col("__c")), value))
 
 
 def with_percentiles(agg: DataFrame, df: DataFrame, value: str, probs: dict[str, float],
                      keys=(), accuracy: int | None = None, rows: int = ROWS) -> DataFrame:
     """Attach per-group nearest-rank percentiles of ``df.value`` to the per-group frame ``agg``.
 
-    They are exact: values are counted and the counts scanned in slices, so no task
-    holds a group.  ``accuracy`` asks for a mergeable sketch instead (``percentile_approx``; its state a
-    group and task is of that many values)."""
+    They are exact (``percentiles``).  ``accuracy`` asks for a mergeable sketch instead
+    (``percentile_approx``; its state a group and task is of that many values)."""
     keys = list(keys)
     if accuracy:
         q = df.groupBy(*keys).agg(*[F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()])
     else:
-        q = percentiles(ranked_histogram(df.where(F.col(value).isNotNull()), value, keys, rows), value, probs, keys)
+        q = percentiles(df, value, probs, keys, rows)
     if not keys:
         return attach_one_row(agg, q)
     q = q.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *probs)

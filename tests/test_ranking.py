@@ -23,7 +23,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id int, k string, v double")
 
 
-@pytest.fixture(params=[1 << 17, 700, 60, 4])
+@pytest.fixture(params=[1 << 20, 700, 60, 4])
 def slices(request):
     """Rows a slice."""
     return request.param

@@ -24,7 +24,7 @@ def events(spark):
     return spark.createDataFrame(rows, "id int, k int, t int, v decimal(10,2), city string")
 
 
-@pytest.fixture(params=[1 << 17, 1000, 60, 4])
+@pytest.fixture(params=[1 << 20, 1000, 60, 4])
 def slices(request):
     """Rows a slice."""
     return request.param
