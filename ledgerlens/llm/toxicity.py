@@ -1,20 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, and one that holds
-besides a selected list of words that toxic texts repeat and ordinary ones
-don't.  (A dictionary that zstandard trains on toxic texts holds what they share
-with ordinary ones or what chance repeats, and found 8 to 32 of 120 held-out toxic
-texts at sf0.1; the word list 63.)  Each window of a text
-is compressed with both; what the toxic dictionary saves is the window's
+Two zstandard dictionaries, one trained on ordinary and one on toxic text.  The
+toxic one is trained on the stretches of toxic texts that ordinary text can't explain: runs of
+GRAM-byte strings that a share of the toxic texts hold and that are RARER times rarer in
+ordinary ones.  (Trained on whole toxic texts, a dictionary fills up with the prose
+that both share, and found 8 to 32 of 120 held-out toxic texts at sf0.1.)  Each window of a
+text is compressed with both; what the toxic dictionary saves is the window's
 distance.  A text's largest distances go through a logistic curve calibrated on
-texts that neither dictionary was trained on.
+texts that neither dictionary was trained on; the calibration also chooses among shares
+and sizes of the toxic dictionary.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +30,13 @@ from ledgerlens.llm.common import materialise, text_bytes
 TOXIC, ORDINARY, BYTES, DRAWN = 1500, 3000, 4096, 512
 #: Windows overlap, so that no word is cut in all windows.
 WINDOW, OVERLAP = 96, 16
-ORDINARY_SIZE, TOXIC_SIZE = 8192, 1024
-#: Least share of toxic texts that hold a word of the toxic dictionary (the one
-#: of these whose words tell best on the calibration texts), and how much rarer
-#: it is in others.  A low share takes in the insults of a small language, but
-#: also words that near copies of a few toxic texts share.
-SHARES, RARER = (0.1, 0.05, 0.02, 0.01), 5
+ORDINARY_SIZE = 8192
+#: What tells toxic text: strings of GRAM bytes, the least shares of toxic texts that hold them
+#: (a low one takes in the insults of a small language, but also what chance repeats), and how
+#: much rarer they are in others.
+GRAM, SHARES, RARER = 6, (0.05, 0.035, 0.025), 5
+#: Sizes of the toxic dictionary and of the segments that zstandard's training chooses.
+SIZES, SEGMENTS = (512, 1024), (16, 24)
 LIMIT = 0.3
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -67,26 +68,36 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_pair": None}
 
-    def distances(self, text: bytes) -> list[int]:
-        """For each window, how many bytes the toxic dictionary saves."""
+    def pair(self) -> tuple:
+        """Compressors with the ordinary dictionary and with both."""
         if self._pair is None:
             # The ordinary dictionary lies next to the window in both, so only the rest differs.
-            self._pair = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        a, b = self._pair[0].compress, self._pair[1].compress
-        body, step = plain(text), WINDOW - OVERLAP
-        parts = [body[i:i + WINDOW] for i in range(0, max(1, len(body) - OVERLAP), step)]
-        return [len(a(w)) - len(b(w)) for w in parts]
+            self._pair = _compressor(self.ordinary).compress, _compressor(self.toxic + self.ordinary).compress
+        return self._pair
 
     def features(self, text: bytes) -> tuple[float, float]:
-        """The largest distance, and the next two together."""
-        top = sorted(self.distances(text), reverse=True)[:3]
-        return max(0, top[0]), sum(max(0, t) for t in top[1:])
+        return features([self], text)[0]
 
     def score(self, text: bytes) -> float:
         z = float(self.weights @ np.array(self.features(text))) + self.bias
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def features(models: list[Model], text: bytes) -> list[tuple[float, float]]:
+    """For each model (all of one ordinary dictionary) the largest distance among the
+    text's windows, and the next two together; a distance is how many bytes the toxic
+    dictionary saves."""
+    body, step = plain(text), WINDOW - OVERLAP
+    parts = [body[i:i + WINDOW] for i in range(0, max(1, len(body) - OVERLAP), step)]
+    ordinary = [len(models[0].pair()[0](w)) for w in parts]
+    out = []
+    for m in models:
+        toxic = m.pair()[1]
+        top = sorted((n - len(toxic(w)) for n, w in zip(ordinary, parts, strict=True)), reverse=True)[:3]
+        out.append((max(0, top[0]), sum(max(0, t) for t in top[1:])))
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias, by Newton steps with a slight ridge."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -98,22 +109,55 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def _candidates(good: list[bytes], bad: list[bytes]) -> list[Model]:
-    """A model for each of SHARES from plain ordinary and toxic texts, not yet calibrated."""
-    windows = [t[i:i + 512] for t in good for i in range(0, len(t), 512)]
+def _codes(text: bytes) -> np.ndarray:
+    """All GRAM-byte strings of a text, as whole numbers."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(b) - GRAM + 1)
+    return sum(b[k:k + n] << np.uint64(8 * k) for k in range(GRAM))
+
+
+def _stretches(text: bytes, telling: np.ndarray) -> set[bytes]:
+    """The runs of ``text`` that consist of strings in ``telling`` (sorted codes)."""
+    codes = _codes(text)
+    if not len(codes) or not len(telling):
+        return set()
+    at = np.searchsorted(telling, codes)
+    hit = telling[np.minimum(at, len(telling) - 1)] == codes
+    cover = np.zeros(len(text) + 2, np.int8)
+    for k in range(GRAM):
+        cover[1 + k:1 + k + len(hit)] |= hit
+    edge = np.flatnonzero(np.diff(cover))
+    return {text[a:b] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)}
+
+
+def _trained(size: int, samples: list[bytes], k: int, d: int) -> bytes:
     try:
-        ordinary = zstd.train_dictionary(ORDINARY_SIZE, windows[:20_000], k=64, d=8).as_bytes()
+        return zstd.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstd.ZstdError:  # too little text to train on: its end serves as it is
-        ordinary = b"".join(good)[-ORDINARY_SIZE:]
+        return b"".join(samples)[-size:]
+
+
+def _candidates(good: list[bytes], bad: list[bytes]) -> list[Model]:
+    """Models from plain ordinary and toxic texts, one for each share, size and segment, not yet calibrated."""
+    ordinary = _trained(ORDINARY_SIZE, [t[i:i + 512] for t in good for i in range(0, len(t), 512)], 64, 8)
     bad = list(dict.fromkeys(bad))  # copies of one text are no more evidence
-    held = lambda group: Counter(w for t in group for w in set(t.split()))
-    toxic, other = held(bad), held(good)
+    held = [np.unique(_codes(t)) for t in bad]
+    codes, toxic = np.unique(np.concatenate(held), return_counts=True)
+    often = toxic >= max(2, min(SHARES) * len(bad))
+    codes, toxic = codes[often], toxic[often]
+    other = np.zeros(len(codes))
+    for t in good:
+        own = np.unique(_codes(t))
+        at = np.searchsorted(own, codes)
+        other += (own[np.minimum(at, len(own) - 1)] == codes) if len(own) else 0
+    rare = toxic / len(bad) > RARER * (other + 0.5) / max(1, len(good))
     found: dict[bytes, None] = {}
     for share in SHARES:
-        words = [w for w, n in toxic.items() if n >= max(2, share * len(bad))
-                 and n / len(bad) > RARER * (other[w] + 0.5) / max(1, len(good))]
-        words.sort(key=lambda w: (toxic[w], w))
-        found[(b" " + b" ".join(words) + b" ")[-TOXIC_SIZE:]] = None
+        telling = codes[rare & (toxic >= max(2, share * len(bad)))]
+        samples = [x for t in bad for x in sorted(_stretches(t, telling))]
+        for size in SIZES:
+            for k in SEGMENTS:
+                found[_trained(size, samples, k, GRAM)] = None
     return [Model(ordinary, t) for t in found]
 
 
@@ -137,7 +181,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         own[len(own[0]) + len(own[1]) and (len(own[0]) + len(own[1])) % 3 == 2].append(t)
     models = _candidates(*([plain(t) for t in p[0]] for p in part))
     rest = part[0][1] + part[1][1]
-    x = np.array([[m.features(t) for m in models] for t in rest], float).reshape(len(rest), len(models), 2)
+    x = np.array([features(models, t) for t in rest], float).reshape(len(rest), len(models), 2)
     return _best(models, x, np.repeat([0.0, 1.0], [len(part[0][1]), len(part[1][1])]))
 
 
@@ -187,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [[float(v) for m in models for v in m.features(t)] for t in b.column(2).to_pylist()]
+            x = [[float(v) for f in features(models, t) for v in f] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "h", "x"])
 
     rest = sorted(part.where("rest").select("y", "h", "body").mapInArrow(told, "y int, h long, x array<double>").collect())
@@ -200,7 +244,9 @@ def score_texts(docs: DataFrame, model: Model | None, text: str = "text", keep:
     ``score`` (0 to 1, higher: likelier toxic).
 
     Null and empty texts are one empty window and get the score of no distance;
-    without a model every score is 0.  Repeated rows stay, with equal scores.
+    without a model every score is 0.  Very long texts are compressed window by window as a
+    whole; repeated rows stay, with equal scores; an empty table gives no rows, and columns of the
+    input can't clash (they are in ``row``).
     """
     wanted = docs.select(F.struct(*(keep or ["*"])).alias("row"), text_bytes(docs[text]).alias("body"))
 
