@@ -20,14 +20,16 @@ candidate, as every occurrence of a longer phrase is one of its parts.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlens.llm.common import chunks, materialise, pack, shuffle_partitions, text_bytes, unpack
+from ledgerlens.llm.common import materialise, pack, shuffle_partitions, text_bytes, unpack
 
 DEPTH, LEAST, BEST = 4, 30, 2000
 #: Bytes of text per shard, entries of a block row.
@@ -45,31 +47,35 @@ _SHARDS = "shard long, local int, lang string, word string, n long, body binary"
 # ---------------------------------------------------------------- 1: shards and words
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """A row for each word of a shard (body null), and one with the shard's word ids in text order
-    (0: between pieces)."""
-    running = 0
-    for held in chunks(batches, lambda b: b.column(1).nbytes, shard_bytes):
-        ids: dict[str, dict[bytes, int]] = {}
-        many, parts = 0, [np.zeros(1, np.int32)]
-        for b in held:
-            for lang, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = ids.setdefault(lang, {_STOP: 0})
-                words = body.translate(_PIECES).replace(_STOP, b" \xff ").split()
-                if not words:
-                    continue
-                found = []
-                for w in words:
-                    k = own.get(w)
-                    if k is None:
-                        many += 1
-                        own[w] = k = many
-                    found.append(k)
-                parts.append(np.array(found, np.int32))
-                parts.append(np.zeros(1, np.int32))
-        text = np.concatenate(parts)
-        shard = (TaskContext.get().partitionId() << 24) + running
-        running += 1
-        counts = np.bincount(text, minlength=many + 1)
-        for lang, own in ids.items():
+    (0: between pieces).  A shard ends with the text that fills it."""
+    running, held, shard = 0, 0, _Shard()
+    for b in batches:
+        for lang, body in zip(b.column(0), b.column(1), strict=True):
+            shard.add(lang.as_py(), body.as_py())
+            held += len(body.as_buffer())
+            if held >= shard_bytes:
+                yield from shard.rows((TaskContext.get().partitionId() << 24) + running)
+                running, held, shard = running + 1, 0, _Shard()
+    if held:
+        yield from shard.rows((TaskContext.get().partitionId() << 24) + running)
+
+
+class _Shard:
+    def __init__(self):
+        self.ids: dict[str, defaultdict[bytes, int]] = {}
+        self.parts, self.number = [np.zeros(1, np.int32)], count(1)
+
+    def add(self, lang: str, body: bytes) -> None:
+        if lang not in self.ids:
+            self.ids[lang] = defaultdict(self.number.__next__, {_STOP: 0})  # a new word gets the next number
+        words = body.translate(_PIECES).replace(_STOP, b" \xff ").split()
+        self.parts.append(np.fromiter(map(self.ids[lang].__getitem__, words), np.int32, len(words)))
+        self.parts.append(np.zeros(1, np.int32))
+
+    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
+        text = np.concatenate(self.parts)
+        counts = np.bincount(text, minlength=next(self.number))
+        for lang, own in self.ids.items():
             del own[_STOP]
             local = np.fromiter(own.values(), np.int32, len(own))
             yield pa.RecordBatch.from_arrays(
