@@ -11,6 +11,10 @@ towards PRIOR.  So a template without labels draws on its siblings; where those
 are left in groups that differ, on what lies above them.  A template is
 rejected if its purity is over LIMIT.
 
+A rule for a path says of the urls beside that path only that it leaves them out.  Its
+labels therefore count from the level on at which the rule's own path ends: they
+are lent to what lies below, never to the host's other paths.
+
 Everything is counted per (host, template) and combined before it is shuffled,
 so a host with a third of all urls is no single group.
 """
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.llm.common import materialise
 
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of the tree; what lies deeper is one wildcard below its branch.
 DEPTH = 4
 MANY, SEEN = 20, 3
 PRIOR, STRENGTH, LIMIT = 0.1, 4.0, 0.5
@@ -64,7 +68,10 @@ def _shape(path: Column) -> Column:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, template, purity) of ``shapes(host, shape, n, blocked,
-    labelled)``, one row a shape; template is the generalised list of segments."""
+    labelled)``, one row a shape; template is the generalised list of segments.  With a
+    column ``since``, rows may differ in it alone: their labels count from that level on."""
+    if "since" not in shapes.columns:
+        shapes = shapes.withColumn("since", F.lit(0))
     nodes = shapes.withColumn("template", F.array().cast("array<string>"))
     for level in range(1, DEPTH + 2):
         # try_element_at is null below a path's end; such paths stay as they are.
@@ -79,9 +86,9 @@ def templates(shapes: DataFrame) -> DataFrame:
             .withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(
                 F.concat("template", F.array(named))))
             .drop("h", "t", "wide"))
-    leaves = materialise(nodes.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
+    leaves = materialise(nodes.groupBy("host", "template", "since").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")))
     return (nodes.join(materialise(_judged(leaves)), (F.col("h") == F.col("host")) & (F.col("t") == F.col("template")))
-            .select("host", "shape", "template", "purity"))
+            .select("host", "shape", "template", "purity").distinct())
 
 
 def _alike(x: Column, n: Column, y: Column, m: Column) -> Column:
@@ -93,12 +100,13 @@ def _alike(x: Column, n: Column, y: Column, m: Column) -> Column:
 
 
 def _judged(leaves: DataFrame) -> DataFrame:
-    """(h, t, purity) of ``leaves(host, template, blocked, labelled)``, one row a template."""
+    """(h, t, purity) of ``leaves(host, template, since, blocked, labelled)``, one row a template."""
     # A path's end is a branch of its own beside the longer paths; no segment is a slash.
     path = F.concat("template", F.array(F.lit(END)))
-    steps = materialise(leaves.select("host", "template", "blocked", "labelled", F.explode(
+    steps = materialise(leaves.select("host", "template", "since", "blocked", "labelled", F.explode(
         F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.slice(path, 1, i))).alias("node")))
-    nodes = materialise(steps.groupBy("host", "node").agg(F.sum("blocked").alias("x"), F.sum("labelled").alias("n")))
+    nodes = materialise(steps.groupBy("host", "node").agg(
+        *[F.sum(F.when(F.size("node") >= F.col("since"), F.col(c)).otherwise(0)).alias(n) for c, n in (("blocked", "x"), ("labelled", "n"))]))
     # Branches in the order of their rates; those of one rate are one row, so a parent's
     # list is far shorter than its branches are many.
     parent = F.slice("node", 1, F.greatest(F.size("node") - 1, F.lit(0)))
@@ -121,7 +129,7 @@ def _judged(leaves: DataFrame) -> DataFrame:
     known = materialise(known.select(
         F.col("host").alias("h"), F.col("node").alias("at"), F.coalesce("all_x", "x").cast("double").alias("x"),
         F.coalesce("all_n", "n").cast("double").alias("n"), F.col("n").alias("here"), F.coalesce("split", F.lit(False)).alias("split")))
-    trails = (steps.join(known, (F.col("h") == F.col("host")) & (F.col("at") == F.col("node")))
+    trails = (steps.select("host", "template", "node").distinct().join(known, (F.col("h") == F.col("host")) & (F.col("at") == F.col("node")))
               .groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct(F.size("node").alias("depth"), "x", "n", "here", "split"))).alias("trail")))
 
     def down(told: Column, node: Column) -> Column:
@@ -141,13 +149,18 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], url: str = "url", keep:
     template's.  The rules' verdicts are the labels the templates learn from.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule
-    and is judged by the template of such urls.  Repeated rows stay.
+    and is judged by the template of such urls.  Very long urls are judged like others, by
+    their first segments; repeated rows stay; an empty table gives no rows, and columns of the
+    input can't clash (they are in ``row``).
     """
     host, path = parse(F.col(url))
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     parsed = (pages.select(F.struct(*(keep or ["*"])).alias("row"), host.alias("host"), path.alias("path"))
               .select("row", "host", "path", rule.alias("rule"), verdict.alias("told"), _shape(F.col("path")).alias("shape")))
-    shapes = materialise(parsed.groupBy("host", "shape").agg(
+    depth = F.lit(0)
+    for text in rules:
+        depth = F.when(F.col("rule") == text, F.lit(min(DEPTH + 1, len([x for x in text.split("/")[1:] if x])))).otherwise(depth)
+    shapes = materialise(parsed.groupBy("host", "shape", depth.alias("since")).agg(
         F.count("*").alias("n"), F.count_if(F.col("told") == "block").alias("blocked"), F.count("told").alias("labelled")))
     judged = materialise(templates(shapes)).select(F.col("host").alias("h"), F.col("shape").alias("s"), "template", "purity")
     own = F.when(F.col("purity") > LIMIT, F.lit("block")).otherwise(F.lit("allow"))

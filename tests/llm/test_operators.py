@@ -383,6 +383,86 @@ def test_templates_without_labels_draw_on_their_siblings(spark):
     assert got["m", "a"] == pytest.approx(got["m", "b"]) and got["m", "d"] == pytest.approx(got["m", "e"])
 
 
+def brute_tree(rows):
+    """Purity by (host, shape) of rows (host, shape, n, blocked, labelled, since), node by node."""
+    out = {}
+    for host in {r[0] for r in rows}:
+        mine = [(list(r[1]), [], *r[2:]) for r in rows if r[0] == host]
+        for level in range(urls.DEPTH + 1):
+            kids = {}
+            for shape, template, n, *_ in mine:
+                if len(shape) > level:
+                    own = kids.setdefault(tuple(template), {})
+                    own[shape[level]] = own.get(shape[level], 0) + n
+            wide = {t for t, own in kids.items() if len(own) > urls.MANY and sum(own.values()) < urls.SEEN * len(own)}
+            for shape, template, *_ in mine:
+                if len(shape) > level:
+                    template.append("*" if tuple(template) in wide and shape[level] else shape[level])
+        x, n = {}, {}
+        for _, template, _, blocked, labelled, since in mine:
+            path = (*template, urls.END)
+            for k in range(len(path) + 1):
+                x[path[:k]] = x.get(path[:k], 0) + (blocked if k >= since else 0)
+                n[path[:k]] = n.get(path[:k], 0) + (labelled if k >= since else 0)
+        pooled, split = {}, {}
+        for parent in n:
+            kids = [k for k in n if k and k[:-1] == parent and n[k]]
+            rates = sorted({x[k] / n[k] for k in kids})
+            sums = [(sum(x[k] for k in kids if x[k] / n[k] == r), sum(n[k] for k in kids if x[k] / n[k] == r)) for r in rates]
+            groups = []
+            for i, (r, (a, b)) in enumerate(zip(rates, sums)):
+                if i:
+                    c, d = sums[i - 1]
+                    q = (a + c) / (b + d)
+                    var = q * (1 - q) * (1 / b + 1 / d)
+                    alike = (a / b - c / d) ** 2 / var < urls.DIFFER if var else a * d == c * b
+                if i and alike:
+                    groups[-1].append(i)
+                else:
+                    groups.append([i])
+            split[parent] = len(groups) > 1
+            for g in groups:
+                whole = tuple(sum(sums[i][j] for i in g) for j in (0, 1))
+                pooled.update({k: whole for k in kids if x[k] / n[k] in [rates[i] for i in g]})
+        for shape, template, *_ in mine:
+            path, own, lent, told = (*template, urls.END), urls.PRIOR, urls.PRIOR, -1
+            for k in range(len(path) + 1):
+                node = path[:k]
+                a, b = pooled.get(node, (x[node], n[node]))
+                if not (n[node] > 0 and n[node] == told):
+                    own = (a + urls.STRENGTH * lent) / (b + urls.STRENGTH)
+                lent, told = lent if split[node] else own, n[node]
+            out[host, tuple(shape)] = own
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    rng = random.Random(10)
+    rows_ = {}
+    for _ in range(500):
+        host = rng.choice("abc")
+        shape = tuple(rng.choice(["x", "y", "z", "", f"w{rng.randint(0, 40)}"] if d == 1 else ["p", "q", "*"]) for d in range(rng.randint(0, 4)))
+        n = rng.randint(1, 9)
+        labelled = rng.choice([0, 0, n])
+        blocked = sum(rng.random() < (0.9 if "x" in shape else 0.1) for _ in range(labelled))
+        rows_[host, shape, rng.choice([0, 0, 1, 2])] = (n, blocked, labelled)
+    listed = [(h, list(s), *v, since) for (h, s, since), v in rows_.items()]
+    df = spark.createDataFrame(listed, "host string, shape array<string>, n long, blocked long, labelled long, since int")
+    got = {(r.host, tuple(r.shape)): r.purity for r in urls.templates(df).collect()}
+    assert got == pytest.approx(brute_tree(listed))
+
+
+def test_a_path_rule_says_nothing_of_other_paths(spark):
+    """A host with mostly German pages, which a rule blocks, keeps its English ones; below the
+    rule's path its labels are lent."""
+    seen = [f"http://a.example.com/de/{k}" for k in range(60)] + [f"http://a.example.com/en/{k}" for k in range(5)] + ["http://a.example.com/"]
+    seen += [f"http://b.example.net/shop/{k}" for k in range(9)]
+    long = "http://a.example.com/en/" + "x/" * 50_000
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*seen, long])], "page_id long, url string")
+    got = {r.url: r.verdict for r in urls.filter_urls(df, RULES).select("row.url", "verdict").collect()}
+    assert {u for u, v in got.items() if v == "block"} == {u for u in seen if "/de/" in u or "example.net" in u}
+
+
 # ------------------------------------------------------------------ 9
 def test_language():
     docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").dropna()
