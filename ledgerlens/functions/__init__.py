@@ -36,6 +36,12 @@ def ratio(num, den) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
+def mean(total, n) -> Column:
+    """Average of money with two places from its exact sum and the number of values, with
+    the four more places of an average of decimals; NULL without values."""
+    return F.try_divide(_c(total).cast("decimal(26,2)"), _c(n).cast("decimal(20,0)")).cast("decimal(38,6)")
+
+
 def ladder(*branches, default) -> Column:
     """First-match CASE: ``ladder((cond, value), ..., default=v)``."""
     expr = None

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions import above, as_of_date, ratio
+from ledgerlens.functions import above, as_of_date, mean, ratio
 from ledgerlens.operators.customers import active
 from ledgerlens.plans import attach_one_row, profile
 
@@ -28,9 +28,8 @@ def _grains(accounts: DataFrame) -> DataFrame:
 def _coarser(grains: DataFrame, *keys: str) -> DataFrame:
     """Number, balance and average balance of accounts by ``keys`` (none: one row)."""
     held, valued = F.sum("held"), F.sum("valued")
-    mean = F.try_divide(held.cast("decimal(26,2)"), valued.cast("decimal(20,0)")).cast("decimal(38,6)")
     return grains.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("accounts"),
-                                     F.when(valued > 0, held).alias("deposits"), mean.alias("avg_balance"))
+                                     F.when(valued > 0, held).alias("deposits"), mean(held, valued).alias("avg_balance"))
 
 
 def _one_row_join(*frames: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
-                               "(the distributed rank and sequence paths checkpoint there)")
+                               "(scratch tables are written there)")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

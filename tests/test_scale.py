@@ -5,6 +5,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import compliance, customers, reporting
+from ledgerlens.plans.distinct import distinct_ids
+from ledgerlens.registry import registry
 from ledgerlens.sources.tables import BankTables
 from paths import SF_SMALL
 
@@ -50,3 +52,17 @@ def test_reports_scan_accounts_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert plan.count(f"{tmp_path}/accounts]") == 1
+
+
+def test_bitmaps_count_like_a_distinct_count(spark):
+    rows = [(i % 3 if i % 7 else None, v, i) for i, v in enumerate([0, 1, 32767, 32768, 32769, 2**31 + 5, 2**40, 2**40 + 1, -1, -32768, -2**35, None] * 20)]
+    df = spark.createDataFrame(rows, "g int, id long, x int").repartition(4)
+    want = df.groupBy("g").agg(F.countDistinct("id").alias("n"), F.sum("x").alias("s"), F.count("id").alias("c"))
+    got = distinct_ids(df, ["g"], "id", "n", s=F.sum("x"), c=F.count("id"))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert distinct_ids(df.limit(0), [], "id", "n").collect()[0]["n"] == 0
+
+
+def test_distinct_customers_move_as_bitmaps(spark):
+    plan = registry()["concentration_risk"].build(BankTables.from_testdata(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "distinct" not in plan.lower()
