@@ -12,7 +12,7 @@ import time
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ WINDOW = 8
 #: Texts the costs and selectivities are estimated on.
 SAMPLE = 400
 #: Bytes of text measured at once.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -68,8 +68,7 @@ class Measures:
         """Number of each word (equal words, equal numbers), and its text."""
         if "*ids" not in self._made:
             words = [t.split() for t in self.texts]
-            number: dict = defaultdict()
-            number.default_factory = number.__len__
+            number: dict = defaultdict(count().__next__)  # no cycle: the words go with it, not with the next full collection
             many = np.array([len(w) for w in words], np.int64)
             ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(many.sum()))
             self._made["*ids"] = ids, np.repeat(np.arange(len(words)), many), many
@@ -200,20 +199,22 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     with its own result.
     """
     rules = tuple(rules) if ordered else order_rules(docs, text, rules)
-    wanted = docs.select(F.struct(*(keep or ["*"])).alias("row"), text_bytes(docs[text]).alias("body"))
+    # A whole row holds its text already, and is sent with no second copy of it.
+    inside = docs.columns.index(text) if not keep and dict(docs.dtypes).get(text) == "string" else None
+    wanted = docs.select(F.struct(*(keep or ["*"])).alias("row"), *([text_bytes(docs[text]).alias("body")] if inside is None else []))
     names = [None, *(r.name for r in rules)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.asarray(pa.compute.binary_length(b.column(1)), np.int64)
+            body = b.column(1) if inside is None else pa.compute.fill_null(b.column(0).field(inside).cast(pa.binary()), b"")
+            size = np.asarray(pa.compute.binary_length(body), np.int64)
             step = np.cumsum(size) // STEP if len(size) else size
             cut = np.concatenate(([0], np.flatnonzero(np.diff(step)) + 1, [len(size)]))
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                part = b.slice(i, j - i)
-                m = Measures(part.column(1).to_pylist())
+                m = Measures(body.slice(i, j - i).to_pylist())
                 made = [pa.array(m[x], pa.int64()) for x in report]
                 by = pa.array([names[k + 1] for k in cascade(m, rules)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *made, by], names=["row", *report, "rejected_by"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *made, by], names=["row", *report, "rejected_by"])
 
     schema = f"row {wanted.schema['row'].dataType.simpleString()}, {''.join(f'{x} long, ' for x in report)}rejected_by string"
     return wanted.mapInArrow(run, schema)

@@ -14,7 +14,8 @@ transducer has one path of finite weight, and the tropical-semiring shortest
 path finds it, place by place.  Arc weights are worked out when first met.
 
 A space never follows another character inside a piece, so texts are
-composed word by word, and paths of words met before are kept (bounded).
+composed word by word.  Paths of words met before are kept, and those met least
+lately are forgotten: a corpus has no end of words, and a worker outlives its tasks.
 """
 
 from __future__ import annotations
@@ -29,22 +30,29 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-#: Words whose paths, and pairs of pieces whose weights, are kept per worker.
-KEPT = 1_000_000
+#: Paths of words, paths of stretches inside words and weights of pairs of pieces that a worker
+#: keeps, and as many met before those: the dearer to make again, the more.
+WORDS, STRETCHES, PAIRS = 1 << 17, 1 << 17, 1 << 18
 #: Bytes of text handled at once.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
-class _Paths(dict):
-    def __init__(self, made):
+class _Kept(dict):
+    """Results by key.  When ``most`` are there they become the ones ``before``, from
+    which a key met again comes back; those that they replace are forgotten."""
+
+    def __init__(self, made, most: int):
         super().__init__()
-        self.made = made
+        self.made, self.most, self.before = made, most, {}
 
     def __missing__(self, key):
-        out = self.made(key)
-        if len(self) >= KEPT:
-            self.clear()
-        if len(key) <= 64:
+        out = self.before.get(key)
+        if out is None:
+            out = self.made(key)
+        if isinstance(key, int) or len(key) <= 64:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
             self[key] = out
         return out
 
@@ -73,12 +81,12 @@ class Transducer:
         self.names = [p.piece for p in model.pieces]
         self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.units = regex.compile(" *[^ ]+| +").findall
-        self.stays: dict = {}
+        self.stays = _Kept(self._finite, PAIRS)
         # No arc leads over a place whose two neighbours stand together in no piece.
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.atoms = _Paths(self._shortest)
-        self.paths = _Paths(self._path)
-        self.spaced = _Paths(lambda word: self._path(SPACE + word))  # words after one space
+        self.atoms = _Kept(self._shortest, STRETCHES)
+        self.paths = _Kept(self._path, WORDS)
+        self.spaced = _Kept(lambda word: self._path(SPACE + word), WORDS)  # words after one space
         self.newline = self._shortest("\n")
 
     def _merged(self, text: str) -> list[str]:
@@ -95,14 +103,11 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _finite(self, before: int, piece: int) -> bool:
-        """Whether the arc ``piece`` after ``before`` (-1: none) has weight 0."""
-        both = [self.names[i] for i in (before, piece) if i >= 0]
-        out = self._merged("".join(both)) == both
-        if len(self.stays) >= KEPT:
-            self.stays.clear()
-        self.stays[before << 32 | piece] = out
-        return out
+    def _finite(self, pair: int) -> bool:
+        """Whether the arc of the piece in the lower 32 bits has weight 0 after
+        the piece above them (-1: none)."""
+        both = [self.names[i] for i in (pair >> 32, pair & 0xFFFFFFFF) if i >= 0]
+        return self._merged("".join(both)) == both
 
     def _path(self, word: str) -> tuple[int, ...]:
         word = word.replace(" ", SPACE)
@@ -116,7 +121,7 @@ class Transducer:
         """Ids on the path of finite weight through ``word``: depth first, the
         longest arc first.  Only one path of finite weight leads to any place,
         so a place without a way on is never entered again."""
-        arcs, stays, finite, end = self.arcs.get, self.stays, self._finite, len(word)
+        arcs, stays, end = self.arcs.get, self.stays, len(word)
         path: list = []  # (place, arcs not tried yet, piece that leads on)
         place, before, dead, todo = 0, -1, set(), None
         while place < end:
@@ -135,10 +140,8 @@ class Transducer:
                 upto, piece = todo.pop()
                 if upto in dead:
                     continue
-                if piece >= 0:
-                    ok = stays.get(before << 32 | piece)
-                    if not (ok or ok is None and finite(before, piece)):
-                        continue
+                if piece >= 0 and not stays[before << 32 | piece]:
+                    continue
                 path.append((place, before, todo, piece))
                 place, before, todo = upto, piece, None
                 break

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on test tables and odd rows."""
 
+import gc
 import hashlib
 import math
 import random
@@ -66,6 +67,35 @@ def test_quality_verdict_never_depends_on_the_order(documents):
         assert all(whole[order[k].name][i] for i, k in enumerate(failed) if k >= 0)
 
 
+def test_quality_leaves_no_words_behind():
+    """What a batch held goes with it, not with some later full collection."""
+    texts = [b" ".join(b"word%d" % (i * 31 % 997) for i in range(n)) for n in range(5, 300)]
+    gc.collect()
+    gc.disable()
+    gc.set_debug(gc.DEBUG_SAVEALL)
+    try:
+        quality.cascade(quality.Measures(texts), quality.RULES)
+        gc.collect()
+        left = [x for x in gc.garbage if isinstance(x, dict) and b"word31" in x]
+    finally:
+        gc.set_debug(0)
+        gc.garbage.clear()
+        gc.enable()
+    assert not left
+
+
+def test_quality_sends_a_whole_row_with_one_text(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, long, "c"), (4, "\u00e9 " + long, None), (3, long, "c")], "doc_id long, text string, source string")
+    whole, some = quality.judge(df, report=REPORT, ordered=True), quality.judge(df, report=REPORT, ordered=True, keep=["doc_id"])
+    measured = [*REPORT, "rejected_by"]
+    assert sorted(whole.select("row.doc_id", *measured).collect(), key=str) == sorted(some.select("row.doc_id", *measured).collect(), key=str)
+    assert sorted(whole.select("row.*").collect(), key=str) == sorted(df.collect(), key=str)
+    made = [f.dataType.simpleString() for f in whole.schema]
+    assert made[0] == "struct<doc_id:bigint,text:string,source:string>"
+    assert "binary" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ------------------------------------------------------------------ 2
 def brute_top(vectors, queries, k):
     ints = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
@@ -138,6 +168,23 @@ def test_pieces(name, request):
         assert r.text == (r.before or "").replace("▁", " ")
 
 
+def test_pieces_keep_a_bounded_number_of_words():
+    """Words met once are forgotten; one met again and again is not, and ids never change."""
+    import sentencepiece
+    model, fst = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_fst.Transducer(PIECES)
+    kept = [fst.paths, fst.spaced, fst.atoms, fst.stays]
+    for x in kept:
+        x.most = 200
+    made, often = [], fst.spaced.made
+    fst.spaced.made = lambda word: made.append(word) or often(word)
+    for k in range(40):
+        text = " ".join(["again", *(f"w{k}x{i}\u00e9" for i in range(50)), "again"])
+        assert fst.encode(text).tolist() == model.encode(text)
+        assert all(len(x) <= x.most and len(x.before) <= x.most for x in kept)
+    assert made.count("again") == 1 and len(made) > 1500
+    assert 2 * max(sentencepiece_fst.WORDS, sentencepiece_fst.STRETCHES, sentencepiece_fst.PAIRS) <= 1 << 19
+
+
 # ------------------------------------------------------------------ 5
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
