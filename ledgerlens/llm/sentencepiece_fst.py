@@ -15,7 +15,8 @@ path finds it, place by place.  Arc weights are worked out when first met.
 
 A space never follows another character inside a piece, so texts are
 composed word by word.  Paths of words met before are kept, and those met least
-lately are forgotten: a corpus has no end of words, and a worker outlives its tasks.
+lately are forgotten: a corpus has no end of words.  A worker outlives its tasks,
+so a task's end forgets all words' paths.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 #: Paths of words, paths of stretches inside words and weights of pairs of pieces that a worker
 #: keeps, and as many met before those: the dearer to make again, the more.
-WORDS, STRETCHES, PAIRS = 1 << 17, 1 << 17, 1 << 18
+WORDS, STRETCHES, PAIRS = 1 << 18, 1 << 17, 1 << 18
 #: Bytes of text handled at once.
 STEP = 1 << 20
 
@@ -180,6 +181,12 @@ class Transducer:
             found += self._line(line)
         return np.fromiter(chain.from_iterable(found), np.int32)
 
+    def forget(self) -> None:
+        """Lets go of the words' paths; what is dear to make again stays."""
+        for kept in (self.paths, self.spaced):
+            kept.clear()
+            kept.before = {}
+
     def decode(self, ids) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
         if self.prefix and raw[:1] == b" ":
@@ -217,6 +224,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list | None =
                     [b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                      pa.array(size[i:j]), pa.array(same, pa.bool_())],
                     names=["row", "ids", "n_bytes", "round_trip"])
+        fst.forget()
 
     row = wanted.schema["row"].dataType.simpleString()
     return wanted.mapInArrow(run, f"row {row}, ids array<int>, n_bytes long, round_trip boolean")
