@@ -142,6 +142,67 @@ def test_search_over_trees_is_exact():
         assert [(-s, j) for s, j in zip(score[at == i], who[at == i])] == best
 
 
+@pytest.mark.parametrize("dims, kind", [(3, "float"), (3, "double"), (40, "float")])
+def test_top_k_over_many_blocks_and_groups(spark, monkeypatch, dims, kind):
+    for name, value in (("CANDIDATES", 16), ("QUERIES", 8), ("GROUP", 64 * dims)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(dims)
+    vectors = [(int(i), np.float32(rng.normal(0, 1, dims)).tolist()) for i in rng.permutation(700)]
+    vectors += [(1000 + i, vectors[i % 3][1]) for i in range(200)]  # large groups of equal vectors
+    df = spark.createDataFrame(vectors, f"vec_id long, embedding array<{kind}>")
+    asked = df.where("vec_id % 7 = 0")
+    out = topk.top_k(df, asked, 5)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out.collect())
+    assert got == brute_top(vectors, [v for v in vectors if v[0] % 7 == 0], 5)
+
+
+def test_top_k_copies_no_query_block_for_each_candidate_block(spark, monkeypatch):
+    """Packed queries go to groups of blocks, row by row from Python: an explode
+    holds all copies of a row in memory, and a join on blocks makes one for each."""
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    df = spark.range(4000).selectExpr("id as vec_id", "array(cast(id % 97 as float), cast(id % 89 as float)) as embedding")
+    plan = topk.top_k(df, df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "CartesianProduct" not in plan
+    # All vectors ask, so each query block goes to the one group that memory needs.
+    seen = []
+    frame, deal = type(df), type(df).repartition
+
+    def watched(self, n, *columns):
+        seen.append(self.where("tree is not null").count())
+        return deal(self, n, *columns)
+
+    monkeypatch.setattr(frame, "repartition", watched)
+    topk.top_k(df, df, 5)
+    assert seen == [4]
+
+
+def test_top_k_of_vectors_beyond_floats(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, (rng.normal(0, 1, 3) * 10.0 ** rng.integers(0, 200)).tolist()) for i in range(60)]
+    vectors += [(60 + i, [1e200, -1e200, 1e200]) for i in range(4)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
+    got = {}
+    for r in topk.top_k(df, df, 4).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id, r.score
+    for q in ints:
+        exact = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:4]
+        assert {s for _, s in got[q].values()} == {max(-2 ** 63, min(2 ** 63 - 1, -s)) for s, _ in exact}
+
+
+def test_search_goes_on_from_what_other_blocks_gave():
+    rng = np.random.default_rng(6)
+    points, ids = np.floor(256 * rng.normal(0, 1, (3000, 5))), rng.permutation(3000)
+    queries = topk.cover_tree(ids[:300], points[:300])
+    best = topk.Best(queries, 5)
+    for start in range(0, 3000, 1000):
+        at, who, score = topk.search(queries, topk.cover_tree(ids[start:start + 1000], points[start:start + 1000]), 5, best)
+    want = points[:300] @ points.T
+    for i in range(300):
+        best = sorted((-s, j) for s, j in zip(want[i], ids) if j != ids[i])[:5]
+        assert [(-s, j) for s, j in zip(score[at == i], who[at == i])] == best
+
+
 # ------------------------------------------------------------------ 3
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_token_counts(name, request):
