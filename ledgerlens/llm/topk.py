@@ -35,7 +35,7 @@ CANDIDATES, QUERIES = 8192, 1024
 #: Components of a group of candidates, all of which one task holds.
 GROUP = 2 ** 24
 #: Candidates of one product of matrices.
-TILE = 512
+TILE = 256
 #: A query node is opened if its children have less than this share of its work left.
 WORTH = 0.8
 _EXACT, _SHORT = 2 ** 53, 2 ** 24
